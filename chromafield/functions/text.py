@@ -100,16 +100,14 @@ def motif_edit_distance(a: Column, b: Column) -> Column:
 
 
 def motif_name(motif_id: Column) -> Column:
-    """Stable adjective-noun name.  Choice: both words are drawn from a hash of the id."""
-    h = F.xxhash64(motif_id.cast("long"))
-    adjective = F.element_at(
-        F.array(*map(F.lit, ADJECTIVES)), (F.pmod(h, F.lit(len(ADJECTIVES))) + 1).cast("int")
-    )
-    noun = F.element_at(
-        F.array(*map(F.lit, NOUNS)),
-        (F.pmod(F.shiftright(h, 8), F.lit(len(NOUNS))) + 1).cast("int"),
-    )
-    return F.concat_ws("-", adjective, noun)
+    """Stable adjective-noun name.  Choice: both words are drawn from the MD5 of the id."""
+    digest = F.md5(motif_id.cast("string").cast("binary"))
+
+    def word(words: list[str], start: int) -> Column:
+        number = F.conv(F.substring(digest, start, 7), 16, 10).cast("int")
+        return F.element_at(F.array(*map(F.lit, words)), F.pmod(number, F.lit(len(words))) + 1)
+
+    return F.concat_ws("-", word(ADJECTIVES, 1), word(NOUNS, 8))
 
 
 def parse_note(text: Column) -> Column:

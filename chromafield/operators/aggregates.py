@@ -15,7 +15,7 @@ from chromafield.operators.ordered import (
     drop_halo,
     halo_window,
     lag_rows,
-    prefix_scan,
+    running_moments,
     slice_of,
     with_halo,
 )
@@ -138,31 +138,17 @@ def entity_anomaly(
     """Deviation from prediction over the spread of that entity's own earlier deviations.
 
     The prediction is an input column; without one the entity's previous embedding is
-    used.  The spread is the population deviation of all earlier deviations, from running
-    sums; it needs two of them and is null before.
+    used.  The spread is the population deviation of all earlier deviations; it needs two
+    of them and is null before.
     """
     out = df
     if predicted is None:
         out = lag_rows(df, entity, ts, [actual], tie, width)
         predicted = f"prev_{actual}"
     out = out.withColumn("deviation", l2(F.col(predicted), F.col(actual)))
-    out = prefix_scan(
-        out,
-        entity,
-        ts,
-        {
-            "_n": F.when(F.col("deviation").isNotNull(), 1.0).otherwise(0.0),
-            "_s1": F.coalesce("deviation", F.lit(0.0)),
-            "_s2": F.coalesce(F.col("deviation") ** 2, F.lit(0.0)),
-        },
-        tie,
-        width,
-        exclusive=True,
-    )
-    mean = F.try_divide(F.col("_s1"), F.col("_n"))
-    var = F.try_divide(F.col("_s2"), F.col("_n")) - mean * mean
-    out = out.withColumn("sigma", F.when(F.col("_n") >= 2, F.sqrt(F.greatest(var, F.lit(0.0)))))
-    drop = ["_n", "_s1", "_s2"] + ([f"prev_{actual}"] if predicted == f"prev_{actual}" else [])
+    out = running_moments(out, entity, ts, "deviation", tie, width)
+    out = out.withColumn("sigma", F.when(F.col("past_n") >= 2, F.col("past_sd")))
+    drop = ["past_n", "past_mean", "past_sd", f"prev_{actual}"]
     return out.withColumn("anomaly_score", F.try_divide("deviation", "sigma")).drop(*drop)
 
 

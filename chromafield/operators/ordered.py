@@ -176,6 +176,60 @@ def prefix_scan(
     return out.drop(SLICE, *[f"_x_{n}" for n in sums], *[f"_b_{n}" for n in sums])
 
 
+def running_moments(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: str,
+    tie: Sequence[str] = (),
+    width: int | None = None,
+) -> DataFrame:
+    """Count, mean and population deviation of all earlier rows: ``past_n/_mean/_sd``.
+
+    Slice moments are pooled around the key's first slice mean, so that no large squares
+    cancel, and then merged with the moments inside the slice.
+    """
+    sliced = with_slice(df, keys, order, width)
+    x = F.col(value)
+    before, whole = _before(keys), Window.partitionBy(*keys).orderBy(SLICE)
+    carry = sliced.groupBy(*keys, SLICE).agg(
+        F.count(x).alias("_n"), F.avg(x).alias("_m"), F.var_pop(x).alias("_v")
+    )
+    carry = carry.withColumn("_m0", F.first("_m", ignorenulls=True).over(
+        whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ))
+    d = F.col("_m") - F.col("_m0")
+    carry = carry.select(
+        *keys,
+        SLICE,
+        "_m0",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_cn"),
+        F.coalesce(F.sum(F.col("_n") * d).over(before), F.lit(0.0)).alias("_c1"),
+        F.coalesce(F.sum(F.col("_n") * (F.col("_v") + d * d)).over(before), F.lit(0.0)).alias("_c2"),
+    )
+    w = _slice_window(keys).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, -1)
+    out = _join_carry(sliced, carry, keys).withColumns(
+        {
+            "_n": F.count(x).over(w),
+            "_m": F.coalesce(F.avg(x).over(w), F.lit(0.0)),
+            "_v": F.coalesce(F.var_pop(x).over(w), F.lit(0.0)),
+        }
+    )
+    n1, n2 = F.col("_cn"), F.col("_n")
+    m1 = F.coalesce(F.col("_m0") + F.try_divide("_c1", "_cn"), F.lit(0.0))
+    ss1 = F.col("_c2") - F.coalesce(F.try_divide(F.col("_c1") ** 2, n1), F.lit(0.0))
+    gap = F.when((n1 > 0) & (n2 > 0), F.col("_m") - m1).otherwise(0.0)
+    total = n1 + n2
+    ss = ss1 + n2 * F.col("_v") + gap * gap * F.coalesce(F.try_divide(n1 * n2, total), F.lit(0.0))
+    return out.withColumns(
+        {
+            "past_n": total,
+            "past_mean": F.try_divide(n1 * m1 + n2 * F.col("_m"), total),
+            "past_sd": F.when(total > 0, F.sqrt(F.greatest(ss / total, F.lit(0.0)))),
+        }
+    ).drop(SLICE, "_m0", "_cn", "_c1", "_c2", "_n", "_m", "_v")
+
+
 def row_index(
     df: DataFrame,
     keys: Sequence[str],
