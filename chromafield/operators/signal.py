@@ -51,7 +51,7 @@ def sample_windows(
         *keys,
         "window",
         "start_us",
-        *[F.transform("_rows", lambda x, v=v: x[v].cast("double")).alias(v) for v in values],
+        *[F.col("_rows")[v].cast("array<double>").alias(v) for v in values],
     )
 
 

@@ -71,7 +71,7 @@ def _(t: Tables):
     f"""WITH {OBS_SQL}, r AS (SELECT particle_id, energy, count(energy) OVER w AS n, avg(energy) OVER w AS m,
         stddev_pop(energy) OVER w AS sd FROM obs
         WINDOW w AS (PARTITION BY sensor_id ORDER BY timestamp_us RANGE BETWEEN {DAY_US} PRECEDING AND 1 PRECEDING))
-    SELECT particle_id, CAST(n AS BIGINT) AS base_n, round(m, 6) AS base_mean, round(sd, 6) AS base_sd,
+    SELECT particle_id, CAST(n AS BIGINT) AS base_n, round(m + 1e-10, 6) AS base_mean, round(sd + 1e-10, 6) AS base_sd,
       round(CASE WHEN n > 2 THEN (energy - m) / nullif(sd, 0) END, 4) AS z FROM r""",
 )
 def _(t: Tables):
@@ -80,8 +80,9 @@ def _(t: Tables):
     return out.select(
         "particle_id",
         "base_n",
-        F.round("base_mean", 6).alias("base_mean"),
-        F.round("base_sd", 6).alias("base_sd"),
+        # the nudge keeps exact decimal halves (means over 32 rows) off the rounding edge
+        F.round(c("base_mean") + 1e-10, 6).alias("base_mean"),
+        F.round(c("base_sd") + 1e-10, 6).alias("base_sd"),
         F.round(F.when(c("base_n") > 2, c("z")), 4).alias("z"),
     )
 
