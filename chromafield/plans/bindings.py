@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chromafield.functions import freq_to_material_id
 from chromafield.session import configure
+from chromafield.sources.captures import is_folder
 
 DAY_US = 86_400_000_000
 HOUR_US = 3_600_000_000
@@ -23,6 +24,40 @@ ORACLES: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 
 
+EVENTS_SCHEMA = (
+    "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+)
+
+
+def shape_observations(events: DataFrame) -> DataFrame:
+    """Projection of the events table, batch or stream, to the observation columns."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    angle = F.lit(2.0) * F.pi() * F.col("k") / F.lit(100.0)
+    layer = F.lit(4)
+    for code, name in enumerate(("click", "view", "purchase", "signup")):
+        layer = F.when(F.col("event_type") == name, code).otherwise(layer)
+    base = events.select(
+        F.col("event_id").alias("particle_id"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp_us"),
+        F.pmod(F.col("user_id"), F.lit(8)).cast("int").alias("sensor_id"),
+        "user_id",
+        layer.alias("layer"),
+        (F.col("value") * F.lit(1e6)).alias("frequency_hz"),
+        (F.col("value") / F.lit(500.0)).alias("energy"),
+        k.alias("k"),
+    )
+    return base.withColumns(
+        {
+            "re": F.col("energy") * F.cos(angle),
+            "im": F.col("energy") * F.sin(angle),
+            "hue_class": freq_to_material_id(F.col("frequency_hz")),
+            "x": F.pmod(F.col("k"), F.lit(10)).cast("double"),
+            "y": F.floor(F.col("k") / 10).cast("double"),
+            "z": F.col("sensor_id").cast("double"),
+        }
+    )
+
+
 class Tables:
     """Lazily loaded tables of one folder."""
 
@@ -36,31 +71,20 @@ class Tables:
     @cached_property
     def obs(self) -> DataFrame:
         """Observations from ``events``."""
-        k = F.get_json_object("props", "$.k").cast("int")
-        angle = F.lit(2.0) * F.pi() * F.col("k") / F.lit(100.0)
-        layer = F.lit(4)
-        for code, name in enumerate(("click", "view", "purchase", "signup")):
-            layer = F.when(F.col("event_type") == name, code).otherwise(layer)
-        base = self.table("events").select(
-            F.col("event_id").alias("particle_id"),
-            F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp_us"),
-            F.pmod(F.col("user_id"), F.lit(8)).cast("int").alias("sensor_id"),
-            "user_id",
-            layer.alias("layer"),
-            (F.col("value") * F.lit(1e6)).alias("frequency_hz"),
-            (F.col("value") / F.lit(500.0)).alias("energy"),
-            k.alias("k"),
-        )
-        return base.withColumns(
-            {
-                "re": F.col("energy") * F.cos(angle),
-                "im": F.col("energy") * F.sin(angle),
-                "hue_class": freq_to_material_id(F.col("frequency_hz")),
-                "x": F.pmod(F.col("k"), F.lit(10)).cast("double"),
-                "y": F.floor(F.col("k") / 10).cast("double"),
-                "z": F.col("sensor_id").cast("double"),
-            }
-        )
+        return shape_observations(self.table("events"))
+
+    @cached_property
+    def obs_stream(self) -> DataFrame:
+        """The same observations as a stream over the ``events`` file."""
+        folder, glob = self.stream_location("events")
+        reader = self.spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
+        return shape_observations(reader.parquet(folder))
+
+    def stream_location(self, name: str) -> tuple[str, str]:
+        """(folder, file pattern) of a table: streams read folders, a table may be one file."""
+        if is_folder(f"{self.dir}/{name}.parquet"):
+            return f"{self.dir}/{name}.parquet", "*"
+        return self.dir, f"{name}.parquet"
 
     @cached_property
     def windows(self) -> DataFrame:
