@@ -53,7 +53,7 @@ def score_baseline(df: DataFrame, baseline: DataFrame, bins: Bins) -> DataFrame:
     density = baseline.select("bin", F.col("p"))
     return (
         df.withColumn("bin", bin_index(bins))
-        .join(broadcast_if_small(density, MAX_BINS), "bin", "left")
+        .join(broadcast_if_small(density, 100_000), "bin", "left")
         .withColumn("anomaly_score", -F.ln("p"))
         .drop("p")
     )

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 TARGET_ROWS = 1_000_000
 SLICE = "_slice"
+KEY = "_key"
 
 
 def slice_of(order: Column, width: int) -> Column:
@@ -65,30 +66,37 @@ def plan_width(
 
 
 def with_slice(df: DataFrame, keys: Sequence[str], order: str, width: int | None) -> DataFrame:
+    """Add the slice number and the key columns packed into one struct.
+
+    The struct is never null itself, so a plain equi-join keeps rows with null keys, and
+    the join with the carry and the window above it share one exchange.
+    """
     if width is None:
         width = plan_width(df, keys, order)
-    return df.withColumn(SLICE, slice_of(F.col(order), width))
+    packed = F.struct(*keys) if keys else F.lit(0)
+    return df.withColumns({SLICE: slice_of(F.col(order), width), KEY: packed})
 
 
-def _slice_window(keys: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys, SLICE)
+def in_slice() -> Window:
+    return Window.partitionBy(KEY, SLICE)
 
 
-def _before(keys: Sequence[str]) -> Window:
-    """Frame over all earlier slices of the key, at one row per slice."""
-    return (
-        Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    )
+def across() -> Window:
+    """Over a key's slices, at one row per slice."""
+    return Window.partitionBy(KEY).orderBy(SLICE)
+
+
+def before() -> Window:
+    """All earlier slices of the key."""
+    return across().rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _join_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach the per-slice carry; null-safe on the keys."""
-    names = [*keys, SLICE]
-    right = carry.select(*[F.col(n).alias(f"_c_{n}") for n in names], *[
-        c for c in carry.columns if c not in names
-    ])
-    on = [F.col(n).eqNullSafe(F.col(f"_c_{n}")) for n in names]
-    return rows.join(right, on, "left").drop(*[f"_c_{n}" for n in names])
+def whole_key() -> Window:
+    return across().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def _join_carry(rows: DataFrame, carry: DataFrame) -> DataFrame:
+    return rows.join(carry, [KEY, SLICE], "left")
 
 
 def lag_rows(
@@ -104,65 +112,80 @@ def lag_rows(
     sliced = with_slice(df, keys, order, width)
     payload = F.struct(*[F.col(c).alias(c) for c in cols])
     carry = (
-        sliced.groupBy(*keys, SLICE)
+        sliced.groupBy(KEY, SLICE)
         .agg(F.max_by(payload, F.struct(order, *tie)).alias("_last"))
-        .withColumn(
-            "_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(SLICE))
-        )
+        .withColumn("_carry", F.lag("_last").over(across()))
         .drop("_last")
     )
-    w = _slice_window(keys).orderBy(order, *tie)
-    out = _join_carry(sliced, carry, keys)
+    w = in_slice().orderBy(order, *tie)
+    out = _join_carry(sliced, carry)
     previous = F.when(F.row_number().over(w) == 1, F.col("_carry")).otherwise(F.lag(payload).over(w))
     return (
         out.withColumn("_prev", previous)
         .withColumns({f"{prefix}{c}": F.col("_prev")[c] for c in cols})
-        .drop("_prev", "_carry", SLICE)
+        .drop("_prev", "_carry", SLICE, KEY)
     )
 
 
+FOLDS = {
+    "sum": F.sum,
+    "product": F.product,
+    "max": F.max,
+    "min": F.min,
+    "any": F.bool_or,
+}
+
+
 def prefix_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    sums: dict[str, Column],
+    values: dict[str, Column],
     tie: Sequence[str] = (),
     width: int | None = None,
     kind: str = "sum",
     exclusive: bool = False,
+    totals: dict[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
-    """Running aggregate per key: ``kind`` is sum, product, max, min, any or first."""
-    fold = {"sum": F.sum, "product": F.product, "max": F.max, "min": F.min, "any": F.bool_or}
+    """Running aggregate per key: ``kind`` is sum, product, max, min, any or first.
+
+    ``totals`` maps a name to (fold, expression): that aggregate over the whole key, which
+    rides along with the carry and needs no join of its own.
+    """
+    totals = totals or {}
     sliced = with_slice(df, keys, order, width)
     # evaluate the expressions once, so both branches aggregate plain columns
-    sliced = sliced.withColumns({f"_x_{name}": expr for name, expr in sums.items()})
+    sliced = sliced.withColumns({f"_x_{name}": expr for name, expr in values.items()})
 
-    def total(name: str) -> Column:
+    def part(name: str) -> Column:
         if kind == "first":
             return F.min_by(F.col(f"_x_{name}"), F.struct(order, *tie))
-        return fold[kind](F.col(f"_x_{name}"))
+        return FOLDS[kind](F.col(f"_x_{name}"))
 
-    before = _before(keys)
-    carry = sliced.groupBy(*keys, SLICE).agg(*[total(n).alias(f"_t_{n}") for n in sums])
-    carry = carry.withColumns(
-        {
-            f"_b_{n}": (
-                F.first(f"_t_{n}").over(before)
-                if kind == "first"
-                else fold[kind](F.col(f"_t_{n}")).over(before)
-            )
-            for n in sums
-        }
-    ).drop(*[f"_t_{n}" for n in sums])
+    def earlier(name: str) -> Column:
+        if kind == "first":
+            return F.first(f"_t_{name}").over(before())
+        return FOLDS[kind](F.col(f"_t_{name}")).over(before())
+
+    carry = sliced.groupBy(KEY, SLICE).agg(
+        *[part(n).alias(f"_t_{n}") for n in values],
+        *[FOLDS[fold](expr).alias(f"_w_{n}") for n, (fold, expr) in totals.items()],
+    )
+    carry = carry.select(
+        KEY,
+        SLICE,
+        *[earlier(n).alias(f"_b_{n}") for n in values],
+        *[FOLDS[fold](F.col(f"_w_{n}")).over(whole_key()).alias(n) for n, (fold, _) in totals.items()],
+    )
     end = -1 if exclusive else 0
-    w = _slice_window(keys).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, end)
-    out = _join_carry(sliced, carry, keys)
+    w = in_slice().orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, end)
+    out = _join_carry(sliced, carry)
 
     def combined(name: str) -> Column:
         base = F.col(f"_b_{name}")
         if kind == "first":
             return F.coalesce(base, F.first(F.col(f"_x_{name}")).over(w))
-        local = fold[kind](F.col(f"_x_{name}")).over(w)
+        local = FOLDS[kind](F.col(f"_x_{name}")).over(w)
         if kind == "sum":
             zero = F.lit(0)
             return F.coalesce(base, zero) + F.coalesce(local, zero)
@@ -172,8 +195,8 @@ def prefix_scan(
             return F.coalesce(base, F.lit(False)) | F.coalesce(local, F.lit(False))
         return F.greatest(base, local) if kind == "max" else F.least(base, local)
 
-    out = out.withColumns({n: combined(n) for n in sums})
-    return out.drop(SLICE, *[f"_x_{n}" for n in sums], *[f"_b_{n}" for n in sums])
+    out = out.withColumns({n: combined(n) for n in values})
+    return out.drop(SLICE, KEY, *[f"_x_{n}" for n in values], *[f"_b_{n}" for n in values])
 
 
 def running_moments(
@@ -191,24 +214,21 @@ def running_moments(
     """
     sliced = with_slice(df, keys, order, width)
     x = F.col(value)
-    before, whole = _before(keys), Window.partitionBy(*keys).orderBy(SLICE)
-    carry = sliced.groupBy(*keys, SLICE).agg(
+    carry = sliced.groupBy(KEY, SLICE).agg(
         F.count(x).alias("_n"), F.avg(x).alias("_m"), F.var_pop(x).alias("_v")
     )
-    carry = carry.withColumn("_m0", F.first("_m", ignorenulls=True).over(
-        whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ))
+    carry = carry.withColumn("_m0", F.first("_m", ignorenulls=True).over(whole_key()))
     d = F.col("_m") - F.col("_m0")
     carry = carry.select(
-        *keys,
+        KEY,
         SLICE,
         "_m0",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_cn"),
-        F.coalesce(F.sum(F.col("_n") * d).over(before), F.lit(0.0)).alias("_c1"),
-        F.coalesce(F.sum(F.col("_n") * (F.col("_v") + d * d)).over(before), F.lit(0.0)).alias("_c2"),
+        F.coalesce(F.sum("_n").over(before()), F.lit(0)).alias("_cn"),
+        F.coalesce(F.sum(F.col("_n") * d).over(before()), F.lit(0.0)).alias("_c1"),
+        F.coalesce(F.sum(F.col("_n") * (F.col("_v") + d * d)).over(before()), F.lit(0.0)).alias("_c2"),
     )
-    w = _slice_window(keys).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, -1)
-    out = _join_carry(sliced, carry, keys).withColumns(
+    w = in_slice().orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, -1)
+    out = _join_carry(sliced, carry).withColumns(
         {
             "_n": F.count(x).over(w),
             "_m": F.coalesce(F.avg(x).over(w), F.lit(0.0)),
@@ -227,7 +247,7 @@ def running_moments(
             "past_mean": F.try_divide(n1 * m1 + n2 * F.col("_m"), total),
             "past_sd": F.when(total > 0, F.sqrt(F.greatest(ss / total, F.lit(0.0)))),
         }
-    ).drop(SLICE, "_m0", "_cn", "_c1", "_c2", "_n", "_m", "_v")
+    ).drop(SLICE, KEY, "_m0", "_cn", "_c1", "_c2", "_n", "_m", "_v")
 
 
 def row_index(
@@ -237,9 +257,10 @@ def row_index(
     tie: Sequence[str] = (),
     width: int | None = None,
     name: str = "row_index",
+    totals: dict[str, tuple[str, Column]] | None = None,
 ) -> DataFrame:
     """1-based position of each row within its key."""
-    return prefix_scan(df, keys, order, {name: F.lit(1).cast("long")}, tie, width)
+    return prefix_scan(df, keys, order, {name: F.lit(1).cast("long")}, tie, width, totals=totals)
 
 
 def with_halo(
@@ -276,7 +297,7 @@ def drop_halo(df: DataFrame) -> DataFrame:
 
 def halo_window(keys: Sequence[str], order: str) -> Window:
     """Window over one slice, for range frames on the integer order column."""
-    return _slice_window(keys).orderBy(order)
+    return Window.partitionBy(*keys, SLICE).orderBy(order)
 
 
 def nearest_before(
@@ -316,18 +337,17 @@ def nearest_before(
     # going back the largest tie value wins, going forward the smallest
     rank = F.struct(F.col("_o"), *[(-F.col(t) if forward else F.col(t)) for t in ties])
     carry = (
-        both.groupBy(*by, SLICE)
+        both.groupBy(KEY, SLICE)
         .agg(F.max_by(F.col(name), F.when(F.col("_side") == 0, rank)).alias("_best"))
-        .withColumn("_carry", F.last("_best", ignorenulls=True).over(_before(by)))
+        .withColumn("_carry", F.last("_best", ignorenulls=True).over(before()))
         .drop("_best")
     )
     tie_order = [F.desc(t) if forward else F.asc(t) for t in ties]
     w = (
-        _slice_window(by)
-        .orderBy("_o", "_side", *tie_order)
+        in_slice().orderBy("_o", "_side", *tie_order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    scanned = _join_carry(both, carry, by).withColumn(
+    scanned = _join_carry(both, carry).withColumn(
         name, F.coalesce(F.last(name, ignorenulls=True).over(w), F.col("_carry"))
     )
     return scanned.where("_side = 1").select("_left.*", name)

@@ -94,9 +94,8 @@ def traversals(
         {f"_q_{v}": F.round(F.col(v) * F.lit(scale)).cast("long") for v in vectors}
     )
     for v in vectors:
-        out = row_index(out, keys, f"_q_{v}", [tie], width, f"_fwd_{v}").drop(f"_q_{v}")
-    sizes = patches.groupBy(*keys).agg(F.count("*").alias("_n"))
-    out = out.join(broadcast_if_small(sizes), list(keys))
+        size = {"_n": ("sum", F.lit(1).cast("long"))} if v == vectors[-1] else None
+        out = row_index(out, keys, f"_q_{v}", [tie], width, f"_fwd_{v}", size).drop(f"_q_{v}")
     streams = F.explode(
         F.array(
             *[

@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chromafield.operators.ordered import (
+    KEY,
     SLICE,
+    across,
     drop_halo,
     halo_window,
+    in_slice,
     lag_rows,
-    plan_width,
     prefix_scan,
     row_index,
-    slice_of,
     with_halo,
+    with_slice,
 )
 
 
@@ -74,22 +76,22 @@ def decay_smooth(
     rows = delta_t(df, keys, ts, tie, width)
     tau = F.lit(float(tau_us))
     gain = F.when(F.col("dt_us").isNull(), 1.0).otherwise(1.0 - F.exp(-F.col("dt_us") / tau))
-    sliced = rows.withColumn(SLICE, slice_of(F.col(ts), span)).withColumns(
+    sliced = with_slice(rows, keys, ts, span).withColumns(
         {
             "_age": (F.col(ts) - F.col(SLICE) * F.lit(span)) / tau,
             "_b": gain * F.col(value),
         }
     )
     grown = F.col("_b") * F.exp("_age")
-    ends = sliced.groupBy(*keys, SLICE).agg(F.sum(grown).alias("_sum"))
+    ends = sliced.groupBy(KEY, SLICE).agg(F.sum(grown).alias("_sum"))
     # end state of each slice, referred to the slice's start; slices per key are few and
     # a frame of at most `reach` of them is folded
-    frame = Window.partitionBy(*keys).orderBy(SLICE).rangeBetween(-reach, -1)
+    frame = across().rangeBetween(-reach, -1)
     step = F.lit(span / tau_us)
     carry = ends.withColumn(
         "_prior", F.collect_list(F.struct(F.col(SLICE).alias("s"), F.col("_sum").alias("v"))).over(frame)
     ).select(
-        *keys,
+        KEY,
         SLICE,
         F.aggregate(
             "_prior",
@@ -97,14 +99,12 @@ def decay_smooth(
             lambda acc, p: acc + p["v"] * F.exp((p["s"] - F.col(SLICE)) * step),
         ).alias("_carry"),
     )
-    w = (
-        Window.partitionBy(*keys, SLICE)
-        .orderBy(ts, *tie)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    joined = sliced.join(carry, [*keys, SLICE], "left")
+    w = in_slice().orderBy(ts, *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = sliced.join(carry, [KEY, SLICE], "left")
     state = (F.sum(grown).over(w) + F.coalesce("_carry", F.lit(0.0))) * F.exp(-F.col("_age"))
-    return joined.withColumn("smoothed", state).drop(SLICE, "_age", "_b", "_carry", "dt_us")
+    return joined.withColumn("smoothed", state).drop(
+        SLICE, KEY, "_age", "_b", "_carry", "dt_us"
+    )
 
 
 def rolling_z(
@@ -183,15 +183,22 @@ def motif_events(
     """
     from chromafield.functions.text import motif_name
 
-    totals = df.groupBy(motif).agg(
-        F.count("*").alias("phase_total"),
-        F.min(ts).alias("_first"),
-        F.max(ts).alias("_last"),
+    phased = row_index(
+        df,
+        [motif],
+        ts,
+        tie,
+        width,
+        "phase",
+        {
+            "phase_total": ("sum", F.lit(1).cast("long")),
+            "_first": ("min", F.col(ts)),
+            "_last": ("max", F.col(ts)),
+        },
     )
-    phased = row_index(df, [motif], ts, tie, width, "phase")
     gap = F.try_divide(F.col("_last") - F.col("_first"), (F.col("phase_total") - 1) * F.lit(1e6))
     elapsed = (F.col("_last") - F.col(ts)) / F.lit(1e6)
-    return phased.join(totals, motif).select(
+    return phased.select(
         motif,
         motif_name(F.col(motif)).alias("name"),
         "phase",
@@ -227,6 +234,79 @@ def scan(
     return prefix_scan(df, keys, ts, {name: value}, tie, width, fold, exclusive)
 
 
+def _link(prev: Column, text: Column) -> Column:
+    return F.sha2(F.concat(prev, text).cast("binary"), 256)
+
+
+def _fold(texts: Column, start: Column) -> Column:
+    """Chain value after all texts."""
+    return F.aggregate(texts, start, _link)
+
+
+def _unfold(texts: Column, start: Column) -> Column:
+    """Chain value after each text, as an array (blocks are small, see ``block_rows``)."""
+    empty = F.struct(start.alias("h"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, text: Column) -> Column:
+        value = _link(acc["h"], text)
+        return F.struct(value.alias("h"), F.concat(acc["out"], F.array(value)).alias("out"))
+
+    return F.aggregate(texts, empty, step, lambda acc: acc["out"])
+
+
+def _block_heads(digests: DataFrame, block_rows: int, levels: int) -> DataFrame:
+    """(_key, block, _head): the chain value each block starts from.
+
+    Digests are chained like rows, in groups of ``block_rows``, with the groups chained a
+    level above; two levels above the rows cover block_rows ^ 3 rows of one session.
+    """
+    group = F.floor(F.col("block") / block_rows).cast("long")
+    packed = digests.groupBy(KEY, group.alias("_group")).agg(
+        F.sort_array(F.collect_list(F.struct("block", "_d"))).alias("_b")
+    )
+    if levels > 1:
+        upper = packed.select(
+            KEY, F.col("_group").alias("block"), _fold(F.col("_b")["_d"], F.lit("")).alias("_d")
+        )
+        heads = _block_heads(upper, block_rows, levels - 1).withColumnsRenamed(
+            {"block": "_group", "_head": "_start"}
+        )
+        packed = packed.join(heads, [KEY, "_group"])
+    else:
+        packed = packed.withColumn("_start", F.lit(""))
+    after = _unfold(F.col("_b")["_d"], F.col("_start"))
+    # a block starts from the value after the block before it
+    starts = F.concat(F.array("_start"), F.slice(after, 1, F.size("_b") - 1))
+    zipped = F.explode(F.arrays_zip(F.col("_b")["block"].alias("block"), starts.alias("_head")))
+    return packed.select(KEY, zipped.alias("_z")).select(KEY, "_z.block", "_z._head")
+
+
+def _chain_blocks(
+    df: DataFrame, session: Sequence[str], payload: str, ts: str, tie: Sequence[str], block_rows: int,
+    width: int | None,
+) -> DataFrame:
+    """One row per block: its rows in order and the chain value it starts from."""
+    indexed = row_index(df, session, ts, tie, width, "_i")
+    packed = (
+        indexed.withColumns(
+            {
+                KEY: F.struct(*session) if session else F.lit(0),
+                "block": F.floor((F.col("_i") - 1) / block_rows).cast("long"),
+            }
+        )
+        .groupBy(KEY, "block")
+        .agg(
+            F.sort_array(
+                F.collect_list(
+                    F.struct("_i", F.col(payload).cast("string").alias("p"), F.struct(*df.columns).alias("r"))
+                )
+            ).alias("_rows")
+        )
+    )
+    digests = packed.select(KEY, "block", _fold(F.col("_rows")["p"], F.lit("")).alias("_d"))
+    return packed.join(_block_heads(digests, block_rows, 2), [KEY, "block"])
+
+
 def build_chain(
     df: DataFrame,
     session: Sequence[str],
@@ -240,53 +320,18 @@ def build_chain(
 
     A chain over single rows can only be built one row after another, so rows are chained
     inside blocks of ``block_rows`` and blocks are chained by their digests: a block's
-    first row continues from the chain value of the blocks before it.  A session of one
-    block is the plain chain h = sha2(prev || payload).
+    first row continues from the chain value of the blocks before it (``block_head``).  A
+    session of one block is the plain chain h = sha2(prev || payload).
     """
-    indexed = row_index(df, session, ts, tie, width, "_i")
-    rows = indexed.withColumn("block", ((F.col("_i") - 1) / block_rows).cast("long"))
-    packed = rows.groupBy(*session, "block").agg(
-        F.sort_array(
-            F.collect_list(F.struct("_i", F.col(payload).alias("p"), F.struct(*df.columns).alias("r")))
-        ).alias("_rows")
-    )
-
-    def link(prev: Column, text: Column) -> Column:
-        return F.sha2(F.concat(prev, text).cast("binary"), 256)
-
-    digests = packed.select(
-        *session,
+    blocks = _chain_blocks(df, session, payload, ts, tie, block_rows, width)
+    hashes = _unfold(F.col("_rows")["p"], F.col("_head"))
+    zipped = F.arrays_zip(F.col("_rows").alias("x"), hashes.alias("h"))
+    return blocks.select("block", "_head", F.explode(zipped).alias("_z")).select(
+        "_z.x.r.*",
+        F.col("_z.x._i").alias("position"),
         "block",
-        F.aggregate("_rows", F.lit(""), lambda acc, x: link(acc, x["p"].cast("string"))).alias("_d"),
-    )
-    # one 64-byte digest per block: block_rows times fewer entries than rows
-    order = Window.partitionBy(*session).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    heads = digests.withColumn("_ds", F.collect_list("_d").over(order)).select(
-        *session, "block", F.aggregate("_ds", F.lit(""), link).alias("_head")
-    )
-    start = F.struct(F.col("_head").alias("h"), F.array().cast("array<string>").alias("out"))
-    grown = F.aggregate(
-        "_rows",
-        start,
-        lambda acc, x: F.struct(
-            link(acc["h"], x["p"].cast("string")).alias("h"),
-            F.concat(acc["out"], F.array(link(acc["h"], x["p"].cast("string")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return (
-        packed.join(heads, [*session, "block"])
-        .withColumn("_hashes", grown)
-        .select(
-            "block",
-            F.explode(F.arrays_zip("_rows", "_hashes")).alias("_z"),
-        )
-        .select(
-            "_z._rows.r.*",
-            "block",
-            F.col("_z._rows._i").alias("position"),
-            F.col("_z._hashes").alias("chain_hash"),
-        )
+        F.col("_head").alias("block_head"),
+        F.col("_z.h").alias("chain_hash"),
     )
 
 
@@ -297,20 +342,29 @@ def verify_chain(
     ts: str = "timestamp_us",
     tie: Sequence[str] = (),
     width: int | None = None,
-    chain: str = "chain_hash",
+    block_rows: int = 4096,
 ) -> DataFrame:
-    """Check h = sha2(prev || payload) row by row, in parallel, from the stored hashes.
+    """Check a stored chain: adds ``chain_ok``.
 
-    The first row of each block after the first continues from the block digests and is
-    checked against them, so the whole chain is covered.
+    Inside a block each row is checked against its predecessor's stored hash, in parallel;
+    a block's first row is checked against its stored head, and the head against the
+    digests of all earlier payloads.
     """
-    out = lag_rows(df, session, ts, [chain, "block"], tie, width)
+    out = lag_rows(df, session, ts, ["chain_hash", "block"], tie, width)
     inside = F.coalesce(F.col("prev_block") == F.col("block"), F.lit(False))
-    prev = F.when(inside, F.col(f"prev_{chain}")).when(F.col("block") == 0, F.lit(""))
-    recomputed = F.sha2(F.concat(prev, F.col(payload).cast("string")).cast("binary"), 256)
-    return out.withColumn(
-        "chain_ok", F.when(prev.isNotNull(), recomputed == F.col(chain))
-    ).drop(f"prev_{chain}", "prev_block")
+    prev = F.when(inside, F.col("prev_chain_hash")).otherwise(F.col("block_head"))
+    link_ok = _link(prev, F.col(payload).cast("string")) == F.col("chain_hash")
+    slim = df.select(*session, payload, ts, *tie)
+    heads = _chain_blocks(slim, session, payload, ts, tie, block_rows, width).select(
+        KEY, "block", "_head"
+    )
+    keyed = out.withColumn(KEY, F.struct(*session) if session else F.lit(0))
+    head_ok = F.coalesce(F.col("_head") == F.col("block_head"), F.lit(False))
+    return (
+        keyed.join(heads, [KEY, "block"], "left")
+        .withColumn("chain_ok", F.coalesce(link_ok, F.lit(False)) & (inside | head_ok))
+        .select(*df.columns, "chain_ok")
+    )
 
 
 def latest(
@@ -372,23 +426,56 @@ def edge_stability(
 
 
 def ranked(
-    df: DataFrame, keys: Sequence[str], by: str, tie: str, tiles: int = 4
+    df: DataFrame,
+    keys: Sequence[str],
+    by: str,
+    tie: str,
+    tiles: int = 4,
+    scale: float = 1e6,
+    width: int | None = None,
 ) -> DataFrame:
-    """row_number, rank, dense_rank, percent_rank and ntile in one window.
+    """row_number, rank, dense_rank, percent_rank and ntile, highest ``by`` first.
 
-    The ranks of a whole group need its order, so the group should be a bounded one
-    (a batch, a frame, a count window); see ``row_index`` for unbounded keys.
+    Ranks come from running counts over the distinct values, sliced on the fixed-point
+    value (``scale``); a group of any size is ranked by many tasks.  ``tie`` is an integer
+    id that orders equal values.
     """
-    w = Window.partitionBy(*keys).orderBy(F.desc(by))
-    total = Window.partitionBy(*keys).orderBy(F.desc(by), tie)
-    return df.withColumns(
-        {
-            "row_number": F.row_number().over(total),
-            "rank": F.rank().over(w),
-            "dense_rank": F.dense_rank().over(w),
-            "percent_rank": F.percent_rank().over(w),
-            "ntile": F.ntile(tiles).over(total),
-        }
+    work = df.withColumns(
+        {"_desc": -F.col(by), "_at": F.floor(-F.col(by) * F.lit(scale)).cast("long")}
+    )
+    values = work.groupBy(*keys, "_at", "_desc").agg(F.count("*").alias("_same"))
+    values = prefix_scan(
+        values,
+        keys,
+        "_at",
+        {"_above": F.col("_same"), "dense_rank": F.lit(1).cast("long")},
+        ["_desc"],
+        width,
+        totals={"_total": ("sum", F.col("_same"))},
+    )
+    placed = row_index(work, [*keys, "_desc"], tie, (), width, "_nth")
+    on = [*keys, "_at", "_desc"]
+    right = values.select(*[F.col(k).alias(f"_r{k}") for k in on], "_above", "_same", "dense_rank", "_total")
+    same = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in on]
+    joined = placed.join(right, same).drop(*[f"_r{k}" for k in on])
+    rank = F.col("_above") - F.col("_same") + 1
+    base, extra = F.floor(F.col("_total") / tiles), F.col("_total") % tiles
+    wide = extra * (base + 1)
+    nth = F.col("row_number")
+    tile = F.when(nth <= wide, F.floor((nth - 1) / (base + 1))).otherwise(
+        extra + F.floor(F.try_divide(nth - 1 - wide, base))
+    )
+    return (
+        joined.withColumns({"row_number": rank - 1 + F.col("_nth"), "rank": rank})
+        .withColumns(
+            {
+                "percent_rank": F.coalesce(
+                    F.try_divide(F.col("rank") - 1, F.col("_total") - 1), F.lit(0.0)
+                ),
+                "ntile": (tile + 1).cast("long"),
+            }
+        )
+        .drop("_desc", "_at", "_nth", "_above", "_same", "_total")
     )
 
 
@@ -401,7 +488,6 @@ __all__ = [
     "islands",
     "latest",
     "motif_events",
-    "plan_width",
     "ranked",
     "rolling_z",
     "scan",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chromafield.functions import block_hash, hash_prefix, parse_note
 from chromafield.operators import aggregates as A
 from chromafield.plans.bindings import MINUTE_US, OBS_SQL, Tables, query, rounded
-from chromafield.plans.spatial import _POLE_SQL, _pole
+from chromafield.plans.spatial import _POLE_SQL, _stored_pole
 from chromafield.session import scratch_path
 from chromafield.sources import captures, sinks, tables
 
@@ -295,7 +295,7 @@ def _(t: Tables):
       AND b.timestamp_us BETWEEN a.timestamp_us - {5 * MINUTE_US} AND a.timestamp_us + {5 * MINUTE_US})""",
 )
 def _(t: Tables):
-    nodes, edges = _pole(t)
+    nodes, edges = _stored_pole(t)
     digest = block_hash(c("k").cast("string"), c("timestamp_us"), c("sensor_id").cast("string"))
     corpus = t.obs.withColumn("corpus_hash", hash_prefix(digest))
     return sinks.export_exhibit(

@@ -21,6 +21,7 @@ from chromafield.plans.bindings import (
     query,
     rounded,
 )
+from chromafield.session import store_table
 
 c = F.col
 TIE = ["particle_id"]
@@ -328,6 +329,12 @@ _POLE_SQL = f"""{OBS_SQL}, o AS (SELECT *, 'event:' || particle_id AS ev, 'objec
       UNION ALL SELECT DISTINCT 'person:' || user_id, 'Person' FROM o WHERE layer = 1)"""
 
 
+def _stored_pole(t: Tables):
+    """The graph as a store would hold it: written once, then read by each traversal."""
+    nodes, edges = _pole(t)
+    return store_table(nodes, "nodes"), store_table(edges, "edges")
+
+
 @query("event_graph_edges", "J10", f"WITH {_POLE_SQL} SELECT * FROM edges")
 def _(t: Tables):
     return _pole(t)[1]
@@ -357,7 +364,7 @@ def _(t: Tables):
     SELECT 'event:10' AS id, 0 AS hop UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2""",
 )
 def _(t: Tables):
-    return G.neighbourhood(_pole(t)[1], "event:10", 2)
+    return G.neighbourhood(_stored_pole(t)[1], "event:10", 2)
 
 
 _QUERY_VECTOR = [((i * 37) % 101 - 50) / 100 for i in range(64)]
@@ -372,7 +379,7 @@ _QUERY_VECTOR = [((i * 37) % 101 - 50) / 100 for i in range(64)]
       JOIN nodes n ON n.id = 'event:' || vec_id LEFT JOIN edges e ON e.src = n.id""",
 )
 def _(t: Tables):
-    nodes, edges = _pole(t)
+    nodes, edges = _stored_pole(t)
     out = M.retrieve(_QUERY_VECTOR, t.windows, nodes, edges, 5)
     return rounded(out.select("id", "similarity", "type", "dst", "relation", "ts"))
 
@@ -391,7 +398,7 @@ def _(t: Tables):
       (SELECT CAST(count(DISTINCT d) AS BIGINT) FROM b WHERE s = 'event:10' AND d <> 'event:10') AS related FROM one, g""",
 )
 def _(t: Tables):
-    out = M.analyze(t.obs, _pole(t)[1], 10, 1, HOUR_US).drop("x", "y", "z")
+    out = M.analyze(t.obs, _stored_pole(t)[1], 10, 1, HOUR_US).drop("x", "y", "z")
     return rounded(out.withColumn("frequency_hz", F.round("frequency_hz", 3)))
 
 

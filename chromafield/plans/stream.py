@@ -99,7 +99,15 @@ def _(t: Tables):
     return late.unionByName(rest).groupBy("late").agg(F.count("*").alias("n"))
 
 
-@query("stream_device_states", "K6")
+@query(
+    "stream_device_states",
+    "K6",
+    f"""WITH {OBS_SQL}, l AS (SELECT sensor_id, timestamp_us, lag(timestamp_us) OVER (PARTITION BY sensor_id ORDER BY timestamp_us) AS pts FROM obs)
+    SELECT sensor_id, 'CONNECTED' AS state, timestamp_us AS at_us FROM l WHERE pts IS NULL OR timestamp_us - pts > {30 * MINUTE_US}
+    UNION ALL SELECT sensor_id, 'DISCONNECTED', pts + {30 * MINUTE_US} FROM l WHERE timestamp_us - pts > {30 * MINUTE_US}
+    UNION ALL SELECT sensor_id, 'DISCONNECTED', max(timestamp_us) + {30 * MINUTE_US} FROM obs GROUP BY 1
+      HAVING max(timestamp_us) + {30 * MINUTE_US} < {_DONE}""",
+)
 def _(t: Tables):
     return S.drain(stream_device_status(_timed(t), 30 * MINUTE_US), "devices")
 

@@ -21,6 +21,7 @@ from chromafield.plans.bindings import (
     query,
     rounded,
 )
+from chromafield.session import store_table
 
 c = F.col
 BY_TIME = "PARTITION BY sensor_id ORDER BY timestamp_us, particle_id"
@@ -182,7 +183,8 @@ def _(t: Tables):
     rows = t.obs.select(
         "user_id", "particle_id", "timestamp_us", F.concat_ws(":", "particle_id", "k").alias("payload")
     )
-    built = W.build_chain(rows, ["user_id"], "payload", tie=TIE)
+    # a chain is stored when it is built and verified from the store
+    built = store_table(W.build_chain(rows, ["user_id"], "payload", tie=TIE), "chain")
     return W.verify_chain(built, ["user_id"], "payload", tie=TIE).select(
         "particle_id", "chain_hash", "chain_ok"
     )

@@ -75,11 +75,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
+def store_table(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result as a columnar table and read it back.
+
+    For results read several times: unlike a checkpoint, later scans prune columns and
+    push filters down.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """Broadcast hint only after the row count has been checked.
 
     Above the bound the frame is returned unhinted and the planner (with AQE
     skew handling) falls back to a shuffled join.
     """
-    seen = df.limit(max_rows + 1).count()
+    # take() stops early, so a large frame is not counted to its end
+    seen = len(df.select(F.lit(1)).take(max_rows + 1))
     return F.broadcast(df) if seen <= max_rows else df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,16 +49,32 @@ class DeviceStatus(StatefulProcessor):
         self.last = handle.getValueState("last", "last_us long, online boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        newest = max(int(pdf[self.ts].max()) for pdf in rows)
+        times = np.sort(np.concatenate([pdf[self.ts].to_numpy(dtype="int64") for pdf in rows]))
         known = self.last.get() if self.last.exists() else None
-        online = bool(known and known[1])
-        newest = max(newest, int(known[0])) if known else newest
+        last, online = (int(known[0]), bool(known[1])) if known else (None, False)
+        if last is not None:
+            times = np.concatenate([[last], np.maximum(times, last)])
+        gone = np.nonzero(np.diff(times) > self.timeout_us)[0]
+        # pauses inside the batch count as much as pauses between batches
+        states, at = [], []
+        for left, back in zip(times[gone], times[gone + 1]):
+            if online or states or left != last:
+                states.append("DISCONNECTED")
+                at.append(int(left) + self.timeout_us)
+            states.append("CONNECTED")
+            at.append(int(back))
+        if last is None:
+            states.insert(0, "CONNECTED")
+            at.insert(0, int(times[0]))
+        elif not online and "CONNECTED" not in states:
+            states.append("CONNECTED")
+            at.append(int(times[1]))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer((newest + self.timeout_us) // 1000 + 1)
-        self.last.update((newest, True))
-        if not online:
-            yield pd.DataFrame({"sensor_id": [key[0]], "state": ["CONNECTED"], "at_us": [newest]})
+        self.handle.registerTimer((int(times[-1]) + self.timeout_us) // 1000 + 1)
+        self.last.update((int(times[-1]), True))
+        if states:
+            yield pd.DataFrame({"sensor_id": [key[0]] * len(at), "state": states, "at_us": at})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         last_us, _ = self.last.get()
