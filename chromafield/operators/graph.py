@@ -127,7 +127,28 @@ def eigenvectors(edges: DataFrame, k: int = 4, steps: int = 10) -> DataFrame:
     v = orthogonalize(v, cols)
     for _ in range(steps):
         v = orthogonalize(cut_lineage(spmv(scaled, v, cols)), cols)
-    return v
+    return _rotate(v, spmv(scaled, v, cols), cols)
+
+
+def _rotate(v: DataFrame, mv: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Best vectors within the span (Rayleigh-Ritz), largest eigenvalue first.
+
+    The span settles well before the single vectors do; a (columns x columns) matrix of
+    dot products is all the driver sees.
+    """
+    images = mv.withColumnsRenamed({c: f"m_{c}" for c in cols})
+    at = [(a, b) for a in cols for b in cols]
+    dots = v.join(images, "id").agg(*[F.sum(F.col(a) * F.col(f"m_{b}")) for a, b in at]).first()
+    small = np.array(dots).reshape(len(cols), len(cols))
+    _, turn = np.linalg.eigh((small + small.T) / 2)
+    turn = turn[:, ::-1]
+    return v.select(
+        "id",
+        *[
+            sum((F.lit(float(turn[j, i])) * F.col(cols[j]) for j in range(len(cols))), start=F.lit(0.0)).alias(c)
+            for i, c in enumerate(cols)
+        ],
+    )
 
 
 def follow_parents(links: DataFrame, max_rounds: int = 64) -> DataFrame:

@@ -159,7 +159,8 @@ def prefix_scan(
 
     def part(name: str) -> Column:
         if kind == "first":
-            return F.min_by(F.col(f"_x_{name}"), F.struct(order, *tie))
+            # wrapped, so that a null first value still differs from "no earlier slice"
+            return F.min_by(F.struct(F.col(f"_x_{name}").alias("v")), F.struct(order, *tie))
         return FOLDS[kind](F.col(f"_x_{name}"))
 
     def earlier(name: str) -> Column:
@@ -184,7 +185,7 @@ def prefix_scan(
     def combined(name: str) -> Column:
         base = F.col(f"_b_{name}")
         if kind == "first":
-            return F.coalesce(base, F.first(F.col(f"_x_{name}")).over(w))
+            return F.when(base.isNotNull(), base["v"]).otherwise(F.first(F.col(f"_x_{name}")).over(w))
         local = FOLDS[kind](F.col(f"_x_{name}")).over(w)
         if kind == "sum":
             zero = F.lit(0)

@@ -20,6 +20,7 @@ from chromafield.operators.ordered import (
     with_halo,
     with_slice,
 )
+from chromafield.session import cut_lineage
 
 
 def temporal_diff(
@@ -303,7 +304,10 @@ def _chain_blocks(
             ).alias("_rows")
         )
     )
-    digests = packed.select(KEY, "block", _fold(F.col("_rows")["p"], F.lit("")).alias("_d"))
+    # one short row per block; cut here, so that the levels above do not pack the rows again
+    digests = cut_lineage(
+        packed.select(KEY, "block", _fold(F.col("_rows")["p"], F.lit("")).alias("_d"))
+    )
     return packed.join(_block_heads(digests, block_rows, 2), [KEY, "block"])
 
 

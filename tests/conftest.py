@@ -7,7 +7,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def local_session():
+def local_session(partitions: int = 8):
     from pyspark.sql import SparkSession
 
     from chromafield.session import configure
@@ -15,7 +15,7 @@ def local_session():
     spark = (
         SparkSession.builder.master("local[8]")
         .appName("chromafield-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -29,7 +29,7 @@ def local_session():
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session()
+    return local_session(3)
 
 
 SF = "/root/testdata/sf0.001"
