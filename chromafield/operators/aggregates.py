@@ -12,12 +12,12 @@ from chromafield.functions.codec import mask_bits
 from chromafield.functions.vectors import l2
 from chromafield.operators.joins import asof_join
 from chromafield.operators.ordered import (
-    drop_halo,
-    halo_window,
     lag_rows,
+    plan_width,
+    rolling_sums,
     running_moments,
     slice_of,
-    with_halo,
+    with_moments,
 )
 from chromafield.session import broadcast_if_small
 
@@ -142,6 +142,8 @@ def entity_anomaly(
     of them and is null before.
     """
     out = df
+    if width is None:
+        width = plan_width(df, entity, ts)
     if predicted is None:
         out = lag_rows(df, entity, ts, [actual], tie, width)
         predicted = f"prev_{actual}"
@@ -169,22 +171,27 @@ def step_changes(
     With ``env`` given, the correlation of value and environment over the same span is
     attached: an empty or weak ``env_corr`` means the change was not environmental.
     """
+    if width is None:
+        width = plan_width(df, keys, ts)  # once, on the plain input
     base = df
     if env is not None:
         base = asof_join(df, env.select(ts, env_col), ts, tie=tie, width=width)
-    x = F.col(value)
-    haloed = with_halo(base, keys, ts, span_us, span_us, width)
-    w = halo_window(keys, ts)
-    before, after = w.rangeBetween(-span_us, -1), w.rangeBetween(0, span_us - 1)
-    cols = {
-        "mean_before": F.avg(x).over(before),
-        "mean_after": F.avg(x).over(after),
-        "sd_before": F.stddev_pop(x).over(before),
-    }
+    frames = {"before": (-span_us, -1), "after": (0, span_us - 1)}
+    out = with_moments(base, keys, ts, value, frames, width)
     if env is not None:
-        both = w.rangeBetween(-span_us, span_us - 1)
-        cols["env_corr"] = F.corr(x, F.col(f"env_{env_col}")).over(both)
-    out = drop_halo(haloed.withColumns(cols))
+        x, e = F.col(value), F.col(f"env_{env_col}")
+        both = x.isNotNull() & e.isNotNull()
+        parts = {"n": F.lit(1.0), "x": x, "e": e, "xx": x * x, "ee": e * e, "xe": x * e}
+        sums = {k: F.when(both, v) for k, v in parts.items()}
+        out = rolling_sums(out, keys, ts, {"c": (-span_us, span_us - 1)}, sums, width)
+        n = F.col("c_n")
+        cov = n * F.col("c_xe") - F.col("c_x") * F.col("c_e")
+        spread = (n * F.col("c_xx") - F.col("c_x") ** 2) * (n * F.col("c_ee") - F.col("c_e") ** 2)
+        corr = F.when(spread > 0, F.try_divide(cov, F.sqrt(spread)))
+        out = out.withColumn("env_corr", corr).drop(*[f"c_{k}" for k in parts])
+    out = out.withColumnsRenamed(
+        {"before_mean": "mean_before", "after_mean": "mean_after", "before_sd": "sd_before"}
+    ).drop("before_n", "after_n", "after_sd")
     shift = F.abs(F.col("mean_after") - F.col("mean_before"))
     out = out.withColumn("sigmas", F.try_divide(shift, F.col("sd_before")))
     return out.where(F.col("sigmas") >= min_sigma)

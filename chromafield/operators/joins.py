@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chromafield.functions.codec import block_hash, hash_prefix
 from chromafield.functions.color import freq_to_material_id
 from chromafield.functions.physics import fresnel_r
-from chromafield.operators.ordered import lag_rows, nearest_before, slice_of
+from chromafield.operators.ordered import lag_rows, nearest_before, plan_width, slice_of
 from chromafield.schemas import BANDS, MATERIALS, SPEED_OF_LIGHT
 from chromafield.session import broadcast_if_small
 
@@ -77,6 +77,8 @@ def clock_pairs(
     """
     slim_a = a.select(*by, F.col(id_col).alias("a_id"), F.col(ts))
     slim_b = b.select(*by, F.col(id_col).alias("b_id"), F.col(ts))
+    if width is None:
+        width = plan_width(slim_a.select(*by, ts).unionByName(slim_b.select(*by, ts)), by, ts)
     back = nearest_before(slim_a, slim_b, ts, by, ["b_id"], ["b_id"], width, False, "_back")
     both = nearest_before(back, slim_b, ts, by, ["b_id"], ["b_id"], width, True, "_fwd")
     d_back = F.col(ts) - F.col("_back")[ts]
@@ -111,6 +113,8 @@ def corroborated(
     Both nearest rows ride along the scan, so no join back on the id is needed.
     """
     slim_ref = ref.select(ts)
+    if width is None:
+        width = plan_width(df.select(ts).unionByName(slim_ref), [], ts)
     out = nearest_before(df, slim_ref, ts, [], [], [], width, False, "_back")
     out = nearest_before(out, slim_ref, ts, [], [], [], width, True, "_fwd")
     near = (F.col(ts) - F.col("_back")[ts] <= tol_us) | (F.col("_fwd")[ts] - F.col(ts) <= tol_us)

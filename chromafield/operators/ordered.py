@@ -264,6 +264,101 @@ def row_index(
     return prefix_scan(df, keys, order, {name: F.lit(1).cast("long")}, tie, width, totals=totals)
 
 
+def rolling_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    frames: dict[str, tuple[int, int]],
+    values: dict[str, Column],
+    width: int | None = None,
+) -> DataFrame:
+    """Sums over sliding range frames, at constant cost per row whatever the frame holds.
+
+    ``frames`` maps a prefix to (lo, hi), offsets on the order column; the result has one
+    column ``<prefix>_<value>`` per pair.  A row enters the frames of the rows from
+    order - hi on and leaves them after order - lo, so two marks per row and frame turn the
+    sliding sum into a running one, which is sliced like any other scan.  Values must be
+    finite (a NaN would never leave the running sum again); null counts as zero.
+    """
+    names = [f"{prefix}_{name}" for prefix in frames for name in values]
+    clean = {f"_v_{name}": F.coalesce(expr.cast("double"), F.lit(0.0)) for name, expr in values.items()}
+    valued = df.withColumns(clean)
+    o = F.col(order).cast("long")
+    marks = F.array(
+        *[
+            F.struct(
+                (o + shift).alias("_o"),
+                *[
+                    (F.col(f"_v_{name}") * sign if prefix == own else F.lit(0.0)).alias(f"_m_{prefix}_{name}")
+                    for prefix in frames
+                    for name in values
+                ],
+            )
+            for own, (lo, hi) in frames.items()
+            for shift, sign in ((-hi, 1.0), (1 - lo, -1.0))
+        ]
+    )
+    changes = valued.select(*keys, F.inline(marks)).withColumn("_probe", F.lit(0))
+    probes = df.select(
+        *keys,
+        o.alias("_o"),
+        F.lit(1).alias("_probe"),
+        F.struct(*[F.col(c) for c in df.columns]).alias("_row"),
+    )
+    both = changes.unionByName(probes, allowMissingColumns=True)
+    if width is None:
+        width = plan_width(df, keys, order)
+    scanned = prefix_scan(
+        both, keys, "_o", {n: F.col(f"_m_{n}") for n in names}, ["_probe"], width
+    )
+    return scanned.where("_probe = 1").select("_row.*", *names)
+
+
+def with_moments(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: str,
+    frames: dict[str, tuple[int, int]],
+    width: int | None = None,
+) -> DataFrame:
+    """``<prefix>_n``, ``_mean`` and ``_sd`` (population) of a column over sliding frames.
+
+    A frame that holds a NaN or infinite value has NaN moments, as a direct average would.
+    A variance below the rounding noise of the sums counts as zero.
+    """
+    v = F.col(value).cast("double")
+    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    out = rolling_sums(
+        df,
+        keys,
+        order,
+        frames,
+        {
+            "n": F.when(v.isNotNull(), 1.0),
+            "odd": F.when(v.isNotNull() & ~finite, 1.0),
+            "s1": F.when(finite, v),
+            "s2": F.when(finite, v * v),
+        },
+        width,
+    )
+    for prefix in frames:
+        n, s1, s2 = (F.col(f"{prefix}_{c}") for c in ("n", "s1", "s2"))
+        square = F.try_divide(s2, n)
+        mean = F.try_divide(s1, n)
+        var = square - mean * mean
+        var = F.when((n < 1.5) | (var <= square * 1e-13), 0.0).otherwise(var)
+        odd = F.col(f"{prefix}_odd") > 0.5
+        out = out.withColumns(
+            {
+                f"{prefix}_mean": F.when(n > 0.5, F.when(odd, float("nan")).otherwise(mean)),
+                f"{prefix}_sd": F.when(n > 0.5, F.when(odd, float("nan")).otherwise(F.sqrt(var))),
+                f"{prefix}_n": F.round(n).cast("long"),
+            }
+        ).drop(f"{prefix}_odd", f"{prefix}_s1", f"{prefix}_s2")
+    return out
+
+
 def with_halo(
     df: DataFrame,
     keys: Sequence[str],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chromafield.functions.color import octave_fold
 from chromafield.functions.vectors import cosine
-from chromafield.operators.ordered import row_index
+from chromafield.operators.ordered import plan_width, row_index
 from chromafield.session import broadcast_if_small, cut_lineage
 
 
@@ -93,9 +93,11 @@ def traversals(
     out = patches.withColumns(
         {f"_q_{v}": F.round(F.col(v) * F.lit(scale)).cast("long") for v in vectors}
     )
+    # planned on the plain input, before the scans stack up
+    widths = {v: width or plan_width(out, keys, f"_q_{v}") for v in vectors}
     for v in vectors:
         size = {"_n": ("sum", F.lit(1).cast("long"))} if v == vectors[-1] else None
-        out = row_index(out, keys, f"_q_{v}", [tie], width, f"_fwd_{v}", size).drop(f"_q_{v}")
+        out = row_index(out, keys, f"_q_{v}", [tie], widths[v], f"_fwd_{v}", size).drop(f"_q_{v}")
     streams = F.explode(
         F.array(
             *[

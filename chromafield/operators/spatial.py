@@ -104,12 +104,12 @@ def near_edges(points: DataFrame, r: float, id_col: str = "id") -> DataFrame:
 
 
 def plan_cell(points: DataFrame, k: int, by: Sequence[str] = ()) -> tuple[float, float]:
-    """(cell, extent): a cell size whose fullest cell holds a few dozen times k points."""
+    """(cell, extent): the largest cell size whose fullest cell holds about 2 k points."""
     box = points.agg(*[F.max(p).alias(f"hi_{p}") for p in POS], *[F.min(p).alias(f"lo_{p}") for p in POS]).first()
     if box[0] is None:
         return 1.0, 1.0
     extent = max(max(box[f"hi_{p}"] - box[f"lo_{p}"] for p in POS), 1e-9)
-    levels = range(0, 18, 2)
+    levels = range(0, 17)
     sizes = F.explode(F.array(*[F.lit(extent / 2**level) for level in levels])).alias("_s")
     counts = (
         points.select(*by, *POS, sizes)
@@ -118,7 +118,7 @@ def plan_cell(points: DataFrame, k: int, by: Sequence[str] = ()) -> tuple[float,
         .groupBy("_s")
         .agg(F.max("count").alias("peak"))
     )
-    fits = [row["_s"] for row in counts.collect() if row["peak"] <= 32 * (k + 1)]
+    fits = [row["_s"] for row in counts.collect() if row["peak"] <= 2 * (k + 1)]
     return (max(fits) if fits else extent / 2**16), extent
 
 

@@ -15,9 +15,11 @@ from chromafield.operators.ordered import (
     halo_window,
     in_slice,
     lag_rows,
+    plan_width,
     prefix_scan,
     row_index,
     with_halo,
+    with_moments,
     with_slice,
 )
 from chromafield.session import cut_lineage
@@ -117,16 +119,9 @@ def rolling_z(
     width: int | None = None,
 ) -> DataFrame:
     """Mean, deviation and z-score against the span before each row (the row itself excluded)."""
-    w = halo_window(keys, ts).rangeBetween(-span_us, -1)
-    out = with_halo(df, keys, ts, span_us, 0, width).withColumns(
-        {
-            "base_n": F.count(value).over(w),
-            "base_mean": F.avg(value).over(w),
-            "base_sd": F.stddev_pop(value).over(w),
-        }
-    )
+    out = with_moments(df, keys, ts, value, {"base": (-span_us, -1)}, width)
     z = F.try_divide(F.col(value) - F.col("base_mean"), F.col("base_sd"))
-    return drop_halo(out).withColumn("z", z)
+    return out.withColumn("z", z)
 
 
 def islands(
@@ -354,6 +349,8 @@ def verify_chain(
     a block's first row is checked against its stored head, and the head against the
     digests of all earlier payloads.
     """
+    if width is None:
+        width = plan_width(df, session, ts)
     out = lag_rows(df, session, ts, ["chain_hash", "block"], tie, width)
     inside = F.coalesce(F.col("prev_block") == F.col("block"), F.lit(False))
     prev = F.when(inside, F.col("prev_chain_hash")).otherwise(F.col("block_head"))

@@ -249,3 +249,23 @@ def test_plan_width(spark):
     peak = burst.groupBy(slice_of(F.col("t"), width)).count().agg(F.max("count")).first()[0]
     assert peak <= 400
     assert plan_width(even.where("t < 0"), ["k"], "t") == 1
+
+
+def test_rolling_survives_nan(spark):
+    data = [(i, "a", i, float("nan") if i == 5 else float(i)) for i in range(12)]
+    df = spark.createDataFrame(data, "id long, k string, t long, v double")
+    got = as_dict(W.rolling_z(df, ["k"], "v", 3, "t", 4), "base_mean")
+    assert math.isnan(got[6]) and math.isnan(got[8]) and got[9] == 7.0 and got[0] is None
+
+
+def test_step_change_with_and_without_weather(spark):
+    from chromafield.operators.aggregates import step_changes
+
+    data = [(i, i * 10, (5.0 if i >= 50 else 1.0) + (i % 2) * 0.1) for i in range(100)]
+    df = spark.createDataFrame(data, "id long, timestamp_us long, v double")
+    env = df.select("timestamp_us", F.col("v").alias("temp"))
+    got = step_changes(df, "v", 200, 20.0, env=env, env_col="temp", width=70).collect()
+    assert {r["id"] for r in got} and all(abs(r["id"] - 50) <= 20 for r in got)
+    at = next(r for r in got if r["id"] == 50)
+    assert at["mean_before"] == pytest.approx(1.05) and at["mean_after"] == pytest.approx(5.05)
+    assert at["env_corr"] == pytest.approx(1.0)
