@@ -14,7 +14,6 @@ from chromafield.operators.joins import asof_join
 from chromafield.operators.ordered import (
     lag_rows,
     plan_width,
-    rolling_sums,
     running_moments,
     slice_of,
     with_moments,
@@ -177,18 +176,19 @@ def step_changes(
     if env is not None:
         base = asof_join(df, env.select(ts, env_col), ts, tie=tie, width=width)
     frames = {"before": (-span_us, -1), "after": (0, span_us - 1)}
-    out = with_moments(base, keys, ts, value, frames, width)
+    sums = {}
     if env is not None:
         x, e = F.col(value), F.col(f"env_{env_col}")
-        both = x.isNotNull() & e.isNotNull()
-        parts = {"n": F.lit(1.0), "x": x, "e": e, "xx": x * x, "ee": e * e, "xe": x * e}
-        sums = {k: F.when(both, v) for k, v in parts.items()}
-        out = rolling_sums(out, keys, ts, {"c": (-span_us, span_us - 1)}, sums, width)
-        n = F.col("c_n")
-        cov = n * F.col("c_xe") - F.col("c_x") * F.col("c_e")
-        spread = (n * F.col("c_xx") - F.col("c_x") ** 2) * (n * F.col("c_ee") - F.col("c_e") ** 2)
-        corr = F.when(spread > 0, F.try_divide(cov, F.sqrt(spread)))
-        out = out.withColumn("env_corr", corr).drop(*[f"c_{k}" for k in parts])
+        parts = {"c": F.lit(1.0), "x": x, "e": e, "xx": x * x, "ee": e * e, "xe": x * e}
+        sums = {k: F.when(x.isNotNull() & e.isNotNull(), v) for k, v in parts.items()}
+    out = with_moments(base, keys, ts, value, frames, width, sums)
+    if env is not None:
+        c, x, e, xx, ee, xe = (F.col(f"before_{k}") + F.col(f"after_{k}") for k in parts)
+        spread = (c * xx - x * x) * (c * ee - e * e)
+        corr = F.when(spread > 0, F.try_divide(c * xe - x * e, F.sqrt(spread)))
+        out = out.withColumn("env_corr", corr).drop(
+            *[f"{side}_{k}" for side in frames for k in parts]
+        )
     out = out.withColumnsRenamed(
         {"before_mean": "mean_before", "after_mean": "mean_after", "before_sd": "sd_before"}
     ).drop("before_n", "after_n", "after_sd")

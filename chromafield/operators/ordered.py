@@ -284,28 +284,25 @@ def rolling_sums(
     clean = {f"_v_{name}": F.coalesce(expr.cast("double"), F.lit(0.0)) for name, expr in values.items()}
     valued = df.withColumns(clean)
     o = F.col(order).cast("long")
-    marks = F.array(
-        *[
-            F.struct(
-                (o + shift).alias("_o"),
-                *[
-                    (F.col(f"_v_{name}") * sign if prefix == own else F.lit(0.0)).alias(f"_m_{prefix}_{name}")
-                    for prefix in frames
-                    for name in values
-                ],
-            )
-            for own, (lo, hi) in frames.items()
-            for shift, sign in ((-hi, 1.0), (1 - lo, -1.0))
-        ]
-    )
-    changes = valued.select(*keys, F.inline(marks)).withColumn("_probe", F.lit(0))
-    probes = df.select(
-        *keys,
-        o.alias("_o"),
-        F.lit(1).alias("_probe"),
-        F.struct(*[F.col(c) for c in df.columns]).alias("_row"),
-    )
-    both = changes.unionByName(probes, allowMissingColumns=True)
+    row = F.struct(*[F.col(c) for c in df.columns])
+
+    def mark(at: Column, probe: int, own: str | None, sign: float) -> Column:
+        return F.struct(
+            at.alias("_o"),
+            F.lit(probe).alias("_probe"),
+            (row if probe else F.when(F.lit(False), row)).alias("_row"),
+            *[
+                (F.col(f"_v_{name}") * sign if prefix == own else F.lit(0.0)).alias(f"_m_{prefix}_{name}")
+                for prefix in frames
+                for name in values
+            ],
+        )
+
+    # one pass over the input: every row yields its marks and itself as a probe
+    marks = [mark(o, 1, None, 0.0)]
+    for prefix, (lo, hi) in frames.items():
+        marks += [mark(o - hi, 0, prefix, 1.0), mark(o + 1 - lo, 0, prefix, -1.0)]
+    both = valued.select(*keys, F.inline(F.array(*marks)))
     if width is None:
         width = plan_width(df, keys, order)
     scanned = prefix_scan(
@@ -321,11 +318,13 @@ def with_moments(
     value: str,
     frames: dict[str, tuple[int, int]],
     width: int | None = None,
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """``<prefix>_n``, ``_mean`` and ``_sd`` (population) of a column over sliding frames.
 
     A frame that holds a NaN or infinite value has NaN moments, as a direct average would.
-    A variance below the rounding noise of the sums counts as zero.
+    A variance below the rounding noise of the sums counts as zero.  Plain sums of the
+    ``extra`` expressions over the same frames ride along as ``<prefix>_<name>``.
     """
     v = F.col(value).cast("double")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
@@ -339,6 +338,7 @@ def with_moments(
             "odd": F.when(v.isNotNull() & ~finite, 1.0),
             "s1": F.when(finite, v),
             "s2": F.when(finite, v * v),
+            **(extra or {}),
         },
         width,
     )
