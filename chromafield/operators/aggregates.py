@@ -184,8 +184,10 @@ def step_changes(
     out = with_moments(base, keys, ts, value, frames, width, sums)
     if env is not None:
         c, x, e, xx, ee, xe = (F.col(f"before_{k}") + F.col(f"after_{k}") for k in parts)
-        spread = (c * xx - x * x) * (c * ee - e * e)
-        corr = F.when(spread > 0, F.try_divide(c * xe - x * e, F.sqrt(spread)))
+        var_x, var_e = c * xx - x * x, c * ee - e * e
+        # a side that does not vary beyond rounding noise has no correlation
+        varies = (var_x > c * xx * 1e-12) & (var_e > c * ee * 1e-12)
+        corr = F.when(varies, F.try_divide(c * xe - x * e, F.sqrt(var_x * var_e)))
         out = out.withColumn("env_corr", corr).drop(
             *[f"{side}_{k}" for side in frames for k in parts]
         )

@@ -484,7 +484,7 @@ def _(t: Tables):
       WINDOW b AS (ORDER BY timestamp_us RANGE BETWEEN {12 * HOUR_US} PRECEDING AND 1 PRECEDING),
         a AS (ORDER BY timestamp_us RANGE BETWEEN CURRENT ROW AND {12 * HOUR_US - 1} FOLLOWING),
         f AS (ORDER BY timestamp_us RANGE BETWEEN {12 * HOUR_US} PRECEDING AND {12 * HOUR_US - 1} FOLLOWING))
-    SELECT particle_id, round(mb + 1e-10, 6) AS mean_before, round(ma + 1e-10, 6) AS mean_after, round(cr, 4) AS env_corr,
+    SELECT particle_id, round(mb + 1e-10, 6) AS mean_before, round(ma + 1e-10, 6) AS mean_after, round(CASE WHEN NOT isnan(cr) THEN cr END, 4) AS env_corr,
       round(abs(ma - mb) / sd, 4) AS sigmas FROM w WHERE sd > 0 AND abs(ma - mb) / sd >= 0.3""",
 )
 def _(t: Tables):
