@@ -22,12 +22,12 @@ def qpc_to_us(counter: Column, epoch: Column, freq: Column) -> Column:
 
 
 def iq_features(df: DataFrame, i: str = "i", q: str = "q") -> DataFrame:
-    """Amplitude, phase, instantaneous power and power in dB (null at zero power)."""
+    """Amplitude, phase, instantaneous power and dB; phase and dB are null at zero power."""
     power = F.col(i) * F.col(i) + F.col(q) * F.col(q)
     return df.withColumns(
         {
             "amplitude": F.sqrt(power),
-            "phase": F.atan2(F.col(q), F.col(i)),
+            "phase": F.when(power > 0, F.atan2(F.col(q), F.col(i))),
             "power": power,
             "power_db": F.when(power > 0, F.lit(10.0) * F.log10(power)),
         }

@@ -17,6 +17,7 @@ from chromafield.plans.bindings import (
     SENSOR_SQL,
     WIN_SQL,
     Tables,
+    nudged,
     query,
     rounded,
 )
@@ -147,23 +148,23 @@ def _verdicts(t: Tables):
 @query(
     "jury_votes",
     "D5",
-    f"""WITH {_VOTES_SQL} SELECT sensor_id, hour, round(gpu_score, 6) AS gpu_score,
-      round(coral_score, 6) AS coral_score, round(tdoa_confidence, 6) AS tdoa_confidence FROM votes""",
+    f"""WITH {_VOTES_SQL} SELECT sensor_id, hour, round(gpu_score + 1e-10, 6) AS gpu_score,
+      round(coral_score + 1e-10, 6) AS coral_score, round(tdoa_confidence + 1e-10, 6) AS tdoa_confidence FROM votes""",
 )
 def _(t: Tables):
-    return rounded(_votes(t))
+    return nudged(_votes(t))
 
 
 @query(
     "jury_verdicts",
     "E6",
     f"""WITH {_VOTES_SQL} SELECT sensor_id, hour, yes AS yes_votes, n AS n_votes, yes * 2 > n AS anomalous,
-      dissenter, round(abs(gpu_score - coral_score), 6) AS divergence,
+      dissenter, round(abs(gpu_score - coral_score) + 1e-10, 6) AS divergence,
       CASE WHEN n = 3 AND yes IN (0, 3) THEN 1 ELSE 0 END + CASE WHEN dissenter IS NOT NULL
         THEN 2 + (4 << dissenter) ELSE 0 END + CASE WHEN n < 3 THEN 32 ELSE 0 END AS jury_flags FROM jury""",
 )
 def _(t: Tables):
-    return rounded(_verdicts(t).drop("gpu_score", "coral_score", "tdoa_confidence"))
+    return nudged(_verdicts(t).drop("gpu_score", "coral_score", "tdoa_confidence"))
 
 
 @query(

@@ -170,6 +170,18 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def nudged(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Like ``rounded``, with exact decimal halves moved off the rounding edge first."""
+    return df.select(
+        *[
+            F.round(F.col(name).cast("double") + 1e-10, digits).alias(name)
+            if kind in ("double", "float")
+            else F.col(name)
+            for name, kind in df.dtypes
+        ]
+    )
+
+
 def query(name: str, covers: str, sql: str | None = None):
     """Register a query on ``Tables`` under ``name``; ``covers`` lists the inventory ids."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from chromafield import functions as C
 from chromafield.functions.text import ADJECTIVES, NOUNS
 from chromafield.operators import joins
-from chromafield.plans.bindings import OBS_SQL, WIN_SQL, Tables, query, rounded
+from chromafield.plans.bindings import OBS_SQL, WIN_SQL, Tables, nudged, query, rounded
 from chromafield.schemas import LOG_RANGE, MATERIALS
 from chromafield.session import broadcast_if_small
 
@@ -65,16 +65,16 @@ def _(t: Tables):
         CASE WHEN energy * 500 > 110 THEN 3 WHEN energy * 500 > 80 THEN 2
           WHEN energy * 500 > 50 THEN 1 ELSE 0 END AS level
       FROM obs WHERE frequency_hz > 0)
-    SELECT particle_id, round(h, 6) AS h, round(s, 6) AS s, round(l, 6) AS l,
-      round(l - l * cs * greatest(0, least((5 + h6) % 6, 4 - (5 + h6) % 6, 1)), 6) AS red,
-      round(l - l * cs * greatest(0, least((3 + h6) % 6, 4 - (3 + h6) % 6, 1)), 6) AS green,
-      round(l - l * cs * greatest(0, least((1 + h6) % 6, 4 - (1 + h6) % 6, 1)), 6) AS blue,
+    SELECT particle_id, round(h + 1e-10, 6) AS h, round(s + 1e-10, 6) AS s, round(l + 1e-10, 6) AS l,
+      round(l - l * cs * greatest(0, least((5 + h6) % 6, 4 - (5 + h6) % 6, 1)) + 1e-10, 6) AS red,
+      round(l - l * cs * greatest(0, least((3 + h6) % 6, 4 - (3 + h6) % 6, 1)) + 1e-10, 6) AS green,
+      round(l - l * cs * greatest(0, least((1 + h6) % 6, 4 - (1 + h6) % 6, 1)) + 1e-10, 6) AS blue,
       level FROM h""",
 )
 def _(t: Tables):
     gamma = F.least(F.lit(1.0), c("energy"))
     rgba = C.particle_color(c("frequency_hz"), gamma, c("k") / 100, 0.37)
-    return rounded(
+    return nudged(
         t.obs.where("frequency_hz > 0").select(
             "particle_id",
             C.hsl(c("frequency_hz"), gamma, c("k") * F.lit(1e4), 1e5).alias("_hsl"),
@@ -108,7 +108,7 @@ def _(t: Tables):
     "iq_features",
     "B8",
     f"""WITH {OBS_SQL}
-    SELECT particle_id, round(sqrt(re * re + im * im), 6) AS amplitude, round(atan2(im, re), 5) AS phase,
+    SELECT particle_id, round(sqrt(re * re + im * im), 6) AS amplitude, round(CASE WHEN re * re + im * im > 0 THEN atan2(im, re) END, 5) AS phase,
       round(re * re + im * im, 6) AS power,
       round(CASE WHEN energy > 0 THEN 10 * log10(re * re + im * im) END, 5) AS power_db FROM obs""",
 )
@@ -237,7 +237,7 @@ def _(t: Tables):
     SELECT particle_id,
       round(299792458.0 / (1 + 77.6 / kel * (p + 4810.0 * ev / kel) * 1e-6), 3) AS speed,
       round(CASE WHEN abs(sx) <= 1 THEN asin(CASE WHEN abs(sx) <= 1 THEN sx ELSE 0 END) END, 6) AS bearing,
-      round(299792458.0 * (k / frequency_hz), 6) AS radial_velocity,
+      round(299792458.0 * (k / frequency_hz) + 1e-9, 6) AS radial_velocity,
       round(1e6 * log2(1 + pow(10, k / 2.0 / 10)), 3) AS capacity_bps, round(pow(2, k / 2.0 / 3), 3) AS qam_ceiling,
       round(CASE WHEN af < 80 THEN energy ELSE 0 END, 6) AS lf,
       round(CASE WHEN af >= 80 AND af <= 300 THEN energy ELSE 0 END, 6) AS hf
@@ -251,7 +251,7 @@ def _(t: Tables):
         "particle_id",
         F.round(C.propagation_speed(c("k") * F.lit(0.5) - 10, c("k") + F.lit(950), c("k")), 3).alias("speed"),
         F.round(C.bearing((c("k") - 50) / F.lit(20.0), f, F.lit(12.0)), 6).alias("bearing"),
-        F.round(C.radial_velocity(c("k"), f), 6).alias("radial_velocity"),
+        F.round(C.radial_velocity(c("k"), f) + 1e-9, 6).alias("radial_velocity"),
         link.alias("_l"),
         split.alias("_s"),
     )

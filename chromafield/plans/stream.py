@@ -14,6 +14,7 @@ from chromafield.plans.bindings import (
     MINUTE_US,
     OBS_SQL,
     Tables,
+    nudged,
     query,
     rounded,
     shape_observations,
@@ -116,15 +117,15 @@ def _(t: Tables):
     "stream_jury_votes",
     "K7 D5",
     f"""WITH {OBS_SQL} SELECT sensor_id, timestamp_us // {HOUR_US} * {HOUR_US} AS window_us,
-      round(avg(energy) FILTER (layer = 0), 6) AS gpu_score, round(avg(energy) FILTER (layer = 1), 6) AS coral_score,
-      round(avg(energy) FILTER (layer = 2), 6) AS tdoa_confidence
+      round(avg(energy) FILTER (layer = 0) + 1e-10, 6) AS gpu_score, round(avg(energy) FILTER (layer = 1) + 1e-10, 6) AS coral_score,
+      round(avg(energy) FILTER (layer = 2) + 1e-10, 6) AS tdoa_confidence
     FROM obs WHERE layer < 3 GROUP BY 1, 2 HAVING timestamp_us // {HOUR_US} * {HOUR_US} + {HOUR_US} <=
       (SELECT max(timestamp_us) - {10 * MINUTE_US} FROM obs WHERE layer < 3)""",
 )
 def _(t: Tables):
     votes = t.obs_stream.where("layer < 3").withColumns({"voter": c("layer"), "score": c("energy")})
     out = S.stream_votes(S.with_event_time(votes, "10 minutes"), "1 hour", ["sensor_id"])
-    return rounded(S.drain(out, "votes"))
+    return nudged(S.drain(out, "votes"))
 
 
 @query(
@@ -191,7 +192,7 @@ def _(t: Tables):
 def _(t: Tables):
     a = _timed(t).where("layer = 0").withColumn("a_id", c("particle_id"))
     b = S.with_event_time(t.obs_stream, "10 minutes").where("layer = 1").withColumn("b_id", c("particle_id"))
-    out = S.stream_clock_pairs(a, b, "10 minutes", ["sensor_id"], ["a_id"], ["b_id"])
+    out = S.stream_clock_pairs(a, b, 10 * MINUTE_US, ["sensor_id"], ["a_id"], ["b_id"])
     return S.drain(out.select("a_id", "b_id", "divergence_us"), "pairs")
 
 

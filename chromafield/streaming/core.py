@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from chromafield.operators.ordered import slice_of
 from chromafield.operators.sets import dedupe
 from chromafield.session import scratch_path
 from chromafield.sources.sinks import append_corpus, store_observation
@@ -56,16 +57,44 @@ def stream_votes(
 
 
 def stream_clock_pairs(
-    a: DataFrame, b: DataFrame, tolerance: str, keys: Sequence[str], a_cols: Sequence[str], b_cols: Sequence[str]
+    a: DataFrame,
+    b: DataFrame,
+    tolerance_us: int,
+    keys: Sequence[str],
+    a_cols: Sequence[str],
+    b_cols: Sequence[str],
 ) -> DataFrame:
-    """Interval join of two watermarked clocks on an equal key; both states are bounded."""
-    left = a.select(*[F.col(k).alias(f"a_{k}") for k in keys], F.col("event_time").alias("a_time"), *a_cols)
-    right = b.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col("event_time").alias("b_time"), *b_cols)
-    on = F.expr(f"b_time BETWEEN a_time - INTERVAL {tolerance} AND a_time + INTERVAL {tolerance}")
+    """Interval join of two watermarked clocks on equal keys; both states are bounded.
+
+    A time bucket joins the equality, so a row meets only the state of its own and the two
+    neighbouring buckets, however busy its key is.
+    """
+
+    def bucket() -> Column:
+        return slice_of(F.unix_micros("event_time"), tolerance_us)
+
+    left = a.select(
+        *[F.col(k).alias(f"a_{k}") for k in keys],
+        F.col("event_time").alias("a_time"),
+        *a_cols,
+        F.explode(F.array(bucket() - 1, bucket(), bucket() + 1)).alias("a_bucket"),
+    )
+    right = b.select(
+        *[F.col(k).alias(f"b_{k}") for k in keys],
+        F.col("event_time").alias("b_time"),
+        *b_cols,
+        bucket().alias("b_bucket"),
+    )
+    span = f"INTERVAL {tolerance_us} MICROSECONDS"
+    on = F.expr(f"b_time BETWEEN a_time - {span} AND a_time + {span}") & (
+        F.col("a_bucket") == F.col("b_bucket")
+    )
     for k in keys:
         on = on & (F.col(f"a_{k}") == F.col(f"b_{k}"))
-    return left.join(right, on).withColumn(
-        "divergence_us", F.unix_micros("b_time") - F.unix_micros("a_time")
+    return (
+        left.join(right, on)
+        .withColumn("divergence_us", F.unix_micros("b_time") - F.unix_micros("a_time"))
+        .drop("a_bucket", "b_bucket")
     )
 
 
