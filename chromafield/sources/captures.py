@@ -79,7 +79,9 @@ def guard_path(path: str) -> None:
 
 
 def _resolve(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
+    if path.startswith("file:"):  # Spark writes file:/x as well as file:///x
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
         return pafs.FileSystem.from_uri(path)
     return pafs.LocalFileSystem(), path
 
