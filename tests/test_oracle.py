@@ -3,11 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
-from chromafield.plans.catalog import COVERS
+from chromafield.plans.catalog import COVERS, ORACLES, QUERIES
 from tests.check import compare, connect
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
@@ -30,3 +28,5 @@ def test_entry(spark):
 
 def test_registry_is_consistent():
     assert set(ORACLES) <= set(QUERIES) == set(COVERS)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
