@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chromafield.llm import exact_dedup, quality, sharding
+from chromafield.llm import exact_dedup, quality, sharding, toxicity
+from chromafield.llm.rows import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +43,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(documents(spark, sf_dir))
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Fitted on the labelled rows outside the fold that the contract holds out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.train(docs, labels, ~in_fold("doc_id", 5, 0))
+
+
+@query()
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity_model(spark, docs, sf_dir)
+    held = docs.select("doc_id", "text", in_fold("doc_id", 5, 0).alias("held_out"))
+    return toxicity.score(held, model, keep=["doc_id", "held_out"])
+
+
 @query()
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
