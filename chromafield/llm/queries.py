@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromafield.llm import exact_dedup, quality, sharding, toxicity
+from chromafield.llm import bpe, exact_dedup, langid, quality, secrets, sharding, toxicity
 from chromafield.llm.rows import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +44,25 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(documents(spark, sf_dir))
 
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+@query()
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(VOCABULARY)
+    docs = documents(spark, sf_dir)
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, keep=["doc_id"])
+    return bpe.digests(bpe.decode(encoded, path))
+
+
+@query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = langid.learn(docs, ~in_fold("doc_id", 4, 2))
+    held = docs.select("doc_id", "text", in_fold("doc_id", 4, 2).alias("held_out"))
+    return langid.identify(held, profiles, keep=["doc_id", "held_out"])
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
     """Fitted on the labelled rows outside the fold that the contract holds out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -63,6 +83,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, 16).drop("text")
 
 
+@query()
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir), keep=["doc_id"])
+
+
 @query(
     f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
