@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chromafield.llm import bpe, exact_dedup, langid, quality, secrets, sharding, toxicity
+from chromafield.llm import (
+    bpe,
+    exact_dedup,
+    langid,
+    near_dedup,
+    quality,
+    secrets,
+    sharding,
+    toxicity,
+)
 from chromafield.llm.rows import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +128,8 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return quality.apply_rules(docs).drop("text")
+
+
+@query()
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.verdicts(documents(spark, sf_dir), size=4)
