@@ -16,6 +16,7 @@ from chromafield.llm import (
     quality,
     secrets,
     sharding,
+    suffix_dedup,
     toxicity,
 )
 from chromafield.llm.rows import in_fold
@@ -133,3 +134,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.verdicts(documents(spark, sf_dir), size=4)
+
+
+@query()
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return suffix_dedup.digests(suffix_dedup.remove_passages(docs, keep=["doc_id"]))
