@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromafield.llm import (
     bpe,
     exact_dedup,
     langid,
+    mixing,
     near_dedup,
     quality,
     secrets,
@@ -65,6 +66,83 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(encoded, path))
 
 
+MIXTURE = mixing.Mixture(
+    weights={
+        ("domain0",): 4,
+        ("domain1",): 3,
+        ("domain2",): 2,
+        ("domain0", "en"): 2,
+        ("domain3", "es"): 3,
+        ("domain0", "en", "src0"): 2,
+    },
+    percent=80,
+    max_epochs=2,
+    seed=11,
+)
+
+
+def source_domain() -> Column:
+    """The tables name no domain: four groups of the numbered sources stand for them."""
+    number = F.regexp_extract("source", "[0-9]+", 0)
+    return F.when(number != "", F.concat(F.lit("domain"), (number.cast("int") % 4).cast("string")))
+
+
+def word_count() -> Column:
+    return F.expr("size(array_remove(split(coalesce(text, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), ''))")
+
+
+def _share(level: int) -> str:
+    """SQL of one level's budgets: what is full first, then the rest by weight."""
+    names = ["domain", "lang", "source"][:level]
+    above = ["domain", "lang", "source"][: level - 1]
+    part = f"PARTITION BY {', '.join(above)}" if above else ""
+    cases = " ".join(
+        "WHEN " + " AND ".join(f"{c} = '{v}'" for c, v in zip(names, k)) + f" THEN {w}"
+        for k, w in MIXTURE.weights.items()
+        if len(k) == level
+    )
+    source = f"JOIN b{level - 1} USING ({', '.join(above)})" if above else ", total"
+    return f"""
+    n{level} AS (SELECT {', '.join(names)}, sum(tokens)::HUGEINT * {MIXTURE.max_epochs} AS cap,
+                        (CASE {cases} ELSE 1 END)::HUGEINT AS w FROM leaves GROUP BY ALL),
+    o{level} AS (SELECT n{level}.*, b, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                        sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+                 FROM n{level} {source} WINDOW o AS ({part} ORDER BY cap::DOUBLE / w::DOUBLE, {', '.join(names)})),
+    f{level} AS (SELECT *, cap * rest <= w * (b - before) AS is_full FROM o{level}),
+    b{level} AS (SELECT {', '.join(names)}, CASE WHEN is_full THEN cap ELSE
+                        (w * (b - coalesce(sum(cap) FILTER (is_full) OVER p, 0)))::HUGEINT
+                        // (sum(w) FILTER (NOT is_full) OVER p)::HUGEINT END AS b
+                 FROM f{level} WINDOW p AS ({part}))"""
+
+
+@query(
+    f"""
+    WITH d AS (
+        SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+               CASE WHEN regexp_matches(source, '[0-9]') THEN
+                   'domain' || (regexp_extract(source, '[0-9]+')::INTEGER % 4) ELSE 'unknown' END AS domain,
+               len(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+')) AS tokens
+        FROM documents),
+    leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens FROM d GROUP BY ALL),
+    total AS (SELECT (sum(tokens)::HUGEINT * {MIXTURE.percent}) // 100 AS b FROM leaves),
+    {_share(1)}, {_share(2)}, {_share(3)},
+    plan AS (SELECT domain, lang, source, (b3.b // leaves.tokens)::BIGINT AS epochs,
+                    (b3.b % leaves.tokens)::BIGINT AS rest
+             FROM b3 JOIN leaves USING (domain, lang, source)),
+    runs AS (SELECT d.*, epochs, rest, sum(tokens) OVER (
+                 PARTITION BY domain, lang, source
+                 ORDER BY md5('{MIXTURE.seed}:' || epochs || ':' || doc_id)) AS upto
+             FROM d JOIN plan USING (domain, lang, source)),
+    copies AS (SELECT *, epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS n FROM runs)
+    SELECT doc_id, domain, lang, source, tokens::BIGINT AS tokens, unnest(range(n))::INTEGER AS epoch
+    FROM copies WHERE n > 0
+    """
+)
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs, MIXTURE, source_domain(), word_count()).drop("text")
+
+
 @query()
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
