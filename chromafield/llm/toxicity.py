@@ -38,8 +38,9 @@ PER_CLASS = 2_000
 MAX_TRAIN_CHARS = 20_000
 MIN_DOCS = 3  # training rows that must hold a cell
 SHRINK = 20  # rows at which a cell's log odds count by half
-EPOCHS = 4
+STEPS = 200  # batches at least, so that a small sample is read more often
 DECAY = 1e-3
+MIN_HELD = 4  # toxic rows that set a threshold
 PAD = max(WIDTHS) - 1
 CHUNK_WORDS = 1 << 15
 MAX_CACHED_WORDS = 400_000
@@ -157,6 +158,8 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], odds: floa
         np.zeros(len(names), np.float32),
     )
     _train(model, cells, starts, toxic, train, rng)
+    if (toxic[held] == 1).sum() < MIN_HELD:
+        held = order  # too few to set a threshold by: take all rows
     held_cells, held_starts = _gather(cells, starts, held)
     logit = model.logits(held_cells, held_starts)
     guessed = model.language(held_cells, held_starts)
@@ -198,7 +201,7 @@ def _train(model: Model, cells, starts, toxic, train, rng, batch: int = 64, rate
         second += 0.01 * grad * grad
         value -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
 
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * batch // len(train))):
         for at in range(0, len(train), batch):
             step += 1
             rows = rng.permutation(train)[:batch] if at + batch > len(train) else train[at : at + batch]
@@ -250,7 +253,11 @@ def _threshold(logit: np.ndarray, toxic: np.ndarray, odds: float) -> float:
     wrong = np.cumsum(~hit) * odds
     f1 = 2 * right / (right + wrong + hit.sum())
     f1[:-1][values[:-1] == values[1:]] = -1  # a cut cannot part equal values
+    # harmless texts are to be left alone: a cut that is wrong more often than right is none
+    f1[right < wrong] = -1
     best = int(np.argmax(f1))
+    if f1[best] < 0:
+        return float(values[0]) + 2
     below = values[best + 1] if best + 1 < len(values) else values[best] - 2
     return float((values[best] + below) / 2)
 
