@@ -29,15 +29,17 @@ def mask_count(mask: Column) -> Column:
     return F.bit_count(mask.cast("long"))
 
 
-def mask_members(mask: Column, width: int = 32) -> Column:
+def mask_members(mask: Column, width: int = 64) -> Column:
     """Array of the set bit positions."""
     wide = mask.cast("long")
     return F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda b: F.getbit(wide, b) == 1)
 
 
 def mask_bits(member: Column) -> Column:
-    """One-bit mask of a member number, for use under ``bit_or``."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), member.cast("int"))
+    """One-bit mask of a member number from 0 to 63, for use under ``bit_or``; others raise."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), member.cast("int"))
+    outside = F.raise_error(F.concat(F.lit("a mask has no member "), member.cast("string"))).cast("long")
+    return F.when((member < 0) | (member > 63), outside).otherwise(bit)
 
 
 def block_hash(payload: Column, timestamp_us: Column, serial: Column) -> Column:

@@ -6,13 +6,15 @@ from pyspark.sql import SparkSession
 
 from chromafield.schemas import ANCHOR_F4_HZ, F_MIN_HZ, LOG_RANGE
 
+_FOLDED = "f / pow(2, greatest(0, ceil(log2(f / 1000) - 1e-9D)))"
 _BODIES = {
     "freq_to_hue(f DOUBLE) RETURNS DOUBLE":
-        f"least(1.0D, ln(greatest(f, {F_MIN_HZ}D) / {F_MIN_HZ}D) / {LOG_RANGE!r}D)",
+        f"CASE WHEN f IS NOT NULL THEN "
+        f"least(1.0D, ln(greatest(f, {F_MIN_HZ}D) / {F_MIN_HZ}D) / {LOG_RANGE!r}D) END",
     "freq_to_material_id(f DOUBLE) RETURNS INT":
         f"CASE WHEN f > 0 THEN pmod(CAST(round(12 * log2(f / {ANCHOR_F4_HZ}D)) AS INT) + 5, 12) END",
     "octave_fold(f DOUBLE) RETURNS DOUBLE":
-        "CASE WHEN f >= 20 THEN f / pow(2, greatest(0, ceil(log2(f / 1000) - 1e-9D))) END",
+        f"CASE WHEN f >= 20 THEN CASE WHEN {_FOLDED} > 1000 THEN {_FOLDED} / 2 ELSE {_FOLDED} END END",
 }
 
 
@@ -23,5 +25,5 @@ def register_sql_functions(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION explode_mask(mask BIGINT) RETURNS TABLE (bit INT) "
-        "RETURN SELECT explode(filter(sequence(0, 31), b -> getbit(mask, b) = 1))"
+        "RETURN SELECT explode(filter(sequence(0, 63), b -> getbit(mask, b) = 1))"
     )

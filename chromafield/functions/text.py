@@ -82,16 +82,21 @@ def validate_settings(df: DataFrame, col: str = "settings") -> DataFrame:
 
 
 def motif_edit_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two motif sequences given as arrays of motif numbers below 20,000.
+    """Edit distance of two motif sequences given as arrays of motif numbers.
 
-    Each number becomes one character, so the built-in string distance applies.
+    Each number becomes one character, that of its place among the numbers of the pair, so
+    the built-in string distance applies whatever the numbers are.
     """
+    numbers = F.array_distinct(F.concat(a, b))
 
     def word(seq: Column) -> Column:
-        # one two-byte character per motif, from a block without surrogates
+        # characters above the two-byte ones, where no code point is reserved
         return F.array_join(
             F.transform(
-                seq, lambda m: F.decode(F.unhex(F.hex(m.cast("long") + F.lit(0x4E00))), "UTF-16BE")
+                seq,
+                lambda m: F.decode(
+                    F.unhex(F.lpad(F.hex(F.array_position(numbers, m) + F.lit(0x10000)), 8, "0")), "UTF-32"
+                ),
             ),
             "",
         )

@@ -12,6 +12,7 @@ from chromafield.functions.codec import mask_bits
 from chromafield.functions.vectors import l2
 from chromafield.operators.joins import asof_join
 from chromafield.operators.ordered import (
+    centred,
     lag_rows,
     plan_width,
     running_moments,
@@ -167,6 +168,8 @@ def step_changes(
 ) -> DataFrame:
     """Rows where the mean after departs from the mean before by ``min_sigma`` deviations.
 
+    A departure from a constant level of two rows or more counts as infinitely many.
+
     With ``env`` given, the correlation of value and environment over the same span is
     attached: an empty or weak ``env_corr`` means the change was not environmental.
     """
@@ -178,7 +181,8 @@ def step_changes(
     frames = {"before": (-span_us, -1), "after": (0, span_us - 1)}
     sums = {}
     if env is not None:
-        x, e = F.col(value), F.col(f"env_{env_col}")
+        base = centred(base, keys, {"_cx": F.col(value), "_ce": F.col(f"env_{env_col}")})
+        x, e = F.col(value) - F.col("_cx"), F.col(f"env_{env_col}") - F.col("_ce")
         parts = {"c": F.lit(1.0), "x": x, "e": e, "xx": x * x, "ee": e * e, "xe": x * e}
         sums = {k: F.when(x.isNotNull() & e.isNotNull(), v) for k, v in parts.items()}
     out = with_moments(base, keys, ts, value, frames, width, sums)
@@ -189,14 +193,17 @@ def step_changes(
         varies = (var_x > c * xx * 1e-12) & (var_e > c * ee * 1e-12)
         corr = F.when(varies, F.try_divide(c * xe - x * e, F.sqrt(var_x * var_e)))
         out = out.withColumn("env_corr", corr).drop(
-            *[f"{side}_{k}" for side in frames for k in parts]
+            "_cx", "_ce", *[f"{side}_{k}" for side in frames for k in parts]
         )
     out = out.withColumnsRenamed(
         {"before_mean": "mean_before", "after_mean": "mean_after", "before_sd": "sd_before"}
-    ).drop("before_n", "after_n", "after_sd")
+    ).drop("after_n", "after_sd")
     shift = F.abs(F.col("mean_after") - F.col("mean_before"))
-    out = out.withColumn("sigmas", F.try_divide(shift, F.col("sd_before")))
-    return out.where(F.col("sigmas") >= min_sigma)
+    # a jump from a constant level departs by any number of deviations
+    steady = (F.col("sd_before") == 0) & (F.col("before_n") > 1)
+    endless = F.when(steady & (shift > 0), float("inf"))
+    out = out.withColumn("sigmas", F.coalesce(F.try_divide(shift, F.col("sd_before")), endless))
+    return out.drop("before_n").where(F.col("sigmas") >= min_sigma)
 
 
 def distribution(df: DataFrame, dims: Sequence[str], mode: str = "rollup") -> DataFrame:
@@ -250,12 +257,18 @@ def clock_drift(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def evm(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Error vector magnitude in dB per key: received (rx) against reference (ref) symbols."""
+    """Error vector magnitude in dB per key: received (rx) against reference (ref) symbols.
+
+    Without any error it is minus infinity; without reference power it is null.
+    """
     err = (F.col("rx_re") - F.col("ref_re")) ** 2 + (F.col("rx_im") - F.col("ref_im")) ** 2
     ref = F.col("ref_re") ** 2 + F.col("ref_im") ** 2
     ratio = F.try_divide(F.sum(err), F.sum(ref))
     return df.groupBy(*keys).agg(
-        F.when(ratio > 0, F.lit(10.0) * F.log10(ratio)).alias("evm_db"), F.count("*").alias("n")
+        F.when(ratio > 0, F.lit(10.0) * F.log10(ratio))
+        .when(ratio == 0, float("-inf"))
+        .alias("evm_db"),
+        F.count("*").alias("n"),
     )
 
 

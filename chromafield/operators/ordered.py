@@ -311,6 +311,23 @@ def rolling_sums(
     return scanned.where("_probe = 1").select("_row.*", *names)
 
 
+def centred(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """``df`` with the mean of each value's finite part over the row's key, 0 where it has none."""
+    means = []
+    for name, value in values.items():
+        v = value.cast("double")
+        means.append(F.avg(F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)).alias(name))
+    if keys:
+        # one row per key, summed before the exchange; null keys have a mean as well
+        table = df.groupBy(*[F.col(k).alias(f"_c_{k}") for k in keys]).agg(*means)
+        same = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys]
+        out = df.join(table, same, "left").drop(*[f"_c_{k}" for k in keys])
+    else:
+        whole = df.agg(*means).first()
+        out = df.withColumns({name: F.lit(whole[name]).cast("double") for name in values})
+    return out.withColumns({name: F.coalesce(name, F.lit(0.0)) for name in values})
+
+
 def with_moments(
     df: DataFrame,
     keys: Sequence[str],
@@ -323,10 +340,15 @@ def with_moments(
     """``<prefix>_n``, ``_mean`` and ``_sd`` (population) of a column over sliding frames.
 
     A frame that holds a NaN or infinite value has NaN moments, as a direct average would.
-    A variance below the rounding noise of the sums counts as zero.  Plain sums of the
-    ``extra`` expressions over the same frames ride along as ``<prefix>_<name>``.
+    Sums run over the distance from the key's own mean, so that large values with small
+    deviations keep them; a variance below the rounding noise of those sums counts as zero.
+    Plain sums of the ``extra`` expressions over the same frames ride along as
+    ``<prefix>_<name>``.
     """
-    v = F.col(value).cast("double")
+    if width is None:
+        width = plan_width(df, keys, order)
+    df = centred(df, keys, {"_center": F.col(value)})
+    v = F.col(value).cast("double") - F.col("_center")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     out = rolling_sums(
         df,
@@ -345,8 +367,9 @@ def with_moments(
     for prefix in frames:
         n, s1, s2 = (F.col(f"{prefix}_{c}") for c in ("n", "s1", "s2"))
         square = F.try_divide(s2, n)
-        mean = F.try_divide(s1, n)
-        var = square - mean * mean
+        offset = F.try_divide(s1, n)
+        mean = F.col("_center") + offset
+        var = square - offset * offset
         var = F.when((n < 1.5) | (var <= square * 1e-13), 0.0).otherwise(var)
         odd = F.col(f"{prefix}_odd") > 0.5
         out = out.withColumns(
@@ -356,7 +379,7 @@ def with_moments(
                 f"{prefix}_n": F.round(n).cast("long"),
             }
         ).drop(f"{prefix}_odd", f"{prefix}_s1", f"{prefix}_s2")
-    return out
+    return out.drop("_center")
 
 
 def with_halo(

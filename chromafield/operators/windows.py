@@ -254,7 +254,7 @@ def _block_heads(digests: DataFrame, block_rows: int, levels: int) -> DataFrame:
     """(_key, block, _head): the chain value each block starts from.
 
     Digests are chained like rows, in groups of ``block_rows``, with the groups chained a
-    level above; two levels above the rows cover block_rows ^ 3 rows of one session.
+    level above.  ``levels`` must reach the level on which every session has one group.
     """
     group = F.floor(F.col("block") / block_rows).cast("long")
     packed = digests.groupBy(KEY, group.alias("_group")).agg(
@@ -303,7 +303,12 @@ def _chain_blocks(
     digests = cut_lineage(
         packed.select(KEY, "block", _fold(F.col("_rows")["p"], F.lit("")).alias("_d"))
     )
-    return packed.join(_block_heads(digests, block_rows, 2), [KEY, "block"])
+    most = digests.agg(F.max("block")).first()[0] or 0
+    levels = 1
+    while most >= block_rows:
+        most //= block_rows
+        levels += 1
+    return packed.join(_block_heads(digests, block_rows, levels), [KEY, "block"])
 
 
 def build_chain(
@@ -319,8 +324,10 @@ def build_chain(
 
     A chain over single rows can only be built one row after another, so rows are chained
     inside blocks of ``block_rows`` and blocks are chained by their digests: a block's
-    first row continues from the chain value of the blocks before it (``block_head``).  A
-    session of one block is the plain chain h = sha2(prev || payload).
+    first row continues from the chain value of the blocks before it (``block_head``),
+    which are chained in groups of ``block_rows`` likewise, level upon level, up to one
+    group.  A row's hash depends on the rows before it and on ``block_rows`` alone, however
+    long the session becomes; the first block is the plain chain h = sha2(prev || payload).
     """
     blocks = _chain_blocks(df, session, payload, ts, tie, block_rows, width)
     hashes = _unfold(F.col("_rows")["p"], F.col("_head"))

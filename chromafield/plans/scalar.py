@@ -64,7 +64,7 @@ def _(t: Tables):
         1 / (1 + (k / 100.0) / 0.37) AS cs,
         CASE WHEN energy * 500 > 110 THEN 3 WHEN energy * 500 > 80 THEN 2
           WHEN energy * 500 > 50 THEN 1 ELSE 0 END AS level
-      FROM obs WHERE frequency_hz > 0)
+      FROM obs)
     SELECT particle_id, round(h + 1e-10, 6) AS h, round(s + 1e-10, 6) AS s, round(l + 1e-10, 6) AS l,
       round(l - l * cs * greatest(0, least((5 + h6) % 6, 4 - (5 + h6) % 6, 1)) + 1e-10, 6) AS red,
       round(l - l * cs * greatest(0, least((3 + h6) % 6, 4 - (3 + h6) % 6, 1)) + 1e-10, 6) AS green,
@@ -75,7 +75,7 @@ def _(t: Tables):
     gamma = F.least(F.lit(1.0), c("energy"))
     rgba = C.particle_color(c("frequency_hz"), gamma, c("k") / 100, 0.37)
     return nudged(
-        t.obs.where("frequency_hz > 0").select(
+        t.obs.select(
             "particle_id",
             C.hsl(c("frequency_hz"), gamma, c("k") * F.lit(1e4), 1e5).alias("_hsl"),
             rgba.alias("_rgba"),
@@ -177,18 +177,18 @@ _MATERIAL_ROWS = ", ".join(f"('{n}', {r!r}, {i!r})" for n, r, i in MATERIALS)
     f"""WITH {OBS_SQL}, m(material, er, ei) AS (VALUES {_MATERIAL_ROWS}), j AS (
       SELECT particle_id, frequency_hz AS f, k / 1e4 AS s, k / 100.0 * {math.pi / 2!r} AS th, material,
         CAST(er AS DOUBLE) AS er, CAST(ei AS DOUBLE) AS ei
-      FROM (SELECT *, {_MATERIAL} AS material FROM obs WHERE frequency_hz > 0) JOIN m USING (material)),
+      FROM (SELECT *, {_MATERIAL} AS material FROM obs) JOIN m USING (material)),
     w AS (SELECT *, cos(th) AS ct, er - sin(th) * sin(th) AS a FROM j),
     v AS (SELECT *, sqrt(greatest(0, (sqrt(a * a + ei * ei) + a) / 2)) AS wr,
         -sqrt(greatest(0, (sqrt(a * a + ei * ei) - a) / 2)) AS wi FROM w)
     SELECT particle_id, material, round(s * f / 299792458.0, 6) AS alpha,
-      s * 8 * ct > 299792458.0 / f AS rough,
+      s * 8 * ct > 299792458.0 / nullif(f, 0) AS rough,
       round(((ct - wr) ** 2 + wi * wi) / ((ct + wr) ** 2 + wi * wi), 6) AS te,
       round(((er * ct - wr) ** 2 + (-ei * ct - wi) ** 2) / ((er * ct + wr) ** 2 + (-ei * ct + wi) ** 2), 6) AS tm
     FROM v""",
 )
 def _(t: Tables):
-    obs = t.obs.where("frequency_hz > 0").withColumns(
+    obs = t.obs.withColumns(
         {
             "material": F.expr(_MATERIAL),
             "theta": c("k") / F.lit(100.0) * F.lit(math.pi / 2),
@@ -230,14 +230,14 @@ def _(t: Tables):
     "propagation_and_bearing",
     "B15 B16 B17 B18 B22",
     f"""WITH {OBS_SQL}, v AS (
-      SELECT *, k * 0.5 - 10 AS tc, 950 + k AS p, k AS rh, 20 + layer * 80.0 AS af FROM obs WHERE frequency_hz > 0),
+      SELECT *, k * 0.5 - 10 AS tc, 950 + k AS p, k AS rh, 20 + layer * 80.0 AS af FROM obs),
     e AS (SELECT *, rh / 100.0 * (1 + 1e-4 * (7.2 + p * (0.0320 + 5.9e-6 * tc * tc))) * 6.1121
         * exp((18.678 - tc / 234.5) * tc / (tc + 257.14)) AS ev, tc + 273.15 AS kel,
-        (k - 50) / 20.0 * (299792458.0 / frequency_hz) / (2 * pi() * 12.0) AS sx FROM v)
+        (k - 50) / 20.0 * (299792458.0 / nullif(frequency_hz, 0)) / (2 * pi() * 12.0) AS sx FROM v)
     SELECT particle_id,
       round(299792458.0 / (1 + 77.6 / kel * (p + 4810.0 * ev / kel) * 1e-6), 3) AS speed,
       round(CASE WHEN abs(sx) <= 1 THEN asin(CASE WHEN abs(sx) <= 1 THEN sx ELSE 0 END) END, 6) AS bearing,
-      round(299792458.0 * (k / frequency_hz) + 1e-9, 6) AS radial_velocity,
+      round(299792458.0 * (k / nullif(frequency_hz, 0)) + 1e-9, 6) AS radial_velocity,
       round(1e6 * log2(1 + pow(10, k / 2.0 / 10)), 3) AS capacity_bps, round(pow(2, k / 2.0 / 3), 3) AS qam_ceiling,
       round(CASE WHEN af < 80 THEN energy ELSE 0 END, 6) AS lf,
       round(CASE WHEN af >= 80 AND af <= 300 THEN energy ELSE 0 END, 6) AS hf
@@ -247,7 +247,7 @@ def _(t: Tables):
     f = c("frequency_hz")
     link = C.link_budget(F.lit(1e6), c("k") / F.lit(2.0))
     split = C.lf_hf_split(c("layer") * F.lit(80.0) + 20, c("energy"))
-    out = t.obs.where("frequency_hz > 0").select(
+    out = t.obs.select(
         "particle_id",
         F.round(C.propagation_speed(c("k") * F.lit(0.5) - 10, c("k") + F.lit(950), c("k")), 3).alias("speed"),
         F.round(C.bearing((c("k") - 50) / F.lit(20.0), f, F.lit(12.0)), 6).alias("bearing"),

@@ -491,11 +491,12 @@ def _(t: Tables):
     s AS (SELECT a.batch, a.vec_id AS i, a.label = b.label AS pos, list_cosine_similarity(a.embedding, b.embedding) / 0.5 AS sim
       FROM p a JOIN p b ON a.batch = b.batch AND a.vec_id <> b.vec_id),
     l AS (SELECT batch, i, ln(sum(exp(sim))) AS lse FROM s GROUP BY 1, 2)
-    SELECT batch, CAST(count(*) AS BIGINT) AS pairs, round(avg(lse - sim), 6) AS loss FROM s JOIN l USING (batch, i) WHERE pos GROUP BY 1""",
+    SELECT p.batch, CAST(count(sim) FILTER (pos) AS BIGINT) AS pairs, round(avg(lse - sim) FILTER (pos), 6) AS loss
+    FROM p LEFT JOIN s ON p.batch = s.batch AND p.vec_id = s.i LEFT JOIN l ON p.batch = l.batch AND p.vec_id = l.i GROUP BY 1""",
 )
 def _(t: Tables):
     emb = t.windows.select(F.floor(c("vec_id") / 64).cast("long").alias("batch"), "label", "embedding")
-    return rounded(A.nt_xent(emb, 0.5).where("pairs > 0"))
+    return rounded(A.nt_xent(emb, 0.5))
 
 
 @query("motif_candidates", "J8")

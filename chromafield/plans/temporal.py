@@ -480,12 +480,13 @@ def _(t: Tables):
     j AS (SELECT o.particle_id, o.timestamp_us, o.energy, e.temperature FROM (SELECT * FROM obs WHERE layer <> 3) o
       ASOF LEFT JOIN env e ON o.timestamp_us >= e.timestamp_us),
     w AS (SELECT *, avg(energy) OVER b AS mb, avg(energy) OVER a AS ma, stddev_pop(energy) OVER b AS sd,
-        corr(energy, temperature) OVER f AS cr FROM j
+        count(energy) OVER b AS nb, corr(energy, temperature) OVER f AS cr FROM j
       WINDOW b AS (ORDER BY timestamp_us RANGE BETWEEN {12 * HOUR_US} PRECEDING AND 1 PRECEDING),
         a AS (ORDER BY timestamp_us RANGE BETWEEN CURRENT ROW AND {12 * HOUR_US - 1} FOLLOWING),
         f AS (ORDER BY timestamp_us RANGE BETWEEN {12 * HOUR_US} PRECEDING AND {12 * HOUR_US - 1} FOLLOWING))
     SELECT particle_id, round(mb + 1e-10, 6) AS mean_before, round(ma + 1e-10, 6) AS mean_after, round(CASE WHEN NOT isnan(cr) THEN cr END, 4) AS env_corr,
-      round(abs(ma - mb) / sd, 4) AS sigmas FROM w WHERE sd > 0 AND abs(ma - mb) / sd >= 0.3""",
+      CASE WHEN sd > 0 THEN round(abs(ma - mb) / sd, 4) ELSE 'inf'::DOUBLE END AS sigmas FROM w
+    WHERE CASE WHEN sd > 0 THEN abs(ma - mb) / sd >= 0.3 ELSE sd = 0 AND nb > 1 AND ma <> mb END""",
 )
 def _(t: Tables):
     left = t.obs.where("layer <> 3").select("particle_id", "timestamp_us", "energy")

@@ -127,7 +127,10 @@ def split_late(
         newest = seen.where(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
     batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        late = F.lit(False) if newest is None else F.col(ts) < F.lit(newest - delay_us)
+        # a row without a time is not late: it goes on with the others
+        late = F.lit(False)
+        if newest is not None:
+            late = F.coalesce(F.col(ts) < F.lit(newest - delay_us), late)
         batch.where(late).write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
         on_time(batch.where(~late), batch_id)
         top = batch.agg(F.max(ts)).first()[0]
@@ -161,7 +164,9 @@ def promote_windows(windows: DataFrame, predicate: Column, path: str, checkpoint
 
 def read_config(spark: SparkSession, path: str) -> dict:
     """Current settings: one small JSON document, read anew on every call."""
-    rows = spark.read.text(path, wholetext=True).limit(1).collect()
+    rows = spark.read.text(path, wholetext=True).limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError(f"more than one settings document in {path}")
     return json.loads(rows[0][0]) if rows else {}
 
 

@@ -104,6 +104,25 @@ def test_masks(spark):
     assert one(spark, C.unpack_source(F.col("s")), s=packed).asDict() == {"hue_class": 11, "device": 77}
     C.register_sql_functions(spark)
     assert [r[0] for r in spark.sql("SELECT * FROM explode_mask(10)").collect()] == [1, 3]
+    wide = (1 << 40) | 1
+    assert one(spark, C.mask_members(F.col("m")), m=wide) == [0, 40]
+    assert one(spark, C.mask_members(F.col("m")), m=-(1 << 63)) == [63]
+    assert [r[0] for r in spark.sql(f"SELECT * FROM explode_mask({wide})").collect()] == [0, 40]
+    assert one(spark, C.mask_bits(F.col("b")), b=40) == 1 << 40
+    for outside in (64, -1):
+        with pytest.raises(Exception, match="no member"):
+            one(spark, C.mask_bits(F.col("b")), b=outside)
+
+
+@pytest.mark.parametrize("f", [None, 0.0, -5.0, 19.99, 20.0, 999.9999999, 1000.0, 1000.0000001, 2000.0, 4000.0, 1e8])
+def test_sql_functions_equal_the_columns(spark, f):
+    C.register_sql_functions(spark)
+    row = spark.createDataFrame([(f,)], "f double").select(
+        F.expr("freq_to_hue(f)"), C.freq_to_hue(F.col("f")),
+        F.expr("octave_fold(f)"), C.octave_fold(F.col("f")),
+        F.expr("freq_to_material_id(f)"), C.freq_to_material_id(F.col("f")),
+    ).first()
+    assert row[0] == row[1] and row[2] == row[3] and row[4] == row[5]
 
 
 def test_capture_names(spark):
@@ -117,6 +136,7 @@ def test_capture_names(spark):
 def test_edit_distance(spark):
     d = C.motif_edit_distance(F.col("a"), F.col("b"))
     assert one(spark, d, a=[1, 500, 3], b=[1, 3, 3, 9000]) == 2
+    assert one(spark, d, a=[35_300, 55_300, 2**40], b=[35_300, 2**40]) == 1
 
 
 def test_notes(spark):

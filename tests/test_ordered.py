@@ -255,7 +255,7 @@ def test_rolling_survives_nan(spark):
     data = [(i, "a", i, float("nan") if i == 5 else float(i)) for i in range(12)]
     df = spark.createDataFrame(data, "id long, k string, t long, v double")
     got = as_dict(W.rolling_z(df, ["k"], "v", 3, "t", 4), "base_mean")
-    assert math.isnan(got[6]) and math.isnan(got[8]) and got[9] == 7.0 and got[0] is None
+    assert math.isnan(got[6]) and math.isnan(got[8]) and got[9] == pytest.approx(7.0) and got[0] is None
 
 
 def test_step_change_with_and_without_weather(spark):
@@ -269,3 +269,52 @@ def test_step_change_with_and_without_weather(spark):
     at = next(r for r in got if r["id"] == 50)
     assert at["mean_before"] == pytest.approx(1.05) and at["mean_after"] == pytest.approx(5.05)
     assert at["env_corr"] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("rows", [7, 8, 9, 16, 17, 40])
+def test_chain_of_many_levels(spark, rows):
+    """Blocks of two: the chain never starts anew, whatever the length."""
+    import hashlib
+
+    def link(prev, text):
+        return hashlib.sha256((prev + text).encode()).hexdigest()
+
+    def chained(texts):
+        """Chain values, and the digest of every full or partial block of two."""
+        if len(texts) <= 2:
+            heads = [""]
+        else:
+            digests = [link(link("", a), b) for a, b in zip(texts[::2], texts[1::2])]
+            if len(texts) % 2:
+                digests.append(link("", texts[-1]))
+            heads = ["", *chained(digests)[:-1]]
+        out = []
+        for b, head in enumerate(heads):
+            for text in texts[2 * b : 2 * b + 2]:
+                head = link(head, text)
+                out.append(head)
+        return out
+
+    df = spark.createDataFrame([("s", i, f"p{i}") for i in range(rows)], "s string, t long, p string")
+    built = W.build_chain(df, ["s"], "p", "t", block_rows=2, width=5)
+    got = [r["chain_hash"] for r in built.orderBy("t").collect()]
+    assert got == chained([f"p{i}" for i in range(rows)])
+    heads = built.where("block > 0").select("block_head").distinct().collect()
+    assert "" not in {r["block_head"] for r in heads}
+    assert W.verify_chain(built, ["s"], "p", "t", width=5, block_rows=2).where("NOT chain_ok").count() == 0
+
+
+def test_rolling_deviation_of_large_values(spark):
+    data = [(i, "k", i, 1e8 + i % 2) for i in range(2000)]
+    df = spark.createDataFrame(data, "id long, k string, t long, v double")
+    rows = W.rolling_z(df, ["k"], "v", 10, "t", 97).where("t >= 10").collect()
+    assert all(r["base_sd"] == pytest.approx(0.5) and r["base_mean"] == pytest.approx(1e8 + 0.5) for r in rows)
+
+
+def test_step_from_a_constant_level(spark):
+    from chromafield.operators.aggregates import step_changes
+
+    data = [(i, i * 10, 5.0 if i >= 50 else 1.0) for i in range(100)]
+    df = spark.createDataFrame(data, "id long, timestamp_us long, v double")
+    got = {r["id"]: r["sigmas"] for r in step_changes(df, "v", 200, 3.0, width=70).collect()}
+    assert got[50] == math.inf and min(got) >= 30 and max(got) <= 70
