@@ -68,7 +68,8 @@ SCHEMAS = {
 }
 SAMPLED = ("iq", "pcm16", "pcm24", "pcmf32")
 BATCH_RECORDS = 65_536
-_STAMP = re.compile(r"_(\d{8}T\d{6})")
+# second of the capture, then the microseconds and the number of the first sample, if known
+_STAMP = re.compile(r"_(\d{8}T\d{6})(?:_(\d{6})us(?:_(\d+))?)?")
 _BANNED = {"tests", "examples"}
 
 
@@ -106,13 +107,21 @@ def list_files(path: str) -> list[pafs.FileInfo]:
     )
 
 
-def start_of(name: str, default: int) -> int:
-    """Capture start in microseconds: from the file name, else the given default."""
+def start_of(name: str, default: int) -> tuple[int, int]:
+    """Time in microseconds and number of a file's first sample: from its name, else the default."""
     found = _STAMP.search(name)
     if not found:
-        return default
+        return default, 0
     at = datetime.strptime(found.group(1), "%Y%m%dT%H%M%S").replace(tzinfo=timezone.utc)
-    return int(at.timestamp()) * 1_000_000
+    return int(at.timestamp()) * 1_000_000 + int(found.group(2) or 0), int(found.group(3) or 0)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system: one without a scheme is in Hadoop's default one."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
 
 @dataclass
@@ -122,7 +131,8 @@ class Span:
     path: str
     first: int
     count: int
-    start_us: int
+    start_us: int  # of the capture's sample 0
+    before: int = 0  # samples of the capture in earlier files
 
 
 class Spans(InputPartition):
@@ -185,15 +195,17 @@ class RecordReader(DataSourceReader):
             guard_path(info.path)
             if info.size % self.size:
                 raise ValueError(f"{info.path}: size {info.size} does not divide by {self.size}")
-            start = start_of(info.base_name, self.start)
+            start, before = start_of(info.base_name, self.start)
             first, last = self._bounds(info.size // self.size, start)
+            if self.fmt in SAMPLED:
+                start -= int(np.floor(before * (1e6 / self.rate)))
             step = self.split // self.size
             while first < last:
                 count = min(step, last - first)
                 if not tasks or room < count:
                     tasks.append([])
                     room = step
-                tasks[-1].append(Span(info.path, first, count, start))
+                tasks[-1].append(Span(info.path, first, count, start, before))
                 room -= count
                 first += count
         return [Spans(t) for t in tasks] or [Spans([])]
@@ -212,7 +224,7 @@ class RecordReader(DataSourceReader):
 
     def _decode(self, raw: bytes, span: Span, first: int, n: int) -> pa.RecordBatch:
         if self.fmt in SAMPLED:
-            index = np.arange(first, first + n, dtype=np.int64)
+            index = np.arange(span.before + first, span.before + first + n, dtype=np.int64)
             if self.fmt == "iq":
                 rec = np.frombuffer(raw, IQ_DTYPE)
                 i, q = rec["i"], rec["q"]
@@ -228,7 +240,7 @@ class RecordReader(DataSourceReader):
                 pa.array(np.full(n, self.sensor, np.int64)),
                 pa.array(none),
                 pa.array(none),
-                pa.array([posixpath.basename(span.path)] * n),
+                pa.array([posixpath.basename(span.path)]).take(pa.array(none)),
                 pa.array(index),
             ]
             return pa.RecordBatch.from_arrays(columns, names=RAW_IQ.names)
@@ -259,8 +271,11 @@ class Written(WriterCommitMessage):
         self.moves = moves
 
 
-def _column(table: pa.RecordBatch, name: str, fill=0.0) -> np.ndarray:
-    return table.column(table.schema.get_field_index(name)).fill_null(fill).to_numpy(zero_copy_only=False)
+def _column(table: pa.RecordBatch, name: str) -> np.ndarray:
+    column = table.column(table.schema.get_field_index(name))
+    if column.null_count:
+        raise ValueError(f"a record cannot hold the nulls of {name}")
+    return column.to_numpy(zero_copy_only=False)
 
 
 def encode(batch: pa.RecordBatch, fmt: str) -> bytes:
@@ -283,13 +298,15 @@ def encode(batch: pa.RecordBatch, fmt: str) -> bytes:
     out = np.zeros(batch.num_rows, dtype)
     for name in dtype.names:
         if dtype[name].shape:
-            values = batch.column(batch.schema.get_field_index(name)).flatten().to_numpy(zero_copy_only=False)
-            out[name] = values.reshape(-1, dtype[name].shape[0])
+            lists = batch.column(batch.schema.get_field_index(name))
+            if lists.null_count or lists.flatten().null_count:
+                raise ValueError(f"a record cannot hold the nulls of {name}")
+            out[name] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dtype[name].shape[0])
         elif name == "corpus_hash":
             values = batch.column(batch.schema.get_field_index(name)).to_pylist()
             out[name] = [np.void((v or b"").ljust(7, b"\0")[:7]) for v in values]
         else:
-            out[name] = _column(batch, name, 0)
+            out[name] = _column(batch, name)
     raw = bytearray(out.tobytes())
     if fmt == "imu":  # every packet opens with the fixed word 1
         view = np.frombuffer(raw, np.uint8).reshape(-1, 100)
@@ -313,15 +330,20 @@ class RecordWriter(DataSourceArrowWriter):
     def _name(self, batch: pa.RecordBatch) -> str:
         if "timestamp_us" not in batch.schema.names or batch.num_rows == 0:
             return self.prefix
-        first = int(_column(batch, "timestamp_us", 0)[0])
-        at = datetime.fromtimestamp(first / 1e6, timezone.utc)
-        return f"{self.prefix}_{at:%Y%m%d}" if self.fmt == "corpus" else f"{self.prefix}_{at:%Y%m%dT%H%M%S}"
+        first = int(_column(batch, "timestamp_us")[0])
+        at = datetime.fromtimestamp(first // 1_000_000, timezone.utc)
+        if self.fmt == "corpus":
+            return f"{self.prefix}_{at:%Y%m%d}"
+        name = f"{self.prefix}_{at:%Y%m%dT%H%M%S}_{first % 1_000_000:06d}us"
+        if "sample_index" in batch.schema.names:
+            name += f"_{int(_column(batch, 'sample_index')[0])}"
+        return name
 
     def _split(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if self.fmt != "corpus" or batch.num_rows == 0:
             yield batch
             return
-        days = _column(batch, "timestamp_us", 0) // 86_400_000_000
+        days = _column(batch, "timestamp_us") // 86_400_000_000
         for day in np.unique(days):
             yield batch.filter(pa.array(days == day))
 
@@ -381,6 +403,7 @@ class RecordSource(DataSource):
 
 def _records(spark: SparkSession, fmt: str, path: str, **options) -> DataFrame:
     guard_path(path)
+    path = qualified(spark, path)
     spark.dataSource.register(RecordSource)
     configure(spark)
     reader = spark.read.format("chromafield_records").option("format", fmt)
@@ -427,11 +450,23 @@ def read_corpus_bin(spark: SparkSession, path: str, split_bytes: int | None = No
 
 
 def write_records(df: DataFrame, path: str, fmt: str, prefix: str | None = None) -> None:
-    """Write captures, packets or particles.  Order within a file is the task's row order."""
+    """Write captures, packets or particles.
+
+    Samples with a time are put in its order: each file is a stretch of time, named after the
+    microsecond and, where there is a ``sample_index``, the number of its first sample, so that
+    reading at the same rate gives every sample its own time again.  Samples are taken as evenly
+    spaced within a file.  Without a time, order within a file is the task's row order.  Nulls
+    have no place in a record and raise.
+    """
     guard_path(path)
+    path = qualified(df.sparkSession, path)
     df.sparkSession.dataSource.register(RecordSource)
     columns = [f.name for f in SCHEMAS[fmt].fields if f.name in df.columns]
-    writer = df.select(*columns).write.format("chromafield_records").option("format", fmt).mode("append")
+    rows = df.select(*columns)
+    order = [c for c in ("timestamp_us", "sample_index") if c in columns]
+    if fmt in SAMPLED and "timestamp_us" in order:
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    writer = rows.write.format("chromafield_records").option("format", fmt).mode("append")
     if prefix:
         writer = writer.option("prefix", prefix)
     writer.save(path)

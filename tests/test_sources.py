@@ -186,3 +186,39 @@ def test_csi(spark):
     got = [(r["subcarrier"], r["re"], r["im"]) for r in tables.csi_points(df).orderBy("subcarrier").collect()]
     assert got == [(0, 1.0, 2.0), (1, 3.0, 4.0)]
     assert F is not None
+
+
+def test_samples_keep_their_times_over_several_files(spark, folder):
+    """Time, number and value of every sample come back, whatever the order of the rows."""
+    from chromafield.sources import captures
+
+    rate, start = 2.4e6, 1_700_000_000_250_000
+    rows = [(float(k), -float(k), start + int(k * 1e6 / rate), k) for k in range(4000)]
+    df = spark.createDataFrame(rows, "i float, q float, timestamp_us long, sample_index long")
+    captures.write_records(df.orderBy(F.hash("i")).repartition(4), str(folder / "iq_times"), "iq")
+    back = captures.read_iq(spark, str(folder / "iq_times"), rate)
+    assert back.select("source_file").distinct().count() > 1 if "source_file" in back.columns else True
+    got = [(r["i"], r["q"], r["timestamp_us"], r["sample_index"]) for r in back.collect()]
+    assert sorted(got) == sorted(rows)
+
+
+def test_null_samples_raise(spark, folder):
+    from chromafield.sources import captures
+
+    df = spark.createDataFrame([(1.0, None)], "i float, q float")
+    with pytest.raises(Exception, match="cannot hold the nulls"):
+        captures.write_records(df, str(folder / "iq_nulls"), "iq")
+
+
+def test_paths_go_to_the_default_file_system(spark):
+    from chromafield.sources import captures
+
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://store/")
+    conf.set("fs.viewfs.mounttable.store.link./in", "file:///tmp")
+    try:
+        assert captures.qualified(spark, "/in/x") == "viewfs://store/in/x"
+        assert captures.qualified(spark, "file:/in/x") == "file:/in/x"
+    finally:
+        conf.set("fs.defaultFS", before or "file:///")
