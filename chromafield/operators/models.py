@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chromafield.functions.codec import mask_bits
 from chromafield.functions.vectors import dot
+from chromafield.operators.ordered import lag_rows, prefix_scan
 from chromafield.operators.ranking import count_windows, query_semantic
 from chromafield.operators.windows import sustained
 from chromafield.session import broadcast_if_small
@@ -149,23 +150,35 @@ def motif_sequences(
     motif: str = "motif",
     ts: str = "timestamp_us",
     tie: Sequence[str] = (),
-    length: int = 16,
-    max_pattern: int = 3,
+    gap_us: int | None = None,
+    length: int | None = None,
+    max_pattern: int | None = None,
     width: int | None = None,
 ) -> DataFrame:
-    """Frequent motif sequences (pattern, freq) over count windows of ``length`` events.
+    """Frequent motif sequences (pattern, freq).
 
-    Count windows bound every sequence, so one very busy key cannot build a huge one.
+    A sequence is a session of a key, cut where nothing happened for more than ``gap_us``;
+    with ``length`` it is a count window instead, so that a pattern never crosses a window's
+    border.  Without both, a key is one sequence.  Patterns may be of any length unless
+    ``max_pattern`` bounds them; they need not be contiguous, so their number grows with the
+    power of the support's longest common sequences: choose ``min_support`` accordingly.
     """
-    numbered = count_windows(df, length, keys, ts, tie, width)
-    sequences = numbered.groupBy(*keys, "window").agg(
+    if length is not None:
+        numbered = count_windows(df, length, keys, ts, tie, width).withColumnRenamed("window", "_session")
+    elif gap_us is not None:
+        gap = F.coalesce(F.col(ts) - F.col(f"prev_{ts}") > gap_us, F.lit(False))
+        lagged = lag_rows(df, keys, ts, [ts], tie, width)
+        numbered = prefix_scan(lagged, keys, ts, {"_session": gap.cast("long")}, tie, width)
+    else:
+        numbered = df.withColumn("_session", F.lit(0))
+    sequences = numbered.groupBy(*keys, "_session").agg(
         F.transform(
-            F.sort_array(F.collect_list(F.struct("offset", F.col(motif).alias("m")))),
+            F.sort_array(F.collect_list(F.struct(ts, *tie, F.col(motif).alias("m")))),
             lambda x: F.array(x["m"]),
         ).alias("sequence")
     )
     found = PrefixSpan(
-        minSupport=min_support, maxPatternLength=max_pattern, sequenceCol="sequence"
+        minSupport=min_support, maxPatternLength=max_pattern or 2**31 - 1, sequenceCol="sequence"
     ).findFrequentSequentialPatterns(sequences.select("sequence"))
     return found.select(F.flatten("sequence").alias("pattern"), "freq")
 

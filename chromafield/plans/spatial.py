@@ -536,6 +536,26 @@ def _(t: Tables):
     return out.select(F.array_join(c("pattern").cast("array<string>"), ",").alias("pattern"), "freq")
 
 
+@query(
+    "motif_session_sequences",
+    "J9",
+    f"""WITH RECURSIVE {OBS_SQL}, g AS (SELECT *, CASE WHEN timestamp_us - lag(timestamp_us) OVER w > {3 * HOUR_US} THEN 1 ELSE 0 END AS cut
+      FROM obs WINDOW w AS (PARTITION BY user_id ORDER BY timestamp_us, particle_id)),
+    s AS (SELECT user_id, layer, sum(cut) OVER w AS session, row_number() OVER w AS i FROM g
+      WINDOW w AS (PARTITION BY user_id ORDER BY timestamp_us, particle_id ROWS UNBOUNDED PRECEDING)),
+    p(user_id, session, i, pattern) AS (SELECT user_id, session, i, CAST(layer AS VARCHAR) FROM s
+      UNION SELECT p.user_id, p.session, s.i, p.pattern || ',' || s.layer FROM p JOIN s
+        ON p.user_id = s.user_id AND p.session = s.session AND s.i > p.i),
+    n AS (SELECT count(DISTINCT (user_id, session)) AS n FROM s)
+    SELECT pattern, CAST(count(DISTINCT (user_id, session)) AS BIGINT) AS freq FROM p GROUP BY 1
+    HAVING count(DISTINCT (user_id, session)) >= ceil(0.002 * (SELECT n FROM n))""",
+)
+def _(t: Tables):
+    rows = t.obs.select("user_id", "particle_id", "timestamp_us", c("layer").alias("motif"))
+    out = M.motif_sequences(rows, 0.002, ["user_id"], tie=TIE, gap_us=3 * HOUR_US)
+    return out.select(F.array_join(c("pattern").cast("array<string>"), ",").alias("pattern"), "freq")
+
+
 def _lsh_sql() -> str:
     sigs = []
     for table in M.lsh_planes(64, 6, 3):

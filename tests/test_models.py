@@ -223,3 +223,12 @@ def test_baseline_covers_all_bins(spark):
     assert M.kl_divergence(base, base).first()["kl"] == pytest.approx(0.0)
     with pytest.raises(ValueError):
         M.fit_baseline(df, {"v": (0.0, 1.0, 10**7)})
+
+
+def test_long_motif_sequences(spark):
+    """Sessions are cut at gaps only, and a pattern may be as long as a session."""
+    rows = [("k", s * 10_000 + i, i) for s in range(4) for i in range(6)]
+    df = spark.createDataFrame(rows, "k string, timestamp_us long, motif int")
+    found = {tuple(r["pattern"]): r["freq"] for r in M.motif_sequences(df, 1.0, ["k"], gap_us=100).collect()}
+    assert found[(0, 1, 2, 3, 4, 5)] == 4 and len(found) == 2**6 - 1
+    assert (5, 0) not in found
