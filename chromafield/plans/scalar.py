@@ -41,17 +41,21 @@ def _(t: Tables):
 @query(
     "sql_color_functions",
     "B1 B2 B3 B10",
-    f"""WITH {OBS_SQL}
-    SELECT hue_class AS material_id, CAST(count(*) AS BIGINT) AS n,
-      round(avg(least(1.0, ln(greatest(frequency_hz, 1.0)) / {LOG_RANGE!r})), 6) AS hue
-    FROM obs GROUP BY 1""",
+    f"""WITH {OBS_SQL}, g AS (
+      SELECT *, frequency_hz / pow(2, greatest(0, ceil(log2(greatest(frequency_hz, 20) / 1000) - 1e-9))) AS fold FROM obs),
+    m AS (SELECT *, unnest([0, layer + 35]) AS bit FROM g)
+    SELECT hue_class AS material_id, bit, CAST(count(*) AS BIGINT) AS n,
+      round(avg(least(1.0, ln(greatest(frequency_hz, 1.0)) / {LOG_RANGE!r})), 6) AS hue,
+      round(avg(CASE WHEN frequency_hz >= 20 THEN CASE WHEN fold > 1000 THEN fold / 2 ELSE fold END END), 5) AS folded_hz
+    FROM m GROUP BY 1, 2""",
 )
 def _(t: Tables):
     C.register_sql_functions(t.spark)
     t.obs.createOrReplaceTempView("chromafield_obs")
     return t.spark.sql(
-        "SELECT freq_to_material_id(frequency_hz) AS material_id, count(*) AS n, "
-        "round(avg(freq_to_hue(frequency_hz)), 6) AS hue FROM chromafield_obs GROUP BY 1"
+        "SELECT freq_to_material_id(frequency_hz) AS material_id, bit, count(*) AS n, "
+        "round(avg(freq_to_hue(frequency_hz)), 6) AS hue, round(avg(octave_fold(frequency_hz)), 5) AS folded_hz "
+        "FROM chromafield_obs, LATERAL explode_mask(shiftleft(1L, layer + 35) | 1L) GROUP BY 1, 2"
     )
 
 
