@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -189,6 +190,31 @@ def corpus_writer(stream: DataFrame, path: str, checkpoint: str):
 # ---- decay state ---------------------------------------------------------------------
 
 
+def decayed(
+    times: np.ndarray, values: np.ndarray, last: int | None, x: float, tau_us: float
+) -> tuple[np.ndarray, int, float]:
+    """Decay states of rows in time order after ``(last, x)``, and the state they leave.
+
+    A row behind ``last`` does not decay anything.  Within 40 time constants the states are
+    one scaled running sum; longer stretches are done one after the other.
+    """
+    at = np.maximum.accumulate(times if last is None else np.maximum(times, last)).astype(np.int64)
+    step = np.diff(at, prepend=at[0] if last is None else last)
+    keep = np.exp(-step / tau_us)
+    if last is None:
+        keep[0] = 0.0
+    gain = (1.0 - keep) * values.astype(np.float64)
+    out, start = np.empty(len(at)), 0
+    while start < len(at):
+        end = int(np.searchsorted(at, at[start] + 40 * tau_us, "right"))
+        age = (at[start:end] - at[start]) / tau_us
+        scaled = gain[start:end] * np.exp(age)
+        scaled[0] += x * keep[start]
+        out[start:end] = np.cumsum(scaled) * np.exp(-age)
+        x, start = float(out[end - 1]), end
+    return out, int(at[-1]), x
+
+
 class DecayState(StatefulProcessor):
     """Per-entity state x <- x e^(-dt/tau) + (1 - e^(-dt/tau)) u, carried across batches."""
 
@@ -199,18 +225,11 @@ class DecayState(StatefulProcessor):
         self.state = handle.getValueState("decay", "last_us long, x double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        import math
-
         known = self.state.get() if self.state.exists() else None
         last, x = (int(known[0]), float(known[1])) if known else (None, 0.0)
         # a micro-batch's rows of one entity, put in time order
         pdf = pd.concat(list(rows), ignore_index=True).sort_values([self.ts, self.ident])
-        out = []
-        for t, u in zip(pdf[self.ts].to_numpy(), pdf[self.value].to_numpy()):
-            keep = 0.0 if last is None else math.exp(-max(0, int(t) - last) / self.tau_us)
-            x = x * keep + (1.0 - keep) * float(u)
-            last = int(t) if last is None else max(last, int(t))
-            out.append(x)
+        out, last, x = decayed(pdf[self.ts].to_numpy(), pdf[self.value].to_numpy(), last, x, self.tau_us)
         self.state.update((last, x))
         yield pd.DataFrame(
             {self.entity: key[0], self.ident: pdf[self.ident], self.ts: pdf[self.ts], "smoothed": out}

@@ -112,3 +112,25 @@ def test_dedupe_across_batches(spark, feed, tmp_path):
         timed = S.with_event_time(stream(), "10 minutes")
         run(S.stream_dedupe(timed, ["particle_id"]).select("particle_id"), str(tmp_path / "o"), str(tmp_path / "c"))
     assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [1, 2]
+
+
+def test_decay_in_one_pass_equals_row_by_row():
+    import math
+    import random
+
+    import numpy as np
+
+    from chromafield.streaming.core import decayed
+
+    rnd = random.Random(4)
+    times = sorted(rnd.randrange(0, 10**7) for _ in range(300)) + [10**9, 10**9, 10**9 + 5]
+    values = [rnd.uniform(-1, 1) for _ in times]
+    for last, x in ((None, 0.0), (5 * 10**6, 0.7)):
+        want, at, state = [], last, x
+        for t, u in zip(times, values):
+            keep = 0.0 if at is None else math.exp(-max(0, t - at) / 20_000)
+            state = state * keep + (1 - keep) * u
+            at = t if at is None else max(at, t)
+            want.append(state)
+        got, end, left = decayed(np.array(times), np.array(values), last, x, 20_000)
+        assert np.allclose(got, want, atol=1e-12) and end == at and abs(left - state) < 1e-12
