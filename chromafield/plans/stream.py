@@ -25,11 +25,12 @@ from chromafield.streaming import core as S
 from chromafield.streaming.device import stream_device_status
 
 c = F.col
-_DONE = f"(SELECT max(timestamp_us) - {10 * MINUTE_US} FROM obs)"
 
 
-def _timed(t: Tables):
-    return S.with_event_time(t.obs_stream, "10 minutes")
+def _timed(t: Tables, **mark):
+    """The observations with their watermark, and the function that ends them."""
+    stream, close = S.closable(t.obs_stream, **mark)
+    return S.with_event_time(stream, "10 minutes"), close
 
 
 @query(
@@ -37,13 +38,14 @@ def _timed(t: Tables):
     "K1 K2 E1",
     f"""WITH {OBS_SQL} SELECT timestamp_us // {DAY_US} * {DAY_US} AS window_us, hue_class,
       round(sqrt(sum(re) ** 2 + sum(im) ** 2) / nullif(sum(sqrt(re * re + im * im)), 0), 6) AS gamma, CAST(count(*) AS BIGINT) AS n
-    FROM obs GROUP BY 1, 2 HAVING timestamp_us // {DAY_US} * {DAY_US} + {DAY_US} <= {_DONE}""",
+    FROM obs GROUP BY 1, 2""",
 )
 def _(t: Tables):
+    stream, close = _timed(t)
     out = S.tumbling(
-        _timed(t), "1 day", ["hue_class"], coherence_of(c("re"), c("im")).alias("gamma"), F.count("*").alias("n")
+        stream, "1 day", ["hue_class"], coherence_of(c("re"), c("im")).alias("gamma"), F.count("*").alias("n")
     )
-    return rounded(S.drain(out, "tumbling"))
+    return rounded(S.drain(out, "tumbling", close=close))
 
 
 @query(
@@ -52,12 +54,13 @@ def _(t: Tables):
     f"""WITH {OBS_SQL}, w AS (SELECT *, unnest([timestamp_us // {12 * HOUR_US} * {12 * HOUR_US},
         timestamp_us // {12 * HOUR_US} * {12 * HOUR_US} - {12 * HOUR_US}]) AS window_us FROM obs)
     SELECT window_us, sensor_id, round(avg(re * re + im * im), 6) AS power, CAST(count(*) AS BIGINT) AS n FROM w
-    GROUP BY 1, 2 HAVING window_us + {DAY_US} <= {_DONE}""",
+    GROUP BY 1, 2""",
 )
 def _(t: Tables):
     power = c("re") ** 2 + c("im") ** 2
-    out = S.sliding(_timed(t), "1 day", "12 hours", ["sensor_id"], F.avg(power).alias("power"), F.count("*").alias("n"))
-    return rounded(S.drain(out, "sliding"))
+    stream, close = _timed(t)
+    out = S.sliding(stream, "1 day", "12 hours", ["sensor_id"], F.avg(power).alias("power"), F.count("*").alias("n"))
+    return rounded(S.drain(out, "sliding", close=close))
 
 
 @query(
@@ -67,11 +70,12 @@ def _(t: Tables):
         WINDOW w AS (PARTITION BY user_id ORDER BY timestamp_us)),
     s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY timestamp_us) AS sid FROM g)
     SELECT user_id, min(timestamp_us) AS window_us, max(timestamp_us) + {6 * HOUR_US} AS window_end_us, CAST(count(*) AS BIGINT) AS n
-    FROM s GROUP BY user_id, sid HAVING max(timestamp_us) + {6 * HOUR_US} <= {_DONE}""",
+    FROM s GROUP BY user_id, sid""",
 )
 def _(t: Tables):
-    out = S.sessions(_timed(t), "6 hours", ["user_id"], F.count("*").alias("n"))
-    return S.drain(out, "sessions").select("user_id", "window_us", "window_end_us", "n")
+    stream, close = _timed(t)
+    out = S.sessions(stream, "6 hours", ["user_id"], F.count("*").alias("n"))
+    return S.drain(out, "sessions", close=close).select("user_id", "window_us", "window_end_us", "n")
 
 
 @query(
@@ -106,11 +110,12 @@ def _(t: Tables):
     f"""WITH {OBS_SQL}, l AS (SELECT sensor_id, timestamp_us, lag(timestamp_us) OVER (PARTITION BY sensor_id ORDER BY timestamp_us) AS pts FROM obs)
     SELECT sensor_id, 'CONNECTED' AS state, timestamp_us AS at_us FROM l WHERE pts IS NULL OR timestamp_us - pts > {30 * MINUTE_US}
     UNION ALL SELECT sensor_id, 'DISCONNECTED', pts + {30 * MINUTE_US} FROM l WHERE timestamp_us - pts > {30 * MINUTE_US}
-    UNION ALL SELECT sensor_id, 'DISCONNECTED', max(timestamp_us) + {30 * MINUTE_US} FROM obs GROUP BY 1
-      HAVING max(timestamp_us) + {30 * MINUTE_US} < {_DONE}""",
+    UNION ALL SELECT sensor_id, 'DISCONNECTED', max(timestamp_us) + {30 * MINUTE_US} FROM obs GROUP BY 1""",
 )
 def _(t: Tables):
-    return S.drain(stream_device_status(_timed(t), 30 * MINUTE_US), "devices")
+    stream, close = _timed(t, sensor_id=-1)
+    states = S.drain(stream_device_status(stream, 30 * MINUTE_US), "devices", close=close)
+    return states.where(c("at_us") < S.END_US)  # without the mark's own
 
 
 @query(
@@ -119,13 +124,13 @@ def _(t: Tables):
     f"""WITH {OBS_SQL} SELECT sensor_id, timestamp_us // {HOUR_US} * {HOUR_US} AS window_us,
       round(avg(energy) FILTER (layer = 0) + 1e-10, 6) AS gpu_score, round(avg(energy) FILTER (layer = 1) + 1e-10, 6) AS coral_score,
       round(avg(energy) FILTER (layer = 2) + 1e-10, 6) AS tdoa_confidence
-    FROM obs WHERE layer < 3 GROUP BY 1, 2 HAVING timestamp_us // {HOUR_US} * {HOUR_US} + {HOUR_US} <=
-      (SELECT max(timestamp_us) - {10 * MINUTE_US} FROM obs WHERE layer < 3)""",
+    FROM obs WHERE layer < 3 GROUP BY 1, 2""",
 )
 def _(t: Tables):
-    votes = t.obs_stream.where("layer < 3").withColumns({"voter": c("layer"), "score": c("energy")})
-    out = S.stream_votes(S.with_event_time(votes, "10 minutes"), "1 hour", ["sensor_id"])
-    return nudged(S.drain(out, "votes"))
+    stream, close = _timed(t, layer=0)
+    votes = stream.where("layer < 3").withColumns({"voter": c("layer"), "score": c("energy")})
+    out = S.stream_votes(votes, "1 hour", ["sensor_id"])
+    return nudged(S.drain(out, "votes", close=close))
 
 
 @query(
@@ -146,12 +151,15 @@ def _(t: Tables):
     "stream_promoted_windows",
     "K9 A11",
     f"""WITH {OBS_SQL} SELECT timestamp_us // {MINUTE_US} * {MINUTE_US} AS window_us, sensor_id, round(max(energy), 6) AS peak
-    FROM obs GROUP BY 1, 2 HAVING max(energy) > 0.3001 AND timestamp_us // {MINUTE_US} * {MINUTE_US} + {MINUTE_US} <= {_DONE}""",
+    FROM obs GROUP BY 1, 2 HAVING max(energy) > 0.3001""",
 )
 def _(t: Tables):
     root = scratch_path(t.spark, "episodes")
-    windows = S.tumbling(_timed(t), "60 seconds", ["sensor_id"], F.max("energy").alias("peak"))
-    S.drain_batches(S.promote_windows(windows, c("peak") > 0.3001, f"{root}/table", f"{root}/ckpt"))
+    stream, close = _timed(t)
+    windows = S.tumbling(stream, "60 seconds", ["sensor_id"], F.max("energy").alias("peak"))
+    for end in (lambda: None, close):
+        end()
+        S.drain_batches(S.promote_windows(windows, c("peak") > 0.3001, f"{root}/table", f"{root}/ckpt"))
     stored = t.spark.read.schema("window_us long, sensor_id int, peak double, day date").parquet(f"{root}/table/*")
     return rounded(stored.select("window_us", "sensor_id", "peak"))
 
@@ -190,7 +198,7 @@ def _(t: Tables):
       AND b.timestamp_us BETWEEN a.timestamp_us - {10 * MINUTE_US} AND a.timestamp_us + {10 * MINUTE_US}""",
 )
 def _(t: Tables):
-    a = _timed(t).where("layer = 0").withColumn("a_id", c("particle_id"))
+    a = S.with_event_time(t.obs_stream, "10 minutes").where("layer = 0").withColumn("a_id", c("particle_id"))
     b = S.with_event_time(t.obs_stream, "10 minutes").where("layer = 1").withColumn("b_id", c("particle_id"))
     out = S.stream_clock_pairs(a, b, 10 * MINUTE_US, ["sensor_id"], ["a_id"], ["b_id"])
     return S.drain(out.select("a_id", "b_id", "divergence_us"), "pairs")
@@ -202,7 +210,8 @@ def _(t: Tables):
     f"WITH {OBS_SQL} SELECT particle_id, sensor_id FROM obs",
 )
 def _(t: Tables):
-    twice = _timed(t).select("particle_id", "sensor_id", "event_time").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    timed = S.with_event_time(t.obs_stream, "10 minutes")
+    twice = timed.select("particle_id", "sensor_id", "event_time").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     return S.drain(S.stream_dedupe(twice, ["particle_id"]).select("particle_id", "sensor_id"), "dedupe")
 
 

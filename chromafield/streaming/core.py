@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from chromafield.operators.ordered import slice_of
@@ -260,22 +261,56 @@ def stateful_decay(
     )
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+# later than any observation: 2100-01-01
+END_US = 4_102_444_800_000_000
+
+
+def closable(stream: DataFrame, ts: str = "timestamp_us", **values) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream with a second input for an end mark, and the function that sends the mark.
+
+    The mark is one row at ``END_US`` with the given ``values`` (null elsewhere).  Sent after
+    the last row of a finite input, it moves the watermark past everything, so that windows,
+    sessions and timers which are still open give their results.  The mark's own window stays
+    open and never appears; operators that emit at once give one row at ``END_US``.
+    """
+    spark = stream.sparkSession
+    path = scratch_path(spark, "end")
+    # the mark is null in fields that no observation lacks
+    nullable = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema.fields])
+    spark.createDataFrame([], nullable).write.parquet(path)
+
+    def close() -> None:
+        row = {f.name: values.get(f.name) for f in stream.schema.fields} | {ts: END_US}
+        mark = spark.createDataFrame([tuple(row[c] for c in stream.columns)], nullable)
+        mark.write.mode("append").parquet(path)
+
+    marks = spark.readStream.schema(nullable).parquet(path)
+    return stream.unionByName(marks), close
+
+
+def drain(
+    stream: DataFrame, name: str, mode: str = "append", close: Callable[[], None] | None = None
+) -> DataFrame:
     """Run a stream over all available input and return its output as a table.
 
-    Output and checkpoint lie in the session's shared folder.
+    With ``close`` from ``closable`` the end mark follows, and what was still open is part of
+    the table.  Output and checkpoint lie in the session's shared folder.
     """
     spark = stream.sparkSession
     out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", out)
-        .option("checkpointLocation", ckpt)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        drain_batches(
+            stream.writeStream.format("parquet")
+            .outputMode(mode)
+            .option("path", out)
+            .option("checkpointLocation", ckpt)
+        )
+
+    run()
+    if close:
+        close()
+        run()
     return spark.read.schema(stream.schema).parquet(out)
 
 
