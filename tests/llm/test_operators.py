@@ -328,7 +328,7 @@ def test_secret_scan(edges):
     assert secrets.scan(edges).count() == len(EDGES)
     row = secrets.scan(table(edges.sparkSession, [(1, 'é api_key = "abcdef0123456789"')])).first()
     assert (row.n_assign, row.n_access, row.n_hex) == (1, 0, 1)
-    assert row.spans == "assign:2:28,hex:13:28,literal:13:28".replace("28,hex", "28,hex") or row.spans
+    assert row.spans == "assign:2:29,hex:13:29,literal:13:29"
     assert row.base_sha256 == hashlib.sha256(secrets.ordered(secrets.base_spans(row.text)).encode()).hexdigest()
 
 
@@ -356,7 +356,7 @@ def without_repeats(rows):
 @pytest.mark.parametrize("max_group", [1, suffix_dedup.MAX_GROUP])
 def test_suffix_dedup(spark, max_group):
     rng = random.Random(8)
-    letters = ["ab", "xyz", "äöüß "][:3]
+    letters = ["ab", "xyz", "äöüß "]
     passages = ["".join(rng.choice(a) for _ in range(rng.randrange(20, 160))) for a in letters * 6]
     rows = [(rng.randrange(60), "".join(rng.choice(passages) for _ in range(rng.randrange(6)))) for _ in range(80)]
     rows += EDGES + [(100, "ab" * 400), (101, "b" + "ab" * 300)]
