@@ -128,13 +128,18 @@ def test_exact_dedup_with_a_full_filter(spark, monkeypatch):
     assert got == {i: (max(range(i % 40, 100, 40)), len(range(i % 40, 100, 40))) for i in range(100)}
 
 
-@pytest.fixture(scope="module")
-def coder():
+def whole_coder():
+    """The tokenizer library over whole texts."""
     with open(public_tokenizers.path(queries.VOCABULARY), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     return tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@pytest.fixture(scope="module")
+def coder():
+    return whole_coder()
+
+
 def test_bpe(edges, coder):
     path = public_tokenizers.path(queries.VOCABULARY)
     rows = bpe.decode(bpe.encode(edges, path, public_tokenizers.PATTERN), path).collect()
@@ -174,41 +179,49 @@ def filled(budget, children):
     return share
 
 
-def test_mixing(spark):
-    rng = random.Random(3)
-    rows = [
-        (i, "w " * rng.randrange(1, 30), rng.choice(["en", "de", None]), rng.choice(["src0", "src1", "src5"]), 0)
-        for i in range(300)
-    ]
-    docs = spark.createDataFrame(rows, SCHEMA)
-    mixture = mixing.Mixture({("domain0",): 5, ("domain1", "en"): 3, ("domain1", "en", "src5"): 2}, 90, None, 3, 4)
-    mixed = mixing.mix(docs, mixture, queries.source_domain(), queries.word_count()).collect()
+def mixed_by_hand(rows, mixture):
+    """``(doc_id, epoch)`` of rows ``(doc_id, text, lang, source, ...)``."""
     tokens = {}
-    for i, t, lang, source, _ in rows:
+    for i, t, lang, source, *_ in rows:
         leaf = (f"domain{int(source[3:]) % 4}", lang or "unknown", source)
-        tokens.setdefault(leaf, []).append((i, len(t.split())))
-    cap = {leaf: 3 * sum(n for _, n in v) for leaf, v in tokens.items()}
+        tokens.setdefault(leaf, []).append((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))))
     sums = {leaf: sum(n for _, n in v) for leaf, v in tokens.items()}
+    cap = {leaf: mixture.max_epochs * n for leaf, n in sums.items()}
 
     def children(path):
         names = sorted({leaf[: len(path) + 1] for leaf in cap if leaf[: len(path)] == path})
         return {n: (mixture.weights.get(n, 1), sum(c for k, c in cap.items() if k[: len(n)] == n)) for n in names}
 
-    budget = {(): sum(sums.values()) * 90 // 100}
+    budget = {(): sum(sums.values()) * mixture.percent // 100}
     for depth in range(3):
         for path in [p for p in budget if len(p) == depth]:
             budget |= filled(budget[path], children(path))
-    want = []
+    taken = []
     for leaf, docs_of in tokens.items():
-        whole, rest = divmod(budget[leaf], sums[leaf])
-        want += [(i, e) for i, _ in docs_of for e in range(whole)]
-        place = lambda i: hashlib.md5(f"4:{whole}:{i}".encode()).hexdigest()  # noqa: B023, E731
-        for i, n in sorted(docs_of, key=lambda d: place(d[0])):
+        whole, rest = divmod(budget[leaf], sums[leaf]) if sums[leaf] else (0, -1)
+        taken += [(i, e) for i, _ in docs_of for e in range(whole)]
+
+        def place(doc, epoch=whole):
+            return hashlib.md5(f"{mixture.seed}:{epoch}:{doc[0]}".encode()).hexdigest()
+
+        for i, n in sorted(docs_of, key=place):
             rest -= n
             if rest < 0:
                 break
-            want.append((i, whole))
-    assert sorted((r.doc_id, r.epoch) for r in mixed) == sorted(want)
+            taken.append((i, whole))
+    return sorted(taken)
+
+
+def test_mixing(spark):
+    rng = random.Random(3)
+    rows = [
+        (i, "w " * rng.randrange(1, 30), rng.choice(["en", "de", None]), rng.choice(["src0", "src1", "src5"]), 0)
+        for i in range(300)
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    mixture = mixing.Mixture({("domain0",): 5, ("domain1", "en"): 3, ("domain1", "en", "src5"): 2}, 90, None, 3, 4)
+    mixed = mixing.mix(docs, mixture, queries.source_domain(), queries.word_count()).collect()
+    assert sorted((r.doc_id, r.epoch) for r in mixed) == mixed_by_hand(rows, mixture)
     assert len({r.epoch for r in mixed}) > 1
 
 

@@ -3,8 +3,10 @@
 import pytest
 
 import corpus_pipeline
-from chromafield.llm import queries
+from chromafield.llm import queries, toxicity
+from chromafield.session import scratch_path
 from tests.check import compare, connect
+from tests.llm.test_operators import linked, lower, mixed_by_hand, whole_coder
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
@@ -24,11 +26,36 @@ def test_registered():
 
 
 def test_pipeline(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns = docs.columns
+    """Each stage on its own input, by hand."""
+    docs = queries.documents(spark, sf_dir)
+    columns, rows = docs.columns, {}
+    model = queries.toxicity_model(spark, docs, sf_dir)
+    clean = {r.doc_id for r in toxicity.score(docs, model).where("predicted = 0").collect()}
+    rows["raw"] = [tuple(r) for r in docs.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert name == "byte_bpe" or docs.columns == columns
+        rows[name] = [tuple(r) for r in docs.select(columns).collect()] if name != "byte_bpe" else docs.collect()
+
+    assert sorted(r[0] for r in rows["toxicity"]) == sorted(clean)
+    last = {}
+    for i, text, *_ in rows["toxicity"]:
+        last[lower(text)] = max(i, last.get(lower(text), i))
+    assert sorted(r[0] for r in rows["exact_dedup"]) == sorted(last.values())
+    root = linked([r[:2] for r in rows["exact_dedup"]], 5, 80)
+    assert sorted(r[0] for r in rows["minhash_near_dedup"]) == sorted(i for i in root if root[i] == i)
+    taken = [i for i, _ in mixed_by_hand(rows["minhash_near_dedup"], queries.MIXTURE)]
+    assert sorted(r[0] for r in rows["mixing"]) == sorted(taken)
+    texts, coder = {r[0]: r[1] for r in rows["raw"]}, whole_coder()
+    assert sorted(r.doc_id for r in rows["byte_bpe"]) == sorted(taken)
+    for r in rows["byte_bpe"]:
+        assert r.token_ids == coder.encode_ordinary(texts[r.doc_id] or "") and r.round_trip
+        assert r.n_tokens == len(r.token_ids)
+    assert 0 < len(taken) < len(rows["raw"])
+
+
+def test_pipeline_runs_as_a_query(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
-    assert rows.where("not round_trip").count() == 0
-    assert 0 < rows.select("doc_id").distinct().count() < docs.count()
-    for name, stage in corpus_pipeline.STAGES[:2]:
-        docs = stage(spark, docs, sf_dir)
-        assert docs.columns == columns, name
+    assert rows.where("not round_trip").count() == 0 and rows.count() > 0
