@@ -92,8 +92,9 @@ def _tested(rows: DataFrame, sha: str, cells: DataFrame, blocks: int) -> DataFra
     )
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str):
-    """Stored keys of all rows, the filter with its size, and the stored groups of copies."""
+def _prepared(docs: DataFrame, id_col: str, text_col: str, least: int):
+    """Stored keys of all rows, the filter with its size, and the stored groups of the rows that
+    pass it, from ``least`` rows on."""
     spark = docs.sparkSession
     configure(spark)
     keys = store_table(
@@ -107,7 +108,7 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str):
         .where("__maybe")
         .groupBy("__sha")
         .agg(F.max("__id").alias("__keep"), F.count(F.lit(1)).alias("__size"))
-        .where("__size > 1"),
+        .where(F.col("__size") >= least),
         "exact-groups",
     )
     return keys, cells, blocks, groups
@@ -115,7 +116,7 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str):
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, keep_id, group_size, kept, text_sha256`` per row of ``docs``."""
-    keys, cells, blocks, groups = _prepared(docs, id_col, text_col)
+    keys, cells, blocks, groups = _prepared(docs, id_col, text_col, 2)
     tested = _tested(keys, "__sha", cells, blocks)
     single = tested.where("not __maybe").select(
         "*", F.col("__id").alias("__keep"), F.lit(1).cast("long").alias("__size")
@@ -140,14 +141,11 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    _, cells, blocks, groups = _prepared(docs, id_col, text_col)
+    _, cells, blocks, groups = _prepared(docs, id_col, text_col, 1)
     tested = _tested(docs.withColumn("__sha", digest(text_col)), "__sha", cells, blocks)
     single = tested.where("not __maybe")
-    # of a group only its winner stays; a false positive has no group
-    winners = (
-        tested.where("__maybe")
-        .join(groups, "__sha", "left")
-        .where(F.col("__size").isNull() | F.col(id_col).eqNullSafe(F.col("__keep")))
-        .dropDuplicates(["__sha", id_col])
-    )
+    # rows meet their group by hash and id, so that copies do not gather in one task
+    keep = groups.select(F.col("__sha").alias("__group"), "__keep")
+    wins = (F.col("__sha") == F.col("__group")) & F.col(id_col).eqNullSafe(F.col("__keep"))
+    winners = tested.where("__maybe").join(keep, wins, "left_semi").dropDuplicates(["__sha", id_col])
     return single.select(docs.columns).unionByName(winners.select(docs.columns))
