@@ -33,8 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromafield.llm.rows import BATCH_ROWS, with_text_columns
-from chromafield.session import configure
+from chromafield.llm.rows import BATCH_ROWS, prepare, with_text_columns
 
 LEAF_CHARS = 4_096
 WINDOW_CHARS = 64
@@ -147,7 +146,7 @@ def concatenated(words: list[bytes], ids: np.ndarray) -> bytes:
 
 def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
     """``docs`` with the bytes of each list of ids."""
-    configure(docs.sparkSession)
+    prepare(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
     kept = [c for c in docs.columns if c != bytes_col]
     rows = docs.select(*kept)

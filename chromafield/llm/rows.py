@@ -5,16 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chromafield.session import configure
 
-#: rows per batch handed to Python; long texts make batches of many megabytes otherwise
+#: rows that a Python worker holds at once; texts are long, and workers share a small memory
 BATCH_ROWS = 256
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """The library's settings, with Arrow batches for rows that hold whole texts."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def with_text_columns(
     docs: DataFrame,
     text_col: str,
@@ -28,7 +34,7 @@ def with_text_columns(
     texts to one Arrow array per field.  New columns replace input columns of the same name;
     ``keep`` names the input columns that go on (default: all).
     """
-    configure(docs.sparkSession)
+    prepare(docs.sparkSession)
     own = {f.name for f in fields}
     kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
     rows = docs.select(*kept, F.col(text_col).alias("__input"))

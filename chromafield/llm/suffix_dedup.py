@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromafield.llm.rows import with_text_columns
-from chromafield.session import configure, store_table
+from chromafield.llm.rows import prepare, with_text_columns
+from chromafield.session import store_table
 
 LENGTH = 50
 GRAM = 16
@@ -415,7 +415,7 @@ def removals(
     ``__tag`` is a hash of the text, so that rows with one id keep their own places.
     """
     spark = docs.sparkSession
-    configure(spark)
+    prepare(spark)
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text")
     )

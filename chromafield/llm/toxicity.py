@@ -43,7 +43,7 @@ DECAY = 1e-3
 MIN_HELD = 4  # toxic rows that set a threshold
 PAD = max(WIDTHS) - 1
 CHUNK_WORDS = 1 << 15
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 100_000
 
 
 class Words(dict):
