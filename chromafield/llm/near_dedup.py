@@ -7,10 +7,12 @@
 * ``ROWS`` bins make a band, equal bands a bucket.  With 32 bands of 4 a pair of similarity 0.8
   shares no bucket with probability 5e-8.
 * Equal sets are one class with its smallest id; only classes go on.
-* A bucket is not paired out.  It gets one centre and every other member an edge to it; the
-  next round takes twice as many centres, and so on.  A member that was a centre has met all
-  others, and a bucket whose members are in one component is done, so big groups of copies end
-  after the first round while every pair that could still join two components is tested.
+* A bucket is not paired out.  It gets one centre, at first its most typical member, and every
+  member of another component one edge to it; ``TURNS`` centres follow each other.  Buckets
+  whose members are then in one component are done, and big groups of copies are.  Elsewhere
+  the members outside a bucket's largest component meet the members of other components, so
+  that no pair that could still join two components is left out; only pairs go on whose
+  sketches (a bit per shingle) leave the threshold within reach.
 * Edges of sets whose sizes exclude the threshold are dropped, the rest confirmed on the full
   sets; what is already in one component is not compared again.
 * Components come from alternating large and small stars.
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +45,8 @@ from chromafield.session import configure, store_table
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
+SKETCH_BITS = 2_048
+TURNS = 4  # centres that a bucket gets one after the other
 MAX_CACHED_WORDS = 400_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -111,17 +115,25 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketch(values: np.ndarray) -> np.ndarray:
+    """``SKETCH_BITS`` bits in words of 64: one is set if a shingle's hash ends in its number."""
+    bits = np.zeros(SKETCH_BITS, np.uint8)
+    bits[(values % np.uint64(SKETCH_BITS)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def signatures(docs: DataFrame, text_col: str, size: int, keep: list[str]) -> DataFrame:
-    """``keep`` and ``__n`` (set size), ``__set`` (digest of the set), ``__bands``."""
+    """``keep`` and ``__n`` (set size), ``__set`` (digest of the set), ``__bands``, ``__sketch``."""
     fields = [
         T.StructField("__n", T.LongType()),
         T.StructField("__set", T.BinaryType()),
         T.StructField("__bands", T.ArrayType(T.LongType())),
+        T.StructField("__sketch", T.ArrayType(T.LongType())),
     ]
 
     def make():
@@ -135,6 +147,7 @@ def signatures(docs: DataFrame, text_col: str, size: int, keep: list[str]) -> Da
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array(bands, pa.list_(pa.int64())),
+                pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
             ]
 
         return run
@@ -146,14 +159,13 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, component)`` of the nodes of ``links (a, b)``: the smallest node reachable."""
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = store_table(edges.where("a <> b").distinct(), "near-edges")
-    state = None
     while True:
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if seen == state or not seen[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        state = seen
+        # done when every node has one edge, and that to a node without a smaller neighbour
+        ends = edges.select(F.explode(F.expr("array(struct(a, 1 as up), struct(b as a, 0 as up))")).alias("x"))
+        per_node = ends.groupBy("x.a").agg(F.sum("x.up").alias("up"), F.min("x.up").alias("least"))
+        if per_node.where("up > 1 or (up > 0 and least = 0)").isEmpty():
+            roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
         # large star: a node's larger neighbours move to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = store_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "near-least")
@@ -170,6 +182,20 @@ def components(links: DataFrame) -> DataFrame:
         )
 
 
+def _merged(labels: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
+    """``labels`` after the components in ``pairs (ca, cb)`` have been joined."""
+    if pairs.isEmpty():
+        return labels
+    joined = store_table(components(pairs.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "near-joined")
+    if labels is None:
+        return joined
+    # nodes without a link so far carried their own number
+    fresh = joined.join(labels.select("node"), "node", "left_anti")
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    known = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return store_table(known.unionByName(fresh), "near-labels")
+
+
 def _labelled(frame: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
     """``frame`` with the component of ``column``; nodes without a link are their own."""
     found = labels.select(F.col("node").alias(column), F.col("component").alias("__found"))
@@ -181,10 +207,10 @@ def _labelled(frame: DataFrame, labels: DataFrame, column: str, name: str) -> Da
 
 
 def _confirm(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar."""
+    """The components ``(ca, cb)`` of the edges ``(a, b, ca, cb)`` whose full sets are similar."""
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    pairs = edges.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    pairs = edges.join(one, "a").join(two, "b").select("ca", "cb", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -197,15 +223,15 @@ def _confirm(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
                     if tb != last[0]:  # rows of one centre come together
                         last = (tb, shingle_set(tb, size, words))
                     good[start + i] = similar(shingle_set(ta, size, words), last[1], percent)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            yield batch.select(["ca", "cb"]).filter(pa.array(good))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "ca long, cb long")
 
 
 def links(
     reps: DataFrame, texts_of, size: int, percent: int
 ) -> DataFrame | None:
-    """Labels ``(node, component)`` of all linked nodes of ``reps (node, n, bands)``, or None.
+    """Labels ``(node, component)`` of all linked nodes of ``reps (node, n, bands, sketch)``, or None.
 
     ``texts_of(nodes)`` gives the stored ``(node, text)`` of the nodes it is asked for.
     """
@@ -217,51 +243,85 @@ def links(
     if buckets.isEmpty():
         return None
     texts = texts_of(buckets.select("node").distinct())
-    by_turn = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
-    labels, found, tested, first, last = None, None, None, 1, 1
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    while True:
-        # members by turn: hashes of bucket and node, so buckets of one group differ in centres
-        centres = buckets.withColumn("turn", F.row_number().over(by_turn)).where(F.col("turn") <= last)
+
+    # the first centre of a bucket is the member with the most company over all its buckets,
+    # the most typical one and the same in most buckets of a group; later ones are random
+    company = store_table(buckets.groupBy("node").agg(F.sum("size").alias("company")), "near-company")
+    named = buckets.join(company, "node").select("key", "node", "n", "company", F.col("node").alias("component"))
+    named, labels = store_table(named, "near-buckets"), None
+    for turn in range(TURNS):
+        rank = F.col("company") if turn == 0 else F.xxhash64("key", "node", F.lit(turn))
+        centre = named.select("key", F.struct(rank.alias("rank"), "node", "n", "component").alias("c"))
         centres = store_table(
-            centres.where(F.col("turn") >= first).select("key", F.col("node").alias("b"), F.col("n").alias("m")),
+            centre.groupBy("key")
+            .agg(F.max("c").alias("c"))
+            .select("key", F.col("c.node").alias("b"), F.col("c.n").alias("m"), F.col("c.component").alias("cb")),
             "near-centres",
         )
-        edges = (
-            buckets.join(centres, "key")
-            .where(f"node <> b and {fits}")
+        edges = store_table(
+            named.join(centres, "key")
+            .where(f"component <> cb and {fits}")
             .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
             .groupBy("a", "b")
-            .agg(F.count("*").alias("agree"))
+            .agg(F.count("*").alias("agree")),
+            "near-stars",
         )
-        if tested is not None:
-            edges = edges.join(tested, ["a", "b"], "left_anti")
-        edges = store_table(edges, "near-pairs")
-        # each node's most promising edge first, the others only where they join components
+        # each node's most promising edge first; the others only where they join components
         best = edges.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("x")).select("a", "x.b")
-        for chosen in (best, edges):
-            if labels is not None:
-                chosen = _labelled(_labelled(chosen, labels, "a", "ca"), labels, "b", "cb")
-                chosen = chosen.where("ca <> cb").select("a", "b")
-            new = store_table(_confirm(chosen, texts, size, percent), "near-links")
-            found = new if found is None else store_table(found.unionByName(new), "near-links")
-            labels = store_table(components(found), "near-labels")
-        tested = edges.select("a", "b") if tested is None else tested.unionByName(edges.select("a", "b"))
-        tested = store_table(tested, "near-tested")
-        # buckets in one component, or whose members were all centres, are done
-        open_keys = (
-            _labelled(buckets.where(F.col("size") > last + 1), labels, "node", "component")
-            .groupBy("key")
-            .agg(F.min("component").alias("least"), F.max("component").alias("most"))
-            .where("least <> most")
-            .select("key")
-        )
-        buckets = store_table(
-            buckets.join(store_table(open_keys, "near-open"), "key", "left_semi"), "near-buckets"
-        )
-        if buckets.isEmpty():
+        for chosen in (best, edges) if turn == 0 else (edges,):
+            labels = _merged(labels, _tested(chosen.select("a", "b"), labels, texts, size, percent))
+        if labels is not None:
+            named = store_table(_labelled(named.drop("component"), labels, "node", "component"), "near-named")
+        several = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        open_keys = store_table(several.where("least <> most").select("key"), "near-open")
+        named = store_table(named.join(open_keys, "key", "left_semi"), "near-buckets")
+        if named.isEmpty():
             return labels
-        first, last = last + 1, 2 * last + 1
+
+    # what is left: buckets that still hold several components.  Every member outside the
+    # largest one meets every member of another component, if their sketches allow a link
+    parts = named.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    mains = store_table(
+        parts.groupBy("key")
+        .agg(F.max(F.struct("rows", "component")).alias("main"))
+        .select("key", F.col("main.component").alias("main")),
+        "near-mains",
+    )
+    sketches = reps.select("node", "sketch")
+    apart = named.join(mains, "key").withColumn("minor", F.col("component") != F.col("main"))
+    live = store_table(apart.drop("main", "company").join(sketches, "node"), "near-live")
+    minor = live.where("minor").select(
+        "key",
+        F.col("node").alias("b"),
+        F.col("n").alias("m"),
+        F.col("component").alias("cb"),
+        F.col("sketch").alias("other"),
+    )
+    pairs = (
+        live.join(minor, "key")
+        .where(f"component <> cb and (not minor or node < b) and {fits} and {_bound(percent)}")
+        .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
+        .distinct()
+    )
+    return _merged(labels, _tested(store_table(pairs, "near-pairs"), labels, texts, size, percent))
+
+
+def _tested(edges: DataFrame, labels: DataFrame | None, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Components that confirmed ``edges (a, b)`` join; edges within one are not looked at."""
+    if labels is None:
+        named = edges.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
+    else:
+        named = _labelled(_labelled(edges, labels, "a", "ca"), labels, "b", "cb")
+    apart = named.where("ca <> cb").select("a", "b", "ca", "cb")
+    return store_table(_confirm(apart, texts, size, percent), "near-links")
+
+
+def _bound(percent: int) -> str:
+    """Condition that every similar pair meets: a bit that only one sketch has is a shingle of
+    its own, so the sets share at most its size less those."""
+    own = " + ".join(f"bit_count(sketch[{i}] & ~other[{i}])" for i in range(SKETCH_BITS // 64))
+    return f"(100 + {percent}) * least(n - ({own}), m) >= {percent} * (n + m)"
 
 
 def verdicts(
@@ -287,7 +347,7 @@ def verdicts(
     known = usable.join(classes, "__set", "left").withColumn("__rep", F.coalesce("__first", "__id"))
     reps = store_table(
         known.where("__id = __rep")
-        .select(F.col("__rep").alias("node"), F.col("__n").alias("n"), F.col("__bands").alias("bands")),
+        .selectExpr("__rep as node", "__n as n", "__bands as bands", "__sketch as sketch"),
         "near-reps",
     )
 
