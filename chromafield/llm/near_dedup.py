@@ -39,15 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chromafield.llm.rows import BATCH_ROWS, with_text_columns
-from chromafield.session import configure, store_table
+from chromafield.llm.rows import BATCH_ROWS, prepare, with_text_columns
+from chromafield.session import store_table
 
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
 SKETCH_BITS = 2_048
 TURNS = 4  # centres that a bucket gets one after the other
-MAX_CACHED_WORDS = 400_000
+MAX_CACHED_WORDS = 100_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -333,7 +333,7 @@ def verdicts(
 ) -> DataFrame:
     """``id_col, n_shingles, component_id, kept`` per row of ``docs``."""
     spark = docs.sparkSession
-    configure(spark)
+    prepare(spark)
     narrow = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     signed = store_table(signatures(narrow, "__text", size, ["__id"]), "near-signatures")
     usable = signed.where("__n > 0 and __id is not null")
