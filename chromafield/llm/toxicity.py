@@ -4,15 +4,17 @@ A word is hashed to a cell with a vector; filters of several widths run over the
 the largest answer of each filter goes into a logistic output.  Words whose cell hardly occurs
 in the training rows share the zero vector, so that a long text of rare words stays quiet.
 
-A threshold is chosen per language on rows kept out of the fit.  The language is guessed from
-the words of the text alone; the score is shifted so that the threshold of the text's language
-lies at 0.5.
+A threshold is chosen per language on all labelled rows kept out of the fit, whatever their
+number and length: they are scored where they lie, and Spark sums a histogram of their logits
+per language and label.  The language is guessed from the words of the text alone; the score is
+shifted so that the threshold of the text's language lies at 0.5.
 
-Training reads a bounded sample: at most ``per_class`` labelled rows per class, each of at most
-``MAX_TRAIN_CHARS`` characters (longer rows train nothing).  Scoring reads every text as a whole.
+Only the fit reads a bounded sample: at most ``per_class`` labelled rows per class, each of at
+most ``MAX_TRAIN_CHARS`` characters, three quarters of which train.  Languages are those of the
+sample.  Calibration and scoring read every text as a whole.
 
 Defined results: null and empty texts score as a text without known words; labels other than 0
-and 1 and null ids train nothing; without rows of both classes every score is 0.  Result
+and 1 and null ids train nothing; without sampled rows of both classes every score is 0.  Result
 columns replace input columns of the same name.
 """
 
@@ -41,6 +43,8 @@ SHRINK = 20  # rows at which a cell's log odds count by half
 STEPS = 200  # batches at least, so that a small sample is read more often
 DECAY = 1e-3
 MIN_HELD = 4  # toxic rows that set a threshold
+MIN_OWN = 20  # rows of either class that set a language's own threshold
+BINS = 256  # histogram bins per unit of asinh(logit): fine near 0, without end bins
 PAD = max(WIDTHS) - 1
 CHUNK_WORDS = 1 << 15
 MAX_CACHED_WORDS = 100_000
@@ -100,8 +104,7 @@ class Model:
     def language(self, cells: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.add.reduceat(self.languages[cells[: len(cells) - PAD]], starts, axis=0).argmax(1)
 
-    def scores(self, texts: list[str | None], words: Words) -> np.ndarray:
-        cells, starts = cells_of(texts, words)
+    def scores(self, cells: np.ndarray, starts: np.ndarray) -> np.ndarray:
         shifted = self.logits(cells, starts) - self.thresholds[self.language(cells, starts)]
         return 1 / (1 + np.exp(-np.clip(shifted, -30, 30)))
 
@@ -114,10 +117,8 @@ def _gather(cells: np.ndarray, starts: np.ndarray, rows: np.ndarray):
     return np.concatenate([*parts, np.zeros(PAD, np.int64)]), np.cumsum(sizes) - sizes
 
 
-def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], odds: float, seed: int = 7):
-    """Model from the sample; ``odds``: harmless rows per toxic row in the whole table, over
-    the same in the sample.
-    """
+def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], seed: int = 7):
+    """Model from the sample, its thresholds not yet set, and the rows that trained it."""
     rng = np.random.default_rng(seed)
     words = Words()
     cells, starts = cells_of(texts, words)
@@ -142,7 +143,7 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], odds: floa
     # unknown cells read the zero vector; row 0 stays zero
     cells = np.where(known[cells], cells, 0)
     order = rng.permutation(rows)
-    held, train = order[: rows // 4], order[rows // 4 :]
+    train = order[rows // 4 :]
     embedding = rng.normal(0, 0.02, (CELLS, DIM)).astype(np.float32)
     embedding[:, 0] = _association(pairs, rows, toxic, train)
     filters = {w: rng.normal(0, 0.2, (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
@@ -158,17 +159,7 @@ def fit(texts: list[str], toxic: np.ndarray, langs: list[str | None], odds: floa
         np.zeros(len(names), np.float32),
     )
     _train(model, cells, starts, toxic, train, rng)
-    if (toxic[held] == 1).sum() < MIN_HELD:
-        held = order  # too few to set a threshold by: take all rows
-    held_cells, held_starts = _gather(cells, starts, held)
-    logit = model.logits(held_cells, held_starts)
-    guessed = model.language(held_cells, held_starts)
-    common = _threshold(logit, toxic[held], odds)
-    for i in range(len(names)):
-        own = guessed == i
-        enough = min((toxic[held][own] == 1).sum(), (toxic[held][own] == 0).sum()) >= 20
-        model.thresholds[i] = _threshold(logit[own], toxic[held][own], odds) if enough else common
-    return model
+    return model, train
 
 
 def _association(pairs: np.ndarray, rows: int, toxic: np.ndarray, train: np.ndarray) -> np.ndarray:
@@ -243,23 +234,98 @@ def _train(model: Model, cells, starts, toxic, train, rng, batch: int = 64, rate
     model.bias = float(params["bias"][0])
 
 
-def _threshold(logit: np.ndarray, toxic: np.ndarray, odds: float) -> float:
-    """Logit with the best F1 under the table's own class shares, in the middle of its gap."""
-    if not len(logit) or toxic.min() == toxic.max():
+def _threshold(low, high, counts: np.ndarray, odds: float) -> float:
+    """Logit with the best F1 under the table's own class shares, in the middle of its gap.
+
+    ``low`` and ``high``: smallest and largest logit of each bin, from the highest bin down;
+    ``counts``: its harmless and toxic rows; ``odds``: what a harmless row stands for.
+    """
+    total = counts.sum(0)
+    if not total.all():
         return 0.0
-    order = np.argsort(-logit)
-    values, hit = logit[order], toxic[order] == 1
-    right = np.cumsum(hit)
-    wrong = np.cumsum(~hit) * odds
-    f1 = 2 * right / (right + wrong + hit.sum())
-    f1[:-1][values[:-1] == values[1:]] = -1  # a cut cannot part equal values
+    right = np.cumsum(counts[:, 1])
+    wrong = np.cumsum(counts[:, 0]) * odds
+    f1 = 2 * right / (right + wrong + total[1])
     # harmless texts are to be left alone: a cut that is wrong more often than right is none
     f1[right < wrong] = -1
     best = int(np.argmax(f1))
     if f1[best] < 0:
-        return float(values[0]) + 2
-    below = values[best + 1] if best + 1 < len(values) else values[best] - 2
-    return float((values[best] + below) / 2)
+        return float(high[0]) + 2
+    below = high[best + 1] if best + 1 < len(high) else low[best] - 2
+    return float((low[best] + below) / 2)
+
+
+def _merged(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bins of histogram rows, the highest first: smallest, largest logit, rows per class."""
+    bins: dict[int, list] = {}
+    for r in rows:
+        own = bins.setdefault(r["bin"], [r["low"], r["high"], [0, 0]])
+        own[0], own[1] = min(own[0], r["low"]), max(own[1], r["high"])
+        own[2][r["toxic"]] += r["n"]
+    found = [bins[b] for b in sorted(bins, reverse=True)]
+    low, high, counts = zip(*found) if found else ((), (), np.zeros((0, 2)))
+    return np.array(low), np.array(high), np.array(counts, float)
+
+
+def calibrate(
+    model: Model, docs: DataFrame, labels: DataFrame, trained: list, id_col: str, text_col: str
+) -> None:
+    """Set the thresholds from all ``labels`` (``__id``, ``__toxic``) not in ``trained``.
+
+    Texts are scored where they lie; ids and logits alone are shuffled to their labels.  The
+    driver gets one row per language, bin of logits and label.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        words = Words()
+
+        def run(texts: pa.Array) -> list[pa.Array]:
+            logits, guessed = [], []
+            for cells, starts in _chunks(texts, words):
+                logits.append(shared.value.logits(cells, starts))
+                guessed.append(shared.value.language(cells, starts))
+            return [
+                pa.array(np.concatenate(logits), pa.float64()),
+                pa.array(np.concatenate(guessed).astype(np.int32)),
+            ]
+
+        return run
+
+    fields = [T.StructField("__logit", T.DoubleType()), T.StructField("__guess", T.IntegerType())]
+    known = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    known = known.where(F.col("__id").isNotNull())
+    scored = with_text_columns(known, "__text", fields, make, keep=["__id"])
+    seen = docs.sparkSession.createDataFrame(
+        [(x,) for x in dict.fromkeys(trained)], T.StructType([scored.schema["__id"]])
+    ).withColumn("__seen", F.lit(True))
+    hist = (
+        scored.join(labels, "__id")
+        .join(F.broadcast(seen), "__id", "left")
+        .groupBy(
+            F.col("__guess").alias("guess"),
+            F.floor(F.asinh("__logit") * BINS).alias("bin"),
+            F.col("__toxic").alias("toxic"),
+            F.col("__seen").isNotNull().alias("seen"),
+        )
+        .agg(F.count("*").alias("n"), F.min("__logit").alias("low"), F.max("__logit").alias("high"))
+        .collect()
+    )
+
+    def totals(rows: list) -> np.ndarray:
+        return np.array([sum(r["n"] for r in rows if r["toxic"] == c) for c in (0, 1)], float)
+
+    held = [r for r in hist if not r["seen"]]
+    if totals(held)[1] < MIN_HELD or not totals(held)[0]:
+        held = hist  # too few to set a threshold by: take all rows
+    # the fit took a larger share of the rarer class
+    share, rest = totals(hist), totals(held)
+    odds = (share[0] / share[1]) / (rest[0] / rest[1]) if rest.all() else 1.0
+    common = _threshold(*_merged(held), odds)
+    for i in range(len(model.thresholds)):
+        low, high, counts = _merged([r for r in held if r["guess"] == i])
+        enough = len(counts) and counts.sum(0).min() >= MIN_OWN
+        model.thresholds[i] = _threshold(low, high, counts, odds) if enough else common
 
 
 def train(
@@ -272,13 +338,12 @@ def train(
     lang_col: str = "lang",
     per_class: int = PER_CLASS,
 ) -> Model | None:
-    """Fit on at most ``per_class`` rows per class among the labels that are ``usable``."""
+    """Fit on at most ``per_class`` rows per class among the labels that are ``usable``, with
+    thresholds from all the others.
+    """
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & usable).select(
         F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__toxic")
     )
-    totals = {r["__toxic"]: r["count"] for r in rows.groupBy("__toxic").count().collect()}
-    if len(totals) < 2:
-        return None
     pick = F.xxhash64("__id", F.lit("toxicity"))
     chosen = [rows.where(F.col("__toxic") == c).orderBy(pick, "__id").limit(per_class) for c in (0, 1)]
     # 2 * per_class ids at most
@@ -295,8 +360,22 @@ def train(
     toxic = np.array([r["__toxic"] for r in sample])
     if len(set(toxic.tolist())) < 2:
         return None
-    odds = (totals[0] / totals[1]) / ((toxic == 0).sum() / (toxic == 1).sum())
-    return fit([r["__text"] for r in sample], toxic, [r["__lang"] for r in sample], odds)
+    model, used = fit([r["__text"] for r in sample], toxic, [r["__lang"] for r in sample])
+    calibrate(model, docs, rows, [sample[i]["__id"] for i in used], id_col, text_col)
+    return model
+
+
+def _chunks(texts: pa.Array, words: Words):
+    """Cells and starts of all texts, in groups of bounded size."""
+    part, size = [], 0
+    for text in texts.to_pylist():
+        part.append(text)
+        size += len(text or "")
+        if size > 6 * CHUNK_WORDS:
+            yield cells_of(part, words)
+            part, size = [], 0
+    if part:
+        yield cells_of(part, words)
 
 
 def score(
@@ -314,16 +393,7 @@ def score(
             if shared.value is None:
                 values = np.zeros(len(texts))
             else:
-                values, part, size = [], [], 0
-                for text in texts.to_pylist():
-                    part.append(text)
-                    size += len(text or "")
-                    if size > 6 * CHUNK_WORDS:
-                        values.append(shared.value.scores(part, words))
-                        part, size = [], 0
-                if part:
-                    values.append(shared.value.scores(part, words))
-                values = np.concatenate(values)
+                values = np.concatenate([shared.value.scores(*c) for c in _chunks(texts, words)])
             return [pa.array(values, pa.float64()), pa.array((values >= 0.5).astype(np.int32))]
 
         return run

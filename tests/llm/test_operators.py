@@ -281,6 +281,51 @@ def test_toxicity(spark, edges):
     assert toxicity.train(docs, marks.where("toxic = 0"), F.lit(True)) is None
 
 
+def test_toxicity_thresholds_read_all_labels(spark, monkeypatch):
+    """A rare language whose toxic rows are mostly too long for the fit has its own threshold."""
+    monkeypatch.setattr(toxicity, "MAX_TRAIN_CHARS", 400)
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(1200):
+        rare, toxic = i % 12 == 0, int(i % 4 == 0 if i % 12 else i % 24 == 0)
+        words = [f"{'mot' if rare else 'word'}{rng.randrange(60)}" for _ in range(rng.randrange(5, 40))]
+        if rare and i % 96:
+            words += [f"mot{rng.randrange(60)}" for _ in range(80)]  # over 400 characters
+        if toxic:
+            words[rng.randrange(len(words))] = rng.choice(["vermin", "filth"])
+        rows.append((i, " ".join(words), "fr" if rare else "en", "src0", 0))
+        labels.append((i, 0, toxic))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    used = {}
+    plain = toxicity.calibrate
+    monkeypatch.setattr(
+        toxicity,
+        "calibrate",
+        lambda model, d, l, trained, *a: (used.update(ids=set(trained)), plain(model, d, l, trained, *a)),
+    )
+    model = toxicity.train(docs, marks, F.lit(True), per_class=150)
+    assert len(model.thresholds) == 2 and model.thresholds[0] != model.thresholds[1]
+    # each threshold by hand: the best F1 on every row that did not train
+    held = [r for r in rows if r[0] not in used["ids"]]
+    assert len(held) > 900
+    cells = toxicity.cells_of([r[1] for r in held], toxicity.Words())
+    toxic = np.array([labels[r[0]][2] for r in held])
+    logit, guess = model.logits(*cells), model.language(*cells)
+    full = [sum(x[2] == c for x in labels) for c in (0, 1)]
+    odds = full[0] / full[1] * toxic.sum() / (toxic == 0).sum()
+
+    def f1(cut, own):
+        hit = logit[own] >= cut
+        right, wrong = (hit & (toxic[own] == 1)).sum(), (hit & (toxic[own] == 0)).sum() * odds
+        return 2 * right / (right + wrong + toxic[own].sum())
+
+    for i in (0, 1):
+        own = guess == i
+        best = max(f1(x, own) for x in logit[own])
+        assert f1(model.thresholds[i], own) >= best - 0.02
+
+
 def jump(key, shards):
     """The published loop."""
     b, j = -1, 0
