@@ -1,8 +1,11 @@
 """Secrets in texts: fixed patterns, and assignments read as source or configuration syntax.
 
-The lexer looks at every ``=``, ``:``, ``:=`` and ``=>`` of a text, reads the name before it
-(quoted, dotted, hyphenated or plain) and the value after it: quoted literals and names joined
-by ``+``, or one bare word.  A name that was given literals before is a constant: where it is
+The lexer looks at every ``=``, ``:``, ``:=`` and ``=>`` of a text, reads the names before it
+(quoted, dotted, hyphenated or plain; a quoted or plain subscript, the name before brackets, the
+name before a type) and the values after it: quoted literals, with or without a prefix, side by
+side or joined with names by ``+``; literals within brackets or the arguments of a call, but not
+the key of a lookup; alternatives after ``or``, ``||`` or ``??``; or one bare word.  A value may
+begin on the next line if it is quoted, bracketed or, below a ``:``, one indented word.  A name that was given literals before is a constant: where it is
 used as a value, its literals count for the name on the left as well, over any number of steps.
 Each literal is scored by how sensitive the best of its target names is, times how much the
 literal looks like a secret; from ``threshold`` on it is reported with the kind ``literal``.
@@ -65,9 +68,26 @@ SHORTEST = 8
 
 _OPERATOR = re.compile(r"(?::=|=>|(?<![=!<>:])=(?![=>])|(?<!:):(?![:=/]))[ \t]*")
 _NAME = re.compile(r"[A-Za-z_][\w.\-]*")
-_LITERAL = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
+_LITERAL = re.compile(
+    r"""(?P<prefix>[bfrBFR]{1,2}|u8|[uUL]|[@$]{1,2})?(?:"""
+    r"""(?P<triple>\"{3}|'{3})(?P<long>(?:\\[\s\S]|(?!(?P=triple))[^\\])*)(?P=triple)|"""
+    r"""(?P<quote>["'`])(?P<body>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote))"""
+)
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>|&]+""")
-_PLUS = re.compile(r"[ \t]*\+[ \t]*")
+_PLUS = re.compile(r"[ \t]*\+\s*")
+_BLANK, _SPACE = re.compile(r"[ \t]*"), re.compile(r"\s*")
+_CALL = re.compile(r"(?:(?:new|await)[ \t]+)?[&*]?([A-Za-z_$][\w.$:]*!?)\(")
+_GROUP = re.compile(r"(?:new[ \t]+[\w.]+\[\d*\][ \t]*)?&?[(\[{]")
+_TAIL = re.compile(r"(?:\.\w+\(\))+")
+_KEY = re.compile(r"""(["'`]?)([A-Za-z_][\w.\-]*)\1\s*(?:=>|=(?![=>])|:(?![:=/]))\s*""")
+_ELSE = re.compile(r"[ \t]*(?:\|\||\?\?|\?:|or\b)\s*")
+_BELOW = re.compile(r"(?:[|>][+\-\d]*[ \t]*)?\r?\n")
+_LINE = re.compile(r"([ \t]+)([^\s\"'`,;(){}\[\]<>|&]+)[ \t]*\r?(?:\n|\Z)")
+_BRACKET = re.compile(r"[\[\]<>\n]")
+_LOOKUP = re.compile(r"(?:^|[._:$])(?:get\w*|\w*env|lookup|fetch|setting|config|option)$", re.IGNORECASE)
+#: arguments by name that stand for the value of the whole call
+FALLBACKS = {"default", "default_value", "defaultValue", "fallback", "value"}
+DEPTH = 8  # brackets within brackets that one value is followed into
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 Span = tuple[int, int]
@@ -81,8 +101,24 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _name_before(text: str, end: int) -> str | None:
-    """The name that ends before ``end``, without its quotes."""
+def _openers(text: str) -> dict[int, int]:
+    """Where the bracket opened that closes at a position, for ``[]`` and ``<>`` of one line."""
+    open_at: dict[str, list[int]] = {"]": [], ">": []}
+    found = {}
+    for m in _BRACKET.finditer(text):
+        c = m[0]
+        if c == "\n":
+            for stack in open_at.values():
+                stack.clear()
+        elif c in "[<":
+            open_at["]" if c == "[" else ">"].append(m.start())
+        elif open_at[c]:
+            found[m.start()] = open_at[c].pop()
+    return found
+
+
+def _name_before(text: str, end: int) -> tuple[str | None, int]:
+    """The name that ends before ``end``, without its quotes, and its start."""
     while end and text[end - 1] in " \t":
         end -= 1
     if end and text[end - 1] in "\"'`":
@@ -90,16 +126,55 @@ def _name_before(text: str, end: int) -> str | None:
     start = end
     while start and (text[start - 1].isalnum() or text[start - 1] in "_.-"):
         start -= 1
-    name = text[start:end].lstrip("-.0123456789")
-    return name or None
+    return text[start:end].lstrip("-.0123456789") or None, start
+
+
+def _names_before(text: str, end: int, openers: dict[int, int], typed: bool = False) -> list[str]:
+    """All names that the value after ``end`` is given to."""
+    names = []
+    while True:
+        while end and text[end - 1] in " \t":
+            end -= 1
+        at = openers.get(end - 1)
+        if at is None:
+            break
+        inner = text[at + 1 : end - 1].strip() if text[at] == "[" else ""
+        if m := _NAME.fullmatch(inner.strip("\"'`").lstrip(":")):
+            names.append(m[0])
+            if inner[0] in "\"'`":
+                return names
+        end = at
+    name, start = _name_before(text, end)
+    if name:
+        names.append(name)
+    while start and text[start - 1] in " \t&*?":
+        start -= 1
+    if name and not typed and start > 1 and text[start - 1] == ":" and text[start - 2] != ":":
+        # a type, or a value that holds an assignment of its own
+        names += _names_before(text, start - 1, openers, True)
+    return list(dict.fromkeys(names))
+
+
+def _literal_term(m: re.Match) -> tuple[str, Span]:
+    span = m.span("long" if m["triple"] else "body")
+    if set(m["prefix"] or "") & set("fF$"):
+        fixed = re.sub(r"\{[^{}]*\}", "", m["long" if m["triple"] else "body"])
+        if len(fixed) < SHORTEST:
+            return "name", span  # nothing but placeholders
+    return "literal", span
 
 
-def _value(text: str, at: int) -> list[tuple[str, Span]]:
-    """Terms of the value at ``at``: ``('literal' | 'name', span)``."""
-    terms = []
+def _sum(text: str, at: int, inside: bool) -> tuple[list[tuple[str, Span]], int]:
+    """Terms of the sum at ``at``: ``('literal' | 'name' | 'bare', span)``, and its end."""
+    terms, end = [], at
     while True:
         if m := _LITERAL.match(text, at):
-            terms.append(("literal", m.span(2)))
+            terms.append(_literal_term(m))
+            end = m.end()
+            beside = (_SPACE if inside else _BLANK).match(text, end).end()
+            if _LITERAL.match(text, beside):
+                at = beside
+                continue
         elif m := _BARE.match(text, at):
             plain = _NAME.fullmatch(m[0].split("+")[0])
             if plain and (terms or "+" in m[0] or _PLUS.match(text, m.end())):
@@ -109,23 +184,89 @@ def _value(text: str, at: int) -> list[tuple[str, Span]]:
                 break
             else:
                 terms.append(("bare", m.span()))
+            end = m.end()
         else:
             break
-        more = _PLUS.match(text, m.end())
+        more = _PLUS.match(text, end)
         if not more:
             break
         at = more.end()
-    return terms
+    return terms, end
+
+
+def _quoted(values: list[list[tuple[str, Span]]]) -> list[list[tuple[str, Span]]]:
+    return [v for v in values if any(kind == "literal" for kind, _ in v)]
+
+
+def _elements(text: str, at: int, depth: int, lookup: bool):
+    """Values with literals in the brackets that opened before ``at``, and their end."""
+    found, first = [], lookup
+    while True:
+        at = _SPACE.match(text, at).end()
+        key = _KEY.match(text, at)
+        if key:
+            at = key.end()
+        values, end = _values(text, at, depth)
+        # what has a key of its own belongs to that
+        if key[2] in FALLBACKS if key else not first:
+            found += _quoted(values)
+        first = False
+        at = _SPACE.match(text, end).end()
+        if text[at : at + 1] != ",":
+            break
+        at += 1
+    return found, at + (text[at : at + 1] in tuple(")]}"))
+
+
+def _values(text: str, at: int, depth: int = 0) -> tuple[list[list[tuple[str, Span]]], int]:
+    """Terms of every value at ``at``, and the end of the last."""
+    call = _CALL.match(text, at)
+    group = call or _GROUP.match(text, at)
+    values, end = [], at
+    if group and depth < DEPTH:
+        values, end = _elements(text, group.end(), depth + 1, bool(call and _LOOKUP.search(call[1])))
+        if m := _TAIL.match(text, end):
+            end = m.end()
+    if not values and not (group and depth):
+        terms, upto = _sum(text, at, depth > 0)
+        if terms:
+            values, end = [terms], max(end, upto)
+    while other := _ELSE.match(text, end):
+        if _LITERAL.match(text, other.end()):
+            terms, end = _sum(text, other.end(), depth > 0)
+            values += _quoted([terms])
+        else:
+            break
+    return values, end
+
+
+def _value_at(text: str, operator: re.Match) -> tuple[int, list[list[tuple[str, Span]]]] | None:
+    """Where the value after an operator begins if that is on a later line; one word's terms."""
+    below = _BELOW.match(text, operator.end())
+    if not below:
+        return operator.end(), []
+    at = _SPACE.match(text, below.end()).end()
+    literal = _LITERAL.match(text, at)
+    if (literal and not _KEY.match(text, at)) or _GROUP.match(text, at):
+        return at, []
+    line = _LINE.match(text, below.end()) if operator[0].startswith(":") else None
+    if line and not line[2].endswith(":") and not line[2].startswith(("-", "#")):
+        start = text.rfind("\n", 0, operator.start()) + 1
+        if len(line[1]) > _BLANK.match(text, start).end() - start and "=" not in line[2].rstrip("="):
+            return at, [[("bare", line.span(2))]]
+    return None
 
 
 def assignments(text: str) -> list[tuple[str, list[tuple[str, Span]]]]:
-    """``(name, terms)`` for every assignment, in the order of the text."""
+    """``(name, terms)`` for every name and value of an assignment, in the order of the text."""
     found = []
+    openers = _openers(text)
     for m in _OPERATOR.finditer(text):
-        name = _name_before(text, m.start())
-        terms = _value(text, m.end()) if name else []
-        if terms:
-            found.append((name, terms))
+        names = _names_before(text, m.start(), openers)
+        place = _value_at(text, m) if names else None
+        if place:
+            values = place[1] or _values(text, place[0])[0]
+            found += [(name, terms) for terms in values for name in names]
     return found
 
 

@@ -382,6 +382,56 @@ def test_lexed_secrets():
     assert found('secret = secret\na = b\nb = a') == []
 
 
+KEY = "q8Zk3nPq0sL2"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f'config["db_password"] = "{KEY}"',
+        f"os.environ['API_TOKEN'] = '{KEY}'",
+        f"$c['secret'] = '{KEY}';",
+        f'$c["db"]["password"] = "{KEY}";',
+        f'users["password"][0] = "{KEY}"',
+        f'char password[] = "{KEY}";',
+        f'char password[32] = "{KEY}";',
+        f'password: Optional[str] = "{KEY}"',
+        f'password: str = "{KEY}"',
+        f'let password: &str = "{KEY}";',
+        f'password: Array<string> = ["{KEY}"]',
+        f'token = b"{KEY}"',
+        f'token = f"{KEY}"',
+        f"token = r'{KEY}'",
+        f'token = """{KEY}"""',
+        f'password = (\n    "{KEY}"\n)',
+        f'password =\n    "{KEY}"',
+        f"db:\n  password:\n    {KEY}\n  port: 1",
+        f'password:\n  "{KEY}"',
+        f"password: |\n  {KEY}\n",
+        f'password = getenv("DB_PASSWORD_NAME", "{KEY}")',
+        f'password = os.environ.get("DB_PASSWORD_NAME", default="{KEY}")',
+        f'password = str(b64decode(b"{KEY}"))',
+        f'String password = new String("{KEY}");',
+        f'password = getenv("DB_PASSWORD_NAME") or "{KEY}"',
+        f'String[] password = {{"{KEY}"}};',
+    ],
+)
+def test_lexed_syntax(text):
+    spans = [text[a:b] for a, b, _ in secrets.literal_spans(text)]
+    assert KEY in spans and set(spans) <= {KEY, "Optional"}
+
+
+def test_lexed_syntax_without_secrets():
+    found = lambda text: [text[a:b] for a, b, _ in secrets.literal_spans(text)]
+    assert found('"credentials": {"username": "margaret hale", "user_name2": 5}') == []
+    assert found('password = getenv("DB_PASSWORD_NAME")') == []
+    assert found('token = f"{other_value}"') == []
+    assert found('password:\n  minimum_length: 8\n') == []
+    assert found('password = (\n"abcd1234" \n "efgh5678")') == ["abcd1234", "efgh5678"]
+    deep = 'secret = f(' * 3000
+    assert found(deep + f'"{KEY}"') == [KEY]
+
+
 def test_secret_scan(edges):
     assert secrets.scan(edges).count() == len(EDGES)
     row = secrets.scan(table(edges.sparkSession, [(1, 'é api_key = "abcdef0123456789"')])).first()
