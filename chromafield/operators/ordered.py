@@ -328,6 +328,98 @@ def centred(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> Da
     return out.withColumns({name: F.coalesce(name, F.lit(0.0)) for name in values})
 
 
+def _pooled(n1: Column, m1: Column, ss1: Column, n2: Column, m2: Column, ss2: Column):
+    """Mean and squared deviations of two groups; an empty group may have a null mean."""
+    m1, m2 = F.coalesce(m1, m2), F.coalesce(m2, m1)
+    share = F.coalesce(F.try_divide(n2, n1 + n2), F.lit(0.0))
+    gap = F.coalesce(m2 - m1, F.lit(0.0))
+    return m1 + gap * share, ss1 + ss2 + gap * gap * n1 * share
+
+
+def _frame_side(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: str,
+    frame: tuple[int, int],
+    suffix: bool,
+    name: str,
+    width: int,
+) -> DataFrame:
+    """Moments of the part of a range frame that lies in its first (``suffix``) or last pane.
+
+    Panes are as wide as the frame, so a frame is the end of one pane and the start of the
+    next.  Either part is a running aggregate of its pane, to which rows are only ever added;
+    a pane is cut into slices like any key.
+    """
+    lo, hi = frame
+    span = hi - lo + 1
+    sign, reach = (-1, lo) if suffix else (1, hi)
+    o = F.col(order).cast("long")
+    row = F.struct(*[F.col(c) for c in df.columns])
+    pane = slice_of(o + reach, span)
+    if not suffix:  # a frame that is just one pane has all its rows in the suffix
+        pane = F.when(pane > slice_of(o + lo, span), pane)
+
+    def mark(pane: Column, at: Column, probe: int, v: Column) -> Column:
+        return F.struct(
+            pane.alias("_pane"),
+            (at * sign).alias("_o"),
+            F.lit(probe).alias("_probe"),
+            (row if probe else F.when(F.lit(False), row)).alias("_row"),
+            v.alias("_x"),
+        )
+
+    v = F.when(o.isNotNull(), F.col(value).cast("double"))
+    marks = [
+        mark(slice_of(o, span), o, 0, v),
+        mark(pane, o + reach, 1, F.lit(None).cast("double")),
+    ]
+    both = df.select(*keys, F.inline(F.array(*marks)))
+    sliced = with_slice(both, [*keys, "_pane"], "_o", width)
+    x = F.when(~F.isnan("_x") & (F.abs("_x") < float("inf")), F.col("_x"))
+    parts = {
+        "all": F.count("_x"),
+        "n": F.count(x),
+        "m": F.avg(x),
+        "v": F.var_pop(x),
+        "lo": F.min(x),
+        "hi": F.max(x),
+    }
+    carry = sliced.groupBy(KEY, SLICE).agg(*[f.alias(f"_{k}") for k, f in parts.items()])
+    # slice moments are pooled around the first slice mean, which is one of those pooled
+    carry = carry.withColumn("_m0", F.first("_m", ignorenulls=True).over(whole_key()))
+    d, n = F.col("_m") - F.col("_m0"), F.col("_n")
+    carry = carry.select(
+        KEY,
+        SLICE,
+        "_m0",
+        F.coalesce(F.sum("_all").over(before()), F.lit(0)).alias("_call"),
+        F.coalesce(F.sum("_n").over(before()), F.lit(0)).alias("_cn"),
+        F.sum(n * d).over(before()).alias("_c1"),
+        F.sum(n * (F.col("_v") + d * d)).over(before()).alias("_c2"),
+        F.min("_lo").over(before()).alias("_clo"),
+        F.max("_hi").over(before()).alias("_chi"),
+    )
+    w = in_slice().orderBy("_o", "_probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = _join_carry(sliced, carry).withColumns({f"_{k}": f.over(w) for k, f in parts.items()})
+    out = out.where("_probe = 1")
+    c1, c2 = (F.coalesce(c, F.lit(0.0)) for c in ("_c1", "_c2"))
+    off = F.try_divide(c1, F.col("_cn"))
+    ss1 = F.greatest(c2 - c1 * F.coalesce(off, F.lit(0.0)), F.lit(0.0))
+    ss2 = F.coalesce(F.col("_n") * F.col("_v"), F.lit(0.0))
+    mean, ss = _pooled(F.col("_cn"), F.col("_m0") + off, ss1, F.col("_n"), F.col("_m"), ss2)
+    found = F.struct(
+        (F.col("_call") + F.col("_all")).alias("all"),
+        (F.col("_cn") + F.col("_n")).alias("n"),
+        mean.alias("mean"),
+        ss.alias("ss"),
+        F.least("_clo", "_lo").alias("lo"),
+        F.greatest("_chi", "_hi").alias("hi"),
+    )
+    return out.select("_row.*", found.alias(name))
+
+
 def with_moments(
     df: DataFrame,
     keys: Sequence[str],
@@ -340,46 +432,32 @@ def with_moments(
     """``<prefix>_n``, ``_mean`` and ``_sd`` (population) of a column over sliding frames.
 
     A frame that holds a NaN or infinite value has NaN moments, as a direct average would.
-    Sums run over the distance from the key's own mean, so that large values with small
-    deviations keep them; a variance below the rounding noise of those sums counts as zero.
+    Moments are pooled from (n, mean, squared deviations) of the two panes that a frame
+    touches; no longer sums are subtracted, so that distant levels of a key do not blur the
+    deviations at one of them.  A frame of equal values has deviation 0, and no other has.
     Plain sums of the ``extra`` expressions over the same frames ride along as
     ``<prefix>_<name>``.
     """
     if width is None:
         width = plan_width(df, keys, order)
-    df = centred(df, keys, {"_center": F.col(value)})
-    v = F.col(value).cast("double") - F.col("_center")
-    finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    out = rolling_sums(
-        df,
-        keys,
-        order,
-        frames,
-        {
-            "n": F.when(v.isNotNull(), 1.0),
-            "odd": F.when(v.isNotNull() & ~finite, 1.0),
-            "s1": F.when(finite, v),
-            "s2": F.when(finite, v * v),
-            **(extra or {}),
-        },
-        width,
-    )
-    for prefix in frames:
-        n, s1, s2 = (F.col(f"{prefix}_{c}") for c in ("n", "s1", "s2"))
-        square = F.try_divide(s2, n)
-        offset = F.try_divide(s1, n)
-        mean = F.col("_center") + offset
-        var = square - offset * offset
-        var = F.when((n < 1.5) | (var <= square * 1e-13), 0.0).otherwise(var)
-        odd = F.col(f"{prefix}_odd") > 0.5
+    out = rolling_sums(df, keys, order, frames, extra, width) if extra else df
+    for prefix, frame in frames.items():
+        for suffix, side in ((True, "_a"), (False, "_b")):
+            out = _frame_side(out, keys, order, value, frame, suffix, side, width)
+        a, b = F.col("_a"), F.col("_b")
+        n, whole = a["n"] + b["n"], a["all"] + b["all"]
+        mean, ss = _pooled(a["n"], a["mean"], a["ss"], b["n"], b["mean"], b["ss"])
+        lo, hi = F.least(a["lo"], b["lo"]), F.greatest(a["hi"], b["hi"])
+        odd = whole > n
+        sd = F.when(lo == hi, 0.0).otherwise(F.sqrt(F.try_divide(ss, n)))
         out = out.withColumns(
             {
-                f"{prefix}_mean": F.when(n > 0.5, F.when(odd, float("nan")).otherwise(mean)),
-                f"{prefix}_sd": F.when(n > 0.5, F.when(odd, float("nan")).otherwise(F.sqrt(var))),
-                f"{prefix}_n": F.round(n).cast("long"),
+                f"{prefix}_mean": F.when(whole > 0, F.when(odd, float("nan")).when(lo == hi, lo).otherwise(mean)),
+                f"{prefix}_sd": F.when(whole > 0, F.when(odd, float("nan")).otherwise(sd)),
+                f"{prefix}_n": whole,
             }
-        ).drop(f"{prefix}_odd", f"{prefix}_s1", f"{prefix}_s2")
-    return out.drop("_center")
+        ).drop("_a", "_b")
+    return out
 
 
 def with_halo(

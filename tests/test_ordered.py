@@ -318,3 +318,28 @@ def test_step_from_a_constant_level(spark):
     df = spark.createDataFrame(data, "id long, timestamp_us long, v double")
     got = {r["id"]: r["sigmas"] for r in step_changes(df, "v", 200, 3.0, width=70).collect()}
     assert got[50] == math.inf and min(got) >= 30 and max(got) <= 70
+
+
+@pytest.mark.parametrize("width", [97, None])
+def test_moments_of_two_distant_bands(spark, width):
+    """Small deviations at 433 MHz and at 2.4 GHz, in one key; constant stretches have none."""
+    import statistics
+
+    from chromafield.operators.aggregates import step_changes
+
+    band = lambda i: 433e6 if i // 50 % 2 else 2.4e9
+    values = [band(i) + (0 if i % 50 > 30 else (i * 7 % 5) * 10.0) for i in range(1000)]
+    df = spark.createDataFrame([(i, "k", i, v) for i, v in enumerate(values)], "id long, k string, t long, v double")
+    got = {r["id"]: r for r in W.rolling_z(df, ["k"], "v", 10, "t", width).collect()}
+    assert got[0]["base_n"] == 0 and got[0]["base_sd"] is None
+    for i in range(1, 1000):
+        frame = values[max(0, i - 10) : i]
+        sd = statistics.pstdev(frame)
+        assert got[i]["base_n"] == len(frame)
+        assert got[i]["base_mean"] == pytest.approx(statistics.fmean(frame), rel=1e-14)
+        assert got[i]["base_sd"] == pytest.approx(sd, rel=1e-6) and (got[i]["base_sd"] == 0) == (sd == 0)
+    rows = step_changes(df, "v", 10, 3.0, ["k"], "t", width=width).collect()
+    assert all(math.isfinite(r["sigmas"]) == (r["sd_before"] > 0) for r in rows)
+    endless = {r["id"] for r in rows if r["sigmas"] == math.inf}
+    want = {i for i in range(2, 1000) if statistics.pstdev(values[max(0, i - 10) : i]) == 0}
+    assert endless <= want
