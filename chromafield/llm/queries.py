@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chromafield.llm import (
     bpe,
     exact_dedup,
+    hard_negatives,
     langid,
     mixing,
     near_dedup,
@@ -218,3 +219,30 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return suffix_dedup.digests(suffix_dedup.remove_passages(docs, keep=["doc_id"]))
+
+
+@query(
+    """
+    WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+               FROM embeddings
+               WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                 list_inner_product(a.q, b.q)::BIGINT AS score
+          FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+    r AS (SELECT anchor_id, positive_id, positive_score, other_id AS negative_id,
+                 score AS negative_score,
+                 (row_number() OVER (PARTITION BY anchor_id, positive_id
+                                     ORDER BY score DESC, other_id))::INTEGER AS rank
+          FROM p JOIN s USING (anchor_id)
+          WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+    SELECT * FROM r WHERE rank <= 5
+    """
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
