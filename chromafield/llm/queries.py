@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chromafield.llm import (
     bpe,
+    decontamination,
     exact_dedup,
     hard_negatives,
     langid,
@@ -246,3 +247,32 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
     return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query(
+    f"""
+    WITH t AS (SELECT item_id, regexp_extract_all({LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
+               FROM benchmark),
+    i AS (SELECT item_id, least(len(w), 10) AS k,
+                 unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2),
+                     lambda p: array_to_string(list_slice(w, p, p + least(len(w), 10) - 1), ' '))) AS v
+          FROM t WHERE len(w) > 0),
+    d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w
+          FROM documents),
+    k AS (SELECT DISTINCT k FROM i),
+    p AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM d, k),
+    m AS (SELECT doc_id, p.k, p, item_id FROM p JOIN i
+          ON p.k = i.k AND array_to_string(list_slice(w, p, p + p.k - 1), ' ') = i.v),
+    h AS (SELECT doc_id, count(DISTINCT p + r) AS n_hit FROM m, range(10) g(r) WHERE r < k GROUP BY doc_id),
+    s AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                 string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+          FROM m GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
+    """
+)
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return decontamination.digests(decontamination.search(docs, items, keep=["doc_id"]))
