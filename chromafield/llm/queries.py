@@ -14,6 +14,7 @@ from chromafield.llm import (
     exact_dedup,
     hard_negatives,
     langid,
+    manifest,
     mixing,
     near_dedup,
     quality,
@@ -276,3 +277,76 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return decontamination.digests(decontamination.search(docs, items, keep=["doc_id"]))
+
+
+def _encoded(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+_FIELDS = " || ".join(_encoded(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_REST = "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING"
+
+
+def _tree(number: int) -> str:
+    """SQL of one tree's nodes, level by level, and of each node's siblings."""
+    return f"""
+    n{number} AS (
+        SELECT 0 AS l, t, i, h, n FROM first{number}
+        UNION ALL
+        SELECT l + 1, t, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3
+        FROM n{number} WHERE n > 1 GROUP BY l, t, i // 3, n),
+    s{number} AS (
+        SELECT l, t, i, coalesce(string_agg(h, '') OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+               coalesce(string_agg(h, '') OVER (o {_REST}), '') AS rgt
+        FROM n{number} WHERE n > 1 WINDOW o AS (PARTITION BY l, t, i // 3 ORDER BY i)),
+    r{number} AS (SELECT t, h FROM n{number} WHERE n = 1)"""
+
+
+@query(
+    f"""
+    WITH RECURSIVE
+    crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+                CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS c
+            FROM range(256) r(i)),
+    d AS (
+        SELECT doc_id, source, sha256({_FIELDS} || {_encoded('text')}) AS leaf,
+               sha256({_FIELDS} || {_encoded("replace(text, chr(10), '')")}) AS changed,
+               xor(list_reduce(list_prepend(4294967295, list_transform(
+                   string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+                   lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1])), 4294967295) % 2 = 0 AS tampered
+        FROM documents, crc),
+    named AS (SELECT source, (row_number() OVER (ORDER BY source NULLS FIRST)) - 1 AS t
+              FROM (SELECT DISTINCT source FROM d)),
+    first1 AS (
+        SELECT doc_id, t, leaf AS h, CASE WHEN tampered THEN changed ELSE leaf END AS given,
+               row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+               count(*) OVER (PARTITION BY t) AS n
+        FROM d JOIN named ON d.source IS NOT DISTINCT FROM named.source),
+    {_tree(1)},
+    first2 AS (SELECT 0 AS t, t AS i, h, count(*) OVER () AS n FROM r1),
+    {_tree(2)},
+    up1 AS (
+        SELECT doc_id, 0 AS l, t, i, h AS leaf, given AS h, '' AS proof FROM first1
+        UNION ALL
+        SELECT doc_id, l + 1, t, i // 3, leaf, sha256(lft || h || rgt), proof || lft || rgt
+        FROM up1 JOIN s1 USING (l, t, i)),
+    top1 AS (SELECT * FROM up1 QUALIFY l = max(l) OVER (PARTITION BY t)),
+    up2 AS (
+        SELECT doc_id, 0 AS l, 0 AS t, t AS i, t AS tree, leaf, h, proof FROM top1
+        UNION ALL
+        SELECT doc_id, l + 1, t, i // 3, tree, leaf, sha256(lft || h || rgt), proof || lft || rgt
+        FROM up2 JOIN s2 USING (l, t, i))
+    SELECT doc_id, leaf, r1.h AS subroot, r2.h AS root, sha256(proof) AS proof_sha256,
+           up2.h AS folded_root, up2.h = r2.h AS verified
+    FROM (SELECT * FROM up2 QUALIFY l = max(l) OVER ()) up2 JOIN r1 ON tree = r1.t, r2
+    """
+)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    changed = manifest.leaf([*fields, F.replace("text", F.lit("\n"), F.lit(""))])
+    proven = manifest.manifest(
+        documents(spark, sf_dir),
+        manifest.leaf([*fields, "text"]),
+        F.when(in_fold("doc_id", 2, 0), changed),
+    )
+    return manifest.digests(proven)
