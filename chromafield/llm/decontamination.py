@@ -17,7 +17,8 @@ searched for in all shards, and the matches of several blocks meet by row number
 Defined results: a null text has no words; an item without words matches nothing; an item with
 a null id marks words and contaminates, but is not counted or named; items that repeat an id are one
 item; rows that repeat a doc_id are documents of their own.  Empty tables give no matches and an
-empty result.  Result columns replace input columns of the same name; ``__row`` is reserved.
+empty result.  Result columns replace input columns of the same name; the prefixes
+``__leak`` and ``__held`` are reserved.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ _TABLE = bytes(
 
 KEYS = ("doc_word", "n_words", "item_id", "item_word")
 MATCH = f"struct<{', '.join(f'{k}: bigint' for k in KEYS)}>"
+OWN = ("n_words", "matches", "n_hit", "contaminated")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -310,8 +312,7 @@ def search(
     """
     prepare(docs.sparkSession)
     keep = docs.columns if keep is None else keep
-    own = ["n_words", "matches", "n_hit", "contaminated"]
-    kept = [c for c in keep if c not in own]
+    kept = [c for c in keep if c not in OWN]
     items = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
@@ -324,18 +325,18 @@ def search(
     if blocks == 1:
         found = _searched(docs, text_col, kept, block(0))
     else:
-        numbered = store_table(docs.withColumn("__row", F.monotonically_increasing_id()), "leak-docs")
+        numbered = store_table(docs.withColumn("__leak_row", F.monotonically_increasing_id()), "leak-docs")
         parts = None
         for number in range(blocks):
-            part = _searched(numbered, text_col, ["__row"], block(number)).where(F.size("matches") > 0)
+            part = _searched(numbered, text_col, ["__leak_row"], block(number)).where(F.size("matches") > 0)
             part = store_table(part.drop("n_words"), "leak-matches")
             parts = part if parts is None else parts.unionByName(part)
-        merged = parts.groupBy("__row").agg(F.sort_array(F.flatten(F.collect_list("matches"))).alias("matches"))
+        merged = parts.groupBy("__leak_row").agg(F.sort_array(F.flatten(F.collect_list("matches"))).alias("matches"))
         nothing = Items([], [], window)
-        counted = _searched(numbered, text_col, [*kept, "__row"], nothing).drop("matches")
-        found = counted.join(merged, "__row", "left").withColumn(
+        counted = _searched(numbered, text_col, [*kept, "__leak_row"], nothing).drop("matches")
+        found = counted.join(merged, "__leak_row", "left").withColumn(
             "matches", F.coalesce("matches", F.array().cast(f"array<{MATCH}>"))
-        ).drop("__row")
+        ).drop("__leak_row")
     # matches are sorted by their first word
     hit = F.expr(
         """aggregate(matches, struct(0L as total, 0L as upto), (a, m) -> struct(
@@ -364,8 +365,10 @@ def longest_matches(found: DataFrame, doc_col: str = "doc_id") -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no window of any item."""
-    kept = search(docs.withColumn("__row", F.monotonically_increasing_id()), items, **options)
-    return kept.where("not contaminated").select(docs.columns)
+    # columns named like results come back as they were
+    held = {c: f"__held_{c}" for c in OWN if c in docs.columns}
+    found = search(docs.withColumnsRenamed(held), items, **options).where("not contaminated")
+    return found.select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])
 
 
 def digests(found: DataFrame) -> DataFrame:
