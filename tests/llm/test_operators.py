@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -517,7 +518,22 @@ def test_quality_order_and_verdict(spark):
     assert {m[0].name for m in quality.ordered_rules(docs, rules)} == {r.name for r in rules}
     assert {r.doc_id: r.kept for r in quality.apply_rules(docs).collect()} == {1: True, 2: False, 3: False}
     null = [quality.Rule("never", "cast(null as boolean)")]
-    assert quality.apply_rules(docs, rules=null).where("kept").count() == 2
+    kept = quality.apply_rules(docs).where("kept").select("doc_id").collect()
+    assert [r.doc_id for r in kept] == [1]
+    assert quality.apply_rules(docs, rules=null).where("kept").count() == 1
+
+
+def test_quality_of_long_texts_under_filters(spark):
+    """Counts are made once per row, whatever is filtered above them."""
+    named = [f"w{i % 9000} {i}".translate({48 + k: 97 + k for k in range(10)}) for i in range(15_000)]
+    long = " ".join(named) + "\n" + PROSE * 2
+    docs = table(spark, [(1, long), (2, "x " * 30_000), (3, PROSE)])
+    judged = quality.apply_rules(docs)
+    began = time.perf_counter()
+    assert sorted(r.doc_id for r in judged.where("kept").collect()) == [1, 3]
+    assert judged.where("n_words > 5 and n_repeat_words > 100 and not base_failed").count() == 1
+    assert [r.n_repeat_words for r in judged.where("n_words > 20000").orderBy("doc_id").collect()] == [len(PROSE.split()) * 2, 30_000]
+    assert time.perf_counter() - began < 20
 
 
 def shingles(text, size):
