@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chromafield.operators.ordered import (
     KEY,
@@ -251,15 +254,17 @@ def _unfold(texts: Column, start: Column) -> Column:
 
 
 def _block_heads(digests: DataFrame, block_rows: int, levels: int) -> DataFrame:
-    """(_key, block, _head): the chain value each block starts from.
+    """(_key, block, _head): the chain value each block but the first starts from.
 
-    Digests are chained like rows, in groups of ``block_rows``, with the groups chained a
-    level above.  ``levels`` must reach the level on which every session has one group.
+    Digests are chained like rows: in groups of ``block_rows``, where a group starts from the
+    value after the group before it, a level above.  ``levels`` must reach the level on which
+    every session has one group.
     """
     group = F.floor(F.col("block") / block_rows).cast("long")
     packed = digests.groupBy(KEY, group.alias("_group")).agg(
         F.sort_array(F.collect_list(F.struct("block", "_d"))).alias("_b")
     )
+    start = F.lit("")
     if levels > 1:
         upper = packed.select(
             KEY, F.col("_group").alias("block"), _fold(F.col("_b")["_d"], F.lit("")).alias("_d")
@@ -267,23 +272,23 @@ def _block_heads(digests: DataFrame, block_rows: int, levels: int) -> DataFrame:
         heads = _block_heads(upper, block_rows, levels - 1).withColumnsRenamed(
             {"block": "_group", "_head": "_start"}
         )
-        packed = packed.join(heads, [KEY, "_group"])
-    else:
-        packed = packed.withColumn("_start", F.lit(""))
-    after = _unfold(F.col("_b")["_d"], F.col("_start"))
-    # a block starts from the value after the block before it
-    starts = F.concat(F.array("_start"), F.slice(after, 1, F.size("_b") - 1))
-    zipped = F.explode(F.arrays_zip(F.col("_b")["block"].alias("block"), starts.alias("_head")))
-    return packed.select(KEY, zipped.alias("_z")).select(KEY, "_z.block", "_z._head")
+        packed = packed.join(heads, [KEY, "_group"], "left")
+        start = F.coalesce("_start", start)
+    after = _unfold(F.col("_b")["_d"], start)
+    # the value after a block is where the next one starts, in whichever group that is
+    zipped = F.explode(F.arrays_zip(F.col("_b")["block"].alias("block"), after.alias("_head")))
+    return packed.select(KEY, zipped.alias("_z")).select(
+        KEY, (F.col("_z.block") + 1).alias("block"), "_z._head"
+    )
 
 
-def _chain_blocks(
+def _packed_blocks(
     df: DataFrame, session: Sequence[str], payload: str, ts: str, tie: Sequence[str], block_rows: int,
     width: int | None,
 ) -> DataFrame:
-    """One row per block: its rows in order and the chain value it starts from."""
+    """One row per session and block, with the block's rows in order."""
     indexed = row_index(df, session, ts, tie, width, "_i")
-    packed = (
+    return (
         indexed.withColumns(
             {
                 KEY: F.struct(*session) if session else F.lit(0),
@@ -299,16 +304,13 @@ def _chain_blocks(
             ).alias("_rows")
         )
     )
-    # one short row per block; cut here, so that the levels above do not pack the rows again
-    digests = cut_lineage(
-        packed.select(KEY, "block", _fold(F.col("_rows")["p"], F.lit("")).alias("_d"))
-    )
-    most = digests.agg(F.max("block")).first()[0] or 0
+
+
+def _levels(blocks: int, block_rows: int) -> int:
     levels = 1
-    while most >= block_rows:
-        most //= block_rows
-        levels += 1
-    return packed.join(_block_heads(digests, block_rows, levels), [KEY, "block"])
+    while blocks > block_rows:
+        blocks, levels = -(-blocks // block_rows), levels + 1
+    return levels
 
 
 def build_chain(
@@ -322,14 +324,24 @@ def build_chain(
 ) -> DataFrame:
     """Tamper-evident hash chain per session, built in parallel blocks.
 
-    A chain over single rows can only be built one row after another, so rows are chained
-    inside blocks of ``block_rows`` and blocks are chained by their digests: a block's
-    first row continues from the chain value of the blocks before it (``block_head``),
-    which are chained in groups of ``block_rows`` likewise, level upon level, up to one
-    group.  A row's hash depends on the rows before it and on ``block_rows`` alone, however
-    long the session becomes; the first block is the plain chain h = sha2(prev || payload).
+    Let ``C(x)`` be the chain of a list ``x``, and ``D(x)`` the list of its digests: the last
+    value of h = sha2(prev || x_i), from an empty start, over every ``block_rows`` entries.  Then
+    ``C(x)`` continues h = sha2(prev || x_i) inside a block; the first block starts empty, and
+    block b starts from entry b - 1 of ``C(D(x))``, the chain of the digests, which is built in
+    the same way.  A list of one block is the plain chain.  A row's hash depends on the rows
+    before it and on ``block_rows`` alone, however long the session becomes.
+
+    A plain chain over all rows could be built only row after row, by one task per session;
+    give a larger ``block_rows`` to have longer plain stretches.
     """
-    blocks = _chain_blocks(df, session, payload, ts, tie, block_rows, width)
+    packed = _packed_blocks(df, session, payload, ts, tie, block_rows, width)
+    # one short row per block; cut here, so that the levels above do not pack the rows again
+    digests = cut_lineage(
+        packed.select(KEY, "block", _fold(F.col("_rows")["p"], F.lit("")).alias("_d"))
+    )
+    most = (digests.agg(F.max("block")).first()[0] or 0) + 1
+    heads = _block_heads(digests, block_rows, _levels(most, block_rows))
+    blocks = packed.join(heads, [KEY, "block"], "left").withColumn("_head", F.coalesce("_head", F.lit("")))
     hashes = _unfold(F.col("_rows")["p"], F.col("_head"))
     zipped = F.arrays_zip(F.col("_rows").alias("x"), hashes.alias("h"))
     return blocks.select("block", "_head", F.explode(zipped).alias("_z")).select(
@@ -341,6 +353,66 @@ def build_chain(
     )
 
 
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _checked_heads(
+    df: DataFrame, session: Sequence[str], payload: str, ts: str, tie: Sequence[str], block_rows: int
+) -> DataFrame:
+    """(session, block, _head) from the payloads and stored ``block`` numbers, for verification.
+
+    Built apart from ``build_chain``: level by level over tables of one row per list entry, with
+    one task per group of ``block_rows`` entries and plain hashing in it.
+    """
+    keys = [f"_s{i}" for i in range(len(session))]
+    fields = [T.StructField(k, df.schema[c].dataType) for k, c in zip(keys, session)]
+    order = [F.col(ts), *[F.col(t) for t in tie]]
+    entries = df.select(
+        *[F.col(c).alias(k) for k, c in zip(keys, session)],
+        F.col("block").alias("_g"),
+        F.struct(*order).alias("_o"),
+        F.col(payload).cast("string").alias("_x"),
+    )
+    out = T.StructType([*fields, T.StructField("_i", T.LongType()), T.StructField("_x", T.StringType())])
+
+    def digest(key, rows):
+        value = ""
+        for text in rows.sort_values("_n")["_x"]:
+            value = _sha(value + text)
+        return pd.DataFrame([[*key, value]], columns=out.names)
+
+    def chained(key, rows):
+        rows = rows.sort_values("_n")
+        value, made = rows["_start"].iloc[0] or "", []
+        for text in rows["_x"]:
+            value = _sha(value + text)
+            made.append(value)
+        head = pd.DataFrame({k: [v] * len(rows) for k, v in zip(keys, key)}, columns=keys)
+        return head.assign(_i=(rows["_n"] + 1).to_numpy(), _x=made)[out.names]
+
+    # rows of a block are numbered by their order, entries of a level by their block
+    per_block = Window.partitionBy(*keys, "_g").orderBy("_o")
+    numbered = entries.withColumn("_n", F.row_number().over(per_block)).drop("_o")
+    levels = [cut_lineage(numbered.groupBy(*keys, "_g").applyInPandas(digest, out))]
+    while (levels[-1].agg(F.max("_i")).first()[0] or 0) >= block_rows:
+        grouped = levels[-1].select(*keys, F.expr(f"_i div {block_rows}").alias("_g"), F.col("_i").alias("_n"), "_x")
+        levels.append(cut_lineage(grouped.groupBy(*keys, "_g").applyInPandas(digest, out)))
+    starts = None
+    for level in reversed(levels):
+        grouped = level.select(*keys, F.expr(f"_i div {block_rows}").alias("_g"), F.col("_i").alias("_n"), "_x")
+        if starts is None:
+            grouped = grouped.withColumn("_start", F.lit(""))
+        else:
+            on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_g") == F.col("_i")]
+            known = starts.select(*[F.col(k).alias(f"_{k}") for k in keys], "_i", F.col("_x").alias("_start"))
+            grouped = grouped.join(known, on, "left").drop(*[f"_{k}" for k in keys], "_i")
+        starts = grouped.groupBy(*keys, "_g").applyInPandas(chained, out)
+    return starts.select(
+        *keys, F.col("_i").alias("_block"), F.col("_x").alias("_head")
+    )
+
+
 def verify_chain(
     df: DataFrame,
     session: Sequence[str],
@@ -354,7 +426,7 @@ def verify_chain(
 
     Inside a block each row is checked against its predecessor's stored hash, in parallel;
     a block's first row is checked against its stored head, and the head against the
-    digests of all earlier payloads.
+    digests of all earlier payloads, by a second implementation.
     """
     if width is None:
         width = plan_width(df, session, ts)
@@ -362,14 +434,11 @@ def verify_chain(
     inside = F.coalesce(F.col("prev_block") == F.col("block"), F.lit(False))
     prev = F.when(inside, F.col("prev_chain_hash")).otherwise(F.col("block_head"))
     link_ok = _link(prev, F.col(payload).cast("string")) == F.col("chain_hash")
-    slim = df.select(*session, payload, ts, *tie)
-    heads = _chain_blocks(slim, session, payload, ts, tie, block_rows, width).select(
-        KEY, "block", "_head"
-    )
-    keyed = out.withColumn(KEY, F.struct(*session) if session else F.lit(0))
-    head_ok = F.coalesce(F.col("_head") == F.col("block_head"), F.lit(False))
+    heads = _checked_heads(df, session, payload, ts, tie, block_rows)
+    on = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(session)]
+    head_ok = F.coalesce(F.coalesce("_head", F.lit("")) == F.col("block_head"), F.lit(False))
     return (
-        keyed.join(heads, [KEY, "block"], "left")
+        out.join(heads, [*on, F.col("block") == F.col("_block")], "left")
         .withColumn("chain_ok", F.coalesce(link_ok, F.lit(False)) & (inside | head_ok))
         .select(*df.columns, "chain_ok")
     )

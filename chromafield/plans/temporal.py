@@ -190,6 +190,39 @@ def _(t: Tables):
     )
 
 
+CHAIN_ROWS = 4
+_FOLD = "list_reduce(list_prepend({start}, {texts}), lambda a, b: sha256(a || b))"
+
+
+@query(
+    "hash_chain_blocks",
+    "F8",
+    f"""WITH RECURSIVE {OBS_SQL}, n AS (SELECT sensor_id AS s, particle_id, CAST(particle_id AS VARCHAR) || ':' || k AS p,
+        row_number() OVER (PARTITION BY sensor_id ORDER BY timestamp_us, particle_id) - 1 AS i,
+        count(*) OVER (PARTITION BY sensor_id) AS m FROM obs),
+    lists AS (SELECT 0 AS l, s, i, p AS x, m FROM n
+      UNION ALL
+      SELECT l + 1, s, i // {CHAIN_ROWS}, {_FOLD.format(start="''", texts='list(x ORDER BY i)')},
+        (m + {CHAIN_ROWS - 1}) // {CHAIN_ROWS}
+      FROM lists WHERE m > {CHAIN_ROWS} GROUP BY l, s, i // {CHAIN_ROWS}, m),
+    upto AS (SELECT l, s, i, list(x) OVER (PARTITION BY l, s, i // {CHAIN_ROWS} ORDER BY i) AS xs FROM lists),
+    chain AS (SELECT l, s, i, {_FOLD.format(start="''", texts='xs')} AS h FROM upto WHERE i < {CHAIN_ROWS}
+      UNION ALL
+      SELECT upto.l, upto.s, upto.i, {_FOLD.format(start='chain.h', texts='xs')}
+      FROM chain JOIN upto ON upto.l = chain.l - 1 AND upto.s = chain.s AND upto.i // {CHAIN_ROWS} = chain.i + 1)
+    SELECT particle_id, h AS chain_hash, TRUE AS chain_ok FROM chain JOIN n USING (s, i) WHERE l = 0""",
+)
+def _(t: Tables):
+    """Long sessions in short blocks: the chain of the blocks has several levels."""
+    rows = t.obs.select(
+        "sensor_id", "particle_id", "timestamp_us", F.concat_ws(":", "particle_id", "k").alias("payload")
+    )
+    chain = W.build_chain(rows, ["sensor_id"], "payload", tie=TIE, block_rows=CHAIN_ROWS)
+    return W.verify_chain(
+        store_table(chain, "chain"), ["sensor_id"], "payload", tie=TIE, block_rows=CHAIN_ROWS
+    ).select("particle_id", "chain_hash", "chain_ok")
+
+
 @query(
     "history_by_time",
     "F10",
