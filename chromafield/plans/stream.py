@@ -20,7 +20,7 @@ from chromafield.plans.bindings import (
     shape_observations,
 )
 from chromafield.session import scratch_path
-from chromafield.sources import sinks, tables
+from chromafield.sources import captures, sinks, tables
 from chromafield.streaming import core as S
 from chromafield.streaming.device import stream_device_status
 
@@ -248,11 +248,17 @@ def _(t: Tables):
 
 @query(
     "stream_multi_source_ingest",
-    "A9 H1",
-    """SELECT 'radio' AS source, CAST(count(*) AS BIGINT) AS n, CAST(count(value) AS BIGINT) AS valued, CAST(0 AS BIGINT) AS sold FROM events
-    UNION ALL SELECT 'line', CAST(count(*) AS BIGINT), 0, CAST(count(l_quantity) AS BIGINT) FROM lineitem""",
+    "A9 H1 A1 A2 A3",
+    f"""WITH {OBS_SQL}
+    SELECT 'radio' AS source, CAST(count(*) AS BIGINT) AS n, CAST(count(value) AS BIGINT) AS valued, CAST(0 AS BIGINT) AS sold,
+      CAST(0 AS BIGINT) AS packets, NULL AS sum_i FROM events
+    UNION ALL SELECT 'line', CAST(count(*) AS BIGINT), 0, CAST(count(l_quantity) AS BIGINT), 0, NULL FROM lineitem
+    UNION ALL SELECT 'iq', CAST(count(*) AS BIGINT), 0, 0, 0, round(sum(CAST(CAST(re AS FLOAT) AS DOUBLE)), 4) FROM obs
+    UNION ALL SELECT 'pcm', CAST(count(*) AS BIGINT), 0, 0, 0, round(sum(CAST(CAST(im AS FLOAT) AS DOUBLE)), 4) FROM obs
+    UNION ALL SELECT 'imu', CAST(count(*) AS BIGINT), 0, 0, CAST(sum(particle_id) AS BIGINT), NULL FROM obs""",
 )
 def _(t: Tables):
+    """Table files of two devices, and the record files that three recorders write."""
     schemas = {
         "radio": ("events", "event_id long, value double"),
         "line": ("lineitem", "l_orderkey long, l_quantity double"),
@@ -261,8 +267,25 @@ def _(t: Tables):
     for device, (table, schema) in schemas.items():
         folder, glob = t.stream_location(table)
         sources[device] = (folder, schema, glob)
-    channel = tables.ingest(t.spark, sources)
-    merged = S.drain(channel, "ingest")
+    zero = F.array(*[F.lit(0.0).cast("float")] * 3)
+    recorded = {
+        "iq": ("iq", t.obs.select(c("re").cast("float").alias("i"), c("im").cast("float").alias("q"))),
+        "pcm": ("pcmf32", t.obs.select(c("im").cast("float").alias("i"))),
+        "imu": ("imu", t.obs.select(
+            c("particle_id").alias("counter"),
+            *[F.lit(0).cast("long").alias(n) for n in ("buttons", "stick_l", "stick_r")],
+            zero.alias("accel"), zero.alias("gyro"), "timestamp_us",
+        )),
+    }
+    for device, (fmt, rows) in recorded.items():
+        path = scratch_path(t.spark, device)
+        captures.write_records(rows, path, fmt)
+        sources[device] = captures.stream_records(t.spark, fmt, path, 48_000.0, split_bytes=1 << 20)
+    merged = S.drain(tables.ingest(t.spark, sources), "ingest")
     return merged.groupBy("source").agg(
-        F.count("*").alias("n"), F.count("value").alias("valued"), F.count("l_quantity").alias("sold")
+        F.count("*").alias("n"),
+        F.count("value").alias("valued"),
+        F.count("l_quantity").alias("sold"),
+        F.coalesce(F.sum("counter"), F.lit(0).cast("long")).alias("packets"),
+        F.round(F.sum(c("i").cast("double")), 4).alias("sum_i"),
     )

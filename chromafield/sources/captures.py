@@ -25,6 +25,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    DataSourceStreamReader,
     GreaterThan,
     GreaterThanOrEqual,
     InputPartition,
@@ -188,27 +189,37 @@ class RecordReader(DataSourceReader):
             last = min(last, int((self.hi - start_us) * self.rate / 1e6) + 2)
         return first, last
 
-    def partitions(self):
+    def _span(self, path: str, name: str, first: int, count: int) -> Span:
+        start, before = start_of(name, self.start)
+        if self.fmt in SAMPLED:
+            start -= int(np.floor(before * (1e6 / self.rate)))
+        return Span(path, first, count, start, before)
+
+    def _tasks(self, spans: list[Span]) -> list[Spans]:
+        """Spans cut to ``splitBytes``; small ones share a task."""
         tasks: list[list[Span]] = []
-        room = 0
-        for info in list_files(self.path):
-            guard_path(info.path)
-            if info.size % self.size:
-                raise ValueError(f"{info.path}: size {info.size} does not divide by {self.size}")
-            start, before = start_of(info.base_name, self.start)
-            first, last = self._bounds(info.size // self.size, start)
-            if self.fmt in SAMPLED:
-                start -= int(np.floor(before * (1e6 / self.rate)))
-            step = self.split // self.size
+        room, step = 0, self.split // self.size
+        for span in spans:
+            first, last = span.first, span.first + span.count
             while first < last:
                 count = min(step, last - first)
                 if not tasks or room < count:
                     tasks.append([])
                     room = step
-                tasks[-1].append(Span(info.path, first, count, start, before))
+                tasks[-1].append(Span(span.path, first, count, span.start_us, span.before))
                 room -= count
                 first += count
-        return [Spans(t) for t in tasks] or [Spans([])]
+        return [Spans(t) for t in tasks]
+
+    def partitions(self):
+        spans = []
+        for info in list_files(self.path):
+            guard_path(info.path)
+            if info.size % self.size:
+                raise ValueError(f"{info.path}: size {info.size} does not divide by {self.size}")
+            first, last = self._bounds(info.size // self.size, start_of(info.base_name, self.start)[0])
+            spans.append(self._span(info.path, info.base_name, first, max(last - first, 0)))
+        return self._tasks(spans) or [Spans([])]
 
     def read(self, partition: Spans) -> Iterator[pa.RecordBatch]:
         fs, _ = _resolve(self.path)
@@ -266,6 +277,57 @@ class RecordReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(columns, names=list(CORPUS_DTYPE.names))
 
 
+class RecordStreamReader(RecordReader, DataSourceStreamReader):
+    """Growing capture folders: an offset holds the bytes read of each file.
+
+    A batch ends at the last whole record that each file holds when the batch is planned; what a
+    recorder appends later, or the rest of a half-written record, belongs to a later batch.  The
+    ranges of a batch follow from its two offsets alone, so a batch that is planned again after
+    a failure or a restart reads the same bytes.  New files may appear under any name.  A file
+    that has become shorter than what was read of it raises; one that was removed is left out.
+
+    ``maxBytesPerTrigger`` bounds a batch once the stream's position is known, that is from the
+    second batch after a start on; files are taken in name order.
+    """
+
+    def __init__(self, options: dict, fmt: str):
+        super().__init__(options, fmt)
+        self.most = int(options.get("maxbytespertrigger", 0) or 0)
+        self.at: dict | None = None
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        now = {}
+        room = self.most if self.most and self.at is not None else None
+        for info in list_files(self.path):
+            guard_path(info.path)
+            whole = info.size - info.size % self.size
+            if room is not None:
+                known = self.at.get(info.path, 0)
+                take = max(min(whole - known, room - room % self.size), 0)
+                room, whole = room - take, max(known + take, min(known, whole))
+            if whole:
+                now[info.path] = whole
+        return now
+
+    def partitions(self, start: dict, end: dict):
+        spans = []
+        for path, size in sorted(end.items()):
+            known = start.get(path, 0)
+            if size < known:
+                raise ValueError(f"{path} has shrunk from {known} to {size} bytes under the stream")
+            if size > known:
+                first = known // self.size
+                spans.append(self._span(path, posixpath.basename(path), first, size // self.size - first))
+        self.at = end
+        return self._tasks(spans)
+
+    def commit(self, end: dict) -> None:
+        self.at = end
+
+
 class Written(WriterCommitMessage):
     def __init__(self, moves: list[tuple[str, str]]):
         self.moves = moves
@@ -397,6 +459,10 @@ class RecordSource(DataSource):
         guard_path(self.options["path"])
         return RecordReader(self.options, self._fmt())
 
+    def streamReader(self, schema) -> RecordStreamReader:
+        guard_path(self.options["path"])
+        return RecordStreamReader(self.options, self._fmt())
+
     def writer(self, schema, overwrite: bool) -> RecordWriter:
         return RecordWriter(self.options, self._fmt())
 
@@ -449,6 +515,35 @@ def read_corpus_bin(spark: SparkSession, path: str, split_bytes: int | None = No
     return _records(spark, "corpus", path, splitBytes=split_bytes)
 
 
+def stream_records(
+    spark: SparkSession,
+    fmt: str,
+    path: str,
+    rate: float | None = None,
+    sensor_id: int = 0,
+    start_us: int = 0,
+    split_bytes: int | None = None,
+    max_bytes: int | None = None,
+) -> DataFrame:
+    """Stream over a folder (or file) of records of any format that recorders still write to.
+
+    ``rate`` is needed for sample formats; ``max_bytes`` bounds a micro-batch.
+    """
+    guard_path(path)
+    path = qualified(spark, path)
+    spark.dataSource.register(RecordSource)
+    configure(spark)
+    options = {
+        "format": fmt, "sampleRate": rate, "sensorId": sensor_id, "startUs": start_us,
+        "splitBytes": split_bytes, "maxBytesPerTrigger": max_bytes,
+    }
+    reader = spark.readStream.format("chromafield_records")
+    for key, value in options.items():
+        if value is not None:
+            reader = reader.option(key, str(value))
+    return reader.load(path)
+
+
 def write_records(df: DataFrame, path: str, fmt: str, prefix: str | None = None) -> None:
     """Write captures, packets or particles.
 

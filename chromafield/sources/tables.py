@@ -68,17 +68,24 @@ def csi_points(df: DataFrame, h: str = "h", keep: Sequence[str] = ("packet_id",
 
 def ingest(
     spark: SparkSession,
-    sources: Mapping[str, tuple],
+    sources: Mapping[str, tuple | DataFrame],
     fmt: str = "parquet",
     max_files: int = 1000,
 ) -> DataFrame:
-    """One stream per device folder, merged into one channel; nothing is preprocessed.
+    """One stream per device, merged into one channel; nothing is preprocessed.
 
-    ``sources`` maps a device to (folder, schema) or (folder, schema, file pattern).
-    Columns a device lacks are null, and ``source`` names the device.
+    ``sources`` maps a device to a stream (such as ``captures.stream_records`` over the folder
+    that its recorder writes to), or to (folder, schema) or (folder, schema, file pattern) of
+    table files.  Columns a device lacks are null, and ``source`` names the device.
     """
     streams = []
-    for name, (path, schema, *glob) in sources.items():
+    for name, given in sources.items():
+        if isinstance(given, DataFrame):
+            if not given.isStreaming:
+                raise ValueError(f"{name} is not a stream")
+            streams.append(given.withColumn("source", F.lit(name)))
+            continue
+        path, schema, *glob = given
         guard_path(path)
         stream = (
             spark.readStream.schema(schema)

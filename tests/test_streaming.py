@@ -134,3 +134,87 @@ def test_decay_in_one_pass_equals_row_by_row():
             want.append(state)
         got, end, left = decayed(np.array(times), np.array(values), last, x, 20_000)
         assert np.allclose(got, want, atol=1e-12) and end == at and abs(left - state) < 1e-12
+
+
+def _grow(path, values, ragged=b""):
+    """Appends samples to a capture, and perhaps a part of the next one."""
+    import numpy as np
+
+    with open(path, "ab") as out:
+        out.write(np.array(values, "<f4").tobytes() + ragged)
+
+
+def test_growing_captures_are_read_once(spark, tmp_path):
+    """Files grow, appear and end inside a record; the stream restarts between all batches."""
+    from chromafield.sources import captures
+
+    import struct
+
+    folder = tmp_path / "captures"
+    folder.mkdir()
+    first, second = folder / "rx_a_20240101T000000.pcm", folder / "rx_b_20240101T000010.pcm"
+    ckpt, out = str(tmp_path / "c"), str(tmp_path / "o")
+
+    def batch():
+        stream = captures.stream_records(spark, "pcmf32", str(folder), 10.0, sensor_id=4, split_bytes=24)
+        run(stream, out, ckpt)
+        rows = spark.read.parquet(out).collect()
+        return sorted((r["timestamp_us"], r["i"]) for r in rows)
+
+    at = 1_704_067_200_000_000
+    want = [(at + i * 100_000, float(i)) for i in range(20)]
+    _grow(first, range(9), struct.pack("<f", 9.0)[:3])
+    assert batch() == want[:9]
+    assert batch() == want[:9]
+    with open(first, "ab") as file:
+        file.write(struct.pack("<f", 9.0)[3:])
+    _grow(first, range(10, 17))
+    _grow(second, [100.0, 101.0])
+    late = [(at + 10_000_000 + i * 100_000, 100.0 + i) for i in range(3)]
+    assert batch() == want[:17] + late[:2]
+    _grow(second, [102.0])
+    _grow(first, [17.0, 18.0, 19.0])
+    assert batch() == want + late
+    rows = spark.read.parquet(out)
+    assert rows.where("sensor_id = 4").count() == 23
+    assert rows.where("timestamp_us < 1704067210000000").select("sample_index").distinct().count() == 20
+
+
+def test_record_stream_offsets(tmp_path):
+    """Planning: bounded batches, exact ranges, and files that shrink or go."""
+    from chromafield.sources.captures import RecordStreamReader
+
+    a, b = tmp_path / "a.iq", tmp_path / "b.iq"
+    a.write_bytes(bytes(83))
+    b.write_bytes(bytes(40))
+    options = {"path": str(tmp_path), "samplerate": "10", "splitbytes": "32", "maxbytespertrigger": "50"}
+    reader = RecordStreamReader(options, "iq")
+    start = reader.initialOffset()
+    end = reader.latestOffset()
+    assert end == {str(a): 80, str(b): 40}  # the position is not known yet
+
+    def ranges(tasks):
+        return [(s.path[-4:], s.first, s.count) for t in tasks for s in t.spans]
+
+    assert ranges(reader.partitions(start, end)) == [
+        ("a.iq", 0, 4), ("a.iq", 4, 4), ("a.iq", 8, 2), ("b.iq", 0, 4), ("b.iq", 4, 1),
+    ]
+    assert ranges(reader.partitions(start, end)) == ranges(RecordStreamReader(options, "iq").partitions(start, end))
+    a.write_bytes(bytes(83 + 64))
+    b.write_bytes(bytes(64))
+    reader.commit(end)
+    bounded = reader.latestOffset()
+    assert bounded == {str(a): 80 + 48, str(b): 40}
+    assert ranges(reader.partitions(end, bounded)) == [("a.iq", 10, 4), ("a.iq", 14, 2)]
+    reader.commit(bounded)
+    assert reader.latestOffset() == {str(a): 144, str(b): 64}
+    assert reader.partitions(bounded, bounded) == []
+    with pytest.raises(ValueError, match="shrunk"):
+        reader.partitions(bounded, {str(a): 8})
+
+
+def test_ingest_takes_streams_only(spark):
+    from chromafield.sources import tables
+
+    with pytest.raises(ValueError, match="not a stream"):
+        tables.ingest(spark, {"x": spark.range(3)})
