@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chromafield.operators.ranking import count_windows
+from chromafield.session import store_table
 
 # Daubechies low-pass taps.  Keys count the taps.
 DAUBECHIES = {
@@ -142,83 +143,253 @@ def wavelet_energy(
     )
 
 
-def dtw_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Dynamic time warping of every row of a (p, n) against every row of b (q, m)."""
-    p, n = a.shape
-    q, m = b.shape
-    cost = np.full((p, q, m + 1), np.inf)
-    cost[:, :, 0] = 0.0
+#: templates of one pass over the windows, in values
+BLOCK_VALUES = 2_000_000
+PAIR_VALUES = 2_000_000
+
+
+def _path_band(n: int, m: int, band: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """First and last partner of each of n samples among m: ``band`` around the diagonal.
+
+    The band is at least as wide as the diagonal is steep, so that there always is a path.
+    """
+    if band is None or n < 2:
+        return np.zeros(n, int), np.full(n, m - 1)
+    centre = (2 * np.arange(n) * (m - 1) + n - 1) // (2 * (n - 1))
+    reach = max(band, -(-(m - 1) // (n - 1)))
+    return np.maximum(centre - reach, 0), np.minimum(centre + reach, m - 1)
+
+
+def warp_pairs(
+    a: np.ndarray, b: np.ndarray, band: int | None = None, limit: np.ndarray | None = None
+) -> np.ndarray:
+    """Warping distance of each row of a (k, n) to the same row of b (k, m).
+
+    A pair is given up (infinity) as soon as every way to go on costs more than its ``limit``.
+    """
+    (k, n), m = a.shape, b.shape[1]
+    out = np.full(k, np.inf)
+    if n == 0 or m == 0:
+        return np.zeros(k) if n == m else out
+    low, high = _path_band(n, m, band)
+    x, y, at = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), np.arange(k)
+    cost = np.full((m + 1, k), np.inf)
+    cost[0] = 0.0
     for i in range(n):
-        step = np.abs(a[:, None, i, None] - b[None, :, :])
-        row = np.full((p, q, m + 1), np.inf)
-        diag = np.minimum(cost[:, :, :-1], cost[:, :, 1:])
-        for j in range(m):
-            row[:, :, j + 1] = step[:, :, j] + np.minimum(diag[:, :, j], row[:, :, j])
+        row = np.full(cost.shape, np.inf)
+        for j in range(low[i], high[i] + 1):
+            best = np.minimum(np.minimum(cost[j], cost[j + 1]), row[j])
+            row[j + 1] = np.abs(x[i] - y[j]) + best
         cost = row
-    return cost[:, :, m]
+        if limit is not None:
+            alive = cost[low[i] + 1 : high[i] + 2].min(axis=0) <= limit[at]
+            if alive.mean() < 0.8:
+                x, y, at, cost = x[:, alive], y[:, alive], at[alive], cost[:, alive]
+                if not len(at):
+                    return out
+    out[at] = cost[m]
+    return out
 
 
-def dtw(a: Column, b: Column) -> Column:
+def envelope(rows: np.ndarray, n: int, band: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest partner that each of n samples can have in rows (q, m): two (q, n)."""
+    low, high = _path_band(n, rows.shape[1], band)
+    least = np.stack([rows[:, i : j + 1].min(axis=1) for i, j in zip(low, high)], axis=1)
+    most = np.stack([rows[:, i : j + 1].max(axis=1) for i, j in zip(low, high)], axis=1)
+    return least, most
+
+
+def warp_bounds(a: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Lower bounds (p, q) of the distance of rows a (p, n) to rows with envelopes (q, n):
+    every sample costs at least its distance to what it can be matched with."""
+    out = np.zeros((len(a), len(least)))
+    for i in range(a.shape[1]):
+        x = a[:, i, None]
+        out += np.maximum(np.maximum(least[None, :, i] - x, x - most[None, :, i]), 0.0)
+    # sums in another order than the distance's
+    return out * (1 - 1e-12)
+
+
+def dtw(a: Column, b: Column, band: int | None = None) -> Column:
     """Warping distance of two array columns, absolute difference as the local cost."""
 
     @F.pandas_udf("double")
     def distance(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = [
-            dtw_matrix(np.asarray(x, float)[None, :], np.asarray(y, float)[None, :])[0, 0]
-            for x, y in zip(left, right)
-        ]
-        return pd.Series(out, dtype="float64")
+        out = np.full(len(left), np.nan)
+        given = np.flatnonzero(left.notna().to_numpy() & right.notna().to_numpy())
+        sizes: dict[tuple[int, int], list[int]] = {}
+        for i in given:
+            sizes.setdefault((len(left.iloc[i]), len(right.iloc[i])), []).append(i)
+        for (n, m), rows in sizes.items():
+            step = max(1, PAIR_VALUES // max(1, n + m))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                x = np.array([left.iloc[i] for i in part], float).reshape(len(part), n)
+                y = np.array([right.iloc[i] for i in part], float).reshape(len(part), m)
+                out[part] = warp_pairs(x, y, band)
+        return pd.Series(out).astype(object).where(~np.isnan(out), None).astype("Float64")
 
     return distance(a, b)
 
 
+class _Library:
+    """A block of templates, by length, in the order of their ids."""
+
+    def __init__(self, rows: list):
+        rows = sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0])
+        by_size: dict[int, list] = {}
+        for name, values in rows:
+            by_size.setdefault(len(values), []).append((name, values))
+        self.parts = [
+            (np.array([r[0] for r in part]), np.array([r[1] for r in part], float).reshape(len(part), size))
+            for size, part in sorted(by_size.items())
+        ]
+
+
+def _libraries(templates: DataFrame, template_id: str, vec: str) -> Iterator[_Library]:
+    """The templates in blocks of about ``BLOCK_VALUES`` values, one after the other."""
+    rows = templates.select(template_id, F.col(vec).cast("array<double>").alias(vec))
+    total = rows.agg(F.sum(F.size(vec).cast("long"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_VALUES))
+    for number in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64(template_id), F.lit(blocks)) == number)
+        yield _Library([tuple(r) for r in part.collect()])
+
+
+def _stacked(pdf: pd.DataFrame, vec: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, values) of the rows of each length."""
+    given = pdf[vec].notna().to_numpy()
+    sizes = np.where(given, pdf[vec].map(lambda v: -1 if v is None else len(v)).to_numpy(), -1)
+    for size in np.unique(sizes[given]):
+        at = np.flatnonzero(sizes == size)
+        yield at, np.array([pdf[vec].iloc[i] for i in at], float).reshape(len(at), size)
+
+
 def template_scores(
     windows: DataFrame,
     templates: DataFrame,
     id_col: str = "vec_id",
     template_id: str = "template_id",
     vec: str = "embedding",
-    max_templates: int = 1000,
+    band: int | None = None,
 ) -> DataFrame:
-    """Warping distance of every window to every template of a bounded library.
+    """Warping distance of every window to every template; vectors that are null have none.
 
-    The library is small by nature; its size is checked, and it travels with the task.
-    Windows stay where they are: one narrow pass, whole batches per numpy call.
+    The templates come in blocks of bounded size, one pass over the windows for each; windows
+    stay where they are.  ``template_matches`` finds the nearest few without scoring all.
     """
-    library = templates.select(template_id, vec).limit(max_templates + 1).collect()
-    if len(library) > max_templates:
-        raise ValueError(f"more than {max_templates} templates")
-    ids = np.array([row[0] for row in library])
-    length = max((len(row[1]) for row in library), default=0)
-    groups: dict[int, list[int]] = {}
-    for at, row in enumerate(library):
-        groups.setdefault(len(row[1]), []).append(at)
-    stacked = {
-        size: (ids[at], np.array([library[i][1] for i in at], dtype=float))
-        for size, at in groups.items()
-    }
-    chunk = max(1, 2_000_000 // max(1, len(library) * length))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), chunk):
-                part = pdf.iloc[start : start + chunk]
-                sizes = part[vec].map(len).to_numpy()
-                for size in np.unique(sizes):
-                    rows = part[sizes == size]
-                    x = np.stack(rows[vec].to_numpy()).astype(float)
-                    for names, block in stacked.values():
-                        d = dtw_matrix(x, block)
-                        yield pd.DataFrame(
-                            {
-                                id_col: np.repeat(rows[id_col].to_numpy(), len(names)),
-                                template_id: np.tile(names, len(rows)),
-                                "dtw": d.ravel(),
-                            }
-                        )
+    w_type = windows.schema[id_col].dataType.simpleString()
+    t_type = templates.schema[template_id].dataType.simpleString()
+    rows = windows.select(id_col, F.col(vec).cast("array<double>").alias(vec))
+    out = None
+    for library in _libraries(templates, template_id, vec):
+        shared = windows.sparkSession.sparkContext.broadcast(library)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for at, x in _stacked(pdf, vec):
+                    for names, block in shared.value.parts:
+                        step = max(1, PAIR_VALUES // (len(names) * max(1, x.shape[1] + block.shape[1])))
+                        for k in range(0, len(at), step):
+                            some = x[k : k + step]
+                            pairs = np.repeat(some, len(names), axis=0), np.tile(block, (len(some), 1))
+                            yield pd.DataFrame(
+                                {
+                                    id_col: np.repeat(pdf[id_col].to_numpy()[at[k : k + step]], len(names)),
+                                    template_id: np.tile(names, len(some)),
+                                    "dtw": warp_pairs(*pairs, band),
+                                }
+                            )
+
+        part = rows.mapInPandas(run, f"{id_col} {w_type}, {template_id} {t_type}, dtw double")
+        out = part if out is None else out.unionByName(part)
+    return out
 
+
+def nearest_templates(
+    x: np.ndarray, library: _Library, size: int, band: int | None, known: list[list[tuple]]
+) -> tuple[list[list[tuple]], np.ndarray]:
+    """Per row of x its ``size`` best of ``known`` and the library as (distance, id), and the number
+    of distances that were begun for it."""
+    best, scored = [sorted(k)[:size] for k in known], np.zeros(len(x), np.int64)
+    for names, block in library.parts:
+        if x.shape[1] and block.shape[1]:
+            bound = warp_bounds(x, *envelope(block, x.shape[1], band))
+        else:
+            bound = np.zeros((len(x), len(block)))
+        order = np.argsort(bound, axis=1, kind="stable")
+        active, at, step = np.arange(len(x)), 0, size
+        while at < len(names):
+            limit = np.array([best[i][-1][0] if len(best[i]) == size else np.inf for i in active])
+            going = bound[active, order[active, at]] <= limit
+            active, limit = active[going], limit[going]
+            if not len(active):
+                break
+            tried = order[active, at : at + step]
+            who, which = np.repeat(np.arange(len(active)), tried.shape[1]), tried.ravel()
+            near = bound[active[who], which] <= limit[who]
+            who, which = who[near], which[near]
+            found = warp_pairs(x[active[who]], block[which], band, limit[who])
+            scored += np.bincount(active[who], minlength=len(x))
+            there = np.isfinite(found)
+            for i, name, d in zip(active[who[there]].tolist(), names[which[there]].tolist(), found[there].tolist()):
+                best[i] = sorted([*best[i], (d, name)])[:size]
+            at, step = at + step, min(2 * step, 64)
+    return best, scored
+
+
+def template_matches(
+    windows: DataFrame,
+    templates: DataFrame,
+    size: int = 3,
+    band: int | None = None,
+    id_col: str = "vec_id",
+    template_id: str = "template_id",
+    vec: str = "embedding",
+) -> DataFrame:
+    """``id_col, rank, template_id, dtw, scored``: the ``size`` nearest templates of each window by
+    warping within ``band`` samples of the diagonal (None: any), ties by the smaller id.
+
+    A template's envelope gives a lower bound of its distance.  A window tries templates by
+    rising bound, gives a distance up once it exceeds the worst of its best, and stops where the
+    next bound does; ``scored`` counts the distances that were begun.  Templates come in blocks
+    of bounded size; each further pass starts from the best so far, so it prunes harder.
+    """
     w_type = windows.schema[id_col].dataType.simpleString()
     t_type = templates.schema[template_id].dataType.simpleString()
-    return windows.select(id_col, vec).mapInPandas(
-        run, f"{id_col} {w_type}, {template_id} {t_type}, dtw double"
+    best_type = f"array<struct<d: double, t: {t_type}>>"
+    rows = windows.select(
+        F.col(id_col).alias("_id"),
+        F.col(vec).cast("array<double>").alias("_vec"),
+        F.array().cast(best_type).alias("_best"),
+        F.lit(0).cast("long").alias("_scored"),
+    )
+    passes = 0
+    for library in _libraries(templates, template_id, vec):
+        shared = windows.sparkSession.sparkContext.broadcast(library)
+        if passes:
+            rows = store_table(rows, "template-best")
+        passes += 1
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                best = [[(b["d"], b["t"]) for b in known] for known in pdf["_best"]]
+                scored = pdf["_scored"].to_numpy().copy()
+                for at, x in _stacked(pdf, "_vec"):
+                    found, counts = nearest_templates(x, shared.value, size, band, [best[i] for i in at])
+                    for i, own, n in zip(at, found, counts):
+                        best[i] = own
+                        scored[i] += n
+                lists = [[{"d": d, "t": t} for d, t in b] for b in best]
+                yield pdf.assign(_best=lists, _scored=scored)
+
+        rows = rows.mapInPandas(run, f"_id {w_type}, _vec array<double>, _best {best_type}, _scored long")
+    return rows.select(
+        F.col("_id").alias(id_col), F.posexplode("_best").alias("_rank", "_hit"), F.col("_scored").alias("scored")
+    ).select(
+        id_col,
+        (F.col("_rank") + 1).alias("rank"),
+        F.col("_hit.t").alias(template_id),
+        F.col("_hit.d").alias("dtw"),
+        "scored",
     )

@@ -197,13 +197,69 @@ def _(t: Tables):
     )
 
 
-@query("template_scores", "D19 I6")
+def _warp_sql(band: int | None = None) -> str:
+    """Recursive SQL over pairs(p, a, b): a row of the cost matrix per step, then ``warped(p, dtw)``.
+
+    Lists of [step, best of the row before] become the row's costs from left to right.
+    """
+    centre = "(2 * (i - 1) * (len(b) - 1) + len(a) - 1) // (2 * (len(a) - 1))"
+    inside = f"abs(j - 1 - {centre}) <= greatest({band}, -(-(len(b) - 1) // (len(a) - 1)))" if band else "TRUE"
+    return f"""cells AS (
+      SELECT p, a, b, 0 AS i, list_prepend(0e0, list_transform(b, lambda x: 'inf'::DOUBLE)) AS costs FROM pairs
+      UNION ALL
+      SELECT p, a, b, i, list_reduce(
+          list_prepend(['inf'::DOUBLE], list_transform(range(1, len(b) + 1), lambda j:
+            [CASE WHEN {inside} THEN abs(a[i] - b[j]) ELSE 'inf'::DOUBLE END, least(costs[j], costs[j + 1])])),
+          lambda done, x: list_append(done, x[1] + least(x[2], done[len(done)])))
+      FROM (SELECT p, a, b, i + 1 AS i, costs FROM cells WHERE i < len(a))),
+    warped AS (SELECT p, costs[len(costs)] AS dtw FROM cells WHERE i = len(a))"""
+
+
+_TEMPLATE_SQL = """t AS (SELECT label AS template_id, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label),
+    pairs AS (SELECT {{'vec_id': vec_id, 'template_id': template_id}} AS p,
+      list_transform({a}, lambda x: x::DOUBLE) AS a, list_transform({b}, lambda x: x::DOUBLE) AS b FROM embeddings, t)"""
+
+
+def _templates(t: Tables):
+    return t.windows.groupBy(c("label").alias("template_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+
+
+@query(
+    "template_scores",
+    "D19 I6",
+    f"""WITH RECURSIVE {_TEMPLATE_SQL.format(a='embedding', b='v')}, {_warp_sql()}
+    SELECT p.vec_id AS vec_id, p.template_id AS template_id, round(dtw, 6) AS dtw FROM warped""",
+)
+def _(t: Tables):
+    return rounded(signal.template_scores(t.windows.select("vec_id", "embedding"), _templates(t)))
+
+
+_BAND = 6
+
+
+@query(
+    "template_matches",
+    "D19 I6",
+    f"""WITH RECURSIVE {_TEMPLATE_SQL.format(a='embedding', b='v')}, {_warp_sql(_BAND)},
+    r AS (SELECT p.vec_id AS vec_id, p.template_id AS template_id, dtw,
+      CAST(row_number() OVER (PARTITION BY p.vec_id ORDER BY dtw, p.template_id) AS INT) AS rank FROM warped)
+    SELECT vec_id, rank, template_id, round(dtw, 6) AS dtw FROM r WHERE rank <= 3""",
+)
 def _(t: Tables):
-    templates = t.windows.groupBy(c("label").alias("template_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
-    return rounded(signal.template_scores(t.windows.select("vec_id", "embedding"), templates))
+    return rounded(
+        signal.template_matches(t.windows.select("vec_id", "embedding"), _templates(t), 3, _BAND).drop("scored")
+    )
 
 
-@query("consecutive_window_warping", "I6")
+@query(
+    "consecutive_window_warping",
+    "I6",
+    f"""WITH RECURSIVE l AS (SELECT vec_id, lag(vec_id) OVER w AS prev_vec_id, embedding, lag(embedding) OVER w AS prev
+      FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+    pairs AS (SELECT {{'vec_id': vec_id, 'prev_vec_id': prev_vec_id}} AS p, list_transform(prev, lambda x: x::DOUBLE) AS a,
+      list_transform(embedding, lambda x: x::DOUBLE) AS b FROM l WHERE prev_vec_id IS NOT NULL), {_warp_sql()}
+    SELECT p.vec_id AS vec_id, p.prev_vec_id AS prev_vec_id, round(dtw, 6) AS dtw FROM warped""",
+)
 def _(t: Tables):
     from chromafield.operators.ordered import lag_rows
 

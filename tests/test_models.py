@@ -119,26 +119,71 @@ def test_wavelet_keeps_energy(taps):
     assert np.allclose(flat[0, :-1], 0, atol=1e-12)  # a constant has no detail
 
 
-def test_dtw_brute_force(spark):
+def warped(x, y, band=None):
+    n, m = len(x), len(y)
+    c = np.full((n + 1, m + 1), np.inf)
+    c[0, 0] = 0
+    for i in range(n):
+        for j in range(m):
+            if band is not None and n > 1:
+                centre = math.floor(i * (m - 1) / (n - 1) + 0.5)
+                if abs(j - centre) > max(band, math.ceil((m - 1) / (n - 1))):
+                    continue
+            c[i + 1, j + 1] = abs(x[i] - y[j]) + min(c[i, j + 1], c[i + 1, j], c[i, j])
+    return c[-1, -1]
+
+
+def vector_table(spark, name, rows):
+    return spark.createDataFrame(rows, f"{name} int, embedding array<double>").repartition(3)
+
+
+@pytest.mark.parametrize("band", [None, 1, 3])
+def test_warping_brute_force(spark, band, monkeypatch):
     rng = np.random.default_rng(6)
-    a, b = rng.normal(size=(4, 9)), rng.normal(size=(3, 7))
-
-    def plain(x, y):
-        c = np.full((len(x) + 1, len(y) + 1), np.inf)
-        c[0, 0] = 0
-        for i in range(len(x)):
-            for j in range(len(y)):
-                c[i + 1, j + 1] = abs(x[i] - y[j]) + min(c[i, j + 1], c[i + 1, j], c[i, j])
-        return c[-1, -1]
-
-    want = [[plain(x, y) for y in b] for x in a]
-    assert np.allclose(signal.dtw_matrix(a, b), want)
-    w = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(a)], "vec_id long, embedding array<double>")
-    t = spark.createDataFrame([(j, y.tolist()) for j, y in enumerate(b)], "template_id int, embedding array<double>")
-    for r in signal.template_scores(w, t).collect():
-        assert r["dtw"] == pytest.approx(want[r["vec_id"]][r["template_id"]])
-    pair = w.where("vec_id = 0").withColumn("o", F.array(*[F.lit(float(v)) for v in b[0]]))
-    assert pair.select(signal.dtw(F.col("embedding"), F.col("o"))).first()[0] == pytest.approx(want[0][0])
+    a = [rng.normal(size=n).tolist() for n in (9, 9, 9, 9, 5, 1, 0)] + [None]
+    b = [rng.normal(size=n).tolist() for n in (7, 7, 7, 9, 1, 0)] + [None]
+    w, t = vector_table(spark, "vec_id", list(enumerate(a))), vector_table(spark, "template_id", list(enumerate(b)))
+    for values in (2_000_000, 9):  # one block of templates, and several
+        monkeypatch.setattr(signal, "BLOCK_VALUES", values)
+        got = {(r["vec_id"], r["template_id"]): r["dtw"] for r in signal.template_scores(w, t, band=band).collect()}
+        assert len(got) == 7 * 6
+        for (i, j), d in got.items():
+            assert d == pytest.approx(warped(a[i], b[j], band)) or d == warped(a[i], b[j], band)
+    pairs = w.crossJoin(t.withColumnRenamed("embedding", "other"))
+    for r in pairs.select("vec_id", "template_id", signal.dtw(F.col("embedding"), F.col("other"), band).alias("d")).collect():
+        x, y = a[r["vec_id"]], b[r["template_id"]]
+        if x is None or y is None:
+            assert r["d"] is None
+        else:
+            assert r["d"] == pytest.approx(warped(x, y, band)) or r["d"] == warped(x, y, band)
+
+
+@pytest.mark.parametrize("band, values", [(None, 2_000_000), (2, 2_000_000), (2, 200)])
+def test_nearest_templates_are_exact_and_few_are_scored(spark, band, values, monkeypatch):
+    """Windows near one of 60 templates; ties between equal templates go to the smaller id."""
+    monkeypatch.setattr(signal, "BLOCK_VALUES", values)
+    rng = np.random.default_rng(8)
+    b = [(4 * rng.normal() + np.cumsum(rng.normal(size=12))).tolist() for _ in range(60)]
+    b[40], b[50] = b[7], b[7]
+    a = [(np.array(b[rng.integers(60)]) + 0.1 * rng.normal(size=12)).tolist() for _ in range(30)] + [b[7], None, []]
+    w, t = vector_table(spark, "vec_id", list(enumerate(a))), vector_table(spark, "template_id", list(enumerate(b)))
+    rows = signal.template_matches(w, t, 3, band).collect()
+    for i, x in enumerate(a[:31]):
+        want = sorted((warped(x, y, band), j) for j, y in enumerate(b))[:3]
+        got = sorted((r["rank"], r["template_id"], r["dtw"]) for r in rows if r["vec_id"] == i)
+        assert [g[1] for g in got] == [j for _, j in want] and [g[0] for g in got] == [1, 2, 3]
+        assert [g[2] for g in got] == pytest.approx([d for d, _ in want])
+    assert not [r for r in rows if r["vec_id"] in (31, 32)]
+    if values > 200:
+        scored = {r["vec_id"]: r["scored"] for r in rows}
+        assert sum(scored.values()) < (0.5 if band is None else 0.35) * 60 * 31
+    assert signal.template_matches(w, t.limit(0)).count() == 0
+
+
+def test_warping_gives_up_early():
+    x, y = np.zeros((3, 50)), np.array([[0.0] * 50, [1.0] * 50, [9.0] * 50])
+    got = signal.warp_pairs(x, y, 4, np.array([0.0, 50.0, 50.0]))
+    assert got.tolist() == [0.0, 50.0, np.inf]
 
 
 def test_eigenvectors_residual(spark):
