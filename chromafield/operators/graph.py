@@ -24,7 +24,6 @@ def spacetime_edges(
     patch: str = "patch",
     id_col: str = "id",
     phase: str = "phase",
-    cell: float | None = None,
 ) -> DataFrame:
     """Weighted symmetric edges (src, dst, weight) over nearest neighbours and adjacent frames.
 
@@ -32,7 +31,7 @@ def spacetime_edges(
     (1 + cos(phase difference)) / 2, which keeps weights non-negative.
     """
     facts = points.select(id_col, frame, patch, *POS, phase)
-    inside = knn(points, k, cell, id_col, [frame]).select(
+    inside = knn(points, k, id_col, [frame]).select(
         F.col("id").alias("src"), F.col("neighbour").alias("dst"), "distance"
     )
     phases = facts.select(F.col(id_col), F.col(phase))

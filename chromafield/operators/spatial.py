@@ -8,13 +8,13 @@ copies costs one row.  Pairs are formed only between neighbouring cells, are red
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chromafield.session import cut_lineage
+from chromafield.session import store_table
 
 POS = ("x", "y", "z")
 _CELL = ("_cx", "_cy", "_cz")
@@ -103,75 +103,221 @@ def near_edges(points: DataFrame, r: float, id_col: str = "id") -> DataFrame:
     return pairs.unionByName(copies)
 
 
-def plan_cell(points: DataFrame, k: int, by: Sequence[str] = ()) -> tuple[float, float]:
-    """(cell, extent): the largest cell size whose fullest cell holds about 2 k points."""
-    box = points.agg(*[F.max(p).alias(f"hi_{p}") for p in POS], *[F.min(p).alias(f"lo_{p}") for p in POS]).first()
-    if box[0] is None:
-        return 1.0, 1.0
-    extent = max(max(box[f"hi_{p}"] - box[f"lo_{p}"] for p in POS), 1e-9)
-    levels = range(0, 17)
-    sizes = F.explode(F.array(*[F.lit(extent / 2**level) for level in levels])).alias("_s")
-    counts = (
-        points.select(*by, *POS, sizes)
-        .groupBy(*by, "_s", *[F.floor(F.col(p) / F.col("_s")).alias(f"_{p}") for p in POS])
-        .count()
-        .groupBy("_s")
-        .agg(F.max("count").alias("peak"))
+#: levels of the pyramid below its root: a cell of level l is the extent / 2^l wide
+LEVELS = 19
+_GRID = ("_ix", "_iy", "_iz")
+
+
+# Expressions of the pyramid are SQL text: a few hundred terms are cheaper to parse than to
+# build one by one.
+
+
+def _key(level: str | int, at: Sequence[str]) -> str:
+    """A cell of a level as one number; ``at`` are its coordinates there."""
+    x, y, z = at
+    return (
+        f"(shiftleft(cast({level} as bigint), {3 * LEVELS}) | shiftleft(cast({x} as bigint), {2 * LEVELS})"
+        f" | shiftleft(cast({y} as bigint), {LEVELS}) | cast({z} as bigint))"
+    )
+
+
+def _up(column: str, level: str | int) -> str:
+    """A coordinate of the finest level on another level."""
+    return f"shiftright({column}, {LEVELS} - {level})"
+
+
+def _on_levels(spots: DataFrame, levels: Sequence[int], columns: Sequence[str]) -> DataFrame:
+    """``columns`` and the cell ``_key`` of every spot on each of the levels."""
+    keys = ", ".join(_key(level, [_up(i, level) for i in _GRID]) for level in levels)
+    return spots.select(*columns, F.expr(f"explode(array({keys}))").alias("_key"))
+
+
+class Pyramid:
+    """Distinct positions on a pyramid of cells, with the number of points in each cell."""
+
+    def __init__(self, spots: DataFrame, by: Sequence[str]):
+        """``spots``: ``by``, position and ``ids`` (as many as a search can need)."""
+        self.by = list(by)
+        box = spots.agg(*[F.min(p) for p in POS], *[F.max(p) for p in POS]).first()
+        low, high = box[:3], box[3:]
+        self.low = low if low[0] is not None else (0.0, 0.0, 0.0)
+        width = max((h - o for o, h in zip(low, high)), default=0.0) if low[0] is not None else 0.0
+        # a little more than the points need, so that the last one is inside
+        self.extent = max(width, 1e-300) * (1 + 1e-9)
+        fine = [
+            F.expr(f"least(cast(floor((`{p}` - ({o!r}D)) / {self.extent!r}D * {2**LEVELS}) as bigint), {2**LEVELS - 1}L)")
+            for p, o in zip(POS, self.low)
+        ]
+        self.spots = spots.withColumns(dict(zip(_GRID, fine))).withColumn("_n", F.size("ids").cast("long"))
+
+    def counts(self, levels: Sequence[int]) -> DataFrame:
+        cells = _on_levels(self.spots, levels, [*self.by, "_n"])
+        return cells.groupBy(*self.by, "_key").agg(F.sum("_n").alias("_n"))
+
+    def useful_levels(self, least: int) -> tuple[int, int]:
+        """The finest level on which every cell holds ``least`` points, and on which any does."""
+        level = F.call_function("shiftright", F.col("_key"), F.lit(3 * LEVELS)).alias("_l")
+        rows = (
+            self.counts(range(LEVELS + 1))
+            .groupBy(level)
+            .agg(F.min("_n").alias("low"), F.max("_n").alias("high"))
+            .collect()
+        )
+        all_, some = [r["_l"] for r in rows if r["low"] >= least], [r["_l"] for r in rows if r["high"] >= least]
+        return max(all_, default=0), max(some, default=0)
+
+    def box(self) -> dict[str, Column]:
+        """Squared least and greatest distance from a row's position to its cell (_l, _x, _y, _z)."""
+        near, far = [], []
+        for name, low, cell in zip(POS, self.low, ("_x", "_y", "_z")):
+            size = f"({self.extent!r}D / pow(2D, _l))"
+            left = f"(`{name}` - ({low!r}D) - cast({cell} as double) * {size})"
+            near.append(f"pow(greatest(-{left}, {left} - {size}, 0D), 2D)")
+            far.append(f"pow(greatest(abs({left}), abs({size} - {left})), 2D)")
+        return {"_near": F.expr(" + ".join(near)), "_far": F.expr(" + ".join(far))}
+
+
+def _cells_of(parts: Iterable[tuple[str, str, str, str]]) -> Column:
+    """Cells (_l, _x, _y, _z), one row each."""
+    listed = ", ".join(f"struct({l} as _l, {x} as _x, {y} as _y, {z} as _z)" for l, x, y, z in parts)
+    return F.expr(f"inline(array({listed}))")
+
+
+def _around_radius() -> Column:
+    """The 27 cells of level ``_l`` around a position."""
+    x, y, z = (_up(i, "_l") for i in _GRID)
+    near = (-1, 0, 1)
+    return _cells_of(
+        ("_l", f"{x} + {i}", f"{y} + {j}", f"{z} + {m}") for i in near for j in near for m in near
     )
-    fits = [row["_s"] for row in counts.collect() if row["peak"] <= 2 * (k + 1)]
-    return (max(fits) if fits else extent / 2**16), extent
+
+
+def _children() -> Column:
+    """The eight cells below (_l, _x, _y, _z)."""
+    return _cells_of(
+        ("_l + 1", f"2 * _x + {i}", f"2 * _y + {j}", f"2 * _z + {m}")
+        for i in (0, 1) for j in (0, 1) for m in (0, 1)
+    )
+
+
+def _reach(distance2: str, extent: float) -> str:
+    """A squared distance with room for the rounding of cell borders."""
+    return f"({distance2} * {1 + 1e-9!r}D + {(1e-12 * extent) ** 2!r}D)"
 
 
 def knn(
     points: DataFrame,
     k: int = 20,
-    cell: float | None = None,
     id_col: str = "id",
     by: Sequence[str] = (),
+    heavy: int | None = None,
 ) -> DataFrame:
     """Exact k nearest neighbours: (id, neighbour, rank, distance); ties go to the lower id.
 
-    Rounds over growing cells: a point is settled once k neighbours lie within one cell
-    size of it, because 27 cells cover that ball.  Dense places settle with small cells,
-    only the sparse rest goes on, until the cell covers everything.  Each round keeps
-    k + 1 candidates per position before the exchange.
+    1. A pyramid counts the points of every cell on all levels.  A position starts at the finest
+       level where its own cell holds k + 1 points; the k + 1 nearest of that cell alone bound its
+       search radius.
+    2. It asks for the cells around it on the level whose cells are just as wide as that radius.
+       A cell of more than ``heavy`` points (a dense place, seen from afar) is not read but
+       replaced by those of its eight children that are near enough, while the counts of all its
+       cells lower the radius; so an outlier descends into a cluster instead of reading it.
+    3. One join gives every position the points of its cells, and k + 1 of them are kept before
+       the exchange.
+
+    Cells of a part of ``by`` with k points or fewer are read whole.  Rows without a finite position
+    have no neighbours.
     """
     by = list(by)
-    place = [*by, *POS]
+    place, least = [*by, *POS], k + 1
+    heavy = 32 * least if heavy is None else heavy
+    finite = [F.col(p).isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf")) for p in POS]
+    points = points.where(reduce(Column.__and__, finite))
     first_ids = Window.partitionBy(*place).orderBy(id_col)
-    spots = (
+    spots = store_table(
         points.select(*place, id_col)
         .withColumn("_r", F.row_number().over(first_ids))
-        .where(F.col("_r") <= k + 1)
+        .where(F.col("_r") <= least)
         .groupBy(*place)
-        .agg(F.sort_array(F.collect_list(id_col)).alias("ids"))
+        .agg(F.sort_array(F.collect_list(id_col)).alias("ids")),
+        "knn-spots",
     )
-    spots = cut_lineage(spots)
-    planned, extent = plan_cell(spots, k, by)
-    size = cell or planned
-    active, settled = spots.select(*place), []
-    order = Window.partitionBy(*by, *[f"a_{p}" for p in POS]).orderBy("d2", "nid")
+    pyramid = Pyramid(spots, by)
+    coarse, fine = pyramid.useful_levels(least)
+
+    # where each position starts, and its radius there
+    full = pyramid.counts(range(coarse, fine + 1)).where(F.col("_n") >= least).select(*by, "_key")
+    start = (
+        _on_levels(pyramid.spots, range(coarse, fine + 1), [*place, *_GRID])
+        .join(full, [*by, "_key"])
+        .groupBy(*place, *_GRID)
+        .agg(F.max("_key").alias("_key"))
+    )
+    # in a part with too few points there is no full cell: its root holds them all
+    start = (
+        pyramid.spots.select(*place, *_GRID)
+        .join(start.select(*place, "_key"), place, "left")
+        .withColumn("_key", F.expr(f"coalesce(_key, {_key(0, '000')})"))
+    )
+    levels = sorted({0, *range(coarse, fine + 1)})
+    others = pyramid.spots.withColumnsRenamed({p: f"b_{p}" for p in POS})
+    own = _on_levels(others, levels, [*by, "_n", *[f"b_{p}" for p in POS]])
+    apart = F.expr(" + ".join(f"pow(`{p}` - `b_{p}`, 2D)" for p in POS))
+    nth = F.expr(
+        f"""aggregate(sort_array(collect_list(struct(d2, _n))), struct(0L as c, 0D as r),
+            (a, x) -> case when a.c >= {least} then a else struct(a.c + x._n as c, x.d2 as r) end,
+            a -> a.r)"""
+    )
+    bounded = (
+        start.join(own, [*by, "_key"]).withColumn("d2", apart).groupBy(*place, *_GRID).agg(nth.alias("_r2"))
+    )
+
+    # cells around a position that are as wide as its radius
+    wide = f"greatest(sqrt({_reach('_r2', pyramid.extent)}), 1e-300D)"
+    level = F.expr(f"cast(greatest(least(floor(log2({pyramid.extent!r}D / {wide})), {fine}), 0) as int)")
+    placed = bounded.withColumn("_l", level).select(*place, "_r2", "_l", *_GRID)
+    asked = placed.select(*place, "_r2", _around_radius()).where(
+        " and ".join(f"{n} >= 0 and {n} < pow(2D, _l)" for n in ("_x", "_y", "_z"))
+    )
+    counts = pyramid.counts(range(fine + 1))
+    near_enough = f"_near <= {_reach('_r2', pyramid.extent)}"
+    key = F.expr(_key("_l", ("_x", "_y", "_z")))
+    columns = [*place, "_r2", "_l", "_x", "_y", "_z", "_key", "_n"]
+
+    def counted(cells: DataFrame) -> DataFrame:
+        """Cells near enough that hold points, with their number."""
+        close = cells.withColumns(pyramid.box()).where(near_enough).withColumn("_key", key)
+        return close.join(counts, [*by, "_key"]).select(columns)
+
+    asked = store_table(counted(asked), "knn-cells")
+    too_many = f"(_n > {heavy} and _l < {fine})"
     while True:
-        last = size > extent * 2  # one cell size spans the whole extent (diagonal < 2 extents)
-        found = (
-            candidate_pairs(active, spots, size, list(POS), [*POS, "ids"], by)
-            .select(*by, *[f"a_{p}" for p in POS], "d2", F.explode("b_ids").alias("nid"))
-            .withColumn("_r", F.row_number().over(order))
-            .where(F.col("_r") <= k + 1)
-            .groupBy(*by, *[f"a_{p}" for p in POS])
-            .agg(F.sort_array(F.collect_list(F.struct("d2", "nid"))).alias("near"))
-            .withColumnsRenamed({f"a_{p}": p for p in POS})
-        )
-        found = cut_lineage(found)
-        enough = F.lit(True) if last else F.size("near") >= k + 1
-        settled.append(found.where(enough))
-        if last:
-            break
-        active = found.where(~enough).select(*place)
-        if active.isEmpty():
+        seen = asked.agg(F.collect_set("_l"), F.expr(f"max({too_many})")).first()
+        if not seen[1]:
             break
-        size *= 2
-    near = reduce(DataFrame.unionByName, settled)
+        opened = asked.where(too_many).select(*place, "_r2", _children())
+        cells = asked.where(f"not {too_many}").unionByName(counted(opened)).withColumns(pyramid.box())
+        # points that cells hold for certain within a distance lower the radius
+        window = Window.partitionBy(*place)
+        upto = F.sum("_n").over(window.orderBy("_far").rangeBetween(Window.unboundedPreceding, 0))
+        sure = F.min(F.when(F.col("_upto") >= least, F.col("_far"))).over(window)
+        cells = cells.withColumn("_upto", upto).withColumn("_sure", sure)
+        cells = cells.withColumn(
+            "_r2", F.expr(f"least(_r2, coalesce({_reach('_sure', pyramid.extent)}, _r2))")
+        )
+        asked = store_table(cells.where(near_enough).select(columns), "knn-cells")
+    held = _on_levels(others, sorted(seen[0]) or [0], [*by, "ids", *[f"b_{p}" for p in POS]])
+    order = Window.partitionBy(*place).orderBy("d2", "nid")
+    near = (
+        asked.select(*place, "_key", "_r2")
+        .join(held, [*by, "_key"])
+        .withColumn("d2", apart)
+        .where(f"d2 <= {_reach('_r2', pyramid.extent)}")
+        .select(*place, "d2", F.explode("ids").alias("nid"))
+        .withColumn("_r", F.row_number().over(order))
+        .where(F.col("_r") <= least)
+        .groupBy(*place)
+        .agg(F.sort_array(F.collect_list(F.struct("d2", "nid"))).alias("near"))
+    )
     mine = (
         points.select(*place, id_col)
         .join(near, place)

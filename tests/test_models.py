@@ -38,6 +38,49 @@ def test_knn_exact_with_copies_and_outliers(spark):
         assert [j for _, j in sorted(got[i])] == [j for _, j in want]
 
 
+def nearest_by_hand(data, k):
+    pos = np.array([p[1:4] for p in data])
+    out = {}
+    for i in range(len(data)):
+        d2 = ((pos - pos[i]) ** 2).sum(axis=1)
+        out[data[i][0]] = [data[j][0] for _, j in sorted((d, j) for j, d in enumerate(d2) if j != i)[:k]]
+    return out
+
+
+def test_knn_descends_into_a_dense_cluster(spark, monkeypatch):
+    """Outliers reach a cluster through its finer cells; few of its points are read for them."""
+    rnd = random.Random(4)
+    data = [(i, *(1 + rnd.gauss(0, 1e-3) for _ in "xyz")) for i in range(900)]
+    data += [(1000 + i, *(rnd.uniform(-50, 50) for _ in "xyz")) for i in range(4)]
+    data += [(2000 + i, 1.0, 1.0, 1.0) for i in range(9)] + [(3000, 50.0, 50.0, 50.0)]
+    read = []
+    keep = spatial.store_table
+    monkeypatch.setattr(spatial, "store_table", lambda df, name: read.append((name, keep(df, name))) or read[-1][1])
+    df = spark.createDataFrame(data + [(5000, float("nan"), 0.0, 0.0), (5001, None, 0.0, 0.0)], SCHEMA)
+    rows = spatial.knn(df, 4, heavy=40).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["id"], r["rank"])):
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert got == nearest_by_hand(data, 4)
+    asked = [t for name, t in read if name == "knn-cells"]
+    assert len(asked) > 2  # the outliers went down several levels
+    far = asked[-1].where("abs(x) > 5 and abs(x) < 49.9").groupBy("x").agg(F.sum("_n").alias("n"))
+    assert far.count() == 4 and far.agg(F.max("n")).first()[0] < 400
+
+
+def test_knn_by_parts_of_any_size(spark):
+    rnd = random.Random(9)
+    data = [(i, *(rnd.gauss(0, 1 + i % 3) for _ in "xyz"), "abc"[min(i % 7, 2)]) for i in range(200)] + [(900, 0.0, 0.0, 0.0, None)]
+    df = spark.createDataFrame(data, SCHEMA + ", part string")
+    got = {}
+    for r in spatial.knn(df, 30, by=["part"]).orderBy("rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    want = {}
+    for part in "abc":
+        want |= nearest_by_hand([d for d in data if d[4] == part], 30)
+    assert got == want
+
+
 def test_knn_fewer_points_than_k(spark):
     got = spatial.knn(spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 5.0, 0.0, 0.0)], SCHEMA), 20).collect()
     assert {(r["id"], r["neighbour"]) for r in got} == {(1, 2), (2, 1)}
