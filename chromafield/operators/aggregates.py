@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ from chromafield.operators.ordered import (
     slice_of,
     with_moments,
 )
-from chromafield.session import broadcast_if_small
-
+from chromafield.operators.spatial import candidate_pairs
+from chromafield.session import broadcast_if_small, store_table
 
 
 def magnitude(re: Column, im: Column) -> Column:
@@ -392,49 +394,94 @@ def weekly_synthesis(
     )
 
 
+#: rows of one side of a tile of similarities
+TILE_ROWS = 1024
+
+
 def nt_xent(
     emb: DataFrame,
     tau: float,
     batch: str = "batch",
     label: str = "label",
     vec: str = "embedding",
-    max_batch: int = 4096,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """Contrastive loss per batch: mean over positive pairs of -log softmax similarity.
+    """Contrastive loss per batch of any size: mean over positive pairs of -log softmax similarity.
 
-    A batch is a training batch: its size is bounded by the caller and checked, and its
-    similarity matrix is one numpy product.  Rows without a positive partner do not count.
+    A batch is dealt into tiles of about ``tile_rows`` rows.  Every pair of tiles is one group: it
+    gives each row its greatest similarity there, the sum of exponentials relative to it, and the
+    sum over its positive partners.  These merge associatively, so no task holds more than one
+    tile of the matrix.  Rows without a positive partner do not count, rows without a label or a
+    vector take no part, and a zero vector is similar to nothing.
     """
-    import numpy as np
-    import pandas as pd
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_batch:
-            raise ValueError(f"batch of {len(pdf)} rows, at most {max_batch} allowed")
-        x = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        sim = x @ x.T / tau
-        np.fill_diagonal(sim, -np.inf)
-        top = sim.max(axis=1)
-        log_sum = top + np.log(np.exp(sim - top[:, None]).sum(axis=1))
-        y = pdf[label].to_numpy()
-        same = y[:, None] == y[None, :]
-        np.fill_diagonal(same, False)
-        rows, cols = np.nonzero(same)
-        losses = log_sum[rows] - sim[rows, cols]
-        return pd.DataFrame(
-            {
-                batch: [pdf[batch].iloc[0]],
-                "pairs": [len(losses)],
-                "loss": [float(losses.mean()) if len(losses) else None],
-            }
-        )
+    rows = store_table(
+        emb.where(F.col(label).isNotNull() & F.col(vec).isNotNull()).select(
+            F.monotonically_increasing_id().alias("_row"),
+            F.col(batch).alias("_b"),
+            F.col(label).cast("string").alias("_l"),
+            F.col(vec).cast("array<double>").alias("_v"),
+        ),
+        "contrastive",
+    )
+    # one row per batch
+    tiles = rows.groupBy("_b").agg(F.ceil(F.count("*") / F.lit(float(tile_rows))).cast("int").alias("_n"))
+    dealt = rows.join(
+        tiles.withColumnRenamed("_b", "_k"), F.col("_b").eqNullSafe(F.col("_k"))
+    ).drop("_k").withColumn("_t", F.expr("cast(pmod(xxhash64(_row), _n) as int)"))
+    other = F.explode(F.expr("sequence(0, _n - 1)"))
+    paired = dealt.select("_b", "_row", "_l", "_v", "_t", other.alias("_o")).withColumns(
+        {"_p": F.least("_t", "_o"), "_q": F.greatest("_t", "_o")}
+    )
+
+    def tile(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        x /= np.where(size > 0, size, 1.0)
+        side, label_of = pdf["_t"].to_numpy(), pdf["_l"].to_numpy()
+        out = []
+        for a, b in {(key[1], key[2]), (key[2], key[1])}:
+            left, right = np.flatnonzero(side == a), np.flatnonzero(side == b)
+            if not len(left) or not len(right):
+                continue
+            sim = x[left] @ x[right].T / tau
+            same = label_of[left][:, None] == label_of[right][None, :]
+            if a == b:
+                np.fill_diagonal(same, False)
+            near = np.where(same, sim, 0.0).sum(axis=1)
+            if a == b:
+                np.fill_diagonal(sim, -np.inf)
+            top = sim.max(axis=1)
+            with np.errstate(invalid="ignore"):
+                total = np.where(np.isfinite(top), np.exp(sim - top[:, None]).sum(axis=1), 0.0)
+            out.append(
+                pd.DataFrame(
+                    {
+                        "_b": [key[0]] * len(left),
+                        "_row": pdf["_row"].to_numpy()[left],
+                        "top": np.where(np.isfinite(top), top, -1e300),
+                        "total": total,
+                        "near": near,
+                        "pairs": same.sum(axis=1),
+                    }
+                )
+            )
+        return pd.concat(out) if out else pd.DataFrame(columns=["_b", "_row", "top", "total", "near", "pairs"])
 
     dtype = emb.schema[batch].dataType.simpleString()
-    return (
-        emb.select(batch, label, vec)
-        .groupBy(batch)
-        .applyInPandas(one, f"{batch} {dtype}, pairs long, loss double")
+    parts = paired.groupBy("_b", "_p", "_q").applyInPandas(
+        tile, f"_b {dtype}, _row long, top double, total double, near double, pairs long"
+    )
+    # as many entries per row as its batch has tiles
+    merged = parts.groupBy("_b", "_row").agg(
+        F.max("top").alias("top"),
+        F.collect_list(F.struct("top", "total")).alias("parts"),
+        F.sum("near").alias("near"),
+        F.sum("pairs").alias("pairs"),
+    )
+    log_sum = F.expr("top + ln(aggregate(parts, 0D, (a, p) -> a + p.total * exp(p.top - top)))")
+    loss = F.when(F.col("pairs") > 0, F.col("pairs") * log_sum - F.col("near"))
+    return merged.groupBy(F.col("_b").alias(batch)).agg(
+        F.sum("pairs").alias("pairs"), F.try_divide(F.sum(loss), F.sum("pairs")).alias("loss")
     )
 
 
@@ -444,48 +491,55 @@ def field_at(
     f: float,
     sigma: float,
     point_id: str = "point_id",
-    max_points: int = 256,
+    tolerance: float = 1e-12,
 ) -> DataFrame:
     """Weighted coherence at query points: terms w * A * exp(j(phi - k r)) / r^2.
 
-    ``points`` is a bounded query set (its size is checked); paths stay distributed and
-    are reduced to one partial sum per point.  The footprint weight is
-    exp(-r^2 / 2 sigma^2); a path at the point itself has no finite term and is left out.
+    The footprint weight is w = exp(-r^2 / 2 sigma^2).  It is cut at the reach where it falls to
+    ``tolerance``, so points and paths meet by cells as wide as the reach, and neither side has
+    to be small.  ``left_out`` bounds the sum of the amplitudes of all terms beyond the reach.
+    Paths at one position are summed before they are paired.  A path at the point itself has no
+    finite term and is left out; a point that nothing reaches has n = 0, field 0 and no gamma.
     """
     from chromafield.schemas import SPEED_OF_LIGHT
 
-    queries = points.select(point_id, "x", "y", "z").limit(max_points + 1).collect()
-    if len(queries) > max_points:
-        raise ValueError(f"more than {max_points} query points; call in batches")
-    grid = F.array(
-        *[
-            F.struct(
-                F.lit(q[0]).alias(point_id),
-                F.lit(float(q[1])).alias("px"),
-                F.lit(float(q[2])).alias("py"),
-                F.lit(float(q[3])).alias("pz"),
-            )
-            for q in queries
-        ]
-    )
+    reach = sigma * math.sqrt(2 * math.log(1 / tolerance))
     k = 2 * math.pi * f / SPEED_OF_LIGHT
-    r2 = (
-        (F.col("x") - F.col("p.px")) ** 2
-        + (F.col("y") - F.col("p.py")) ** 2
-        + (F.col("z") - F.col("p.pz")) ** 2
+    spots = paths.groupBy("x", "y", "z").agg(
+        F.sum(F.col("amplitude") * F.cos("phase")).alias("re"),
+        F.sum(F.col("amplitude") * F.sin("phase")).alias("im"),
+        F.sum(F.abs("amplitude")).alias("size"),
+        F.count(F.lit(1)).alias("n"),
     )
-    amp = F.col("amplitude") * F.exp(-F.col("_r2") / F.lit(2 * sigma * sigma)) / F.col("_r2")
-    angle = F.col("phase") - F.lit(k) * F.sqrt("_r2")
-    return (
-        paths.select("x", "y", "z", "amplitude", "phase", F.explode(grid).alias("p"))
-        .select("amplitude", "phase", F.col(f"p.{point_id}").alias(point_id), r2.alias("_r2"))
-        .where("_r2 > 0")
-        .groupBy(point_id)
+    asked = points.select(F.col(point_id).alias("id"), "x", "y", "z")
+    near = candidate_pairs(asked, spots, reach, ["id", "x", "y", "z"], ["x", "y", "z", "re", "im", "size", "n"])
+    weight = F.exp(-F.col("d2") / F.lit(2 * sigma * sigma)) / F.col("d2")
+    turn = F.lit(k) * F.sqrt("d2")
+    sums = (
+        near.where("d2 > 0")
+        .withColumns({"_w": weight, "_c": F.cos(turn), "_s": F.sin(turn)})
+        .groupBy(F.col("a_id").alias("_id"))
         .agg(
-            coherence_of(amp * F.cos(angle), amp * F.sin(angle)).alias("gamma"),
-            magnitude(F.sum(amp * F.cos(angle)), F.sum(amp * F.sin(angle))).alias("field"),
-            F.count("*").alias("n"),
+            F.sum(F.expr("_w * (b_re * _c + b_im * _s)")).alias("_re"),
+            F.sum(F.expr("_w * (b_im * _c - b_re * _s)")).alias("_im"),
+            F.sum(F.expr("_w * b_size")).alias("_all"),
+            F.sum("b_size").alias("_size"),
+            F.sum("b_n").alias("_n"),
+        )
+    )
+    # one row: the amplitudes of all paths
+    total = spots.agg(F.coalesce(F.sum("size"), F.lit(0.0)).alias("_total"))
+    field = magnitude(F.coalesce("_re", F.lit(0.0)), F.coalesce("_im", F.lit(0.0)))
+    rest = F.col("_total") - F.coalesce("_size", F.lit(0.0))
+    return (
+        asked.select(F.col("id").alias(point_id))
+        .join(sums, F.col(point_id) == F.col("_id"), "left")
+        .join(F.broadcast(total))
+        .select(
+            point_id,
+            F.try_divide(field, F.col("_all")).alias("gamma"),
+            field.alias("field"),
+            F.coalesce("_n", F.lit(0)).cast("long").alias("n"),
+            (F.greatest(rest, F.lit(0.0)) * (tolerance / reach**2)).alias("left_out"),
         )
     )
-
-

@@ -81,10 +81,11 @@ def _(t: Tables):
       SELECT sensor_id AS point_id, x / 100 AS px, y / 3 AS py, 2.5 AS pz FROM sensors),
     t AS (SELECT point_id, k * 2 * pi() / 100 - (2 * pi() * 75e6 / 299792458.0) * sqrt(r2) AS a,
         energy * exp(-r2 / 50.0) / r2 AS m
-      FROM (SELECT point_id, k, energy, (x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2 AS r2 FROM obs, p))
-    SELECT point_id, round(sqrt(sum(m * cos(a)) ** 2 + sum(m * sin(a)) ** 2) / sum(abs(m)), 6) AS gamma,
-      round(sqrt(sum(m * cos(a)) ** 2 + sum(m * sin(a)) ** 2), 6) AS field, CAST(count(*) AS BIGINT) AS n
-    FROM t GROUP BY 1""",
+      FROM (SELECT point_id, k, energy, (x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2 AS r2 FROM obs, p)
+      WHERE r2 > 0 AND r2 <= 50 * ln(1e12))
+    SELECT p.point_id, round(sqrt(sum(m * cos(a)) ** 2 + sum(m * sin(a)) ** 2) / sum(abs(m)), 6) AS gamma,
+      round(coalesce(sqrt(sum(m * cos(a)) ** 2 + sum(m * sin(a)) ** 2), 0), 6) AS field, CAST(count(m) AS BIGINT) AS n
+    FROM p LEFT JOIN t ON p.point_id = t.point_id GROUP BY 1""",
 )
 def _(t: Tables):
     points = t.sensors.select(
@@ -96,7 +97,7 @@ def _(t: Tables):
     paths = t.obs.select(
         "x", "y", "z", c("energy").alias("amplitude"), (c("k") * 2 * F.pi() / 100).alias("phase")
     )
-    return rounded(A.field_at(points, paths, 75e6, 5.0))
+    return rounded(A.field_at(points, paths, 75e6, 5.0).drop("left_out"))
 
 
 @query(

@@ -102,18 +102,14 @@ class Tables:
 
     @cached_property
     def sensors(self) -> DataFrame:
-        """Eight receivers: the first suppliers."""
+        """Receivers: all suppliers (observations name the first eight)."""
         s = F.col("s_suppkey")
-        return (
-            self.table("supplier")
-            .where(s < 8)
-            .select(
-                s.cast("int").alias("sensor_id"),
-                F.col("s_name").alias("name"),
-                (s * 100.0).cast("double").alias("x"),
-                F.col("s_nationkey").cast("double").alias("y"),
-                F.lit(0.0).alias("z"),
-            )
+        return self.table("supplier").select(
+            s.cast("int").alias("sensor_id"),
+            F.col("s_name").alias("name"),
+            (s * 100.0).cast("double").alias("x"),
+            F.col("s_nationkey").cast("double").alias("y"),
+            F.lit(0.0).alias("z"),
         )
 
     @cached_property
@@ -150,7 +146,7 @@ WIN_SQL = """win AS (
 
 SENSOR_SQL = """sensors AS (
   SELECT s_suppkey AS sensor_id, s_name AS name, CAST(s_suppkey * 100.0 AS DOUBLE) AS x,
-    CAST(s_nationkey AS DOUBLE) AS y, 0e0 AS z FROM supplier WHERE s_suppkey < 8)"""
+    CAST(s_nationkey AS DOUBLE) AS y, 0e0 AS z FROM supplier)"""
 
 LINE_SQL = """line AS (
   SELECT l_orderkey * 10 + l_linenumber AS particle_id, epoch_us(l_shipdate) AS timestamp_us,

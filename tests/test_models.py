@@ -277,11 +277,66 @@ def test_motif_gate_logs_rejections(spark):
     assert any(r["log"] and r["log"].startswith("rejected: score") for r in rows)
 
 
-def test_nt_xent_bounds_batches(spark):
-    df = spark.createDataFrame([(0, i % 2, [1.0, float(i)]) for i in range(6)], "batch long, label int, embedding array<double>")
-    assert A.nt_xent(df, 0.5).first()["pairs"] == 12
-    with pytest.raises(Exception, match="at most"):
-        A.nt_xent(df, 0.5, max_batch=3).collect()
+@pytest.mark.parametrize("tile_rows", [1024, 7, 1])
+def test_contrastive_loss_of_tiles(spark, tile_rows):
+    """Batches of many tiles, of one row, with lonely labels, zero vectors and nulls."""
+    rng = np.random.default_rng(3)
+    rows = [(0, int(rng.integers(3)), rng.normal(size=4).tolist()) for _ in range(40)]
+    rows += [(1, 5, [1.0, 2.0, 3.0, 4.0])]
+    rows += [(2, i, rng.normal(size=4).tolist()) for i in range(5)]
+    rows += [(3, 1, [0.0] * 4), (3, 1, [1.0, 0.0, 0.0, 0.0]), (3, 2, [1.0, 1.0, 0.0, 0.0])]
+    lost = [(0, None, [1.0] * 4), (0, 1, None)]
+    df = spark.createDataFrame(rows + lost, "batch long, label int, embedding array<double>").repartition(3)
+    got = {r["batch"]: r for r in A.nt_xent(df, 0.1, tile_rows=tile_rows).collect()}
+    assert set(got) == {0, 1, 2, 3}
+    for b in got:
+        own = [(l, np.array(v)) for i, l, v in rows if i == b]
+        unit = [v / (np.linalg.norm(v) or 1) for _, v in own]
+        losses = []
+        for i in range(len(own)):
+            sims = {j: float(unit[i] @ unit[j]) / 0.1 for j in range(len(own)) if j != i}
+            for j in sims:
+                if own[i][0] == own[j][0]:
+                    losses.append(math.log(sum(map(math.exp, sims.values()))) - sims[j])
+        assert got[b]["pairs"] == len(losses)
+        assert got[b]["loss"] == (pytest.approx(sum(losses) / len(losses)) if losses else None)
+
+
+def test_contrastive_loss_of_a_large_batch(spark):
+    df = spark.range(20_000).selectExpr(
+        "0 as batch", "id % 10 as label",
+        "transform(sequence(1, 16), i -> hash(id, i) / 4294967296D + if(i = id % 10, 2, 0)) as embedding",
+    )
+    row = A.nt_xent(df, 0.5, tile_rows=4096).first()
+    assert row["pairs"] == 20_000 * 1_999 and 7 < row["loss"] < math.log(20_000)
+
+
+def test_field_reaches_as_far_as_its_footprint(spark):
+    rnd = random.Random(11)
+    paths = [(rnd.uniform(-30, 30), rnd.uniform(-3, 3), 0.0, rnd.random(), rnd.random()) for _ in range(300)]
+    paths += [(1.0, 1.0, 1.0, 0.5, 0.25 * i) for i in range(20)]
+    points = [(i, rnd.uniform(-40, 40), 0.0, 0.5) for i in range(600)] + [(900, 1.0, 1.0, 1.0), (901, 500.0, 0.0, 0.0)]
+    f, sigma = 1e8, 1.0
+    reach = sigma * math.sqrt(2 * math.log(1e6))
+    got = A.field_at(
+        spark.createDataFrame(points, "point_id int, x double, y double, z double"),
+        spark.createDataFrame(paths, "x double, y double, z double, amplitude double, phase double"),
+        f, sigma, tolerance=1e-6,
+    ).collect()
+    assert len(got) == 602
+    k = 2 * math.pi * f / SPEED_OF_LIGHT
+    for r in got:
+        at = next(p for p in points if p[0] == r["point_id"])
+        near, every = [], 0j
+        for x, y, z, a, phase in paths:
+            d = math.dist(at[1:], (x, y, z))
+            if d > 0:
+                term = a * math.exp(-d * d / 2) / d**2 * np.exp(1j * (phase - k * d))
+                every += term
+                near += [term] if d <= reach else []
+        assert r["n"] == len(near) and r["field"] == pytest.approx(abs(sum(near)), abs=1e-12)
+        assert abs(abs(every) - r["field"]) <= r["left_out"] + 1e-12
+        assert r["gamma"] == (pytest.approx(abs(sum(near)) / sum(map(abs, near))) if near else None)
 
 
 def test_lsh_pairs_copies(spark):
