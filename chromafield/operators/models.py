@@ -15,11 +15,11 @@ from chromafield.functions.codec import mask_bits
 from chromafield.functions.vectors import dot
 from chromafield.operators.ordered import lag_rows, prefix_scan
 from chromafield.operators.ranking import count_windows, query_semantic
+from chromafield.operators.vector_index import VectorIndex
 from chromafield.operators.windows import sustained
-from chromafield.session import broadcast_if_small
+from chromafield.session import broadcast_if_small, store_table
 
 Bins = dict[str, tuple[float, float, int]]
-MAX_BINS = 1_000_000
 
 
 def bin_index(bins: Bins) -> Column:
@@ -35,8 +35,6 @@ def _n_bins(bins: Bins) -> int:
     total = 1
     for _, _, n in bins.values():
         total *= n
-    if total > MAX_BINS:
-        raise ValueError(f"{total} bins, at most {MAX_BINS} allowed")
     return total
 
 
@@ -45,8 +43,9 @@ def fit_baseline(df: DataFrame, bins: Bins, alpha: float = 1.0) -> DataFrame:
     total = _n_bins(bins)
     counts = df.groupBy(bin_index(bins).alias("bin")).agg(F.count("*").alias("n")).where("bin IS NOT NULL")
     full = df.sparkSession.range(total).toDF("bin").join(counts, "bin", "left").fillna(0, ["n"])
-    rows = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row per bin, at most MAX_BINS
-    return full.withColumn("p", (F.col("n") + F.lit(alpha)) / (rows + F.lit(alpha * total)))
+    rows = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_rows"))  # one row
+    share = (F.col("n") + F.lit(alpha)) / (F.col("_rows") + F.lit(alpha * total))
+    return full.join(F.broadcast(rows)).withColumn("p", share).drop("_rows")
 
 
 def score_baseline(df: DataFrame, baseline: DataFrame, bins: Bins) -> DataFrame:
@@ -69,57 +68,71 @@ def kl_divergence(p: DataFrame, q: DataFrame) -> DataFrame:
     return both.agg(F.sum(term).alias("kl"), F.count("*").alias("bins"))
 
 
-def cluster_silhouettes(
-    df: DataFrame, cluster: str, vec: str, max_clusters: int = 1000
-) -> DataFrame:
-    """Mean silhouette (squared distance) and size per cluster.
+#: values of the cluster sums that one pass over the rows holds
+CLUSTER_VALUES = 2_000_000
+
+
+def cluster_silhouettes(df: DataFrame, cluster: str, vec: str) -> DataFrame:
+    """Mean silhouette (squared distance) and size per cluster, for any number of clusters.
 
     Mean distances to whole clusters come from each cluster's count, vector sum and
-    squared-norm sum, so no two points are ever paired.
+    squared-norm sum, so no two points are ever paired.  These sums come in blocks of bounded
+    size, one pass over the rows for each; a row keeps its own distance and the least other.
     """
-    size = len(df.select(vec).where(F.col(vec).isNotNull()).first()[0])
-    sums = (
-        df.groupBy(cluster)
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(dot(F.col(vec), F.col(vec))).alias("psi"),
-            F.array(*[F.sum(F.col(vec)[i].cast("double")) for i in range(size)]).alias("y"),
-        )
-        .limit(max_clusters + 1)
-        .collect()
-    )
-    if len(sums) > max_clusters:
-        raise ValueError(f"more than {max_clusters} clusters")
-    known = F.array(
-        *[
-            F.struct(
-                F.lit(row[cluster]).alias("c"),
-                F.lit(float(row["n"])).alias("n"),
-                F.lit(row["psi"]).alias("psi"),
-                F.array(*[F.lit(v) for v in row["y"]]).alias("y"),
-            )
-            for row in sums
-        ]
+    rows = df.select(F.col(cluster).alias("_c"), F.col(vec).cast("array<double>").alias("_v")).where(
+        "_c is not null and _v is not null"
     )
-    x = F.col(vec)
-    # n * mean squared distance of the row to each cluster
-    spread = F.transform(
-        known,
-        lambda k: F.struct(
-            k["c"].alias("c"), k["n"].alias("n"), (k["n"] * F.col("_xx") + k["psi"] - F.lit(2.0) * dot(x, k["y"])).alias("d")
+    size = rows.agg(F.max(F.size("_v"))).first()[0] or 0
+    sums = store_table(
+        rows.groupBy("_c").agg(
+            F.count("*").alias("n"),
+            F.sum(dot(F.col("_v"), F.col("_v"))).alias("psi"),
+            F.array(*[F.sum(F.col("_v")[i]) for i in range(size)]).cast("array<double>").alias("y"),
         ),
+        "clusters",
     )
-    own = F.filter("_d", lambda k: k["c"] == F.col(cluster))[0]
-    other = F.array_min(
-        F.transform(F.filter("_d", lambda k: k["c"] != F.col(cluster)), lambda k: k["d"] / k["n"])
-    )
-    scored = df.withColumn("_xx", dot(x, x)).withColumn("_d", spread).withColumns(
-        {"_n": own["n"], "_a": F.try_divide(own["d"], own["n"] - 1), "_b": other}
-    )
-    s = F.when(F.col("_n") <= 1, 0.0).otherwise(
-        F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0))
-    )
-    return scored.groupBy(cluster).agg(F.avg(s).alias("silhouette"), F.count("*").alias("n"))
+    blocks = max(1, -(-sums.count() * (size + 2) // CLUSTER_VALUES))
+    none = F.lit(None).cast("double")
+    scored = rows.withColumns({"_n": none, "_a": none, "_b": none})
+    kind = rows.schema["_c"].dataType.simpleString()
+    for number in range(blocks):
+        known = sums.where(F.pmod(F.xxhash64("_c"), F.lit(blocks)) == number).toPandas()
+        if not len(known):
+            continue
+        shared = df.sparkSession.sparkContext.broadcast(
+            (
+                known["_c"].to_numpy(),
+                known["n"].to_numpy(float),
+                known["psi"].to_numpy(float),
+                np.array(known["y"].tolist(), float).reshape(len(known), size),
+            )
+        )
+        if number:
+            scored = store_table(scored, "silhouettes")
+
+        def measure(batches, shared=shared):
+            names, count, psi, total = shared.value
+            at = {name: i for i, name in enumerate(names)}
+            for pdf in batches:
+                for start in range(0, len(pdf), 4096):
+                    part = pdf.iloc[start : start + 4096].copy()
+                    x = np.array(part["_v"].tolist(), float).reshape(len(part), size)
+                    # count * mean squared distance of each row to each cluster
+                    spread = count * (x**2).sum(axis=1)[:, None] + psi - 2 * (x @ total.T)
+                    own = part["_c"].map(at).to_numpy(float)
+                    here = np.flatnonzero(~np.isnan(own))
+                    mine = own[here].astype(int)
+                    kept = part["_a"].to_numpy(float).copy(), part["_n"].to_numpy(float).copy()
+                    kept[0][here], kept[1][here] = spread[here, mine], count[mine]
+                    mean = spread / count
+                    mean[here, mine] = np.inf
+                    least = np.fmin(mean.min(axis=1), part["_b"].to_numpy(float))
+                    yield part.assign(_a=kept[0], _n=kept[1], _b=np.where(np.isinf(least), np.nan, least))
+
+        scored = scored.mapInPandas(measure, f"_c {kind}, _v array<double>, _n double, _a double, _b double")
+    a, b = F.try_divide("_a", F.col("_n") - 1), F.nanvl("_b", none)
+    s = F.when(F.col("_n") <= 1, 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
+    return scored.groupBy(F.col("_c").alias(cluster)).agg(F.avg(s).alias("silhouette"), F.count("*").alias("n"))
 
 
 def gate_motifs(silhouettes: DataFrame, min_sil: float = 0.6) -> DataFrame:
@@ -248,7 +261,7 @@ def lsh_signatures(
 
 def retrieve(
     query: Sequence[float],
-    obs: DataFrame,
+    obs: DataFrame | VectorIndex,
     nodes: DataFrame,
     edges: DataFrame,
     k: int = 5,
@@ -256,14 +269,16 @@ def retrieve(
     id_col: str = "vec_id",
     node_id: Column | None = None,
 ) -> DataFrame:
-    """The k most similar observations with their node and its edges.
+    """The k most similar observations (of a table or an index) with their node and its edges.
 
     Only k rows enter the joins, so the big sides are filtered, not shuffled.
     """
     node_id = F.concat(F.lit("event:"), F.col(id_col)) if node_id is None else node_id
-    top = query_semantic(query, obs, k, vec, id_col).select(
-        id_col, "similarity", node_id.alias("id")
-    )
+    if isinstance(obs, VectorIndex):
+        found = obs.search(query, k)
+    else:
+        found = query_semantic(query, obs, k, vec, id_col)
+    top = found.select(id_col, "similarity", node_id.alias("id"))
     hits = F.broadcast(top)  # k rows
     linked = nodes.join(hits, "id").select("id", "similarity", id_col, "type", "props")
     return linked.join(

@@ -12,6 +12,7 @@ from chromafield.operators import models as M
 from chromafield.operators import ranking, signal, spatial
 
 from chromafield.operators.ordered import slice_of
+from chromafield.operators.vector_index import build_index
 from chromafield.plans.bindings import (
     HOUR_US,
     MINUTE_US,
@@ -21,7 +22,7 @@ from chromafield.plans.bindings import (
     query,
     rounded,
 )
-from chromafield.session import store_table
+from chromafield.session import scratch_path, store_table
 
 c = F.col
 TIE = ["particle_id"]
@@ -440,6 +441,18 @@ def _(t: Tables):
     return rounded(out.select("id", "similarity", "type", "dst", "relation", "ts"))
 
 
+@query(
+    "indexed_semantic_top5",
+    "G2 I8 J14",
+    f"""WITH {WIN_SQL} SELECT vec_id, label, round(list_cosine_similarity(embedding, {_QUERY_VECTOR}::DOUBLE[]), 6) AS similarity
+    FROM win ORDER BY list_cosine_similarity(embedding, {_QUERY_VECTOR}::DOUBLE[]) DESC, vec_id LIMIT 5""",
+)
+def _(t: Tables):
+    """The same search through a stored index."""
+    index = build_index(t.table("embeddings"), scratch_path(t.spark, "index"), cells=16)
+    return rounded(index.search(_QUERY_VECTOR, 5).select("vec_id", "label", "similarity"))
+
+
 @query(
     "observation_analysis",
     "J14",

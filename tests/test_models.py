@@ -364,8 +364,6 @@ def test_baseline_covers_all_bins(spark):
     p = {r["bin"]: r["p"] for r in base.collect()}
     assert sum(p.values()) == pytest.approx(1.0) and p[0] == pytest.approx(3 / 7) and p[3] == pytest.approx(2 / 7)
     assert M.kl_divergence(base, base).first()["kl"] == pytest.approx(0.0)
-    with pytest.raises(ValueError):
-        M.fit_baseline(df, {"v": (0.0, 1.0, 10**7)})
 
 
 def test_long_motif_sequences(spark):
@@ -375,3 +373,79 @@ def test_long_motif_sequences(spark):
     found = {tuple(r["pattern"]): r["freq"] for r in M.motif_sequences(df, 1.0, ["k"], gap_us=100).collect()}
     assert found[(0, 1, 2, 3, 4, 5)] == 4 and len(found) == 2**6 - 1
     assert (5, 0) not in found
+
+
+def by_cosine(rows, query, k):
+    q = np.array(query)
+    unit = [(float(np.dot(v, q) / (np.linalg.norm(v) * np.linalg.norm(q))), i) for i, v in rows]
+    return [(i, s) for s, i in sorted(unit, key=lambda r: (-round(r[0], 12), r[1]))[:k]]
+
+
+@pytest.mark.parametrize("cells", [1, 12, 100])
+def test_index_search_is_exact_and_opens_few_cells(spark, tmp_path, cells):
+    from chromafield.operators import vector_index as X
+
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 16)) * 5
+    rows = [(i, (centres[i % 12] + rng.normal(size=16)).tolist()) for i in range(2400)]
+    rows += [(5000 + i, rows[7][1]) for i in range(8)]
+    extra = [(9000, None), (9001, [0.0] * 16), (9002, [1.0] * 3), (9003, [float("nan")] * 16)]
+    df = spark.createDataFrame(rows + extra, "vec_id long, embedding array<double>").withColumn("note", F.lit("n"))
+    X.build_index(df.repartition(4), str(tmp_path / "ix"), cells=cells)
+    index = X.open_index(spark, str(tmp_path / "ix"))
+    assert index.cells["n"].sum() == len(rows)
+    for number, query in enumerate([rows[7][1], rows[100][1], centres[3].tolist(), rng.normal(size=16).tolist(), [1.0] + [0.0] * 15]):
+        for k in (1, 5, 40):
+            got = [(r["vec_id"], r["similarity"]) for r in index.search(query, k).collect()]
+            want = by_cosine(rows, query, k)
+            assert [g[1] for g in got] == pytest.approx([w[1] for w in want])
+            if number != 0:
+                assert [g[0] for g in got] == [w[0] for w in want]
+        if number < 3 and cells == 12:
+            assert index.last_cells < 12
+    assert index.search(rows[7][1], 3).columns == ["vec_id", "embedding", "note", "similarity"]
+    assert index.search([0.0] * 16, 3).count() == 0
+    assert index.search(rows[7][1], 9999).count() == len(rows)
+
+
+def test_retrieve_through_an_index(spark, tmp_path):
+    from chromafield.operators import vector_index as X
+
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    nodes = df.selectExpr("concat('event:', vec_id) as id", "'Event' as type", "'' as props")
+    edges = nodes.selectExpr("id as src", "'x' as dst", "'IN' as type", "0L as ts")
+    index = X.build_index(df, str(tmp_path / "ix"), cells=4)
+    plain, through = (M.retrieve(rows[3][1], source, nodes, edges, 5) for source in (df, index))
+    key = lambda r: (r["id"], round(r["similarity"], 9))
+    assert sorted(map(key, plain.collect())) == sorted(map(key, through.collect()))
+
+
+def test_silhouettes_of_many_clusters(spark, monkeypatch):
+    """Blocks of clusters give the same rows as one; over a thousand clusters are fine."""
+    rng = np.random.default_rng(1)
+    rows = [(int(i % 1500), (rng.normal(size=3) + i % 1500).tolist()) for i in range(4000)] + [(7000, [1.0] * 3), (None, [0.0] * 3)]
+    df = spark.createDataFrame(rows, "c int, v array<double>").repartition(2)
+    one = {r["c"]: r for r in M.cluster_silhouettes(df, "c", "v").collect()}
+    monkeypatch.setattr(M, "CLUSTER_VALUES", 3000)
+    many = {r["c"]: r for r in M.cluster_silhouettes(df, "c", "v").collect()}
+    assert set(one) == set(many) and len(one) == 1501 and one[7000]["silhouette"] == 0.0
+    assert all(one[c]["silhouette"] == pytest.approx(many[c]["silhouette"]) for c in one)
+    x, own = np.array([v for _, v in rows[:-1]]), np.array([c for c, _ in rows[:-1]])
+    for c in (0, 3, 1499):
+        values = []
+        for i in np.flatnonzero(own == c):
+            d = ((x - x[i]) ** 2).sum(axis=1)
+            a = d[own == c].sum() / ((own == c).sum() - 1)
+            b = min(d[own == o].mean() for o in set(own.tolist()) - {c})
+            values.append((b - a) / max(a, b))
+        assert one[c]["silhouette"] == pytest.approx(sum(values) / len(values))
+
+
+def test_baseline_of_any_number_of_bins(spark):
+    df = spark.createDataFrame([(0.5,), (0.5,), (0.25,), (None,)], "v double")
+    bins = {"v": (0.0, 1.0, 3_000_000)}
+    p = M.fit_baseline(df, bins)
+    assert p.count() == 3_000_000 and p.agg(F.sum("p")).first()[0] == pytest.approx(1.0)
+    assert p.agg(F.max("p")).first()[0] == pytest.approx(3 / 3_000_003)
