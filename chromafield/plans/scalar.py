@@ -131,17 +131,16 @@ def _(t: Tables):
     "source_and_mask_codes",
     "B9 B10",
     f"""WITH {OBS_SQL}, m AS (
-      SELECT particle_id, hue_class, user_id, (particle_id * 40503 + k) % 65536 AS mask FROM obs
-      WHERE hue_class IS NOT NULL)
+      SELECT particle_id, hue_class, user_id, (particle_id * 40503 + k) % 65536 AS mask FROM obs)
     SELECT particle_id, hue_class * 16777216 + user_id AS source_id, hue_class AS hue_part,
-      user_id AS device_part, CAST(bit_count(mask) AS BIGINT) AS members,
+      CASE WHEN hue_class IS NOT NULL THEN user_id END AS device_part, CAST(bit_count(mask) AS BIGINT) AS members,
       array_to_string(list_filter(range(0, 32), lambda b: (mask >> b) % 2 = 1), ',') AS member_list
     FROM m""",
 )
 def _(t: Tables):
     mask = F.pmod(c("particle_id") * 40503 + c("k"), F.lit(65536))
     src = C.pack_source(c("hue_class"), c("user_id"))
-    out = t.obs.where("hue_class IS NOT NULL").select(
+    out = t.obs.select(
         "particle_id", src.alias("source_id"), mask.alias("_m")
     )
     parts = C.unpack_source(c("source_id"))

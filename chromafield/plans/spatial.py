@@ -312,7 +312,7 @@ def _(t: Tables):
     SELECT src AS id, round(sum(weight * value), 6) AS value FROM e JOIN x ON e.dst = x.id GROUP BY 1""",
 )
 def _(t: Tables):
-    dst = (c("hue_class") * 100 + c("layer")).alias("dst")
+    dst = (F.coalesce("hue_class", F.lit(12)) * 100 + c("layer")).alias("dst")
     edges = t.obs.groupBy(c("user_id").alias("src"), dst).agg(F.sum("energy").alias("weight"))
     x = t.obs.groupBy(dst.alias("id")).agg(F.avg("k").alias("value"))
     return rounded(G.spmv(edges, x))
@@ -320,9 +320,10 @@ def _(t: Tables):
 
 def _sensor_graph(t: Tables):
     """Users linked by their (pitch class, layer) activity: a bipartite weighted graph."""
-    half = t.obs.where("hue_class IS NOT NULL").select(
+    # 12: no pitch class
+    half = t.obs.select(
         F.concat(F.lit("u"), c("user_id")).alias("src"),
-        F.concat(F.lit("h"), c("hue_class"), F.lit("_"), c("layer")).alias("dst"),
+        F.concat(F.lit("h"), F.coalesce("hue_class", F.lit(12)), F.lit("_"), c("layer")).alias("dst"),
         "energy",
     )
     e = half.groupBy("src", "dst").agg(F.sum("energy").alias("weight"))
@@ -365,15 +366,15 @@ def _(t: Tables):
 def _pole(t: Tables):
     particles = t.obs.select(
         "particle_id", "timestamp_us", "sensor_id", "frequency_hz", "energy", "x", "y", "z"
-    ).where("frequency_hz > 0")
-    poses = t.obs.where("layer = 1 AND frequency_hz > 0").select(
+    )
+    poses = t.obs.where("layer = 1").select(
         c("user_id").alias("person_id"), "particle_id", "timestamp_us"
     )
     return G.pole_graph(particles, MINUTE_US, poses=poses)
 
 
-_POLE_SQL = f"""{OBS_SQL}, o AS (SELECT *, 'event:' || particle_id AS ev, 'object:' || sensor_id || ':' || hue_class AS ob,
-      'location:' || CAST(x AS BIGINT) || ':' || CAST(y AS BIGINT) || ':' || CAST(z AS BIGINT) AS lo FROM obs WHERE frequency_hz > 0),
+_POLE_SQL = f"""{OBS_SQL}, o AS (SELECT *, 'event:' || particle_id AS ev, concat_ws(':', 'object', sensor_id, hue_class) AS ob,
+      'location:' || CAST(x AS BIGINT) || ':' || CAST(y AS BIGINT) || ':' || CAST(z AS BIGINT) AS lo FROM obs),
     l AS (SELECT ev, timestamp_us, lag(ev) OVER w AS pev, lag(timestamp_us) OVER w AS pts FROM o WINDOW w AS (ORDER BY timestamp_us, particle_id)),
     pl AS (SELECT DISTINCT lo, x, y, z FROM o),
     edges AS (SELECT ev AS src, ob AS dst, 'CO_OCCURS_WITH' AS type, timestamp_us AS ts FROM o

@@ -257,8 +257,7 @@ def _(t: Tables):
 @query(
     "edge_stability",
     "F11",
-    f"""WITH {OBS_SQL}, e AS (SELECT DISTINCT sensor_id AS src, hue_class AS dst, timestamp_us // {6 * HOUR_US} AS frame FROM obs
-        WHERE hue_class IS NOT NULL),
+    f"""WITH {OBS_SQL}, e AS (SELECT DISTINCT sensor_id AS src, coalesce(hue_class, 12) AS dst, timestamp_us // {6 * HOUR_US} AS frame FROM obs),
     m AS (SELECT e.*, EXISTS (SELECT 1 FROM e f WHERE f.src = e.src AND f.dst = e.dst AND f.frame = e.frame + 1) AS n1,
       EXISTS (SELECT 1 FROM e f WHERE f.src = e.src AND f.dst = e.dst AND f.frame = e.frame + 2) AS n2 FROM e)
     SELECT frame, CAST(count(*) AS BIGINT) AS edges, CAST(count(*) FILTER (n1) AS BIGINT) AS kept,
@@ -266,8 +265,9 @@ def _(t: Tables):
       round(avg(CASE WHEN n1 THEN 1.0 ELSE 0.0 END), 6) AS stability FROM m GROUP BY 1""",
 )
 def _(t: Tables):
-    edges = t.obs.where("hue_class IS NOT NULL").select(
-        c("sensor_id").alias("src"), c("hue_class").alias("dst"), slice_of(c("timestamp_us"), 6 * HOUR_US).alias("frame")
+    # 12: no pitch class
+    edges = t.obs.select(
+        c("sensor_id").alias("src"), F.coalesce("hue_class", F.lit(12)).alias("dst"), slice_of(c("timestamp_us"), 6 * HOUR_US).alias("frame")
     )
     return rounded(W.edge_stability(edges))
 
