@@ -7,14 +7,18 @@ side or joined with names by ``+``; literals within brackets or the arguments of
 the key of a lookup; alternatives after ``or``, ``||`` or ``??``; or one bare word.  A value may
 begin on the next line if it is quoted, bracketed or, below a ``:``, one indented word.  A name that was given literals before is a constant: where it is
 used as a value, its literals count for the name on the left as well, over any number of steps.
+Brackets nest to any depth.
 Each literal is scored by how sensitive the best of its target names is, times how much the
 literal looks like a secret; from ``threshold`` on it is reported with the kind ``literal``.
 
-A text is lexed in one pass on its own, whole; nothing is looked up in other rows.
+A text is lexed in one pass on its own, whole; nothing is looked up in other rows.  Constants form
+a graph that is solved once: what is asked of a name goes from users to what they use, and what a
+value looks like, kept as its length, character counts and beginning, goes down to its literals;
+so the time grows with the text, not with the length of the chains.
 
 Defined results: a null text counts as empty and has no spans; offsets count code points, the
-end exclusive; an empty table gives an empty result.  Result columns replace input columns of
-the same name.
+end exclusive; rows that repeat an id or a text are scanned each for itself; an empty table gives an
+empty result.  Result columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -87,7 +91,7 @@ _BRACKET = re.compile(r"[\[\]<>\n]")
 _LOOKUP = re.compile(r"(?:^|[._:$])(?:get\w*|\w*env|lookup|fetch|setting|config|option)$", re.IGNORECASE)
 #: arguments by name that stand for the value of the whole call
 FALLBACKS = {"default", "default_value", "defaultValue", "fallback", "value"}
-DEPTH = 8  # brackets within brackets that one value is followed into
+HEAD = 256  # characters of a value's beginning that are looked at
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 Span = tuple[int, int]
@@ -194,22 +198,44 @@ def _sum(text: str, at: int, inside: bool) -> tuple[list[tuple[str, Span]], int]
     return terms, end
 
 
-def _quoted(values: list[list[tuple[str, Span]]]) -> list[list[tuple[str, Span]]]:
-    return [v for v in values if any(kind == "literal" for kind, _ in v)]
+class _Quoted(list):
+    """Values that all hold a literal; lists go up through brackets without being looked at again."""
 
 
-def _elements(text: str, at: int, depth: int, lookup: bool):
+def _quoted(values: list[list[tuple[str, Span]]]) -> _Quoted:
+    if isinstance(values, _Quoted):
+        return values
+    return _Quoted(v for v in values if any(kind == "literal" for kind, _ in v))
+
+
+def _run(steps):
+    """Result of a generator that yields the generators it waits for; no recursion."""
+    stack, value = [steps], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
+def _elements(text: str, at: int, lookup: bool, known: dict):
     """Values with literals in the brackets that opened before ``at``, and their end."""
-    found, first = [], lookup
+    found, first = _Quoted(), lookup
     while True:
         at = _SPACE.match(text, at).end()
         key = _KEY.match(text, at)
         if key:
             at = key.end()
-        values, end = _values(text, at, depth)
+        if at not in known:
+            known[at] = yield _value_steps(text, at, True, known)
+        values, end = known[at]
         # what has a key of its own belongs to that
         if key[2] in FALLBACKS if key else not first:
-            found += _quoted(values)
+            values = _quoted(values)
+            found = _Quoted(found + values) if found else values
         first = False
         at = _SPACE.match(text, end).end()
         if text[at : at + 1] != ",":
@@ -218,23 +244,28 @@ def _elements(text: str, at: int, depth: int, lookup: bool):
     return found, at + (text[at : at + 1] in tuple(")]}"))
 
 
-def _values(text: str, at: int, depth: int = 0) -> tuple[list[list[tuple[str, Span]]], int]:
-    """Terms of every value at ``at``, and the end of the last."""
+def _value_steps(text: str, at: int, inside: bool, known: dict):
+    """Terms of every value at ``at``, and the end of the last; see ``_run``.
+
+    ``known`` holds what was found at positions within brackets, which the assignments there
+    look at again.
+    """
     call = _CALL.match(text, at)
     group = call or _GROUP.match(text, at)
     values, end = [], at
-    if group and depth < DEPTH:
-        values, end = _elements(text, group.end(), depth + 1, bool(call and _LOOKUP.search(call[1])))
+    if group:
+        lookup = bool(call and _LOOKUP.search(call[1]))
+        values, end = yield _elements(text, group.end(), lookup, known)
         if m := _TAIL.match(text, end):
             end = m.end()
-    if not values and not (group and depth):
-        terms, upto = _sum(text, at, depth > 0)
+    if not values and not (group and inside):
+        terms, upto = _sum(text, at, inside)
         if terms:
             values, end = [terms], max(end, upto)
     while other := _ELSE.match(text, end):
         if _LITERAL.match(text, other.end()):
-            terms, end = _sum(text, other.end(), depth > 0)
-            values += _quoted([terms])
+            terms, end = _sum(text, other.end(), inside)
+            values = values + _quoted([terms])
         else:
             break
     return values, end
@@ -259,13 +290,13 @@ def _value_at(text: str, operator: re.Match) -> tuple[int, list[list[tuple[str,
 
 def assignments(text: str) -> list[tuple[str, list[tuple[str, Span]]]]:
     """``(name, terms)`` for every name and value of an assignment, in the order of the text."""
-    found = []
+    found, known = [], {}
     openers = _openers(text)
     for m in _OPERATOR.finditer(text):
         names = _names_before(text, m.start(), openers)
         place = _value_at(text, m) if names else None
         if place:
-            values = place[1] or _values(text, place[0])[0]
+            values = place[1] or _run(_value_steps(text, place[0], False, known))[0]
             found += [(name, terms) for terms in values for name in names]
     return found
 
@@ -277,60 +308,101 @@ def name_score(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(w, 0.0) for w in words + pairs))
 
 
+class Value:
+    """What is known of a value: its length, how often each character occurs, and its beginning."""
+
+    __slots__ = ("size", "counts", "head")
+
+    def __init__(self, text: str = ""):
+        self.size, self.counts, self.head = len(text), Counter(text), text[:HEAD]
+
+    def add(self, other: Value) -> None:
+        """``other`` behind this one."""
+        self.size += other.size
+        for c, n in other.counts.items():
+            self.counts[c] += n
+        if len(self.head) < HEAD:
+            self.head = (self.head + other.head)[:HEAD]
+        if self.size > 1 << 62:  # a value that doubles again and again: the shares are enough
+            self.counts = Counter({c: n // 2 + 1 for c, n in self.counts.items()})
+            self.size = sum(self.counts.values())
+
+    def placeholder(self) -> bool:
+        if self.size <= HEAD:
+            return bool(PLACEHOLDERS.match(self.head))
+        one = {c.lower() for c in self.counts}
+        return one in ({"x"}, {"*"}, {"."}) or bool(PLACEHOLDERS.match(self.head) and "\n" not in self.counts)
+
+    def score(self) -> float:
+        """0 to 1: long, varied and no placeholder."""
+        if self.size < SHORTEST or self.placeholder() or self.head.startswith(("${", "{{", "<", "%(")):
+            return 0.0
+        shares = [n / self.size for n in self.counts.values()]
+        entropy = -sum(p * math.log2(p) for p in shares)
+        return max(0.0, min(1.0, entropy / 3.0) - 2 * self.counts.get(" ", 0) / self.size)
+
+
 def literal_score(value: str) -> float:
-    """0 to 1: long, varied and no placeholder."""
-    if len(value) < SHORTEST or PLACEHOLDERS.match(value) or value.startswith(("${", "{{", "<", "%(")):
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    spaces = counts[" "] / len(value)
-    return max(0.0, min(1.0, entropy / 3.0) - 2 * spaces)
+    return Value(value).score()
+
+
+def asked_of(uses: dict[str, list[str]]) -> dict[str, float]:
+    """The best name score among a name and all that use it, over any number of steps.
+
+    ``uses`` lists the names that a name's values mention.  The best name claims all it reaches,
+    then the next best what is left.
+    """
+    asked: dict[str, float] = {}
+    for score, name in sorted(((name_score(n), n) for n in uses), reverse=True):
+        todo = [] if name in asked else [name]
+        while todo:
+            at = todo.pop()
+            if at not in asked:
+                asked[at] = score
+                todo += uses[at]
+    return asked
 
 
 def literal_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     """Literals assigned, directly or over constants, to names that ask for secrecy."""
     pairs = assignments(text)
-    assigned = {name for name, _ in pairs}
-    users: dict[str, list[str]] = {}  # names whose values mention a name
-    given: dict[str, list[Span]] = {}  # literals behind a name so far
-    values: list[tuple[str, list[Span], list[Span]]] = []
+    uses: dict[str, list[str]] = {name: [] for name, _ in pairs}
+    latest: dict[str, int] = {}  # the value that a name has so far
+    values: list[Value] = []
+    owns: list[list[Span]] = []  # literals in a value itself
+    parts: list[list[int]] = []  # values that a value mentions
     for name, terms in pairs:
-        own, whole = [], []
+        value, own, mentioned = Value(), [], []
         for kind, span in terms:
             word = text[span[0] : span[1]]
-            if kind == "literal" or word not in assigned:
+            if kind == "literal" or word not in uses:
                 # an unknown name in a sum is no literal
                 if kind != "name":
                     own.append(span)
-                    whole.append(span)
+                    value.add(Value(word))
             else:
-                users.setdefault(word, []).append(name)
-                whole += given.get(word, [])
-        given[name] = list(dict.fromkeys(whole))
-        values.append((name, own, given[name]))
-
-    asked: dict[str, float] = {}
-    for name in assigned:
-        best, seen, todo = 0.0, {name}, [name]
-        while todo:
-            at = todo.pop()
-            best = max(best, name_score(at))
-            fresh = [u for u in users.get(at, []) if u not in seen]
-            seen.update(fresh)
-            todo += fresh
-        asked[name] = best
-
+                uses[name].append(word)
+                if word in latest:
+                    mentioned.append(latest[word])
+                    value.add(values[latest[word]])
+        latest[name] = len(values)
+        values.append(value)
+        owns.append(own)
+        parts.append(mentioned)
+
+    asked = asked_of(uses)
+    # a part of a longer secret counts as the whole does: from later values to what they mention
+    looks = [value.score() if asked[name] else 0.0 for value, (name, _) in zip(values, pairs)]
+    for at in range(len(values) - 1, -1, -1):
+        for part in parts[at]:
+            looks[part] = max(looks[part], looks[at])
     secrecy: dict[Span, float] = {}
-    looks: dict[Span, float] = {}
-    for name, own, whole in values:
+    likeness: dict[Span, float] = {}
+    for (name, _), own, look in zip(pairs, owns, looks):
         for span in own:
             secrecy[span] = max(secrecy.get(span, 0.0), asked[name])
-        if asked[name]:
-            # a part of a longer secret counts as the whole does
-            score = literal_score("".join(text[a:b] for a, b in whole))
-            for span in whole:
-                looks[span] = max(looks.get(span, 0.0), score)
-    return [(*s, "literal") for s, score in secrecy.items() if score * looks.get(s, 0.0) >= threshold]
+            likeness[span] = max(likeness.get(span, 0.0), look)
+    return [(*s, "literal") for s, score in secrecy.items() if score * likeness[s] >= threshold]
 
 
 def ordered(spans: list[tuple[int, int, str]]) -> str:

@@ -433,6 +433,83 @@ def test_lexed_syntax_without_secrets():
     assert found(deep + f'"{KEY}"') == [KEY]
 
 
+def spans_by_hand(text):
+    """The constants of a text spelled out, value by value, and every user of a name followed."""
+    pairs = secrets.assignments(text)
+    names = {n for n, _ in pairs}
+    so_far, values, users = {}, [], {n: set() for n in names}
+    for name, terms in pairs:
+        made, own = [], []
+        for kind, (a, b) in terms:
+            if kind == "literal" or text[a:b] not in names:
+                if kind != "name":
+                    made.append(((a, b), text[a:b]))
+                    own.append((a, b))
+            else:
+                users[text[a:b]].add(name)
+                made += so_far.get(text[a:b], [])
+        so_far[name] = made
+        values.append((name, own, made))
+    best = {}
+    for name in names:
+        reached = {name}
+        while True:
+            more = reached | {u for r in reached for u in users[r]}
+            if more == reached:
+                break
+            reached = more
+        best[name] = max(map(secrets.name_score, reached))
+    asks, looks = {}, {}
+    for name, own, made in values:
+        for span in own:
+            asks[span] = max(asks.get(span, 0), best[name])
+        for span, _ in made if best[name] else []:
+            looks[span] = max(looks.get(span, 0), secrets.literal_score("".join(t for _, t in made)))
+    return sorted((*s, "literal") for s in asks if asks[s] * looks.get(s, 0) >= secrets.THRESHOLD)
+
+
+def test_constants_against_spelled_out_values():
+    rng = random.Random(31)
+    names = ["a", "b", "c", "password", "api_key", "user", "token_part", "xs"]
+    for _ in range(300):
+        lines = []
+        for _ in range(rng.randrange(1, 14)):
+            terms = [
+                rng.choice(names) if rng.random() < 0.6 else '"' + "".join(rng.choice("xX9q Lm2$.") for _ in range(rng.randrange(9))) + '"'
+                for _ in range(rng.randrange(1, 4))
+            ]
+            lines.append(f"{rng.choice(names)} = {' + '.join(terms)}")
+        text = "\n".join(lines)
+        assert sorted(secrets.literal_spans(text)) == spans_by_hand(text), text
+
+
+@pytest.mark.parametrize(
+    "text, least",
+    [
+        ('n0 = "Zx9qLm27RtVb"\n' + "\n".join(f'n{i + 1} = n{i} + "q{i}"' for i in range(50_000)) + "\npassword = n50000", 50_001),
+        ("\n".join('token = token + "ab12"' for _ in range(50_000)), 49_990),
+        ('password = "Zx9qLm27"\n' + "password = password + password\n" * 5_000, 1),
+        ("password = " + "f(" * 5_000 + '"Zx9qLm27RtVb"' + ")" * 5_000, 1),
+        ('{"password":' * 5_000 + '"Zx9qLm27RtVb"' + "}" * 5_000, 1),
+        ("secret = " + "[" * 3_000 + ",".join(f'"Zx9qLm27RtVb{i}"' for i in range(3_000)) + "]" * 3_000, 3_000),
+        ("password = " + "f(default=" * 2_000 + '"Zx9qLm27RtVb"' + ")" * 2_000, 1),
+        ("x" * 1_000_000 + ' = "Zx9qLm27RtVb"\n' + "token: " + "y" * 1_000_000, 1),
+    ],
+)
+def test_secrets_of_long_texts(text, least):
+    """Chains, sums and brackets of any length take time in proportion."""
+    began = time.perf_counter()
+    assert len(secrets.literal_spans(text)) >= least
+    assert time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize("depth", [1, 8, 9, 12, 300])
+def test_literals_in_deep_brackets(depth):
+    text = "password = " + "f(" * depth + '"Zx9qLm27RtVb"' + ")" * depth
+    at = text.index("Zx9")
+    assert secrets.literal_spans(text) == [(at, at + 12, "literal")]
+
+
 def test_secret_scan(edges):
     assert secrets.scan(edges).count() == len(EDGES)
     row = secrets.scan(table(edges.sparkSession, [(1, 'é api_key = "abcdef0123456789"')])).first()
