@@ -16,7 +16,8 @@ Decoding looks up each token's bytes and concatenates them up the same kind of t
 
 The vocabulary's path is a parameter.  The driver reads the file, whose size the vocabulary
 fixes, and broadcasts it.  Defined results: a null text encodes as an empty one and decodes to
-no bytes; a null list of ids decodes to null.  Result columns replace input columns of the
+no bytes; a null list of ids decodes to null; rows that repeat an id or a text are encoded each for
+itself; an empty table gives an empty result.  Names that begin with ``__`` are reserved.  Result columns replace input columns of the
 same name.
 """
 
@@ -174,8 +175,9 @@ def decode(docs: DataFrame, path: str, ids_col: str = "token_ids", bytes_col: st
 def digests(encoded: DataFrame, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
     """``n_tokens``, and the SHA-256 of the ids in decimal and of the decoded bytes."""
     joined = F.array_join(F.col(ids_col).cast("array<string>"), ",")
+    own = (ids_col, bytes_col, "n_tokens", "ids_sha256", "decoded_sha256")
     return encoded.select(
-        *[c for c in encoded.columns if c not in (ids_col, bytes_col)],
+        *[c for c in encoded.columns if c not in own],
         F.size(ids_col).cast("long").alias("n_tokens"),
         F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col(bytes_col), 256).alias("decoded_sha256"),

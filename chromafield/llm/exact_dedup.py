@@ -15,7 +15,8 @@ stay the same.
 Defined results: a null text counts as empty; only A-Z are lower-cased; the largest non-null id
 of a group stays (null where a group has none); rows that repeat an id with an equal text are
 one document, so ``verdicts`` gives all of them the same verdict and ``deduplicate`` returns one
-of them.  An empty table gives an empty result.  Result columns replace input columns of the
+of them.  An empty table gives an empty result; texts of any length are hashed whole.  Names that begin
+with ``__`` are reserved.  Result columns replace input columns of the
 same name.
 """
 

@@ -9,8 +9,9 @@ Profiles are learned from at most ``per_lang`` labelled rows per language, whole
 by Spark; prediction reads whole texts and nothing but the text.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where nothing
-was learned; equally frequent n-grams rank by code point, equally near languages by name; an
-empty table gives an empty result.  Result columns replace input columns of the same name.
+was learned; equally frequent n-grams rank by code point, equally near languages by name; rows
+that repeat an id or a text are judged each for itself; very long texts are read whole; an empty table
+gives an empty result.  Names that begin with ``__`` are reserved.  Result columns replace input columns of the same name.
 """
 
 from __future__ import annotations
@@ -100,10 +101,17 @@ def learn(
     per_lang: int = PER_LANG,
 ) -> Profiles:
     """Profiles of the languages of the ``usable`` rows."""
-    by_hash = Window.partitionBy("__lang").orderBy(F.xxhash64("__id", F.lit("langid")), "__id")
+    pick = F.xxhash64("__id", F.lit("langid"))
+    ids = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang")
+    )
+    # the share of the hashes that holds about twice the rows wanted: only these are ranked
+    sizes = ids.groupBy("__lang").agg(F.count(F.lit(1)).alias("__size"))
+    share = F.lit(2.0 * per_lang + 20) / F.col("__size")
+    by_hash = Window.partitionBy("__lang").orderBy(pick, "__id")
     chosen = (
-        docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("__id"), F.col(lang_col).alias("__lang"))
+        ids.join(sizes, "__lang")
+        .where(pick.cast("double") / F.lit(2.0**64) + F.lit(0.5) <= share)
         .withColumn("__n", F.row_number().over(by_hash))
         .where(F.col("__n") <= per_lang)
         .select("__id", "__lang")

@@ -16,7 +16,9 @@ the budget ends is sorted.  The scan of the documents then compares each with it
 
 Defined results: null names count as ``unknown``; null token counts as 0; nodes without a given
 weight have weight 1; leaves without any token give nothing; rows that repeat an id in a leaf
-share their place in the order and are taken or left together.  Columns ``domain, epoch, tokens``
+share their place in the order and are taken or left together; an empty table gives an empty
+result; only the number of a text's tokens matters, however long it is.  Names that begin with ``__`` are
+reserved.  Columns ``domain, epoch, tokens``
 replace input columns of the same name.
 """
 

@@ -23,7 +23,9 @@ tasks; everything counted per group is summed before the exchange.
 Defined results: words are split at ASCII white space and A-Z are lower-cased; a text of fewer
 words than a shingle is one shingle; a null or empty text has none and is linked with nothing.
 Rows with a null id are linked with nothing and stay (null component).  Rows that repeat an id
-are one document: the links of any of them are its links, and they share the verdict.  Result
+are one document: the links of any of them are its links, and they share the verdict.  An empty
+table gives an empty result; long texts are shingled whole.  Names that begin with ``__`` are
+reserved.  Result
 columns replace input columns of the same name.
 """
 

@@ -54,6 +54,13 @@ def with_text_columns(
     return rows.mapInArrow(run, schema)
 
 
+def shielded(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with its columns named like an operator's results renamed, and the columns that
+    bring all of ``docs`` back from the operator's output."""
+    held = {c: f"__held_{c}" for c in docs.columns if c in own}
+    return docs.withColumnsRenamed(held), [F.col(held.get(c, c)).alias(c) for c in docs.columns]
+
+
 def in_fold(doc_id: str, folds: int, fold: int) -> Column:
     """Whether the CRC-32 of the id, as text, falls into one of ``folds`` folds."""
     return F.coalesce(

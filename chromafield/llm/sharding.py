@@ -7,7 +7,8 @@ The published generator is ``key = key * A + 1 mod 2**64``; its i-th state is
 parts because SQL integers do not wrap.
 
 Defined results: a null id counts as the text ``null``; a null text has no bytes; rows that
-repeat an id share its shard and get slots of their own.  Result columns replace input columns
+repeat an id share its shard and get slots of their own; an empty table gives an empty result.  Names
+that begin with ``__`` are reserved.  Result columns replace input columns
 of the same name.
 """
 

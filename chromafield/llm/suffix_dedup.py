@@ -20,7 +20,8 @@ id.  Matches never cross documents, and all strings are judged on the input.
    windows are grouped by their 50 bytes over all tasks.
 
 Defined results: a null text is empty; a row with a null id loses nothing and takes nothing from
-others; rows that repeat an id take nothing from each other.  Result columns replace input
+others; rows that repeat an id take nothing from each other; an empty table gives an empty result.  Names that
+begin with ``__`` are reserved.  Result columns replace input
 columns of the same name.
 """
 

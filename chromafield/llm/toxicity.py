@@ -14,7 +14,10 @@ most ``MAX_TRAIN_CHARS`` characters, three quarters of which train.  Languages a
 sample.  Calibration and scoring read every text as a whole.
 
 Defined results: null and empty texts score as a text without known words; labels other than 0
-and 1 and null ids train nothing; without sampled rows of both classes every score is 0.  Result
+and 1 and null ids train nothing; without sampled rows of both classes (as in an empty table, which gives an empty result) every score
+is 0; equal scores get equal verdicts; rows that repeat an id or a text are scored each for itself, and an
+id with several texts or labels lends each text each label.  Names that begin with ``__`` are
+reserved.  Result
 columns replace input columns of the same name.
 """
 
@@ -345,14 +348,15 @@ def train(
         F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__toxic")
     )
     pick = F.xxhash64("__id", F.lit("toxicity"))
-    chosen = [rows.where(F.col("__toxic") == c).orderBy(pick, "__id").limit(per_class) for c in (0, 1)]
+    texts = docs.select(
+        F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")
+    ).where(F.length("__text") <= MAX_TRAIN_CHARS)
+    # chosen among the texts that fit, so that long ones do not thin the sample
+    fitting = rows.join(texts.select("__id"), "__id", "left_semi")
+    chosen = [fitting.where(F.col("__toxic") == c).orderBy(pick, "__id").limit(per_class) for c in (0, 1)]
     # 2 * per_class ids at most
     sample = (
-        docs.select(
-            F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang")
-        )
-        .join(F.broadcast(chosen[0].unionByName(chosen[1])), "__id")
-        .where(F.length("__text") <= MAX_TRAIN_CHARS)
+        texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "__id")
         .orderBy("__id")
         .limit(2 * per_class)
         .collect()

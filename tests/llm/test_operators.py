@@ -248,6 +248,16 @@ def test_language(spark, sf_dir, edges):
     assert {r.lang_pred for r in langid.identify(edges, nothing).collect()} == {"und"}
 
 
+def test_profiles_choose_the_smallest_hashes(spark):
+    """The pre-selection by a share of the hashes leaves the chosen rows as they were."""
+    rows = [(i, f"text number {i} of many", ("aa", "bb", "cc")[min(i % 50, 2)]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    order = docs.select("doc_id", "lang", F.xxhash64("doc_id", F.lit("langid")).alias("h")).collect()
+    near = [r.doc_id for l in ("aa", "bb", "cc") for r in sorted((r for r in order if r.lang == l), key=lambda r: r.h)[:40]]
+    some, every = (langid.learn(d, F.lit(True), per_lang=40) for d in (docs.where(F.col("doc_id").isin(near)), docs))
+    assert some.names == every.names and (some.grams == every.grams).all() and (some.ranks == every.ranks).all()
+
+
 def test_rank_distance():
     letters = langid.letter_table()
     grams, counts = langid.ngrams("Ab, ab", letters)

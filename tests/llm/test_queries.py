@@ -6,7 +6,8 @@ import corpus_pipeline
 from chromafield.llm import queries, toxicity
 from chromafield.session import scratch_path
 from tests.check import compare, connect
-from tests.llm.test_operators import linked, lower, mixed_by_hand, whole_coder
+from pyspark.sql import functions as F
+from tests.llm.test_operators import EDGES, PROSE, linked, lower, mixed_by_hand, table, whole_coder
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
@@ -56,6 +57,35 @@ def test_pipeline(spark, sf_dir):
     assert 0 < len(taken) < len(rows["raw"])
 
 
+def test_pipeline_keeps_clashing_columns(spark, sf_dir):
+    """Columns named like operators' results, nulls, empty and repeated rows pass every stage."""
+    names = ["score", "predicted", "domain", "tokens", "epoch", "kept", "token_ids", "n_tokens", "round_trip", "decoded"]
+    rows = EDGES + [(100 + i, f"{PROSE} {i} " + " ".join(f"w{i}x{j}" for j in range(60))) for i in range(30)]
+    docs = table(spark, rows, more=False)
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES:
+        path = scratch_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        out = spark.read.parquet(path)
+        if name != "byte_bpe":
+            assert out.columns == docs.columns
+            for i, c in enumerate(names):
+                assert out.where(f"not ({c} <=> concat('{i}:', doc_id))").count() == 0
+        docs = out
+    assert docs.count() > 0 and docs.where("not round_trip or n_tokens <> size(token_ids)").count() == 0
+    assert docs.where("not (domain <=> concat('2:', doc_id)) or not (kept <=> concat('5:', doc_id))").count() == 0
+    assert len(set(docs.columns)) == len(docs.columns) and "text" not in docs.columns
+
+
+def test_pipeline_stages_on_an_empty_table(spark, sf_dir):
+    docs = table(spark, [], more=False)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() == 0
+        docs = out if name != "byte_bpe" else docs
+
+
 def test_pipeline_runs_as_a_query(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.where("not round_trip").count() == 0 and rows.count() > 0
