@@ -2,7 +2,14 @@
 
 ``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)`` and returns a
 DataFrame.  All stages but the last return the columns of ``documents``; the last adds the
-token ids and the decoded bytes, in place of the text.
+token ids, their number and whether they decode to the text, in place of the text.
+
+Defined results: a null text counts as empty; empty texts are one group of copies, and one of them
+goes on.  Of rows that repeat an id with an equal text one goes on; rows of one id with different
+texts are documents of their own up to the near-duplicate stage.  A row without an id
+stays if no row with an id has its text.  A document that mixing takes twice is two rows.  Texts of any length are processed whole.
+An empty table gives an empty result.  Extra columns go along; one that is named like a result of
+the last stage (``token_ids, n_tokens, round_trip``) is replaced, all others come out as they were.
 """
 
 from __future__ import annotations
@@ -12,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromafield.llm import bpe, exact_dedup, mixing, near_dedup, queries, toxicity
+from chromafield.llm.rows import shielded
 from chromafield.session import scratch_path
 
 # stages that read the classifier's labels and write intermediate tables have no SQL form
@@ -21,7 +29,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = queries.toxicity_model(spark, docs, sf_dir)
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    given, back = shielded(docs, ("score", "predicted"))
+    return toxicity.score(given, model).where("predicted = 0").select(back)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,17 +45,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's budget takes them."""
-    mixed = mixing.mix(docs, queries.MIXTURE, queries.source_domain(), queries.word_count())
-    return mixed.select(docs.columns)
+    given, back = shielded(docs, ("domain", "tokens", "epoch"))
+    return mixing.mix(given, queries.MIXTURE, queries.source_domain(), queries.word_count()).select(back)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, with a round trip through the decoder checked for every document."""
     path = public_tokenizers.path(queries.VOCABULARY)
-    encoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    own = ("token_ids", "decoded", "n_tokens", "round_trip")
+    given = docs.drop(*own)
+    encoded = bpe.decode(bpe.encode(given, path, public_tokenizers.PATTERN), path)
     exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return encoded.select(
-        *[c for c in docs.columns if c != "text"],
+        *[c for c in given.columns if c != "text"],
         "token_ids",
         F.size("token_ids").cast("long").alias("n_tokens"),
         exact.alias("round_trip"),
