@@ -26,14 +26,10 @@ def scrub(df: DataFrame, t0: int, t1: int, ts: str = "timestamp_us") -> DataFram
 def as_of(
     df: DataFrame, keys: Sequence[str], t: int, ts: str = "timestamp_us", tie: Sequence[str] = ()
 ) -> DataFrame:
-    """State at time t: the last row per key.  An aggregation, so hot keys combine map-side."""
-    row = F.struct(*df.columns)
-    return (
-        df.where(F.col(ts) <= t)
-        .groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys])
-        .agg(F.max_by(row, F.struct(ts, *tie)).alias("_row"))
-        .select("_row.*")
-    )
+    """State at time t: the last row per key, found without a sort (see ``last_rows``)."""
+    from chromafield.operators.ordered import last_rows
+
+    return last_rows(df.where(F.col(ts) <= t), keys, ts, tie)
 
 
 def layers(df: DataFrame, toggles: Iterable[str], mask: str | None = None) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chromafield.session import broadcast_if_small
+
 TARGET_ROWS = 1_000_000
 SLICE = "_slice"
 KEY = "_key"
@@ -127,6 +129,23 @@ def lag_rows(
     )
 
 
+def last_rows(
+    df: DataFrame, keys: Sequence[str], order: str, tie: Sequence[str] = ()
+) -> DataFrame:
+    """The last row per key by ``order``, then ``tie``; null orders come first.
+
+    The greatest order per key is one fixed-width number, so it is found by hashing with map-side
+    combine, without a sort.  The rows that have it are picked where they lie (the list of keys
+    is broadcast if its checked size allows), and only these few are shuffled and ranked.
+    """
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    tops = df.groupBy(*named).agg(F.max(order).alias("_top"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    picked = df.join(broadcast_if_small(tops), [*on, F.col(order).eqNullSafe(F.col("_top"))]).select(df.columns)
+    ranked = Window.partitionBy(*keys).orderBy(*[F.desc(t) for t in tie] or [F.lit(0)])
+    return picked.withColumn("_last", F.row_number().over(ranked)).where("_last = 1").drop("_last")
+
+
 FOLDS = {
     "sum": F.sum,
     "product": F.product,

@@ -18,6 +18,7 @@ from chromafield.operators.ordered import (
     halo_window,
     in_slice,
     lag_rows,
+    last_rows,
     plan_width,
     prefix_scan,
     row_index,
@@ -447,12 +448,8 @@ def verify_chain(
 def latest(
     df: DataFrame, keys: Sequence[str], ts: str = "timestamp_us", tie: Sequence[str] = ()
 ) -> DataFrame:
-    """Last row per key, as an aggregation with map-side combine."""
-    return (
-        df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys])
-        .agg(F.max_by(F.struct(*df.columns), F.struct(ts, *tie)).alias("_row"))
-        .select("_row.*")
-    )
+    """Last row per key, found without a sort of the table (see ``last_rows``)."""
+    return last_rows(df, keys, ts, tie)
 
 
 def history(

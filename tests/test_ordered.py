@@ -343,3 +343,26 @@ def test_moments_of_two_distant_bands(spark, width):
     endless = {r["id"] for r in rows if r["sigmas"] == math.inf}
     want = {i for i in range(2, 1000) if statistics.pstdev(values[max(0, i - 10) : i]) == 0}
     assert endless <= want
+
+
+def test_last_rows_are_found_without_a_sort_of_the_table(spark):
+    from chromafield.operators.filters import as_of
+
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["a", "b", None]), rnd.choice([None, *range(6)]), rnd.choice([None, 1, 2])) for i in range(300)]
+    rows += [(900, "lonely", None, None), (901, "z", 3, 1), (901, "z", 3, 1)]
+    df = spark.createDataFrame(rows, "id long, k string, t long, v int").repartition(3)
+
+    def order(r):
+        return (r[2] is not None, r[2] or 0), (r[3] is not None, r[3] or 0), r[0]
+
+    for limit in (None, 3):
+        kept = [r for r in rows if limit is None or (r[2] is not None and r[2] <= limit)]
+        want = {r[1]: r for r in sorted(kept, key=order)}
+        found = W.latest(df, ["k"], "t", ["v", "id"]) if limit is None else as_of(df, ["k"], limit, "t", ["v", "id"])
+        got = found.collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.values()))
+        assert found.columns == df.columns
+    plan = W.latest(df, ["k"], "t", ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert W.latest(df.limit(0), ["k"], "t").count() == 0
