@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chromafield.llm.rows import with_text_columns
+from chromafield.session import broadcast_if_small
 
 PROFILE = 400
 PER_LANG = 1_000
@@ -110,7 +111,7 @@ def learn(
     share = F.lit(2.0 * per_lang + 20) / F.col("__size")
     by_hash = Window.partitionBy("__lang").orderBy(pick, "__id")
     chosen = (
-        ids.join(sizes, "__lang")
+        ids.join(broadcast_if_small(sizes), "__lang")
         .where(pick.cast("double") / F.lit(2.0**64) + F.lit(0.5) <= share)
         .withColumn("__n", F.row_number().over(by_hash))
         .where(F.col("__n") <= per_lang)

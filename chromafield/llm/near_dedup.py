@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -281,27 +281,33 @@ def links(
         if named.isEmpty():
             return labels
 
-    # what is left: buckets that still hold several components.  Every member outside the
-    # largest one meets every member of another component, if their sketches allow a link
-    parts = named.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    # what is left: buckets that still hold several components, such as texts around the same
+    # boilerplate.  Of two similar sets each holds one of the other's rarest shingles, so members
+    # meet by these: every one outside a shingle's largest component meets those of other
+    # components, if their sketches allow a link
+    open_nodes = store_table(named.select("node", "n", "component").distinct(), "near-open-nodes")
+    rare = rarest(texts.join(open_nodes.select("node"), "node", "left_semi"), size, percent)
+    named = store_table(rare.join(open_nodes, "node"), "near-rare")
+    parts = named.groupBy("gram", "component").agg(F.count("*").alias("rows"))
     mains = store_table(
-        parts.groupBy("key")
-        .agg(F.max(F.struct("rows", "component")).alias("main"))
-        .select("key", F.col("main.component").alias("main")),
+        parts.groupBy("gram")
+        .agg(F.max(F.struct("rows", "component")).alias("main"), F.count("*").alias("several"))
+        .where("several > 1")
+        .select("gram", F.col("main.component").alias("main")),
         "near-mains",
     )
     sketches = reps.select("node", "sketch")
-    apart = named.join(mains, "key").withColumn("minor", F.col("component") != F.col("main"))
-    live = store_table(apart.drop("main", "company").join(sketches, "node"), "near-live")
+    apart = named.join(mains, "gram").withColumn("minor", F.col("component") != F.col("main"))
+    live = store_table(apart.drop("main").join(sketches, "node"), "near-live")
     minor = live.where("minor").select(
-        "key",
+        "gram",
         F.col("node").alias("b"),
         F.col("n").alias("m"),
         F.col("component").alias("cb"),
         F.col("sketch").alias("other"),
     )
     pairs = (
-        live.join(minor, "key")
+        live.join(minor, "gram")
         .where(f"component <> cb and (not minor or node < b) and {fits} and {_bound(percent)}")
         .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
         .distinct()
@@ -309,6 +315,39 @@ def links(
     return _merged(labels, _tested(store_table(pairs, "near-pairs"), labels, texts, size, percent))
 
 
+def rarest(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """``(node, gram)``: the shingles of ``texts (node, text)`` that a similar set cannot all lack.
+
+    Shingles are ordered by their number of texts, then by hash.  A set of n has at least
+    ceil(percent n / 100) of them in common with a similar one, so the n - ceil(percent n / 100) + 1
+    first of both sets have one in common.  Shingles of one text only meet nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(start, BATCH_ROWS)
+                sets = [shingle_set(t, size, words) for t in part.column(1).to_pylist()]
+                counts = np.array([len(s) for s in sets])
+                node = np.repeat(part.column(0).to_numpy(), counts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(node, pa.int64()),
+                        pa.array(np.repeat(counts, counts), pa.int64()),
+                        pa.array(np.concatenate(sets).view(np.int64), pa.int64()),
+                    ],
+                    names=["node", "n", "gram"],
+                )
+
+    grams = store_table(texts.select("node", "text").mapInArrow(run, "node long, n long, gram long"), "near-grams")
+    texts_with = grams.groupBy("gram").agg(F.count("*").alias("found"))
+    by_rarity = Window.partitionBy("node").orderBy("found", "gram")
+    least = F.expr(f"n - cast(ceil({percent} * n / 100.0) as long) + 1")
+    ranked = grams.join(texts_with, "gram").withColumn("place", F.row_number().over(by_rarity))
+    return ranked.where((F.col("place") <= least) & (F.col("found") > 1)).select("node", "gram")
+
+
 def _tested(edges: DataFrame, labels: DataFrame | None, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Components that confirmed ``edges (a, b)`` join; edges within one are not looked at."""
     if labels is None:

@@ -675,6 +675,45 @@ def test_near_dedup(spark, size):
     assert sorted({r.doc_id for r in kept.collect() if r.doc_id}) == sorted({i for i in root if root[i] == i})
 
 
+def test_near_dedup_of_texts_around_one_boilerplate(spark, monkeypatch):
+    """Many texts share buckets but are unlike: few pairs are looked at, and no link is lost."""
+    rng = random.Random(8)
+    common = " ".join(f"common{i}" for i in range(260))
+    rows = []
+    for i in range(240):
+        own = " ".join(f"own{i}x{rng.randrange(10**6)}" for _ in range(60))
+        rows.append((i, f"{common} {own}"))
+    for i in range(0, 240, 12):  # and some true near copies among them
+        rows.append((1000 + i, edited(rows[i][1], rng, 2)))
+    made = {}
+    keep = near_dedup.store_table
+
+    def noted(df, name):
+        made[name] = keep(df, name)
+        return made[name]
+
+    monkeypatch.setattr(near_dedup, "store_table", noted)
+    got = {r.doc_id: r.component_id for r in near_dedup.verdicts(table(spark, rows), size=4).collect()}
+    assert got == linked(rows, 4, 80)
+    if "near-pairs" in made:
+        assert made["near-pairs"].count() < len(rows)
+
+
+def test_rarest_shingles_of_similar_sets_meet(spark):
+    rng = random.Random(4)
+    stems = [" ".join(f"s{k}x{rng.randrange(60)}" for _ in range(rng.randrange(1, 80))) for k in range(12)]
+    rows = [(i, edited(rng.choice(stems), rng, rng.randrange(5))) for i in range(120)] + [(500, ""), (501, "one")]
+    texts = spark.createDataFrame([r for r in rows if r[1].split()], "node long, text string").repartition(3)
+    found = {}
+    for r in near_dedup.rarest(texts, 3, 80).collect():
+        found.setdefault(r.node, set()).add(r.gram)
+    sets = {i: shingles(t, 3) for i, t in rows}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                assert found[a] & found[b]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 105), (103, 105), (7, 7)]
     got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
