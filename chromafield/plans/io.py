@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chromafield.functions import block_hash, hash_prefix, parse_note
 from chromafield.operators import aggregates as A
-from chromafield.plans.bindings import MINUTE_US, OBS_SQL, Tables, query, rounded
+from chromafield.plans.bindings import HOUR_US, MINUTE_US, OBS_SQL, Tables, query, rounded
 from chromafield.plans.spatial import _POLE_SQL, _stored_pole
 from chromafield.session import scratch_path
 from chromafield.sources import captures, sinks, tables
@@ -130,6 +130,24 @@ def _(t: Tables):
     return _particle_view(captures.read_corpus_bin(t.spark, path))
 
 
+@query(
+    "corpus_time_range",
+    "A4",
+    f"""WITH {OBS_SQL}, m AS (SELECT min(timestamp_us) AS lo, max(timestamp_us) AS hi FROM obs)
+    SELECT timestamp_us, CAST(1 << sensor_id AS BIGINT) AS sensor_id_mask, CAST(layer AS INT) AS jury_flags,
+      round(CAST(CAST(energy AS FLOAT) AS DOUBLE), 6) AS energy, x, z,
+      upper(substr(sha256(concat(particle_id, timestamp_us, sensor_id)), 1, 14)) AS corpus_hash
+    FROM obs, m WHERE timestamp_us >= lo + (hi - lo) // 3 AND timestamp_us < lo + (hi - lo) // 3 + 6 * {HOUR_US}""",
+)
+def _(t: Tables):
+    """Six hours of the stored corpus: only the blocks whose zone maps meet them are opened."""
+    path = scratch_path(t.spark, "corpus")
+    captures.write_records(_particles(t), path, "corpus")
+    lo, hi = t.obs.agg(F.min("timestamp_us"), F.max("timestamp_us")).first()
+    start = lo + (hi - lo) // 3
+    return _particle_view(captures.read_corpus_bin(t.spark, path, between=(start, start + 6 * HOUR_US)))
+
+
 @query("corpus_jsonl_roundtrip", "A5 A8", _PARTICLE_SQL)
 def _(t: Tables):
     path = scratch_path(t.spark, "corpus")

@@ -20,8 +20,7 @@ SQL_CONF = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "8192",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
-    # time bounds reach the record files; keyed stream state lives off-heap
-    "spark.sql.python.filterPushdown.enabled": "true",
+    # keyed stream state lives off-heap
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     ),

@@ -3,8 +3,11 @@
 Formats: ``iq`` (two floats), ``pcm16`` / ``pcm24`` / ``pcmf32`` (mono), ``imu`` (100-byte
 packets) and ``corpus`` (128-byte particles), all little-endian without a header.  Spark
 SQL has no cast from bytes to floats, so tasks decode byte ranges with numpy into Arrow
-batches.  Large files are split on record borders, small files share a task, and for
-sample files a filter on ``timestamp_us`` prunes byte ranges before anything is read.
+batches.  Large files are split on record borders and small files share a task.  A time range
+(``between``) prunes byte ranges before anything is read: by arithmetic in sample files, and by
+zone maps (the least and greatest time of every block of records, in a hidden file beside the
+data) in files of packets and particles.  The range is an argument, because filters that Spark
+pushes into a Python source stay in effect for later queries on the same DataFrame.
 """
 
 from __future__ import annotations
@@ -20,17 +23,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
     DataSourceStreamReader,
-    GreaterThan,
-    GreaterThanOrEqual,
     InputPartition,
-    LessThan,
-    LessThanOrEqual,
     WriterCommitMessage,
 )
 
@@ -136,6 +136,49 @@ class Span:
     before: int = 0  # samples of the capture in earlier files
 
 
+ZONE_RECORDS = 65_536
+
+
+def zone_path(path: str) -> str:
+    """The zone map of a data file: hidden, so that no reader takes it for data."""
+    folder, name = posixpath.split(path)
+    return posixpath.join(folder, f"_{name}.zones")
+
+
+class ZoneMap:
+    """Least and greatest time per block of ``ZONE_RECORDS`` records, as they are written."""
+
+    def __init__(self, block: int | None = None):
+        self.block, self.records, self.zones = block or ZONE_RECORDS, 0, []
+        self.rest = np.empty(0, np.int64)
+
+    def add(self, times: np.ndarray) -> None:
+        self.records += len(times)
+        self.rest = np.concatenate([self.rest, times.astype(np.int64)])
+        while len(self.rest) >= self.block:
+            self._close(self.block)
+
+    def _close(self, count: int) -> None:
+        part, self.rest = self.rest[:count], self.rest[count:]
+        self.zones.append((int(part.min()), int(part.max())))
+
+    def dump(self) -> bytes:
+        """Records per block, records in all, and the pairs, as 64-bit integers."""
+        if len(self.rest):
+            self._close(len(self.rest))
+        return np.array([(self.block, self.records), *self.zones], "<i8").tobytes()
+
+
+def load_zones(fs: pafs.FileSystem, path: str) -> tuple[int, int, np.ndarray] | None:
+    """``(records per block, records covered, pairs)`` of a data file, if it has a zone map."""
+    beside = zone_path(path)
+    if fs.get_file_info(beside).type != pafs.FileType.File:
+        return None
+    with fs.open_input_file(beside) as handle:
+        rows = np.frombuffer(handle.read(), "<i8").reshape(-1, 2)
+    return int(rows[0, 0]), int(rows[0, 1]), rows[1:]
+
+
 class Spans(InputPartition):
     def __init__(self, spans: list[Span]):
         self.spans = spans
@@ -167,20 +210,12 @@ class RecordReader(DataSourceReader):
         self.sensor = int(options.get("sensorid", 0))
         self.start = int(options.get("startus", 0))
         self.split = max(self.size, int(options.get("splitbytes", 64 << 20)))
-        self.lo, self.hi = None, None
+        # least and greatest time that is asked for
+        self.lo = int(options["fromus"]) if "fromus" in options else None
+        self.hi = int(options["untilus"]) - 1 if "untilus" in options else None
         if fmt in SAMPLED and self.rate <= 0:
             raise ValueError("sampleRate is required for sample files")
 
-    def pushFilters(self, filters):
-        """Time bounds become record bounds; Spark still checks every filter itself."""
-        for f in filters:
-            if self.fmt in SAMPLED and getattr(f, "attribute", None) == ("timestamp_us",):
-                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self.lo = f.value if self.lo is None else max(self.lo, f.value)
-                elif isinstance(f, (LessThan, LessThanOrEqual)):
-                    self.hi = f.value if self.hi is None else min(self.hi, f.value)
-            yield f
-
     def _bounds(self, records: int, start_us: int) -> tuple[int, int]:
         first, last = 0, records
         if self.lo is not None:
@@ -217,10 +252,31 @@ class RecordReader(DataSourceReader):
             guard_path(info.path)
             if info.size % self.size:
                 raise ValueError(f"{info.path}: size {info.size} does not divide by {self.size}")
-            first, last = self._bounds(info.size // self.size, start_of(info.base_name, self.start)[0])
-            spans.append(self._span(info.path, info.base_name, first, max(last - first, 0)))
+            for first, last in self._ranges(info):
+                spans.append(self._span(info.path, info.base_name, first, max(last - first, 0)))
         return self._tasks(spans) or [Spans([])]
 
+    def _ranges(self, info: pafs.FileInfo) -> list[tuple[int, int]]:
+        """Record ranges of a file that the time bounds leave."""
+        records = info.size // self.size
+        if self.fmt in SAMPLED:
+            return [self._bounds(records, start_of(info.base_name, self.start)[0])]
+        zones = None
+        if self.lo is not None or self.hi is not None:
+            zones = load_zones(_resolve(self.path)[0], info.path)
+        if zones is None:
+            return [(0, records)]
+        block, covered, pairs = zones
+        hit = np.ones(len(pairs), bool)
+        if self.lo is not None:
+            hit &= pairs[:, 1] >= self.lo
+        if self.hi is not None:
+            hit &= pairs[:, 0] <= self.hi
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+        found = [(int(a) * block, min(int(b) * block, covered)) for a, b in zip(edge[::2], edge[1::2])]
+        # what was appended after the map was made
+        return found + ([(covered, records)] if records > covered else [])
+
     def read(self, partition: Spans) -> Iterator[pa.RecordBatch]:
         fs, _ = _resolve(self.path)
         for span in partition.spans:
@@ -414,7 +470,7 @@ class RecordWriter(DataSourceArrowWriter):
         fs.create_dir(root, recursive=True)
         token = uuid.uuid4().hex[:12]
         extension = {"iq": "iq", "imu": "imu", "corpus": "bin"}.get(self.fmt, "pcm")
-        handles, moves = {}, []
+        handles, moves, zones = {}, [], {}
         for batch in iterator:
             for part in self._split(batch):
                 # a sample file is one continuous run: the first batch names it
@@ -424,8 +480,15 @@ class RecordWriter(DataSourceArrowWriter):
                     handles[name] = fs.open_output_stream(hidden)
                     moves.append((hidden, f"{root}/{name}-{token}.{extension}"))
                 handles[name].write(encode(part, self.fmt))
+                if self.fmt not in SAMPLED:
+                    zones.setdefault(name, ZoneMap()).add(_column(part, "timestamp_us"))
         for handle in handles.values():
             handle.close()
+        for name, zone in zones.items():
+            hidden = f"{root}/__{name}-{token}.zones"
+            with fs.open_output_stream(hidden) as out:
+                out.write(zone.dump())
+            moves.append((hidden, zone_path(f"{root}/{name}-{token}.{extension}")))
         return Written(moves)
 
     def commit(self, messages) -> None:
@@ -467,7 +530,11 @@ class RecordSource(DataSource):
         return RecordWriter(self.options, self._fmt())
 
 
-def _records(spark: SparkSession, fmt: str, path: str, **options) -> DataFrame:
+#: a time range [from, until) in microseconds
+Range = tuple[int, int]
+
+
+def _records(spark: SparkSession, fmt: str, path: str, between: Range | None, **options) -> DataFrame:
     guard_path(path)
     path = qualified(spark, path)
     spark.dataSource.register(RecordSource)
@@ -476,15 +543,24 @@ def _records(spark: SparkSession, fmt: str, path: str, **options) -> DataFrame:
     for key, value in options.items():
         if value is not None:
             reader = reader.option(key, str(value))
-    return reader.load(path)
+    if between is None:
+        return reader.load(path)
+    rows = reader.option("fromUs", str(between[0])).option("untilUs", str(between[1])).load(path)
+    return rows.where((F.col("timestamp_us") >= between[0]) & (F.col("timestamp_us") < between[1]))
 
 
 def read_iq(
-    spark: SparkSession, path: str, sample_rate: float, sensor_id: int = 0, start_us: int = 0, split_bytes: int | None = None
+    spark: SparkSession,
+    path: str,
+    sample_rate: float,
+    sensor_id: int = 0,
+    start_us: int = 0,
+    split_bytes: int | None = None,
+    between: Range | None = None,
 ) -> DataFrame:
     """Interleaved float I/Q samples; the start comes from the file name where it has one."""
     return _records(
-        spark, "iq", path, sampleRate=sample_rate, sensorId=sensor_id, startUs=start_us, splitBytes=split_bytes
+        spark, "iq", path, between, sampleRate=sample_rate, sensorId=sensor_id, startUs=start_us, splitBytes=split_bytes
     )
 
 
@@ -496,23 +572,28 @@ def read_pcm(
     sensor_id: int = 0,
     start_us: int = 0,
     split_bytes: int | None = None,
+    between: Range | None = None,
 ) -> DataFrame:
     """Mono audio: ``i`` is the sample and ``q`` is zero.  ``fmt``: pcm16, pcm24 or pcmf32."""
     if not fmt.startswith("pcm"):
         raise ValueError(f"unknown audio format {fmt}")
     return _records(
-        spark, fmt, path, sampleRate=rate, sensorId=sensor_id, startUs=start_us, splitBytes=split_bytes
+        spark, fmt, path, between, sampleRate=rate, sensorId=sensor_id, startUs=start_us, splitBytes=split_bytes
     )
 
 
-def read_imu(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+def read_imu(
+    spark: SparkSession, path: str, split_bytes: int | None = None, between: Range | None = None
+) -> DataFrame:
     """100-byte motion packets."""
-    return _records(spark, "imu", path, splitBytes=split_bytes)
+    return _records(spark, "imu", path, between, splitBytes=split_bytes)
 
 
-def read_corpus_bin(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+def read_corpus_bin(
+    spark: SparkSession, path: str, split_bytes: int | None = None, between: Range | None = None
+) -> DataFrame:
     """Daily files of 128-byte particles."""
-    return _records(spark, "corpus", path, splitBytes=split_bytes)
+    return _records(spark, "corpus", path, between, splitBytes=split_bytes)
 
 
 def stream_records(
@@ -544,6 +625,45 @@ def stream_records(
     return reader.load(path)
 
 
+def index_records(spark: SparkSession, path: str, fmt: str, block_records: int = ZONE_RECORDS) -> int:
+    """Make zone maps for the packet or particle files of a folder that have none, or have grown.
+
+    Files that this module wrote have theirs already.  Tasks read a file each, block by block, and
+    write its map beside it; the number of files that got one is returned.
+    """
+    if fmt in SAMPLED:
+        raise ValueError("sample files are pruned by arithmetic")
+    guard_path(path)
+    path = qualified(spark, path)
+    fs, size = _resolve(path)[0], RECORD_BYTES[fmt]
+    todo = []
+    for info in list_files(path):
+        known = load_zones(fs, info.path)
+        if known is None or known[1] != info.size // size:
+            todo.append((info.path, info.size // size))
+    dtype = IMU_DTYPE if fmt == "imu" else CORPUS_DTYPE
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = _resolve(path)[0]
+        for batch in batches:
+            for name, records in zip(*(c.to_pylist() for c in batch.columns)):
+                zone = ZoneMap(block_records)
+                with files.open_input_file(name) as handle:
+                    for first in range(0, records, block_records):
+                        raw = handle.read(min(block_records, records - first) * size)
+                        zone.add(np.frombuffer(raw, dtype)["timestamp_us"])
+                hidden = zone_path(name) + f"-{uuid.uuid4().hex[:8]}"
+                with files.open_output_stream(hidden) as out:
+                    out.write(zone.dump())
+                files.move(hidden, zone_path(name))
+            yield batch
+
+    if not todo:
+        return 0
+    listed = spark.createDataFrame(todo, "path string, records long")
+    return listed.repartition(min(len(todo), 1024)).mapInArrow(build, listed.schema).count()
+
+
 def write_records(df: DataFrame, path: str, fmt: str, prefix: str | None = None) -> None:
     """Write captures, packets or particles.
 

@@ -44,11 +44,10 @@ def test_iq_is_split_and_timed(spark, folder):
 
 def test_time_filter_prunes_bytes(spark, folder):
     put(folder / "a.iq", np.zeros(20_000, "<f4").tobytes())
-    df = captures.read_iq(spark, str(folder), 1000.0, split_bytes=800)
-    part = df.where("timestamp_us >= 5000000 AND timestamp_us < 5100000")
-    assert part.count() == 100
-    reader = captures.RecordReader({"path": str(folder), "samplerate": "1000", "splitbytes": "800"}, "iq")
-    list(reader.pushFilters([captures.GreaterThanOrEqual(("timestamp_us",), 5_000_000), captures.LessThan(("timestamp_us",), 5_100_000)]))
+    df = captures.read_iq(spark, str(folder), 1000.0, split_bytes=800, between=(5_000_000, 5_100_000))
+    assert df.count() == 100
+    options = {"path": str(folder), "samplerate": "1000", "splitbytes": "800", "fromus": "5000000", "untilus": "5100000"}
+    reader = captures.RecordReader(options, "iq")
     assert sum(s.count for p in reader.partitions() for s in p.spans) <= 110
 
 
@@ -222,3 +221,55 @@ def test_paths_go_to_the_default_file_system(spark):
         assert captures.qualified(spark, "file:/in/x") == "file:/in/x"
     finally:
         conf.set("fs.defaultFS", before or "file:///")
+
+
+def test_zone_maps_open_matching_blocks_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(captures, "ZONE_RECORDS", 100)
+    folder = tmp_path / "imu"
+    folder.mkdir()
+
+    def packets(times):
+        rows = np.zeros(len(times), captures.IMU_DTYPE)
+        rows["timestamp_us"], rows["counter"] = times, np.arange(len(times))
+        return rows.tobytes()
+
+    (folder / "a.bin").write_bytes(packets(np.arange(1000)))
+    (folder / "b.bin").write_bytes(packets(np.arange(5000, 5250)))
+
+    def ranges(lo, hi):
+        reader = captures.RecordReader({"path": str(folder), "fromus": str(lo), "untilus": str(hi)}, "imu")
+        return [(s.path[-5:], s.first, s.count) for t in reader.partitions() for s in t.spans if s.count]
+
+    everything = [("a.bin", 0, 1000), ("b.bin", 0, 250)]
+    assert ranges(350, 420) == everything  # no maps yet
+    assert captures.index_records(spark, str(folder), "imu", 100) == 2
+    assert captures.index_records(spark, str(folder), "imu", 100) == 0
+    assert ranges(350, 420) == [("a.bin", 300, 200)]
+    assert ranges(5200, 9000) == [("b.bin", 200, 50)]
+    assert ranges(2000, 3000) == []
+    with open(folder / "b.bin", "ab") as file:  # grown after it was indexed
+        file.write(packets([350]))
+    assert ranges(350, 420) == [("a.bin", 300, 200), ("b.bin", 250, 1)]
+    assert captures.read_imu(spark, str(folder), between=(350, 420)).count() == 71
+    df = captures.read_imu(spark, str(folder))
+    # a filtered query leaves nothing behind for the next one
+    assert df.where("timestamp_us >= 350 and timestamp_us < 420").count() == 71
+    assert df.count() == 1251
+    assert captures.index_records(spark, str(folder), "imu", 100) == 1
+    assert ranges(350, 420) == [("a.bin", 300, 200), ("b.bin", 200, 51)]
+
+
+def test_written_particles_have_zone_maps(spark, tmp_path):
+    from chromafield.sources import captures
+
+    path = str(tmp_path / "imu")
+    zero = F.array(*[F.lit(0.0).cast("float")] * 3)
+    df = spark.range(0, 500, 1, 1).select(
+        F.col("id").alias("counter"), *[F.lit(0).cast("long").alias(n) for n in ("buttons", "stick_l", "stick_r")],
+        zero.alias("accel"), zero.alias("gyro"), (F.col("id") * 10).alias("timestamp_us"),
+    )
+    captures.write_records(df, path, "imu")
+    file = captures.list_files(path)
+    assert len(file) == 1  # the map is no data
+    block, covered, pairs = captures.load_zones(captures._resolve(path)[0], file[0].path)
+    assert covered == 500 and pairs.min() == 0 and pairs.max() == 4990
