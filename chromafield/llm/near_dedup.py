@@ -50,6 +50,7 @@ BANDS = BINS // ROWS
 SKETCH_BITS = 2_048
 TURNS = 4  # centres that a bucket gets one after the other
 MAX_CACHED_WORDS = 100_000
+OUT_ROWS = 8_192  # shingles in an Arrow batch
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FACTOR = np.uint64(0xD6E8FEB86659FD93)
@@ -326,19 +327,18 @@ def rarest(texts: DataFrame, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(start, BATCH_ROWS)
-                sets = [shingle_set(t, size, words) for t in part.column(1).to_pylist()]
-                counts = np.array([len(s) for s in sets])
-                node = np.repeat(part.column(0).to_numpy(), counts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(node, pa.int64()),
-                        pa.array(np.repeat(counts, counts), pa.int64()),
-                        pa.array(np.concatenate(sets).view(np.int64), pa.int64()),
-                    ],
-                    names=["node", "n", "gram"],
-                )
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                grams = shingle_set(text.as_py(), size, words).view(np.int64)
+                for at in range(0, len(grams), OUT_ROWS):
+                    part = grams[at : at + OUT_ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(part), node, np.int64)),
+                            pa.array(np.full(len(part), len(grams), np.int64)),
+                            pa.array(part),
+                        ],
+                        names=["node", "n", "gram"],
+                    )
 
     grams = store_table(texts.select("node", "text").mapInArrow(run, "node long, n long, gram long"), "near-grams")
     texts_with = grams.groupBy("gram").agg(F.count("*").alias("found"))
