@@ -21,12 +21,13 @@ from chromafield.operators.ordered import (
     last_rows,
     plan_width,
     prefix_scan,
+    rolling_sums,
     row_index,
     with_halo,
     with_moments,
     with_slice,
 )
-from chromafield.session import cut_lineage
+from chromafield.session import cut_lineage, store_table
 
 
 def temporal_diff(
@@ -464,7 +465,8 @@ def history(
 ) -> DataFrame:
     """Bounded history per row: the last ``span_us`` of time or the last ``rows`` rows.
 
-    The row form numbers the rows first and then uses the number as its order column.
+    Every row gets an array of its own, so the output grows with rows times frame: for long
+    frames use ``shared_history``.  The row form numbers the rows first and then uses the number as its order column.
     """
     if span_us is not None:
         w = halo_window(keys, ts).rangeBetween(-span_us, 0)
@@ -478,6 +480,65 @@ def history(
     return drop_halo(out).drop("_i")
 
 
+def shared_history(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    span_us: int | None = None,
+    rows: int | None = None,
+    ts: str = "timestamp_us",
+    tie: Sequence[str] = (),
+    width: int | None = None,
+    block_rows: int = 4096,
+) -> tuple[DataFrame, DataFrame]:
+    """Bounded history without copies: ``(refs, blocks)``, both linear in the rows.
+
+    ``blocks`` holds each key's values once, in order: ``(keys, block, values)`` with ``block_rows``
+    values a block.  ``refs`` are the rows of ``df`` with ``history_from`` and ``history_to``, the
+    first and last position (from 1, over all blocks of the key) of the last ``span_us`` of time,
+    peers included, or of the last ``rows`` rows.  ``read_history`` gives the values of chosen rows.
+    """
+    if width is None:
+        width = plan_width(df, keys, ts)
+    numbered = row_index(df, keys, ts, tie, width, "_i")
+    if span_us is None:
+        last = F.col("_i")
+        first = F.greatest(F.col("_i") - F.lit(rows - 1), F.lit(1))
+    else:
+        numbered = rolling_sums(numbered, keys, ts, {"_h": (-span_us, 0)}, {"n": F.lit(1).cast("long")}, width)
+        # rows of a key at one time stay together in all ordered operators
+        last = F.max("_i").over(Window.partitionBy(*keys, ts))
+        first = last - F.col("_h_n") + 1
+    numbered = store_table(
+        numbered.select(*df.columns, "_i", last.alias("history_to"), first.cast("long").alias("history_from")), "history"
+    )
+    blocks = (
+        numbered.groupBy(*keys, F.expr(f"(_i - 1) div {block_rows}").alias("block"))
+        .agg(F.sort_array(F.collect_list(F.struct("_i", F.col(value).alias("v")))).alias("_x"))
+        .select(*keys, "block", F.col("_x")["v"].alias("values"))
+    )
+    return numbered.select(*df.columns, "history_from", "history_to"), blocks
+
+
+def read_history(
+    refs: DataFrame, blocks: DataFrame, keys: Sequence[str], ident: Sequence[str], block_rows: int = 4096
+) -> DataFrame:
+    """``(ident, history)``: the values, in order and without nulls, that chosen ``refs`` point to."""
+    place = [F.expr(f"(history_from - 1) div {block_rows}"), F.expr(f"(history_to - 1) div {block_rows}")]
+    asked = refs.select(*keys, *[c for c in ident if c not in keys], "history_from", "history_to", F.explode(F.sequence(*place)).alias("_b"))
+    known = blocks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "block", "values")
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    start = F.greatest(F.col("history_from") - F.col("_b") * block_rows, F.lit(1)).cast("int")
+    end = F.least(F.col("history_to") - F.col("_b") * block_rows, F.lit(block_rows)).cast("int")
+    part = F.slice("values", start, end - start + 1)
+    joined = asked.join(known, [*on, F.col("_b") == F.col("block")])
+    return (
+        joined.groupBy(*ident)
+        .agg(F.sort_array(F.collect_list(F.struct("_b", part.alias("p")))).alias("_x"))
+        .select(*ident, F.filter(F.flatten(F.col("_x")["p"]), lambda v: v.isNotNull()).alias("history"))
+    )
+
+
 def edge_stability(
     edges: DataFrame, frame: str = "frame", src: str = "src", dst: str = "dst"
 ) -> DataFrame:

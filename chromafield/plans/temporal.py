@@ -243,6 +243,24 @@ def _history_sums(out):
     )
 
 
+@query(
+    "shared_history_reach",
+    "F10",
+    f"""WITH {OBS_SQL} SELECT particle_id, CAST(count(*) OVER w AS BIGINT) AS n,
+      CAST(count(*) OVER (PARTITION BY sensor_id ORDER BY timestamp_us) AS BIGINT) AS last,
+      CAST(ceil(count(*) OVER (PARTITION BY sensor_id) / 64.0) AS BIGINT) AS blocks
+    FROM obs WINDOW w AS (PARTITION BY sensor_id ORDER BY timestamp_us RANGE BETWEEN {30 * DAY_US} PRECEDING AND CURRENT ROW)""",
+)
+def _(t: Tables):
+    """Thirty days of history per row, as references into shared blocks."""
+    rows = t.obs.select("sensor_id", "particle_id", "timestamp_us", "energy")
+    refs, blocks = W.shared_history(rows, ["sensor_id"], "energy", span_us=30 * DAY_US, tie=TIE, block_rows=64)
+    number = blocks.groupBy("sensor_id").agg(F.count("*").alias("blocks"))
+    return refs.join(number, "sensor_id").select(
+        "particle_id", (c("history_to") - c("history_from") + 1).alias("n"), c("history_to").alias("last"), "blocks"
+    )
+
+
 @query(
     "history_by_rows",
     "F10",

@@ -366,3 +366,21 @@ def test_last_rows_are_found_without_a_sort_of_the_table(spark):
     plan = W.latest(df, ["k"], "t", ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
     assert W.latest(df.limit(0), ["k"], "t").count() == 0
+
+
+@pytest.mark.parametrize("span, count", [(25, None), (None, 7), (10**6, None)])
+def test_shared_history_reads_as_the_copied_one(spark, span, count):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice(["a", "b", None]), rnd.randrange(120), rnd.choice([None, 1.0, 2.5])) for i in range(250)]
+    df = spark.createDataFrame(rows, "id long, k string, t long, v double").repartition(3)
+    refs, blocks = W.shared_history(df, ["k"], "v", span, count, "t", ["id"], 30, block_rows=8)
+    assert refs.count() == 250 and blocks.agg(F.sum(F.size("values"))).first()[0] == 250
+    got = {r["id"]: r["history"] for r in W.read_history(refs, blocks, ["k"], ["id"], 8).collect()}
+    for i, k, t, _ in rows:
+        own = sorted((r for r in rows if r[1] == k), key=lambda r: (r[2], r[0]))
+        if span is not None:
+            want = [r[3] for r in own if t - span <= r[2] <= t]
+        else:
+            upto = [r for r in own if (r[2], r[0]) <= (t, i)]
+            want = [r[3] for r in upto[-count:]]
+        assert got[i] == [v for v in want if v is not None]
