@@ -52,10 +52,13 @@ def wavelength(f: Column) -> Column:
 
 
 def rf_roughness(sigma_m: Column, f: Column, theta: Column) -> Column:
-    """Struct(alpha, rough): surface roughness over wavelength and the Rayleigh class."""
+    """Struct(alpha, rough): surface roughness over wavelength and the Rayleigh class.
+
+    At frequency zero the wave is endless: alpha is 0 and there is no class.
+    """
     lam = wavelength(f)
     return F.struct(
-        (sigma_m / lam).alias("alpha"),
+        (sigma_m * f / F.lit(SPEED_OF_LIGHT)).alias("alpha"),
         (sigma_m * F.lit(8.0) * F.cos(theta) > lam).alias("rough"),
     )
 

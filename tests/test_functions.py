@@ -65,6 +65,11 @@ def test_roughness_ratio(spark):
     assert a == pytest.approx(0.01, abs=1e-3) and b["alpha"] / a == pytest.approx(25) and b["rough"]
 
 
+def test_roughness_at_frequency_zero(spark):
+    zero = one(spark, C.rf_roughness(F.col("s"), F.col("f"), F.lit(0.0)), s=0.00125, f=0.0)
+    assert zero["alpha"] == 0.0 and zero["rough"] is None
+
+
 def test_concrete_reflectance(spark):
     df = spark.createDataFrame([("dry_concrete", 0.0)], "material string, theta double")
     r = reflectance(df, materials_frame(spark), "theta").first()["reflectance"]
