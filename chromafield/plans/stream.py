@@ -160,7 +160,7 @@ def _(t: Tables):
     for end in (lambda: None, close):
         end()
         S.drain_batches(S.promote_windows(windows, c("peak") > 0.3001, f"{root}/table", f"{root}/ckpt"))
-    stored = t.spark.read.schema("window_us long, sensor_id int, peak double, day date").parquet(f"{root}/table/*")
+    stored = sinks.read_batches(t.spark, f"{root}/table", "window_us long, sensor_id int, peak double")
     return rounded(stored.select("window_us", "sensor_id", "peak"))
 
 
@@ -225,7 +225,7 @@ def _(t: Tables):
     root = scratch_path(t.spark, "writer")
     stream = t.obs_stream.select("particle_id", "timestamp_us", "energy")
     S.drain_batches(S.corpus_writer(stream, f"{root}/corpus", f"{root}/ckpt"))
-    stored = t.spark.read.schema("energy double, day date").parquet(f"{root}/corpus/particles/*")
+    stored = sinks.read_batches(t.spark, f"{root}/corpus/particles", "energy double")
     return rounded(stored.groupBy(c("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.sum("energy").alias("energy")), 5)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chromafield.functions.text import corpus_day
@@ -37,6 +37,11 @@ def store_observation(df: DataFrame, path: str, batch_id: int | None = None, ts:
     _by_day(df, ts).write.mode(mode).partitionBy("day").parquet(f"{path}{suffix}")
 
 
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What a stream stored by ``batch_id`` below ``path``, as one table: all batches and days."""
+    return spark.read.schema(f"{schema}, day date, batch long").parquet(path)
+
+
 def mark_significant(obs: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """A new version of the observations with ``significant`` set for the given ids."""
     marks = ids.select(F.col(id_col)).distinct().withColumn("_mark", F.lit(True))

@@ -218,3 +218,14 @@ def test_ingest_takes_streams_only(spark):
 
     with pytest.raises(ValueError, match="not a stream"):
         tables.ingest(spark, {"x": spark.range(3)})
+
+
+def test_batches_are_read_as_one_table(spark, tmp_path):
+    from chromafield.sources import sinks
+
+    path, day = str(tmp_path / "table"), 86_400_000_000
+    frames = [[(0, 1), (day, 2)], [], [(0, 3), (2 * day, 4)]]
+    for batch_id, rows in enumerate(frames):
+        sinks.store_observation(spark.createDataFrame(rows, "timestamp_us long, id int"), path, batch_id)
+    got = sinks.read_batches(spark, path, "timestamp_us long, id int").collect()
+    assert {(r["id"], r["batch"], r["day"].day) for r in got} == {(1, 0, 1), (2, 0, 2), (3, 2, 1), (4, 2, 3)}
