@@ -5,10 +5,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chromafield.operators.ordered import (
     KEY,
@@ -359,60 +357,66 @@ def _sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def _chained(texts: list[str | None], start: str | None) -> list[str | None]:
+    """Chain value after each text; there is none from a null text on."""
+    value, made = start or "", []
+    for text in texts:
+        value = None if value is None or text is None else _sha(value + text)
+        made.append(value)
+    return made
+
+
 def _checked_heads(
     df: DataFrame, session: Sequence[str], payload: str, ts: str, tie: Sequence[str], block_rows: int
 ) -> DataFrame:
     """(session, block, _head) from the payloads and stored ``block`` numbers, for verification.
 
     Built apart from ``build_chain``: level by level over tables of one row per list entry, with
-    one task per group of ``block_rows`` entries and plain hashing in it.
+    plain hashing of each group of ``block_rows`` entries.  A task has many groups, so that short
+    blocks cost no more per row than long ones.
     """
     keys = [f"_s{i}" for i in range(len(session))]
-    fields = [T.StructField(k, df.schema[c].dataType) for k, c in zip(keys, session)]
-    order = [F.col(ts), *[F.col(t) for t in tie]]
-    entries = df.select(
-        *[F.col(c).alias(k) for k, c in zip(keys, session)],
-        F.col("block").alias("_g"),
-        F.struct(*order).alias("_o"),
-        F.col(payload).cast("string").alias("_x"),
-    )
-    out = T.StructType([*fields, T.StructField("_i", T.LongType()), T.StructField("_x", T.StringType())])
-
-    def digest(key, rows):
-        value = ""
-        for text in rows.sort_values("_n")["_x"]:
-            value = _sha(value + text)
-        return pd.DataFrame([[*key, value]], columns=out.names)
-
-    def chained(key, rows):
-        rows = rows.sort_values("_n")
-        value, made = rows["_start"].iloc[0] or "", []
-        for text in rows["_x"]:
-            value = _sha(value + text)
-            made.append(value)
-        head = pd.DataFrame({k: [v] * len(rows) for k, v in zip(keys, key)}, columns=keys)
-        return head.assign(_i=(rows["_n"] + 1).to_numpy(), _x=made)[out.names]
-
-    # rows of a block are numbered by their order, entries of a level by their block
-    per_block = Window.partitionBy(*keys, "_g").orderBy("_o")
-    numbered = entries.withColumn("_n", F.row_number().over(per_block)).drop("_o")
-    levels = [cut_lineage(numbered.groupBy(*keys, "_g").applyInPandas(digest, out))]
+    chained = F.udf(_chained, "array<string>", useArrow=False)
+    digest = F.udf(lambda texts: _chained(texts, None)[-1], "string", useArrow=False)
+
+    def packed(entries: DataFrame) -> DataFrame:
+        """One row per group ``_g``, with its entries ``_l`` (_n, _x) in the order of ``_n``."""
+        listed = F.sort_array(F.collect_list(F.struct("_n", "_x")))
+        return entries.groupBy(*keys, "_g").agg(listed.alias("_l"))
+
+    def digests(entries: DataFrame) -> DataFrame:
+        return cut_lineage(packed(entries).select(*keys, F.col("_g").alias("_i"), digest("_l._x").alias("_x")))
+
+    def grouped(level: DataFrame) -> DataFrame:
+        return level.select(*keys, F.expr(f"_i div {block_rows}").alias("_g"), F.col("_i").alias("_n"), "_x")
+
+    # rows of a block are in their order, entries of a level in that of their block
+    levels = [
+        digests(
+            df.select(
+                *[F.col(c).alias(k) for k, c in zip(keys, session)],
+                F.col("block").alias("_g"),
+                F.struct(F.col(ts), *[F.col(t) for t in tie]).alias("_n"),
+                F.col(payload).cast("string").alias("_x"),
+            )
+        )
+    ]
     while (levels[-1].agg(F.max("_i")).first()[0] or 0) >= block_rows:
-        grouped = levels[-1].select(*keys, F.expr(f"_i div {block_rows}").alias("_g"), F.col("_i").alias("_n"), "_x")
-        levels.append(cut_lineage(grouped.groupBy(*keys, "_g").applyInPandas(digest, out)))
+        levels.append(digests(grouped(levels[-1])))
     starts = None
     for level in reversed(levels):
-        grouped = level.select(*keys, F.expr(f"_i div {block_rows}").alias("_g"), F.col("_i").alias("_n"), "_x")
+        groups = packed(grouped(level))
         if starts is None:
-            grouped = grouped.withColumn("_start", F.lit(""))
+            groups = groups.withColumn("_start", F.lit(None).cast("string"))
         else:
             on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_g") == F.col("_i")]
             known = starts.select(*[F.col(k).alias(f"_{k}") for k in keys], "_i", F.col("_x").alias("_start"))
-            grouped = grouped.join(known, on, "left").drop(*[f"_{k}" for k in keys], "_i")
-        starts = grouped.groupBy(*keys, "_g").applyInPandas(chained, out)
-    return starts.select(
-        *keys, F.col("_i").alias("_block"), F.col("_x").alias("_head")
-    )
+            groups = groups.join(known, on, "left")
+        zipped = F.arrays_zip(F.col("_l._n").alias("n"), chained("_l._x", "_start").alias("x"))
+        starts = groups.select(*keys, F.explode(zipped).alias("_z")).select(
+            *keys, (F.col("_z.n") + 1).alias("_i"), F.col("_z.x").alias("_x")
+        )
+    return starts.select(*keys, F.col("_i").alias("_block"), F.col("_x").alias("_head"))
 
 
 def verify_chain(

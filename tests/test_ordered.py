@@ -238,6 +238,18 @@ def test_chain_blocks_and_tampering(spark):
     assert {r["t"] for r in bad.collect()} == {4, 6, 9, 12, 15, 18, 21}
 
 
+def test_chain_of_short_blocks_is_verified_many_at_a_time(spark):
+    df = spark.createDataFrame([("s", i, None if i == 9 else f"p{i}") for i in range(23)], "s string, t long, p string")
+    built = W.build_chain(df, ["s"], "p", "t", block_rows=4, width=5)
+    heads = W._checked_heads(built, ["s"], "p", "t", [], 4)
+    # no call of Python per block
+    assert "FlatMapGroupsInPandas" not in heads._jdf.queryExecution().toString()
+    assert heads.count() == 6
+    # a row without a payload has no hash, which ends its chain
+    bad = W.verify_chain(built, ["s"], "p", "t", width=5, block_rows=4).where("NOT chain_ok")
+    assert min(r["t"] for r in bad.collect()) == 9
+
+
 def test_plan_width(spark):
     even = spark.range(10_000).select(F.lit(1).alias("k"), (F.col("id") * 10).alias("t"))
     assert plan_width(even, ["k"], "t", 100_000) > 99_000
