@@ -8,9 +8,11 @@ copies costs one row.  Pairs are formed only between neighbouring cells, are red
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -337,32 +339,113 @@ def _masses(points: DataFrame, mass: str | None) -> DataFrame:
     return points.groupBy(*POS).agg(F.sum(m).alias("m"))
 
 
+#: cells of up to this many positions are paired row by row, fuller ones in tiles of ``TILE_ROWS``
+LIGHT_CELL = 32
+TILE_ROWS = 2048
+_STRIP = 32  # rows of a tile that are looked at together
+
+
+def _kernel_sums(
+    spots: DataFrame,
+    h: float,
+    sums: dict[str, Column],
+    block: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]],
+) -> DataFrame:
+    """Position and ``sums`` over all spots within ``h``, itself included.
+
+    ``sums`` are the summands as expressions of a row of ``candidate_pairs``; ``block`` gives the same
+    sums for each row of a matrix of pairs: squared distances, which of them are near, differences by
+    axis, and the masses of its columns.  A pair of cells of many spots costs a matrix per pair of
+    tiles instead of a row per pair of spots, so memory is bounded by a tile however dense a cell is.
+    """
+    placed = store_table(spots.withColumns(_cells(h)), "kernel-spots")
+    cells = placed.groupBy(*_CELL).agg(F.count("*").alias("_rows"))
+    cells = store_table(
+        cells.withColumn("_tiles", F.ceil(F.col("_rows") / F.lit(float(TILE_ROWS))).cast("int")), "kernel-cells"
+    )
+    heavy = cells.where(F.col("_rows") > LIGHT_CELL)
+    light = placed.join(heavy, list(_CELL), "left_anti")
+    apart = (
+        candidate_pairs(light, spots, h, list(POS), [*POS, "m"])
+        .groupBy(*[F.col(f"a_{p}").alias(p) for p in POS])
+        .agg(*[F.sum(x).alias(n) for n, x in sums.items()])
+    )
+
+    # tiles of a heavy cell and those of the cells around it
+    other = [f"_o{c}" for c in _CELL]
+    step = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
+    around = heavy.select(*_CELL, "_tiles")
+    for c, o in zip(_CELL, other):
+        around = around.withColumn("_step", step).withColumn(o, F.col(c) + F.col("_step")).drop("_step")
+    there = cells.select(*[F.col(c).alias(o) for c, o in zip(_CELL, other)], "_rows", F.col("_tiles").alias("_others"))
+    pairs = (
+        around.join(there, other)
+        .withColumn("_t", F.explode(F.expr("sequence(0, _tiles - 1)")))
+        .withColumn("_u", F.explode(F.expr("sequence(0, _others - 1)")))
+    )
+    # small tiles around one are looked at together, up to about ``TILE_ROWS`` rows
+    met = F.sum(F.col("_rows") / F.col("_others")).over(
+        Window.partitionBy(*_CELL, "_t").orderBy(*other, "_u").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    group, tile_of = [*_CELL, "_t", "_chunk"], [*other, "_u"]
+    pairs = pairs.withColumn("_chunk", F.floor(met / F.lit(float(TILE_ROWS))).cast("int")).select(*group, *tile_of)
+    dealt = placed.join(cells, list(_CELL)).select(
+        *_CELL, F.expr(f"cast(pmod(xxhash64({', '.join(POS)}), _tiles) as int)").alias("_t"), *POS, "m"
+    )
+    own = pairs.select(*group).distinct().join(dealt, [*_CELL, "_t"]).select(*group, F.lit(0).alias("_side"), *POS, "m")
+    theirs = dealt.withColumnsRenamed(dict(zip([*_CELL, "_t"], tile_of)))
+    both = own.unionByName(pairs.join(theirs, tile_of).select(*group, F.lit(1).alias("_side"), *POS, "m"))
+    names = list(sums)
+
+    def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = (pdf[pdf["_side"] == side] for side in (0, 1))
+        a, b = left[list(POS)].to_numpy(float), right[list(POS)].to_numpy(float)
+        m, found = right["m"].to_numpy(float), []
+        if len(b):
+            for start in range(0, len(a), _STRIP):
+                d = [b[:, i] - a[start : start + _STRIP, i, None] for i in range(3)]
+                d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+                found.append(np.stack(block(d2, d2 <= h * h, d, m), axis=1))
+        out = left[list(POS)].iloc[: len(a) if found else 0]
+        return out.assign(**dict(zip(names, np.concatenate(found).T))) if found else out.reindex(columns=[*POS, *names])
+
+    schema = ", ".join(f"{n} double" for n in [*POS, *names])
+    tiled = both.groupBy(*group).applyInPandas(tile, schema)
+    tiled = tiled.groupBy(*POS).agg(*[F.sum(n).alias(n) for n in sums])
+    return apart.unionByName(tiled)
+
+
 def kernel_density(points: DataFrame, h: float, mass: str | None = None) -> DataFrame:
     """Poly6 density at every point, itself included.  One partial sum per position."""
-    spots = _masses(points, mass)
     coef = 315.0 / (64.0 * math.pi * h**9)
-    dens = (
-        candidate_pairs(spots, spots, h, list(POS), [*POS, "m"])
-        .groupBy(*[f"a_{p}" for p in POS])
-        .agg((F.lit(coef) * F.sum(F.col("b_m") * F.pow(F.lit(h * h) - F.col("d2"), F.lit(3.0)))).alias("density"))
-        .withColumnsRenamed({f"a_{p}": p for p in POS})
-    )
-    return points.join(dens, list(POS))
+    summand = F.col("b_m") * F.pow(F.lit(h * h) - F.col("d2"), F.lit(3.0))
+
+    def block(d2, near, d, m):
+        w = np.where(near, h * h - d2, 0.0)
+        return [(w * w * w) @ m]
+
+    dens = _kernel_sums(_masses(points, mass), h, {"density": summand}, block)
+    return points.join(dens.withColumn("density", F.lit(coef) * F.col("density")), list(POS))
 
 
 def density_gradient(points: DataFrame, h: float, mass: str | None = None) -> DataFrame:
     """Magnitude of the density gradient with the spiky kernel."""
-    spots = _masses(points, mass)
     coef = 45.0 / (math.pi * h**6)
-    pairs = candidate_pairs(spots, spots, h, list(POS), [*POS, "m"]).where("d2 > 0")
     r = F.sqrt("d2")
     pull = F.lit(coef) * F.col("b_m") * F.pow(F.lit(h) - r, F.lit(2.0)) / r
-    grads = pairs.groupBy(*[f"a_{p}" for p in POS]).agg(
-        *[F.sum(pull * (F.col(f"b_{p}") - F.col(f"a_{p}"))).alias(f"_g{p}") for p in POS]
-    )
+    sums = {
+        f"_g{p}": F.when(F.col("d2") > 0, pull * (F.col(f"b_{p}") - F.col(f"a_{p}"))).otherwise(0.0) for p in POS
+    }
+
+    def block(d2, near, d, m):
+        near = near & (d2 > 0)
+        r = np.sqrt(np.where(near, d2, 1.0))
+        w = np.where(near, coef * m * (h - r) ** 2 / r, 0.0)
+        return [(w * np.where(near, x, 0.0)).sum(axis=1) for x in d]
+
+    grads = _kernel_sums(_masses(points, mass), h, sums, block)
     size = F.sqrt(sum((F.col(f"_g{p}") ** 2 for p in POS), start=F.lit(0.0)))
-    grads = grads.select(*[F.col(f"a_{p}").alias(p) for p in POS], size.alias("gradient"))
-    return points.join(grads, list(POS), "left").withColumn(
+    return points.join(grads.select(*POS, size.alias("gradient")), list(POS), "left").withColumn(
         "gradient", F.coalesce("gradient", F.lit(0.0))
     )
 

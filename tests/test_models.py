@@ -99,6 +99,26 @@ def test_density_of_uniform_ball(spark):
     assert slope == pytest.approx(0.0, abs=1e-9)
 
 
+def test_kernel_sums_of_dense_cells(spark, monkeypatch):
+    """Cells of many tiles beside almost empty ones, with copies, against all pairs."""
+    monkeypatch.setattr(spatial, "TILE_ROWS", 16)
+    rng, h = np.random.default_rng(5), 0.5
+    at = np.vstack([rng.normal(size=(150, 3)) * 0.2, rng.normal(size=(30, 3)) * 2, np.zeros((3, 3)), [[40.0, 0, 0]]])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], SCHEMA)
+    d = at[None] - at[:, None]
+    r = np.sqrt((d**2).sum(2))
+    density = (315 / (64 * math.pi * h**9) * np.where(r <= h, h * h - r * r, 0) ** 3).sum(1)
+    pull = np.where((r <= h) & (r > 0), 45 / (math.pi * h**6) * (h - r) ** 2 / np.where(r > 0, r, 1), 0)
+    slope = np.sqrt(((pull[:, :, None] * d).sum(1) ** 2).sum(1))
+    dense, steep = spatial.kernel_density(df, h), spatial.density_gradient(df, h)
+    # no row per pair of a dense cell
+    assert "FlatMapGroupsInPandas" in dense._jdf.queryExecution().toString()
+    got = {r["id"]: r["density"] for r in dense.collect()}
+    assert [got[i] for i in range(len(at))] == pytest.approx(density.tolist())
+    got = {r["id"]: r["gradient"] for r in steep.collect()}
+    assert [got[i] for i in range(len(at))] == pytest.approx(slope.tolist(), abs=1e-9)
+
+
 def test_near_edges_star(spark):
     data = [(1, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0), (3, 0.0, 0.0, 0.0), (4, 0.5, 0.0, 0.0), (5, 3.0, 0.0, 0.0)]
     got = {(r["src"], r["dst"]) for r in spatial.near_edges(spark.createDataFrame(data, SCHEMA), 1.0).collect()}
