@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.fpm import PrefixSpan
 from pyspark.ml.functions import array_to_vector
@@ -196,6 +197,12 @@ def motif_sequences(
     return found.select(F.flatten("sequence").alias("pattern"), "freq")
 
 
+#: buckets of up to this many vectors are paired row by row, fuller ones in tiles
+SMALL_BUCKET = 64
+TILE_ROWS = 2048
+STRIP = 256  # rows of a tile that are looked at together
+
+
 def lsh_pairs(
     df: DataFrame,
     r: float,
@@ -210,26 +217,92 @@ def lsh_pairs(
     """Approximate near pairs (a_id, b_id, distance) with L2 distance at most ``r``.
 
     Each table hashes a vector by ``planes`` random projections together; any shared
-    table makes a candidate, checked exactly once.  Equal vectors are collapsed first and
-    their copies hang on the lowest id, so a pile of copies adds one row, not all pairs.
+    table makes a candidate, checked once, in the first table that it shares.  Equal vectors are
+    collapsed first and their copies hang on the lowest id, so a pile of copies adds one row, not
+    all pairs.  Buckets of more than ``SMALL_BUCKET`` vectors are compared as matrices, a pair of
+    tiles of about ``TILE_ROWS`` vectors at a time.
     """
     heads = df.groupBy(vec).agg(F.min(id_col).alias("_head"))
-    signed = heads.withColumn("_sigs", lsh_signatures(F.col(vec), dims, tables, planes, bucket or r, seed))
-    tables_long = signed.select("_head", vec, F.posexplode("_sigs").alias("_t", "_sig"))
-    a = tables_long.select("_t", "_sig", F.col("_head").alias("a_id"), F.col(vec).alias("_va"))
-    b = tables_long.select("_t", "_sig", F.col("_head").alias("b_id"), F.col(vec).alias("_vb"))
+    sigs = F.transform(
+        lsh_signatures(F.col(vec), dims, tables, planes, bucket or r, seed), lambda sig: F.xxhash64(sig)
+    )
+    # signatures as numbers: two that are equal by chance make a candidate more, which is checked
+    signed = store_table(
+        heads.where(F.col("_head").isNotNull()).select("_head", F.col(vec).alias("_v"), sigs.alias("_sigs")),
+        "lsh-signed",
+    )
+    named = signed.select("_head", F.posexplode("_sigs").alias("_t", "_sig"))
+    sizes = named.groupBy("_t", "_sig").agg(F.count("*").alias("_n")).where("_n > 1")
+    sizes = store_table(sizes, "lsh-buckets")
+    members = signed.select("_head", "_v", "_sigs", F.posexplode("_sigs").alias("_t", "_sig"))
+    members = members.join(sizes, ["_t", "_sig"])
+
+    # vectors of another length fit no matrix
+    full = (F.col("_n") > SMALL_BUCKET) & (F.size("_v") == dims)
+    small = members.where(~full).drop("_n")
+    a = small.select("_t", "_sig", F.col("_head").alias("a_id"), F.col("_v").alias("_va"), F.col("_sigs").alias("_sa"))
+    b = small.select("_t", "_sig", F.col("_head").alias("b_id"), F.col("_v").alias("_vb"), F.col("_sigs").alias("_sb"))
     d2 = F.aggregate(
         F.zip_with("_va", "_vb", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))),
         F.lit(0.0),
         lambda acc, x: acc + x,
     )
-    near = (
+    first = F.array_position(F.zip_with("_sa", "_sb", lambda x, y: x == y), True) == F.col("_t") + 1
+    by_rows = (
         a.join(b, ["_t", "_sig"])
         .where("a_id < b_id")
+        .where(first)
         .select("a_id", "b_id", F.sqrt(d2).alias("distance"))
         .where(F.col("distance") <= r)
-        .distinct()
     )
+
+    tiles = F.ceil(F.col("_n") / F.lit(float(TILE_ROWS))).cast("int")
+    dealt = members.where(full).withColumn("_n", tiles)
+    dealt = dealt.withColumn("_tile", F.expr("cast(pmod(xxhash64(_head), _n) as int)"))
+    paired = dealt.withColumn("_o", F.explode(F.expr("sequence(0, _n - 1)"))).withColumns(
+        {"_p": F.least("_tile", "_o"), "_q": F.greatest("_tile", "_o")}
+    )
+
+    def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        table, p, q = int(key[0]), int(key[2]), int(key[3])
+        side = pdf["_tile"].to_numpy()
+        ids = pdf["_head"].to_numpy()
+        x = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
+        sig = np.stack(pdf["_sigs"].to_numpy())
+        norm = (x * x).sum(axis=1)
+        # room for the rounding of the expanded square; what passes is measured again
+        left, right = np.flatnonzero(side == p), np.flatnonzero(side == q)
+        made = [pd.DataFrame({"a_id": ids[:0], "b_id": ids[:0], "distance": norm[:0]})]
+        for start in range(0, len(left), STRIP):
+            rows = left[start : start + STRIP]
+            apart = norm[rows, None] + norm[None, right] - 2.0 * (x[rows] @ x[right].T)
+            room = 1e-9 * (norm[rows, None] + norm[None, right] + r * r)
+            i, j = np.nonzero(apart <= r * r + room)
+            i, j = rows[i], right[j]
+            if p == q:
+                keep = ids[i] < ids[j]
+                i, j = i[keep], j[keep]
+            keep = (sig[i] == sig[j]).argmax(axis=1) == table
+            i, j = i[keep], j[keep]
+            d2 = np.zeros(len(i))
+            for k in range(x.shape[1]):  # in the order of the expression for rows
+                d2 += (x[i, k] - x[j, k]) ** 2
+            near = np.sqrt(d2) <= r
+            i, j = i[near], j[near]
+            made.append(
+                pd.DataFrame(
+                    {"a_id": np.minimum(ids[i], ids[j]), "b_id": np.maximum(ids[i], ids[j]), "distance": np.sqrt(d2[near])}
+                )
+            )
+        return pd.concat(made)
+
+    id_type = df.schema[id_col].dataType.simpleString()
+    by_tiles = (
+        paired.select("_t", "_sig", "_p", "_q", "_tile", "_head", "_v", "_sigs")
+        .groupBy("_t", "_sig", "_p", "_q")
+        .applyInPandas(tile, f"a_id {id_type}, b_id {id_type}, distance double")
+    )
+    near = by_rows.unionByName(by_tiles)
     copies = (
         df.select(vec, F.col(id_col).alias("b_id"))
         .join(heads.withColumnRenamed("_head", "a_id"), vec)

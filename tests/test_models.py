@@ -367,6 +367,24 @@ def test_lsh_pairs_copies(spark):
     assert got == {(0, i) for i in range(1, 20)} | {(0, 50)}
 
 
+def test_lsh_pairs_of_full_buckets(spark, monkeypatch):
+    """Buckets of several tiles give the pairs that rows give, each once."""
+    rng = np.random.default_rng(3)
+    at = np.vstack([rng.normal(size=(200, 4)) * 0.3, rng.normal(size=(60, 4)) * 3])
+    rows = [(i, v.tolist()) for i, v in enumerate(at)] + [(900, at[7].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = []
+    for small, size in ((10**6, 2048), (8, 16)):
+        monkeypatch.setattr(M, "SMALL_BUCKET", small)
+        monkeypatch.setattr(M, "TILE_ROWS", size)
+        pairs = M.lsh_pairs(df, 0.4, 4, tables=5, planes=2, bucket=1.0)
+        assert "FlatMapGroupsInPandas" in pairs._jdf.queryExecution().toString()
+        got = [(r["a_id"], r["b_id"], r["distance"]) for r in pairs.collect()]
+        assert len(got) == len({g[:2] for g in got}) and all(g[0] < g[1] for g in got)
+        found.append(sorted(got))
+    assert found[0] == found[1] and len(found[0]) > 500
+
+
 def test_probe_promotion(spark):
     scores = spark.createDataFrame([(0, "rf", w, 5.0 if 2 <= w <= 4 else 0.0) for w in range(8)] + [(1, "rf", w, 5.0 if w == 3 else 0.0) for w in range(8)], "probe int, domain string, window long, score double")
     base = spark.createDataFrame([(0, 0.0, 1.0), (1, 0.0, 1.0)], "probe int, mean double, sigma double")
