@@ -305,11 +305,15 @@ def links(
         F.col("node").alias("b"),
         F.col("n").alias("m"),
         F.col("component").alias("cb"),
+        F.col("place").alias("at"),
         F.col("sketch").alias("other"),
     )
+    # the first shingle that two similar sets share has enough places behind it on both sides, so
+    # a pair meets there and seldom again
+    behind = f"(100 + {percent}) * (1 + least(n - place, m - at)) >= {percent} * (n + m)"
     pairs = (
         live.join(minor, "gram")
-        .where(f"component <> cb and (not minor or node < b) and {fits} and {_bound(percent)}")
+        .where(f"component <> cb and (not minor or node < b) and {fits} and {behind} and {_bound(percent)}")
         .select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"))
         .distinct()
     )
@@ -317,11 +321,12 @@ def links(
 
 
 def rarest(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """``(node, gram)``: the shingles of ``texts (node, text)`` that a similar set cannot all lack.
+    """``(node, gram, place)``: the shingles of ``texts (node, text)`` that a similar set cannot all lack.
 
     Shingles are ordered by their number of texts, then by hash.  A set of n has at least
     ceil(percent n / 100) of them in common with a similar one, so the n - ceil(percent n / 100) + 1
-    first of both sets have one in common.  Shingles of one text only meet nothing.
+    first of both sets have one in common.  Shingles of one text only meet nothing.  ``place`` is a
+    shingle's number in that order, from 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +350,7 @@ def rarest(texts: DataFrame, size: int, percent: int) -> DataFrame:
     by_rarity = Window.partitionBy("node").orderBy("found", "gram")
     least = F.expr(f"n - cast(ceil({percent} * n / 100.0) as long) + 1")
     ranked = grams.join(texts_with, "gram").withColumn("place", F.row_number().over(by_rarity))
-    return ranked.where((F.col("place") <= least) & (F.col("found") > 1)).select("node", "gram")
+    return ranked.where((F.col("place") <= least) & (F.col("found") > 1)).select("node", "gram", "place")
 
 
 def _tested(edges: DataFrame, labels: DataFrame | None, texts: DataFrame, size: int, percent: int) -> DataFrame:

@@ -714,6 +714,23 @@ def test_rarest_shingles_of_similar_sets_meet(spark):
                 assert found[a] & found[b]
 
 
+def test_first_shared_shingle_has_places_behind_it(spark):
+    rng = random.Random(6)
+    stems = [" ".join(f"s{k}x{rng.randrange(60)}" for _ in range(rng.randrange(1, 80))) for k in range(8)]
+    rows = [(i, edited(rng.choice(stems), rng, rng.randrange(5))) for i in range(60)]
+    texts = spark.createDataFrame([r for r in rows if r[1].split()], "node long, text string")
+    found = {}
+    for r in near_dedup.rarest(texts, 3, 80).collect():
+        found.setdefault(r.node, {})[r.gram] = r.place
+    sets = {i: shingles(t, 3) for i, t in rows if t.split()}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                n, m = len(sets[a]), len(sets[b])
+                behind = [min(n - found[a][g], m - found[b][g]) for g in found[a].keys() & found[b].keys()]
+                assert 180 * (1 + max(behind)) >= 80 * (n + m)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 105), (103, 105), (7, 7)]
     got = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
