@@ -14,8 +14,8 @@ from chromafield.functions.codec import mask_bits
 from chromafield.functions.vectors import l2
 from chromafield.operators.joins import asof_join
 from chromafield.operators.ordered import (
-    centred,
     lag_rows,
+    pane_width,
     plan_width,
     running_moments,
     slice_of,
@@ -175,28 +175,26 @@ def step_changes(
     With ``env`` given, the correlation of value and environment over the same span is
     attached: an empty or weak ``env_corr`` means the change was not environmental.
     """
-    if width is None:
-        width = plan_width(df, keys, ts)  # once, on the plain input
-    base = df
-    if env is not None:
-        base = asof_join(df, env.select(ts, env_col), ts, tie=tie, width=width)
     frames = {"before": (-span_us, -1), "after": (0, span_us - 1)}
-    sums = {}
-    if env is not None:
-        base = centred(base, keys, {"_cx": F.col(value), "_ce": F.col(f"env_{env_col}")})
-        x, e = F.col(value) - F.col("_cx"), F.col(f"env_{env_col}") - F.col("_ce")
-        parts = {"c": F.lit(1.0), "x": x, "e": e, "xx": x * x, "ee": e * e, "xe": x * e}
-        sums = {k: F.when(x.isNotNull() & e.isNotNull(), v) for k, v in parts.items()}
-    out = with_moments(base, keys, ts, value, frames, width, sums)
+    base = df if env is None else asof_join(df, env.select(ts, env_col), ts, tie=tie, width=width)
+    if width is None:
+        width = pane_width(df, keys, ts, frames)  # on the plain input
+    out = with_moments(base, keys, ts, value, frames, width, None if env is None else f"env_{env_col}")
     if env is not None:
-        c, x, e, xx, ee, xe = (F.col(f"before_{k}") + F.col(f"after_{k}") for k in parts)
-        var_x, var_e = c * xx - x * x, c * ee - e * e
-        # a side that does not vary beyond rounding noise has no correlation
-        varies = (var_x > c * xx * 1e-12) & (var_e > c * ee * 1e-12)
-        corr = F.when(varies, F.try_divide(c * xe - x * e, F.sqrt(var_x * var_e)))
-        out = out.withColumn("env_corr", corr).drop(
-            "_cx", "_ce", *[f"{side}_{k}" for side in frames for k in parts]
+        parts = ("pairs", "pn", "px", "pe", "xx", "ee", "xe")
+        before, after = ({k: F.col(f"{side}_{k}") for k in parts} for side in frames)
+        n = before["pn"] + after["pn"]
+        both = (before["pn"] > 0) & (after["pn"] > 0)
+        gap = {k: F.when(both, after[k] - before[k]).otherwise(0.0) for k in ("px", "pe")}
+        share = F.coalesce(F.try_divide(before["pn"] * after["pn"], n), F.lit(0.0))
+        xx, ee, xe = (
+            before[k] + after[k] + gap[left] * gap[right] * share
+            for k, left, right in (("xx", "px", "px"), ("ee", "pe", "pe"), ("xe", "px", "pe"))
         )
+        # a side that does not vary, or is not finite, has no correlation
+        sound = (before["pairs"] + after["pairs"] == n) & (xx > 0) & (ee > 0)
+        corr = F.when(sound, F.try_divide(xe, F.sqrt(xx) * F.sqrt(ee)))
+        out = out.withColumn("env_corr", corr).drop(*[f"{side}_{k}" for side in frames for k in parts])
     out = out.withColumnsRenamed(
         {"before_mean": "mean_before", "after_mean": "mean_after", "before_sd": "sd_before"}
     ).drop("after_n", "after_sd")

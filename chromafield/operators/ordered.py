@@ -17,13 +17,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chromafield.session import broadcast_if_small
 
 TARGET_ROWS = 1_000_000
+# frame moments: rows of a group in one task, panes per group and strips per pane where panes are cut
+MOMENT_ROWS = 200_000
+PANES = 8
+STRIPS = 100_000
+# counts among the moments, and their means and sums of products of deviations
+COUNTS = ("all", "n", "pairs", "pn")
+CENTRAL = (
+    ("n", ("mean",), {"ss": ("mean", "mean")}),
+    ("pn", ("px", "pe"), {"xx": ("px", "px"), "ee": ("pe", "pe"), "xe": ("px", "pe")}),
+)
 SLICE = "_slice"
 KEY = "_key"
 
@@ -330,113 +344,286 @@ def rolling_sums(
     return scanned.where("_probe = 1").select("_row.*", *names)
 
 
-def centred(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
-    """``df`` with the mean of each value's finite part over the row's key, 0 where it has none."""
-    means = []
-    for name, value in values.items():
-        v = value.cast("double")
-        means.append(F.avg(F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)).alias(name))
-    if keys:
-        # one row per key, summed before the exchange; null keys have a mean as well
-        table = df.groupBy(*[F.col(k).alias(f"_c_{k}") for k in keys]).agg(*means)
-        same = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys]
-        out = df.join(table, same, "left").drop(*[f"_c_{k}" for k in keys])
-    else:
-        whole = df.agg(*means).first()
-        out = df.withColumns({name: F.lit(whole[name]).cast("double") for name in values})
-    return out.withColumns({name: F.coalesce(name, F.lit(0.0)) for name in values})
-
-
-def _pooled(n1: Column, m1: Column, ss1: Column, n2: Column, m2: Column, ss2: Column):
-    """Mean and squared deviations of two groups; an empty group may have a null mean."""
-    m1, m2 = F.coalesce(m1, m2), F.coalesce(m2, m1)
-    share = F.coalesce(F.try_divide(n2, n1 + n2), F.lit(0.0))
-    gap = F.coalesce(m2 - m1, F.lit(0.0))
-    return m1 + gap * share, ss1 + ss2 + gap * gap * n1 * share
-
-
-def _frame_side(
+def pane_width(
+    df: DataFrame, keys: Sequence[str], order: str, frames: dict[str, tuple[int, int]]
+) -> int:
+    """Width for ``with_moments`` at which no group holds much more than ``MOMENT_ROWS`` rows."""
+    width = plan_width(df, keys, order, MOMENT_ROWS)
+    lean = df.select(*keys, F.col(order).cast("long").alias("_at")).where("_at IS NOT NULL")
+    for span, _ in _families(frames):
+        for _ in range(6):  # recurring bursts may meet in one group: shrink until the fullest fits
+            group, cut = _layout(span, width)
+            at = F.col("_at")
+            place = [slice_of(at, span * group).alias("_group"), _strip(at, span, cut).alias("_strip")]
+            peak = lean.groupBy(*keys, *place).count().agg(F.max("count")).first()[0] or 0
+            if peak <= 4 * MOMENT_ROWS or _layout(span, width // 2) == (group, cut):
+                break
+            width = max(1, int(width * MOMENT_ROWS / peak))
+    return width
+
+
+def _families(frames: dict[str, tuple[int, int]]) -> list[tuple[int, dict[str, int]]]:
+    """Frames that can share their panes: equal spans, starts whole spans apart and near."""
+    found: list[tuple[int, dict[str, int]]] = []
+    for prefix, (lo, hi) in sorted(frames.items(), key=lambda item: item[1]):
+        span = hi - lo + 1
+        for other, starts in found:
+            gap = lo - min(starts.values())
+            if span == other and gap % span == 0 and gap <= 2 * span:
+                starts[prefix] = lo
+                break
+        else:
+            found.append((span, {prefix: lo}))
+    return found
+
+
+def _layout(span: int, width: int) -> tuple[int, int]:
+    """Panes per group, and the width of the strips that panes are cut into."""
+    if width >= 4 * span:
+        return width // span, span
+    return PANES, min(span, max(1, width // PANES, -(-span // STRIPS)))
+
+
+def _strip(at: Column, span: int, cut: int) -> Column:
+    return slice_of(F.pmod(at, F.lit(span)), cut)
+
+
+def _pool(a: dict, b: dict) -> dict:
+    """Moments of two sets of rows together, for arrays of such sets; an empty set has zeros."""
+    out = {k: a[k] + b[k] for k in ("all", "n", "pairs", "pn") if k in a}
+    out |= {"lo": np.minimum(a["lo"], b["lo"]), "hi": np.maximum(a["hi"], b["hi"])}
+    for n, means, products in CENTRAL:
+        if n not in a:
+            continue
+        share = b[n] / np.maximum(out[n], 1)
+        both = (a[n] > 0) & (b[n] > 0)
+        gap = {m: np.where(both, b[m] - a[m], 0.0) for m in means}
+        for m in means:
+            out[m] = np.where(a[n] > 0, a[m] + gap[m] * share, b[m])
+        for p, (left, right) in products.items():
+            out[p] = a[p] + b[p] + gap[left] * gap[right] * (a[n] * share)
+    return out
+
+
+def _running(state: dict, place: np.ndarray) -> dict:
+    """Moments from the start of its run up to each row; ``place`` is a row's place in its run.
+
+    Neighbouring results over 1, 2, 4, ... rows are pooled: no loop over rows, no subtraction.
+    """
+    step = 1
+    while step <= place.max(initial=0):
+        to = np.flatnonzero(place >= step)
+        merged = _pool({k: v[to - step] for k, v in state.items()}, {k: v[to] for k, v in state.items()})
+        state = {k: v.copy() for k, v in state.items()}
+        for k, v in merged.items():
+            state[k][to] = v
+        step *= 2
+    return state
+
+
+def _both_ways(state: dict, run: np.ndarray) -> tuple[dict, dict]:
+    """Running moments from the start and from the end of each run of equal ``run`` values."""
+
+    def place(run):
+        index = np.arange(len(run))
+        begins = np.append(True, run[1:] != run[:-1])[: len(run)]
+        return index - np.maximum.accumulate(np.where(begins, index, 0))
+
+    back = _running({k: v[::-1] for k, v in state.items()}, place(run[::-1]))
+    return _running(state, place(run)), {k: v[::-1] for k, v in back.items()}
+
+
+def _picked(state: dict, index: np.ndarray, found: np.ndarray) -> dict:
+    """The moments at ``index``, those of no rows where nothing was found."""
+    none = {"lo": np.inf, "hi": -np.inf}
+    out = {}
+    for k, v in state.items():
+        out[k] = np.full(len(index), none.get(k, 0), v.dtype)
+        out[k][found] = v[index[found]]
+    return out
+
+
+def _of_rows(x: pa.ChunkedArray, e: pa.ChunkedArray | None) -> dict:
+    """Moments of single rows; null counts as no row."""
+    v, given = x.to_numpy().astype(float), x.is_valid().to_numpy()
+    fine, zero = np.isfinite(v), np.zeros(len(v))
+    v = np.where(fine, v, 0.0)
+    state = {"all": given.astype("int64"), "n": fine.astype("int64"), "mean": v, "ss": zero}
+    state |= {"lo": np.where(fine, v, np.inf), "hi": np.where(fine, v, -np.inf)}
+    if e is not None:
+        w = e.to_numpy().astype(float)
+        both = fine & np.isfinite(w)
+        state |= {"pairs": (given & e.is_valid().to_numpy()).astype("int64"), "pn": both.astype("int64")}
+        state |= {"px": np.where(both, v, 0.0), "pe": np.where(both, w, 0.0), "xx": zero, "ee": zero, "xe": zero}
+    return state
+
+
+def _cell_moments(paired: bool) -> dict[str, Column]:
+    """The same moments as aggregates of ``_x`` and ``_e``."""
+
+    def finite(name: str) -> Column:
+        return F.when(~F.isnan(name) & (F.abs(name) < float("inf")), F.col(name))
+
+    x, e = finite("_x"), finite("_e")
+    parts = {
+        "all": F.count("_x"),
+        "n": F.count(x),
+        "mean": F.avg(x),
+        "ss": F.var_pop(x) * F.count(x),
+        "lo": F.coalesce(F.min(x), F.lit(float("inf"))),
+        "hi": F.coalesce(F.max(x), F.lit(float("-inf"))),
+    }
+    if paired:
+        px, pe = F.when(e.isNotNull(), x), F.when(x.isNotNull(), e)
+        parts |= {
+            "pairs": F.count(F.when(F.col("_x").isNotNull(), F.col("_e"))),
+            "pn": F.count(px),
+            "px": F.avg(px),
+            "pe": F.avg(pe),
+            "xx": F.var_pop(px) * F.count(px),
+            "ee": F.var_pop(pe) * F.count(px),
+            "xe": F.covar_pop(px, pe) * F.count(px),
+        }
+    return {k: F.coalesce(f, F.lit(0.0)) if k not in COUNTS else f for k, f in parts.items()}
+
+
+def _types(names: Sequence[str], prefix: str = "") -> list[str]:
+    return [f"`{prefix}{n}` {'long' if n in COUNTS else 'double'}" for n in names]
+
+
+def _strip_carries(marks: DataFrame, key: list[str], reach: int, paired: bool) -> DataFrame:
+    """Moments of what lies before and behind a strip in its pane, where frames begin or end.
+
+    ``marks`` has the pane and strip of every value, and of every border with the first pane that
+    it cuts.  They are summed per strip before any exchange.
+    """
+    names = list(_cell_moments(paired))
+    parts = [f.alias(n) for n, f in _cell_moments(paired).items()]
+    cells = marks.groupBy(*key, "_pane", "_strip").agg(*parts, F.bool_or("_border").alias("_border"))
+    # a strip without values has to be answered as well
+    uses = [F.struct(F.col("_pane").alias("_in"), F.lit(False).alias("_asked"), F.lit(True).alias("_own"))]
+    uses += [
+        F.struct((F.col("_pane") + p).alias("_in"), F.col("_border").alias("_asked"), F.lit(False).alias("_own"))
+        for p in range(reach + 1)
+    ]
+    used = cells.select(*key, "_strip", *names, F.inline(F.array(*uses))).where("_own OR _asked")
+
+    def scan(table: pa.Table) -> pa.Table:
+        own = table.filter(table["_own"]).sort_by("_strip")
+        state = {n: own[n].to_numpy() for n in names}
+        past, ahead = _both_ways(state, np.zeros(own.num_rows))
+        strips = np.unique(table.filter(table["_asked"])["_strip"].to_numpy())
+        at = own["_strip"].to_numpy()
+        first, end = np.searchsorted(at, strips), np.searchsorted(at, strips, "right")
+        same = np.zeros(len(strips), "int64")
+        columns = {k: table[k].take(same) for k in [*key, "_in"]} | {"_strip": pa.array(strips)}
+        columns |= {f"b_{n}": v for n, v in _picked(past, first - 1, first > 0).items()}
+        columns |= {f"f_{n}": v for n, v in _picked(ahead, end, end < len(at)).items()}
+        return pa.table(columns)
+
+    kinds = [f"{k} {used.schema[k].dataType.simpleString()}" for k in key]
+    schema = ", ".join([*kinds, "_in long", "_strip long", *_types(names, "b_"), *_types(names, "f_")])
+    return used.groupBy(*key, "_in").applyInArrow(scan, schema)
+
+
+def _pane_moments(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     value: str,
-    frame: tuple[int, int],
-    suffix: bool,
-    name: str,
+    span: int,
+    starts: dict[str, int],
     width: int,
+    other: str | None,
 ) -> DataFrame:
-    """Moments of the part of a range frame that lies in its first (``suffix``) or last pane.
+    """Moments over frames of one span.
 
-    Panes are as wide as the frame, so a frame is the end of one pane and the start of the
-    next.  Either part is a running aggregate of its pane, to which rows are only ever added;
-    a pane is cut into slices like any key.
+    Panes are as wide as a frame, so a frame is the end of one pane and the beginning of the
+    next, cut at the same place of both.  Panes that are too full are cut into strips, and the
+    same strip of neighbouring panes is one group.  A row moves once as the row that asks and
+    once as a lean value (twice, where two groups need it), and is answered in one task.
     """
-    lo, hi = frame
-    span = hi - lo + 1
-    sign, reach = (-1, lo) if suffix else (1, hi)
+    group, cut = _layout(span, width)
+    base = min(starts.values())
+    reach = (max(starts.values()) - base) // span + 1
+    paired, cutting = other is not None, cut < span
+    names, key = list(_cell_moments(paired)), [KEY] if keys else []
+    packed = [F.struct(*keys).alias(KEY)] if keys else []
     o = F.col(order).cast("long")
-    row = F.struct(*[F.col(c) for c in df.columns])
-    pane = slice_of(o + reach, span)
-    if not suffix:  # a frame that is just one pane has all its rows in the suffix
-        pane = F.when(pane > slice_of(o + lo, span), pane)
-
-    def mark(pane: Column, at: Column, probe: int, v: Column) -> Column:
-        return F.struct(
-            pane.alias("_pane"),
-            (at * sign).alias("_o"),
-            F.lit(probe).alias("_probe"),
-            (row if probe else F.when(F.lit(False), row)).alias("_row"),
-            v.alias("_x"),
+    x = F.col(value).cast("double")
+    e = F.col(other).cast("double") if paired else F.lit(None).cast("double")
+    pair = F.struct(x.alias("_x"), e.alias("_e"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+    def record(to: Column, at: Column, asks: bool) -> Column:
+        # rows without an order have no frame, so any group will do
+        strip = F.coalesce(_strip(at, span, cut), F.pmod(F.xxhash64(x), F.lit(1024)))
+        given, none = (row, pair) if asks else (pair, row)
+        none = F.when(F.lit(False), none)
+        parts = {"_group": to, "_strip": strip, "_at": at, "_pair": none if asks else given, "_row": given if asks else none}
+        return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+    homes = F.sequence(slice_of(o - reach * span, span * group), slice_of(o, span * group))
+    values = F.when(o.isNotNull(), F.transform(homes, lambda to: record(to, o, False)))
+    asking = F.array(record(slice_of(o + base, span * group), o + base, True))
+    records = df.select(*packed, F.inline(F.concat(F.coalesce(values, F.slice(asking, 1, 0)), asking)))
+    if cutting:
+
+        def mark(at: Column, border: bool) -> Column:
+            parts = {"_pane": slice_of(at, span), "_strip": _strip(at, span, cut), "_border": F.lit(border)}
+            given = [F.when(F.lit(not border), c).alias(n) for n, c in {"_x": x, "_e": e}.items()]
+            return F.struct(*[c.alias(n) for n, c in parts.items()], *given)
+
+        marks = df.where(o.isNotNull()).select(*packed, F.inline(F.array(mark(o, False), mark(o + base, True))))
+        pane = F.col("_in")
+        carries = _strip_carries(marks, key, reach, paired).select(
+            *key,
+            F.explode(F.sequence(slice_of(pane - reach, group), slice_of(pane, group))).alias("_group"),
+            "_strip",
+            (pane * F.lit(span)).alias("_at"),
+            F.struct(*[f"{side}{n}" for side in ("b_", "f_") for n in names]).alias("_carry"),
         )
-
-    v = F.when(o.isNotNull(), F.col(value).cast("double"))
-    marks = [
-        mark(slice_of(o, span), o, 0, v),
-        mark(pane, o + reach, 1, F.lit(None).cast("double")),
-    ]
-    both = df.select(*keys, F.inline(F.array(*marks)))
-    sliced = with_slice(both, [*keys, "_pane"], "_o", width)
-    x = F.when(~F.isnan("_x") & (F.abs("_x") < float("inf")), F.col("_x"))
-    parts = {
-        "all": F.count("_x"),
-        "n": F.count(x),
-        "m": F.avg(x),
-        "v": F.var_pop(x),
-        "lo": F.min(x),
-        "hi": F.max(x),
-    }
-    carry = sliced.groupBy(KEY, SLICE).agg(*[f.alias(f"_{k}") for k, f in parts.items()])
-    # slice moments are pooled around the first slice mean, which is one of those pooled
-    carry = carry.withColumn("_m0", F.first("_m", ignorenulls=True).over(whole_key()))
-    d, n = F.col("_m") - F.col("_m0"), F.col("_n")
-    carry = carry.select(
-        KEY,
-        SLICE,
-        "_m0",
-        F.coalesce(F.sum("_all").over(before()), F.lit(0)).alias("_call"),
-        F.coalesce(F.sum("_n").over(before()), F.lit(0)).alias("_cn"),
-        F.sum(n * d).over(before()).alias("_c1"),
-        F.sum(n * (F.col("_v") + d * d)).over(before()).alias("_c2"),
-        F.min("_lo").over(before()).alias("_clo"),
-        F.max("_hi").over(before()).alias("_chi"),
-    )
-    w = in_slice().orderBy("_o", "_probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = _join_carry(sliced, carry).withColumns({f"_{k}": f.over(w) for k, f in parts.items()})
-    out = out.where("_probe = 1")
-    c1, c2 = (F.coalesce(c, F.lit(0.0)) for c in ("_c1", "_c2"))
-    off = F.try_divide(c1, F.col("_cn"))
-    ss1 = F.greatest(c2 - c1 * F.coalesce(off, F.lit(0.0)), F.lit(0.0))
-    ss2 = F.coalesce(F.col("_n") * F.col("_v"), F.lit(0.0))
-    mean, ss = _pooled(F.col("_cn"), F.col("_m0") + off, ss1, F.col("_n"), F.col("_m"), ss2)
-    found = F.struct(
-        (F.col("_call") + F.col("_all")).alias("all"),
-        (F.col("_cn") + F.col("_n")).alias("n"),
-        mean.alias("mean"),
-        ss.alias("ss"),
-        F.least("_clo", "_lo").alias("lo"),
-        F.greatest("_chi", "_hi").alias("hi"),
-    )
-    return out.select("_row.*", found.alias(name))
+        records = records.unionByName(carries, allowMissingColumns=True)
+
+    def solve(table: pa.Table) -> pa.Table:
+        rows = table.filter(table["_row"].is_valid())
+        valued = table.filter(table["_pair"].is_valid()).sort_by("_at")
+        at = valued["_at"].to_numpy()
+        x, e = pc.struct_field(valued["_pair"], "_x"), pc.struct_field(valued["_pair"], "_e")
+        past, ahead = _both_ways(_of_rows(x, e if paired else None), at // span)
+        if cutting:
+            carry = table.filter(table["_carry"].is_valid()).sort_by("_at")
+            carry_at = carry["_at"].to_numpy()
+            sides = [{n: pc.struct_field(carry["_carry"], s + n).to_numpy() for n in names} for s in ("f_", "b_")]
+        framed = rows["_at"].is_valid().to_numpy()
+        begin = pc.fill_null(rows["_at"], 0).to_numpy()
+        columns = {"_row": rows["_row"]}
+        for prefix, lo in starts.items():
+            start = begin + (lo - base)
+            border = (start // span + 1) * span
+            i, mid, j = (np.searchsorted(at, edge) for edge in (start, border, start + span))
+            found = _pool(_picked(ahead, i, (i < mid) & framed), _picked(past, j - 1, (mid < j) & framed))
+            if cutting:
+                for side, edge in zip(sides, (border - span, border)):
+                    k = np.searchsorted(carry_at, edge)
+                    here = framed & (np.searchsorted(carry_at, edge, "right") > k)
+                    found = _pool(found, _picked(side, k, here))
+            n, lo, hi, whole = (found.pop(k) for k in ("n", "lo", "hi", "all"))
+            level, odd = lo == hi, whole > n
+            mean = np.where(odd, np.nan, np.where(level, lo, found.pop("mean")))
+            sd = np.where(odd, np.nan, np.where(level, 0.0, np.sqrt(found.pop("ss") / np.maximum(n, 1))))
+            columns[f"{prefix}_mean"] = pa.array(mean, mask=whole == 0)
+            columns[f"{prefix}_sd"] = pa.array(sd, mask=whole == 0)
+            columns[f"{prefix}_n"] = pa.array(whole)
+            columns |= {f"{prefix}_{k}": pa.array(v) for k, v in found.items()}
+        return pa.table(columns)
+
+    fields = [T.StructField("_row", records.schema["_row"].dataType)]
+    for prefix in starts:
+        kept = ["mean", "sd", "n", *[n for n in ("pairs", "pn", "px", "pe", "xx", "ee", "xe") if paired]]
+        fields += [T.StructField(f"{prefix}_{n}", T.LongType() if n in COUNTS else T.DoubleType()) for n in kept]
+    solved = records.groupBy(*key, "_group", "_strip").applyInArrow(solve, T.StructType(fields))
+    return solved.select("_row.*", *[f"`{f.name}`" for f in fields[1:]])
 
 
 def with_moments(
@@ -446,37 +633,23 @@ def with_moments(
     value: str,
     frames: dict[str, tuple[int, int]],
     width: int | None = None,
-    extra: dict[str, Column] | None = None,
+    other: str | None = None,
 ) -> DataFrame:
     """``<prefix>_n``, ``_mean`` and ``_sd`` (population) of a column over sliding frames.
 
     A frame that holds a NaN or infinite value has NaN moments, as a direct average would.
-    Moments are pooled from (n, mean, squared deviations) of the two panes that a frame
-    touches; no longer sums are subtracted, so that distant levels of a key do not blur the
+    Moments are pooled from (n, mean, squared deviations) of the parts of the two panes that a
+    frame touches; nothing is subtracted, so that distant levels of a key do not blur the
     deviations at one of them.  A frame of equal values has deviation 0, and no other has.
-    Plain sums of the ``extra`` expressions over the same frames ride along as
-    ``<prefix>_<name>``.
+    With a column ``other`` its co-moments with the value ride along, over the rows that have
+    both: ``<prefix>_pairs`` (rows) and ``_pn`` (finite ones), means ``_px`` and ``_pe``, and sums
+    of products of deviations ``_xx``, ``_ee`` and ``_xe``.
     """
     if width is None:
-        width = plan_width(df, keys, order)
-    out = rolling_sums(df, keys, order, frames, extra, width) if extra else df
-    for prefix, frame in frames.items():
-        for suffix, side in ((True, "_a"), (False, "_b")):
-            out = _frame_side(out, keys, order, value, frame, suffix, side, width)
-        a, b = F.col("_a"), F.col("_b")
-        n, whole = a["n"] + b["n"], a["all"] + b["all"]
-        mean, ss = _pooled(a["n"], a["mean"], a["ss"], b["n"], b["mean"], b["ss"])
-        lo, hi = F.least(a["lo"], b["lo"]), F.greatest(a["hi"], b["hi"])
-        odd = whole > n
-        sd = F.when(lo == hi, 0.0).otherwise(F.sqrt(F.try_divide(ss, n)))
-        out = out.withColumns(
-            {
-                f"{prefix}_mean": F.when(whole > 0, F.when(odd, float("nan")).when(lo == hi, lo).otherwise(mean)),
-                f"{prefix}_sd": F.when(whole > 0, F.when(odd, float("nan")).otherwise(sd)),
-                f"{prefix}_n": whole,
-            }
-        ).drop("_a", "_b")
-    return out
+        width = pane_width(df, keys, order, frames)
+    for span, starts in _families(frames):
+        df = _pane_moments(df, keys, order, value, span, starts, width, other)
+    return df
 
 
 def with_halo(

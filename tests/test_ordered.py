@@ -396,3 +396,75 @@ def test_shared_history_reads_as_the_copied_one(spark, span, count):
             upto = [r for r in own if (r[2], r[0]) <= (t, i)]
             want = [r[3] for r in upto[-count:]]
         assert got[i] == [v for v in want if v is not None]
+
+
+@pytest.mark.parametrize("width", [3, 30, 1000, None])
+def test_moments_of_frames_against_brute_force(spark, monkeypatch, width):
+    """Cut and whole panes, groups that share rows, ties, null keys and orders, NaN and infinities."""
+    import statistics
+
+    from chromafield.operators import ordered
+
+    monkeypatch.setattr(ordered, "MOMENT_ROWS", 20)
+    rnd = random.Random(8)
+    odd = [None, float("nan"), float("inf"), 2.0]
+    rows = []
+    for i in range(400):
+        t = rnd.choice([None, *range(90, 95)]) if i % 9 == 0 else rnd.randrange(-150, 150)
+        v, e = (rnd.choice(odd) if rnd.random() < 0.03 else rnd.uniform(-5, 5) for _ in range(2))
+        rows.append((i, rnd.choice(["a", "b", None]), t, 3.0 if t is not None and t > 110 else v, e))
+    schema = "id long, k string, t long, v double, `e.x` double"
+    df = spark.createDataFrame(rows, schema).withColumn("e", F.col("`e.x`")).repartition(3)
+    frames = {"past": (-10, -1), "next": (0, 9), "off": (-7, 5), "far": (53, 62), "one": (0, 0)}
+    out = ordered.with_moments(df, ["k"], "t", "v", frames, width, "e")
+    assert out.columns[:6] == ["id", "k", "t", "v", "e.x", "e"]
+    got = {r["id"]: r.asDict() for r in out.collect()}
+    assert len(got) == 400 and out.count() == 400
+    for i, k, t, _, _ in rows:
+        for name, (lo, hi) in frames.items():
+            near = [r for r in rows if t is not None and r[1] == k and r[2] is not None and t + lo <= r[2] <= t + hi]
+            vs = [r[3] for r in near if r[3] is not None]
+            r = got[i]
+            assert r[f"{name}_n"] == len(vs)
+            if not vs:
+                assert r[f"{name}_mean"] is None and r[f"{name}_sd"] is None
+            elif not all(map(math.isfinite, vs)):
+                assert math.isnan(r[f"{name}_mean"]) and math.isnan(r[f"{name}_sd"])
+            else:
+                sd = statistics.pstdev(vs)
+                assert r[f"{name}_mean"] == pytest.approx(statistics.fmean(vs), abs=1e-12)
+                assert r[f"{name}_sd"] == pytest.approx(sd, abs=1e-12) and (r[f"{name}_sd"] == 0) == (sd == 0)
+            pairs = [(r[3], r[4]) for r in near if r[3] is not None and r[4] is not None]
+            fine = [p for p in pairs if all(map(math.isfinite, p))]
+            assert (r[f"{name}_pairs"], r[f"{name}_pn"]) == (len(pairs), len(fine))
+            if fine:
+                mx, me = (statistics.fmean(c) for c in zip(*fine))
+                assert r[f"{name}_px"] == pytest.approx(mx, abs=1e-12) and r[f"{name}_pe"] == pytest.approx(me, abs=1e-12)
+                assert r[f"{name}_xx"] == pytest.approx(sum((x - mx) ** 2 for x, _ in fine), abs=1e-9)
+                assert r[f"{name}_ee"] == pytest.approx(sum((e - me) ** 2 for _, e in fine), abs=1e-9)
+                assert r[f"{name}_xe"] == pytest.approx(sum((x - mx) * (e - me) for x, e in fine), abs=1e-9)
+
+
+def test_groups_of_panes_stay_small_under_recurring_bursts(spark, monkeypatch):
+    from chromafield.operators import ordered
+
+    monkeypatch.setattr(ordered, "MOMENT_ROWS", 100)
+    # bursts at the same place of every pane
+    df = spark.range(8000).select((F.col("id") % 40 * 1000 + F.floor(F.col("id") / 40) % 20).alias("t"))
+    frames = {"past": (-1000, -1)}
+    group, cut = ordered._layout(1000, ordered.pane_width(df, [], "t", frames))
+    place = [slice_of(F.col("t"), 1000 * group), ordered._strip(F.col("t"), 1000, cut)]
+    assert df.groupBy(*place).count().agg(F.max("count")).first()[0] <= 400
+
+
+@pytest.mark.parametrize("width, most", [(10_000, 4), (300, 9)])
+def test_step_changes_shuffle_rows_once_per_step(spark, width, most):
+    """Two frames with correlations: one exchange of rows, not one per frame and pane."""
+    from chromafield.operators.aggregates import step_changes
+
+    df = spark.range(200).selectExpr("id", "id * 10 AS timestamp_us", "id % 7 * 1.0 AS v")
+    env = df.selectExpr("timestamp_us", "v AS temp").where("timestamp_us % 20 = 0")
+    out = step_changes(df, "v", 200, 0.5, env=env, env_col="temp", width=width)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") <= most
