@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -197,10 +197,15 @@ def motif_sequences(
     return found.select(F.flatten("sequence").alias("pattern"), "freq")
 
 
-#: buckets of up to this many vectors are paired row by row, fuller ones in tiles
-SMALL_BUCKET = 64
-TILE_ROWS = 2048
-STRIP = 256  # rows of a tile that are looked at together
+#: rows, and values, of a side of a tile of the distance matrix, about
+TILE_ROWS = 16_384
+TILE_VALUES = 1 << 20
+#: smaller tables are still cut into ``SIDES`` such sides, so that no core waits, where each has ``SMALL_BUCKET`` rows
+SIDES = 10
+SMALL_BUCKET = 512
+BLOCK_VALUES = 1 << 15  # values of the rows that are looked at together
+FOUND_ROWS = 1 << 18  # pairs that are handed on together
+SLACK = 1e-9  # room for rounding; what passes is measured again
 
 
 def lsh_pairs(
@@ -213,101 +218,129 @@ def lsh_pairs(
     id_col: str = "vec_id",
     vec: str = "embedding",
     seed: int = 7,
+    each_copy: bool = False,
 ) -> DataFrame:
-    """Approximate near pairs (a_id, b_id, distance) with L2 distance at most ``r``.
+    """All near pairs (a_id, b_id, distance) with L2 distance at most ``r``; none is left out.
 
-    Each table hashes a vector by ``planes`` random projections together; any shared
-    table makes a candidate, checked once, in the first table that it shares.  Equal vectors are
-    collapsed first and their copies hang on the lowest id, so a pile of copies adds one row, not
-    all pairs.  Buckets of more than ``SMALL_BUCKET`` vectors are compared as matrices, a pair of
-    tiles of about ``TILE_ROWS`` vectors at a time.
+    Random projections say what lies together, not what may meet: rows are laid out by their hash of
+    ``planes`` projections, and two tiles of rows are skipped only where all ``tables * planes``
+    projections prove them further apart than ``r``.  All other tiles meet as a distance matrix, about
+    ``TILE_ROWS`` by ``TILE_ROWS`` vectors per task, so the work is quadratic where nothing lies apart.
+
+    Equal vectors are collapsed first and their copies hang on the lowest id, so a pile of copies adds
+    one row, not all pairs; ``each_copy`` lists the pairs of every row instead.  Null ids and vectors,
+    and vectors with a component that is null or not finite, are near nothing; nor are vectors of
+    different length.
     """
-    heads = df.groupBy(vec).agg(F.min(id_col).alias("_head"))
-    sigs = F.transform(
-        lsh_signatures(F.col(vec), dims, tables, planes, bucket or r, seed), lambda sig: F.xxhash64(sig)
-    )
-    # signatures as numbers: two that are equal by chance make a candidate more, which is checked
-    signed = store_table(
-        heads.where(F.col("_head").isNotNull()).select("_head", F.col(vec).alias("_v"), sigs.alias("_sigs")),
-        "lsh-signed",
-    )
-    named = signed.select("_head", F.posexplode("_sigs").alias("_t", "_sig"))
-    sizes = named.groupBy("_t", "_sig").agg(F.count("*").alias("_n")).where("_n > 1")
-    sizes = store_table(sizes, "lsh-buckets")
-    members = signed.select("_head", "_v", "_sigs", F.posexplode("_sigs").alias("_t", "_sig"))
-    members = members.join(sizes, ["_t", "_sig"])
-
-    # vectors of another length fit no matrix
-    full = (F.col("_n") > SMALL_BUCKET) & (F.size("_v") == dims)
-    small = members.where(~full).drop("_n")
-    a = small.select("_t", "_sig", F.col("_head").alias("a_id"), F.col("_v").alias("_va"), F.col("_sigs").alias("_sa"))
-    b = small.select("_t", "_sig", F.col("_head").alias("b_id"), F.col("_v").alias("_vb"), F.col("_sigs").alias("_sb"))
-    d2 = F.aggregate(
-        F.zip_with("_va", "_vb", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))),
-        F.lit(0.0),
-        lambda acc, x: acc + x,
+    known = ~F.exists(vec, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    rows = df.where(F.col(id_col).isNotNull() & known).select(F.col(id_col).alias("_id"), F.col(vec).alias("_v"))
+    heads = rows if each_copy else rows.groupBy("_v").agg(F.min("_id").alias("_id"))
+    id_type, kind = rows.schema["_id"].dataType.simpleString(), rows.schema["_v"].dataType.elementType.simpleString()
+    kind = kind if kind == "float" else "double"
+
+    total, longest = heads.agg(F.count("*"), F.max(F.size("_v"))).first()
+    most = max(1, min(TILE_ROWS, TILE_VALUES // max(longest or 1, 1)))
+    sides = max(1, -(-total // most), min(SIDES, total // SMALL_BUCKET))
+    order = ["_size", "_sig", "_id"]
+    sig = lsh_signatures(F.col("_v"), dims, 1, planes, bucket or r or 1.0, seed)[0]
+    laid = (
+        heads.select("_id", "_v", F.size("_v").alias("_size"), sig.alias("_sig"))
+        .repartitionByRange(2 * sides, *order)
+        .sortWithinPartitions(*order)
+        .select("_id", "_v", "_size", F.spark_partition_id().alias("_part"))
     )
-    first = F.array_position(F.zip_with("_sa", "_sb", lambda x, y: x == y), True) == F.col("_t") + 1
-    by_rows = (
-        a.join(b, ["_t", "_sig"])
-        .where("a_id < b_id")
-        .where(first)
-        .select("a_id", "b_id", F.sqrt(d2).alias("distance"))
-        .where(F.col("distance") <= r)
+    directions = lsh_planes(dims, tables, planes, seed)[..., :-1].reshape(-1, dims)
+    basis = np.linalg.qr(directions.T)[0]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (part, size), same in pdf.groupby(["_part", "_size"], sort=False):
+                step = max(1, BLOCK_VALUES // max(size, 1))
+                for start in range(0, len(same), step):
+                    some = same.iloc[start : start + step]
+                    x = np.array(some["_v"].tolist(), float).reshape(len(some), size)
+                    # a longer or shorter vector is projected as far as the directions go
+                    at = x[:, :dims] @ basis[:size]
+                    room = SLACK * size * np.abs(x).max(initial=0.0)
+                    block = (part, size, len(some), some["_id"].to_numpy(), x.ravel(), at.min(axis=0) - room, at.max(axis=0) + room)
+                    yield pd.DataFrame([block], columns=["_part", "_size", "_rows", "_ids", "_values", "_low", "_high"])
+
+    blocks = store_table(
+        laid.mapInPandas(
+            pack,
+            f"_part int, _size int, _rows int, _ids array<{id_type}>, _values array<{kind}>, _low array<double>, _high array<double>",
+        ),
+        "lsh-blocks",
     )
-
-    tiles = F.ceil(F.col("_n") / F.lit(float(TILE_ROWS))).cast("int")
-    dealt = members.where(full).withColumn("_n", tiles)
-    dealt = dealt.withColumn("_tile", F.expr("cast(pmod(xxhash64(_head), _n) as int)"))
-    paired = dealt.withColumn("_o", F.explode(F.expr("sequence(0, _n - 1)"))).withColumns(
-        {"_p": F.least("_tile", "_o"), "_q": F.greatest("_tile", "_o")}
+    # neighbouring parts fill a tile together; the running count is over one short row per part
+    box = [
+        F.array(*[outer(F.col(side)[k]) for k in range(basis.shape[1])]).alias(side)
+        for side, outer in (("_low", F.min), ("_high", F.max))
+    ]
+    parts = blocks.groupBy("_size", "_part").agg(F.sum("_rows").alias("_rows"), *box)
+    before = F.sum("_rows").over(Window.orderBy("_size", "_part")) - F.col("_rows")
+    tile = F.floor(before / F.lit(max(1, -(-total // sides)))).cast("int")
+    parts = store_table(parts.withColumn("_tile", tile), "lsh-parts")
+    bounds = parts.groupBy("_size", "_tile").agg(*box)
+    reach = r * r * (1 + SLACK)
+    p, q = (bounds.select("_size", *[F.col(n).alias(n + s) for n in ("_tile", "_low", "_high")]) for s in "pq")
+    gaps = F.zip_with(
+        F.zip_with("_lowp", "_highq", lambda x, y: x - y),
+        F.zip_with("_lowq", "_highp", lambda x, y: x - y),
+        lambda x, y: F.greatest(x, y, F.lit(0.0)),
     )
-
-    def tile(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        table, p, q = int(key[0]), int(key[2]), int(key[3])
-        side = pdf["_tile"].to_numpy()
-        ids = pdf["_head"].to_numpy()
-        x = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
-        sig = np.stack(pdf["_sigs"].to_numpy())
-        norm = (x * x).sum(axis=1)
-        # room for the rounding of the expanded square; what passes is measured again
-        left, right = np.flatnonzero(side == p), np.flatnonzero(side == q)
-        made = [pd.DataFrame({"a_id": ids[:0], "b_id": ids[:0], "distance": norm[:0]})]
-        for start in range(0, len(left), STRIP):
-            rows = left[start : start + STRIP]
-            apart = norm[rows, None] + norm[None, right] - 2.0 * (x[rows] @ x[right].T)
-            room = 1e-9 * (norm[rows, None] + norm[None, right] + r * r)
-            i, j = np.nonzero(apart <= r * r + room)
-            i, j = rows[i], right[j]
-            if p == q:
-                keep = ids[i] < ids[j]
-                i, j = i[keep], j[keep]
-            keep = (sig[i] == sig[j]).argmax(axis=1) == table
-            i, j = i[keep], j[keep]
-            d2 = np.zeros(len(i))
-            for k in range(x.shape[1]):  # in the order of the expression for rows
-                d2 += (x[i, k] - x[j, k]) ** 2
-            near = np.sqrt(d2) <= r
-            i, j = i[near], j[near]
-            made.append(
-                pd.DataFrame(
-                    {"a_id": np.minimum(ids[i], ids[j]), "b_id": np.maximum(ids[i], ids[j]), "distance": np.sqrt(d2[near])}
+    meet = p.join(q, "_size").where("_tilep <= _tileq").where(dot(gaps, gaps) <= reach)
+    meet = meet.select("_size", "_tilep", "_tileq", F.explode(F.array_distinct(F.array("_tilep", "_tileq"))).alias("_tile"))
+    dealt = blocks.join(broadcast_if_small(parts.select("_size", "_part", "_tile")), ["_size", "_part"])
+    met = dealt.join(broadcast_if_small(meet), ["_size", "_tile"])
+
+    def compare(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size, left, right = (int(k) for k in key)
+        held = {left: [], right: []}
+        for pdf in batches:
+            for at, ids, values, low, high in zip(*(pdf[n] for n in ("_tile", "_ids", "_values", "_low", "_high"))):
+                x = values.astype(float).reshape(len(ids), size)
+                norm = (x * x).sum(axis=1)[:, None] * (1 - SLACK)
+                held[at].append((ids, x.T.copy(), np.hstack([x, np.ones_like(norm), norm]), low, high))
+        made, waiting = [], 0
+        for m, (a_ids, a, a_all, a_low, a_high) in enumerate(held[left]):
+            # the expanded square of the distance, as one product
+            asked = np.hstack([-2.0 * a_all[:, :size], a_all[:, size + 1 :], a_all[:, size : size + 1]])
+            for b_ids, b, b_all, b_low, b_high in held[right][m if left == right else 0 :]:
+                if (np.maximum(0.0, np.maximum(a_low - b_high, b_low - a_high)) ** 2).sum() > reach:
+                    continue
+                # a product that is no number is for the exact measure, too
+                i, j = np.nonzero(~(asked @ b_all.T > reach))
+                if a is b:
+                    i, j = i[i < j], j[i < j]
+                if not len(i):
+                    continue
+                d2 = np.zeros(len(i))
+                for k in range(size):  # in the order of the components, as SQL sums
+                    d2 += (a[k][i] - b[k][j]) ** 2
+                distance = np.sqrt(d2)
+                near = (distance <= r) & (a_ids[i] != b_ids[j])
+                one, other = a_ids[i[near]], b_ids[j[near]]
+                turn = one > other
+                made.append(
+                    pd.DataFrame({"a_id": np.where(turn, other, one), "b_id": np.where(turn, one, other), "distance": distance[near]})
                 )
-            )
-        return pd.concat(made)
-
-    id_type = df.schema[id_col].dataType.simpleString()
-    by_tiles = (
-        paired.select("_t", "_sig", "_p", "_q", "_tile", "_head", "_v", "_sigs")
-        .groupBy("_t", "_sig", "_p", "_q")
-        .applyInPandas(tile, f"a_id {id_type}, b_id {id_type}, distance double")
-    )
-    near = by_rows.unionByName(by_tiles)
+                waiting += len(made[-1])
+                if waiting >= FOUND_ROWS:
+                    yield pd.concat(made)
+                    made, waiting = [], 0
+        if made:
+            yield pd.concat(made)
+
+    near = met.groupBy("_size", "_tilep", "_tileq").applyInPandas(compare, f"a_id {id_type}, b_id {id_type}, distance double")
+    if each_copy:
+        return near
     copies = (
-        df.select(vec, F.col(id_col).alias("b_id"))
-        .join(heads.withColumnRenamed("_head", "a_id"), vec)
+        rows.withColumnRenamed("_id", "b_id")
+        .join(heads.withColumnRenamed("_id", "a_id"), "_v")
         .where("b_id > a_id")
         .select("a_id", "b_id", F.lit(0.0).alias("distance"))
+        .distinct()
     )
     return near.unionByName(copies)
 

@@ -626,23 +626,17 @@ def _(t: Tables):
     return out.select(F.array_join(c("pattern").cast("array<string>"), ",").alias("pattern"), "freq")
 
 
-def _lsh_sql() -> str:
-    sigs = []
-    for table in M.lsh_planes(64, 6, 3):
-        parts = ", '_', ".join(
-            f"CAST(floor((list_inner_product(embedding, {[float(v) for v in row[:-1]]}::DOUBLE[]) + {float(row[-1])!r}) / 1.5) AS BIGINT)"
-            for row in table
-        )
-        sigs.append(f"concat({parts})")
-    return f"""WITH {WIN_SQL}, s AS (SELECT vec_id, embedding, [{', '.join(sigs)}] AS sig FROM win),
-      t AS (SELECT vec_id, embedding, unnest(range(1, 7)) AS t, unnest(sig) AS g FROM s)
-      SELECT DISTINCT a.vec_id AS a_id, b.vec_id AS b_id, round(list_distance(a.embedding, b.embedding), 5) AS distance
-      FROM t a JOIN t b ON a.t = b.t AND a.g = b.g AND a.vec_id < b.vec_id WHERE list_distance(a.embedding, b.embedding) <= 1.2"""
-
-
-@query("approximate_neighbours", "I8", _lsh_sql())
+@query(
+    "approximate_neighbours",
+    "I8",
+    f"""WITH {WIN_SQL} SELECT DISTINCT a.vec_id AS a_id, b.vec_id AS b_id, round(list_distance(a.embedding, b.embedding), 5) AS distance
+    FROM win a JOIN win b ON a.vec_id < b.vec_id WHERE list_distance(a.embedding, b.embedding) <= 1.2""",
+)
 def _(t: Tables):
-    return rounded(M.lsh_pairs(t.windows, 1.2, 64, tables=6, planes=3, bucket=1.5), 5)
+    pairs = rounded(M.lsh_pairs(t.windows, 1.2, 64, tables=6, planes=3, bucket=1.5, each_copy=True), 5)
+    # only an id of several rows can give a pair twice
+    once = t.windows.groupBy("vec_id").count().where("count > 1").isEmpty()
+    return pairs if once else pairs.distinct()
 
 
 @query(

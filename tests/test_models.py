@@ -385,6 +385,73 @@ def test_lsh_pairs_of_full_buckets(spark, monkeypatch):
     assert found[0] == found[1] and len(found[0]) > 500
 
 
+def near_by_force(rows, r):
+    """Pairs of rows with different ids, as often as the rows have them."""
+    pairs = []
+    for n, (i, v) in enumerate(rows):
+        for j, w in rows[n + 1 :]:
+            if i != j and len(v) == len(w) and math.dist(v, w) <= r:
+                pairs.append((min(i, j), max(i, j), math.dist(v, w)))
+    return sorted(pairs)
+
+
+@pytest.mark.parametrize("tile, block", [(16_384, 1 << 15), (16, 64 * 5)])
+def test_lsh_pairs_leave_none_out(spark, monkeypatch, tile, block):
+    """Near vectors that share no bucket are pairs, too, whether in one tile or in several."""
+    monkeypatch.setattr(M, "TILE_ROWS", tile)
+    monkeypatch.setattr(M, "BLOCK_VALUES", block, raising=False)
+    rng = np.random.default_rng(9)
+    at = rng.normal(size=(150, 64))
+    at /= np.linalg.norm(at, axis=1, keepdims=True)
+    far = np.vstack([at[:60] + 50, at[40:90] - 50])
+    rows = [(f"{n % 7}-{n}", v.tolist()) for n, v in enumerate(np.vstack([at, far]))]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    want = near_by_force(rows, 1.2)
+    got = sorted(tuple(r) for r in M.lsh_pairs(df, 1.2, 64, tables=6, planes=3, bucket=1.5).collect())
+    assert len(want) > 150 and [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
+@pytest.mark.parametrize("tile", [16_384, 7])
+def test_lsh_pairs_of_each_copy(spark, monkeypatch, tile):
+    """Copies, repeated ids and lengths that mix; what is not finite is near nothing."""
+    monkeypatch.setattr(M, "TILE_ROWS", tile)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(40)]
+    rows += [(100 + i, rows[5][1]) for i in range(9)] + [(5, rows[6][1]), (5, rows[5][1])]
+    rows += [(200 + i, rng.normal(size=size).tolist()) for i, size in enumerate([2, 2, 2, 5, 5, 5, 0, 0])]
+    rows += [(300, [1e200, 0.0, 0.0]), (301, [1e200, 0.5, 0.0]), (302, [-1e200, 0.5, 0.0]), (303, [0.0] * 3), (304, [-0.0] * 3)]
+    odd = [(400 + i, [v] * 3) for i, v in enumerate([math.nan, math.nan, math.inf, math.inf, None, None])]
+    odd += [(500, None), (501, None), (None, rows[5][1])]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in M.lsh_pairs(df, 1.5, 3, tables=2, planes=2, each_copy=True).collect())
+    want = near_by_force(rows, 1.5)
+    assert {(300, 301), (206, 207), (303, 304), (100, 101)} <= {w[:2] for w in want}
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+    hung = {tuple(r)[:2] for r in M.lsh_pairs(df, 1.5, 3, tables=2, planes=2).collect()}
+    assert hung < {w[:2] for w in want} and {(5, 100 + i) for i in range(9)} <= hung and (100, 101) not in hung
+
+
+def test_approximate_neighbours_of_copies_and_repeated_ids(spark, tmp_path):
+    """The query gives its SQL's rows where vectors or ids repeat."""
+    import duckdb
+
+    from chromafield.plans.catalog import ORACLES, QUERIES
+    from tests.check import compare
+
+    rng = np.random.default_rng(6)
+    at = rng.normal(size=(80, 64))
+    at /= np.linalg.norm(at, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), i % 10) for i, v in enumerate(at)]
+    rows += [(1000 + i, rows[3][1], 3) for i in range(12)] + [(7, rows[3][1], 3), (7, rows[3][1], 3), (7, rows[8][1], 8)]
+    path = str(tmp_path / "embeddings.parquet")
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    problem, count = compare(QUERIES["approximate_neighbours"](spark, str(tmp_path)), con, ORACLES["approximate_neighbours"])
+    assert problem is None and count > 13 * 12 / 2
+
+
 def test_probe_promotion(spark):
     scores = spark.createDataFrame([(0, "rf", w, 5.0 if 2 <= w <= 4 else 0.0) for w in range(8)] + [(1, "rf", w, 5.0 if w == 3 else 0.0) for w in range(8)], "probe int, domain string, window long, score double")
     base = spark.createDataFrame([(0, 0.0, 1.0), (1, 0.0, 1.0)], "probe int, mean double, sigma double")
